@@ -9,6 +9,7 @@ from marginalia.functions.requirements import says_something
 from marginalia.functions.text import ustrip
 from marginalia.functions.times import epoch_micros
 from marginalia.llm.cooccurrence import cooccurrence
+from marginalia.llm.neardup import as_pairs, groups, near_duplicates
 from marginalia.llm.survivors import FieldRule, completeness, survivors
 from marginalia.llm.term_counts import TermCounts, changes_between, mark, state_root
 from marginalia.plans.packed import note_tags
@@ -16,6 +17,10 @@ from marginalia.sources.tables import read_table, source_host
 from marginalia.operators.packed_values import split_packed
 
 
+#: Similarity from which two notes count as the same text with edits, fixed by the problem.
+NEAR = 0.6
+
+
 def _lower_tags(tags):
     return F.transform(tags, lambda t: F.lower(t))
 
@@ -99,8 +104,22 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(notes, _video(F.col("video_id")), F.col("id"), rules, min_size=2, group_name="video_id")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(read_table(spark, sf_dir, "knowledge").select("id", "summary_markdown"), "id", "summary_markdown", NEAR)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_pairs(*_near(spark, sf_dir))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note with its group of notes that are mostly the same text, and the number of its class's links."""
+    return groups(*_near(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_upserts": p1_after_upserts,
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_records": p5_records,
+    "p6_found": p6_found, "p6_groups": p6_groups,
 }
 ORACLE: dict[str, str] = {}
