@@ -1,4 +1,23 @@
-"""Queries of problems 3, 7, 8 and 9."""
+"""Queries of problems 3, 7, 8 and 9 over whole tables and whole texts."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm.leakage import leaked
+from marginalia.sources.tables import read_table
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each item that leaked into it and the letters they share."""
+    items = read_table(spark, sf_dir, "eval_items").withColumn("stretch", F.when(F.lower("lang").startswith("zh"), 24).otherwise(60))
+    return leaked(read_table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text", "stretch")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES: dict = {"p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLE: dict[str, str] = {}
