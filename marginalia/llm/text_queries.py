@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.leakage import leaked
+from marginalia.llm.subjects import fit, subjects_of
 from marginalia.sources.tables import read_table
 
 
@@ -19,5 +20,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES: dict = {"p8_found": p8_found, "p8_leaks": p8_leaks}
+def p9_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document with the share of its sentences that are about each."""
+    docs = read_table(spark, sf_dir, "documents")
+    names = sorted(r[0] for r in read_table(spark, sf_dir, "subjects").select("subject").where("subject IS NOT NULL").distinct().collect())
+    h = fit(docs, "doc_id", "text", read_table(spark, sf_dir, "subject_labels"), "subject", names)
+    return subjects_of(docs, "doc_id", "text", h, names)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composition of the corpus: documents and mean share of each subject."""
+    return p9_subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
+QUERIES: dict = {"p9_found": p9_found, "p9_subjects": p9_subjects, "p9_mix": p9_mix, "p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLE: dict[str, str] = {}
