@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.leakage import leaked
+from marginalia.llm.packing import pack, sizes, tokenizer_path
 from marginalia.llm.subjects import fit, subjects_of
 from marginalia.sources.tables import read_table
 
@@ -37,5 +38,12 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
-QUERIES: dict = {"p9_found": p9_found, "p9_subjects": p9_subjects, "p9_mix": p9_mix, "p8_found": p8_found, "p8_leaks": p8_leaks}
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in containers of each kind: container number, document, order and token range."""
+    kinds = [(r[0], r[1]) for r in read_table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").collect()]
+    sized = sizes(read_table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path())
+    return pack(sized, kinds).withColumnRenamed("key", "doc_id")
+
+
+QUERIES: dict = {"p7_packed": p7_packed, "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_mix": p9_mix, "p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLE: dict[str, str] = {}
