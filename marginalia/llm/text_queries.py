@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.leakage import leaked
 from marginalia.llm.packing import pack, sizes, tokenizer_path
 from marginalia.llm.subjects import fit, subjects_of
-from marginalia.sources.tables import read_table
+from marginalia.llm.truncation import truncated
+from marginalia.sources.tables import read_table, source_host
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +39,22 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
+def _endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = read_table(spark, sf_dir, "knowledge").select("id", "summary_markdown", source_host(F.col("source_url")).alias("host"))
+    return truncated(notes, "id", "summary_markdown", "host")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _endings(spark, sf_dir).where("cut").select("id")
+
+
+def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source host: its notes, those cut, and their share."""
+    n = F.count("*")
+    cut = F.count_if("cut")
+    return _endings(spark, sf_dir).groupBy(F.col("source").alias("host")).agg(n.alias("notes"), cut.alias("cut"), F.round(cut / n, 6).alias("share"))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in containers of each kind: container number, document, order and token range."""
     kinds = [(r[0], r[1]) for r in read_table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").collect()]
@@ -45,5 +62,5 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sized, kinds).withColumnRenamed("key", "doc_id")
 
 
-QUERIES: dict = {"p7_packed": p7_packed, "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_mix": p9_mix, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES: dict = {"p3_found": p3_found, "p3_sources": p3_sources, "p7_packed": p7_packed, "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_mix": p9_mix, "p8_found": p8_found, "p8_leaks": p8_leaks}
 ORACLE: dict[str, str] = {}
