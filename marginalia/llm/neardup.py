@@ -3,8 +3,8 @@
 Every text is reduced to its letters and digits in lower case and cut into distinct
 five-character pieces. Shards are the bands of a MinHash signature: texts that agree in
 all rows of a band share a shard, and two texts of Jaccard similarity J miss each other in
-all bands with probability (1 - J**ROWS) ** BANDS. Inside a shard the texts' 64-bit
-sketches (one bit of a MinHash value each, so the expected distance is 32 * (1 - J)) form a
+all bands with probability (1 - J**ROWS) ** BANDS. Inside a shard the texts' 128-bit
+sketches (one bit of a MinHash value each, so the expected distance is 64 * (1 - J)) form a
 BK-tree: the children of a node are keyed by their integer Hamming distance to it, and a
 search follows only edges within the radius of its own distance. Candidates are then
 compared exactly.
@@ -37,13 +37,13 @@ from marginalia.operators.bounded import bounded_side
 
 PIECE = 5
 BANDS, ROWS = 64, 5
-RADIUS = 25
+RADIUS = 42
 #: Texts of a shard that one BK-tree takes.
 TREE_SIZE = 2000
 #: Classes of exact copies up to this size are written out as pairs; the copies of a larger
 #: class are paired with its representative only.
 EXPANDED = 256
-MAX_BROADCAST_IDS = 200_000
+MAX_BROADCAST_IDS = 50_000
 SEEN = 1_000_000
 
 _A = (C.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
@@ -52,8 +52,7 @@ _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 def pieces_of(text: str) -> np.ndarray:
     """Sorted distinct piece hashes of a text."""
-    code, _ = C.kept([text], (1, 2))
-    return np.unique(C.kgrams(code, PIECE))
+    return _piece_sets([text])[0]
 
 
 def _hash_text(code: np.ndarray) -> int:
@@ -107,15 +106,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(7), minima.shape[:2])
             for r in range(ROWS):
                 acc = C.mix(acc * C._BASE + minima[:, :, r])
-            bits = C.mix(minima[:, :64, 0]) & np.uint64(1)
-        sketch = (bits * _BITS).sum(axis=1, dtype=np.uint64)
+            halves = [((C.mix(minima[:, :64, r]) & np.uint64(1)) * _BITS).sum(axis=1, dtype=np.uint64) for r in (0, 1)]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(acc.ravel().view(np.int64)),
                 pa.array(np.repeat(np.array(classes, np.int64), BANDS)),
-                pa.array(np.repeat(sketch, BANDS).view(np.int64)),
+                *(pa.array(np.repeat(x, BANDS).view(np.int64)) for x in halves),
             ],
-            names=["shard", "class", "sketch"],
+            names=["shard", "class", "sketch", "sketch2"],
         )
 
 
@@ -150,19 +148,18 @@ class BKTree:
             node = child
 
 
-_OUT = "a long, b long, shard long, block int, classes array<long>, sketches array<long>"
-_OUT_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("block", pa.int32()), ("classes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.int64()))])
-_LOW = (1 << 64) - 1
+_OUT = "a long, b long, shard long, block int, classes array<long>, sketches array<binary>"
+_OUT_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("block", pa.int32()), ("classes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.binary()))])
 
 
 def _within(classes: list[int], sketches: list[int], radius: int) -> set[tuple[int, int]]:
     """Close pairs of one shard, each searched in the tree of those before it."""
     found, tree, there = set(), BKTree(), []
     for c, s in zip(classes, sketches):
-        near = [there[n] for n in tree.within(s & _LOW, radius)]
+        near = [there[n] for n in tree.within(s, radius)]
         if c not in near:  # the copies of a class have the same sketch
             found.update((min(c, o), max(c, o)) for o in near)
-            tree.add(s & _LOW)
+            tree.add(s)
             there.append(c)
     return found
 
@@ -178,7 +175,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int) -> I
             [
                 pa.array([x[0] for x in p] + [None] * m, pa.int64()), pa.array([x[1] for x in p] + [None] * m, pa.int64()),
                 pa.array([None] * n + [x[0] for x in blocks], pa.int64()), pa.array([None] * n + [x[1] for x in blocks], pa.int32()),
-                pa.array([None] * n + [x[2] for x in blocks], pa.list_(pa.int64())), pa.array([None] * n + [x[3] for x in blocks], pa.list_(pa.int64())),
+                pa.array([None] * n + [x[2] for x in blocks], pa.list_(pa.int64())), pa.array([None] * n + [[y.to_bytes(16, "little") for y in x[3]] for x in blocks], pa.list_(pa.binary())),
             ],
             schema=_OUT_ARROW,
         )
@@ -200,7 +197,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int) -> I
         key = batch.column(0).to_numpy()
         if not len(key):
             continue
-        cls, sk = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        cls, low, high = (batch.column(i).to_numpy() for i in (1, 2, 3))
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         # runs of one row in the middle of a batch are texts alone in their shard
@@ -211,7 +208,8 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int) -> I
                 shard = int(key[a])
             for i in range(a, b, tree_size):
                 keep_c += cls[i : min(b, i + tree_size)].tolist()
-                keep_s += sk[i : min(b, i + tree_size)].tolist()
+                j = min(b, i + tree_size)
+                keep_s += [x | y << 64 for x, y in zip(low[i:j].view(np.uint64).tolist(), high[i:j].view(np.uint64).tolist())]
                 if len(keep_c) >= tree_size:
                     block += 1
                     blocks.append((shard, block, keep_c.copy(), keep_s.copy()))
@@ -232,29 +230,41 @@ def _cross(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     """Candidate pairs between two blocks of a shard, or within one."""
     for batch in batches:
         for own, ca, sa, cb, sb in zip(*C.columns(batch)):
+            sa, sb = ([int.from_bytes(x, "little") for x in y] for y in (sa, sb))
             if own:
                 pairs = _within(ca, sa, radius)
             else:
                 tree, pairs = BKTree(), set()
                 for s in sa:
-                    tree.add(s & _LOW)
+                    tree.add(s)
                 for c, s in zip(cb, sb):
-                    pairs.update((min(c, ca[n]), max(c, ca[n])) for n in tree.within(s & _LOW, radius) if ca[n] != c)
+                    pairs.update((min(c, ca[n]), max(c, ca[n])) for n in tree.within(s, radius) if ca[n] != c)
             p = list(pairs)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in p], pa.int64()), pa.array([x[1] for x in p], pa.int64())], names=["a", "b"])
 
 
+def _piece_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct piece hashes of every text."""
+    code, at = C.kept(texts, (1, 2))
+    grams = C.kgrams(code, PIECE)
+    return [np.unique(grams[a : max(a, b - PIECE + 1)]) for a, b in zip(at.tolist(), at[1:].tolist())]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, ta, tb = C.columns(batch)
-        known: dict[int, np.ndarray] = {}
-        out = []
-        for x, y, s, t in zip(a, b, ta, tb):
-            p = known[x] if x in known else known.setdefault(x, pieces_of(s))
-            q = known[y] if y in known else known.setdefault(y, pieces_of(t))
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+        for start in range(0, batch.num_rows, 512):
+            a, b, ta, tb = C.columns(batch.slice(start, 512))
+            text = dict(zip(a, ta)) | dict(zip(b, tb))
+            pieces = dict(zip(text, _piece_sets(list(text.values()))))
+            out = []
+            for x, y in zip(a, b):
+                p, q = pieces[x], pieces[y]
+                if len(p) > len(q):
+                    p, q = q, p
+                at = np.searchsorted(q, p)
+                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                out.append(both / (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
 def members(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -265,7 +275,7 @@ def members(df: DataFrame, key: str, text: str) -> DataFrame:
 def candidates(df: DataFrame, key: str, text: str, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """Distinct (a, b), a < b: pairs of classes that are close in some shard's tree."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
-    shards = texts.mapInArrow(_bands, "shard long, class long, sketch long")
+    shards = texts.mapInArrow(_bands, "shard long, class long, sketch long, sketch2 long")
     found = (
         shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _search(b, radius, tree_size), _OUT)
     ).checkpoint()  # candidates are few against the shards, and blocks are read twice
