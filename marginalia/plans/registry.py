@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marginalia.plans import packed
+from marginalia.plans import notes, packed, streams, texts
 
-MODULES = [packed]
+MODULES = [notes, texts, streams, packed]
 
 
 def queries() -> dict:
