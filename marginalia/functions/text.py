@@ -23,3 +23,8 @@ def ascii_lower(c: Column) -> Column:
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -12,9 +12,12 @@ import functools
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import let
+from marginalia.operators.shared import written
+
 COLUMNS = ["title", "author", "summary_markdown", "tags"]
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 _BAREWORD = re.compile(r"[A-Za-z0-9_\x80-\U0010FFFF]+\Z")
@@ -32,7 +35,8 @@ def accent_table() -> tuple[str, str]:
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(F.lower(c), *accent_table())
+    low = F.lower(c)
+    return F.when(low.rlike("[\u00c0-\u036f\u1e00-\u1eff]"), F.translate(low, *accent_table())).otherwise(low)
 
 
 def tokens(c: Column) -> Column:
@@ -56,8 +60,8 @@ def postings(notes: DataFrame) -> DataFrame:
 def document_frequency(notes: DataFrame) -> DataFrame:
     """(token, notes, occurrences); repeats within a note are counted before the shuffle."""
     arrays = notes.select(F.concat(*[tokens(F.col(c)) for c in COLUMNS]).alias("t"))
-    ordered = F.sort_array("t")
-    flagged = F.transform(ordered, lambda t, i: F.struct(t.alias("token"), F.when(i == 0, 1).when(F.get(ordered, i - 1) != t, 1).otherwise(0).alias("first")))
+    new = lambda a, t, i: F.when(i == 0, 1).when(F.get(a, i - 1) != t, 1).otherwise(0)
+    flagged = let(F.sort_array("t"), lambda a: F.transform(a, lambda t, i: F.struct(t.alias("token"), new(a, t, i).alias("first"))))
     return arrays.select(F.explode(flagged).alias("e")).groupBy(F.col("e.token").alias("token")).agg(
         F.sum("e.first").cast("long").alias("notes"), F.count("*").alias("occurrences")
     )
@@ -75,39 +79,60 @@ def parse_match(keywords: list[str]) -> list[list[str]] | None:
     return phrases
 
 
-def phrase_count(columns: list[Column], phrase: list[str]) -> Column:
-    """Occurrences of a phrase over the token arrays ``columns``."""
-    total = F.lit(0)
-    want = F.array(*[F.lit(w) for w in phrase])
-    for t in columns:
-        if len(phrase) == 1:
-            total = total + F.size(F.filter(t, lambda x: x == phrase[0]))
-        else:
-            n = len(phrase)
-            starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            total = total + F.size(F.filter(starts, lambda i: F.slice(t, i, n) == want))
-    return total
+def token_line(notes_columns: list[str]) -> Column:
+    """The tokens of all columns in one string: a blank before and behind each, a control character between columns."""
+    normal = [F.concat(F.lit(" "), F.regexp_replace(fold_accents(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+", " "), F.lit(" ")) for c in notes_columns]
+    return F.concat_ws("\x01", *normal)
 
 
-def bm25(notes: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(id, created_at, rank) of the notes with at least one phrase; rank is negative, the best first."""
-    cols = [f"__t{i}" for i in range(len(COLUMNS))]
-    base = notes.select("id", "created_at", *[tokens(F.col(c)).alias(a) for c, a in zip(COLUMNS, cols)])
-    arrays = [F.col(a) for a in cols]
-    length = functools.reduce(lambda x, y: x + y, [F.size(a) for a in arrays])
-    counted = base.select("id", "created_at", length.cast("double").alias("d"), *[phrase_count(arrays, p).cast("double").alias(f"f{i}") for i, p in enumerate(phrases)])
-    stats = counted.agg(
-        F.count("*").cast("double").alias("n"), F.sum("d").alias("total"), *[F.sum(F.when(F.col(f"f{i}") > 0, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(len(phrases))]
-    )
-    rank = F.lit(0.0)
-    for i in range(len(phrases)):
-        df = F.col(f"n{i}")
+def phrase_count(line: Column, phrase: list[str]) -> Column:
+    """Occurrences of a phrase in a token line; overlapping ones count each."""
+    return F.regexp_count(line, F.lit(rf"(?= \Q{' '.join(phrase)}\E )"))
+
+
+def counted(notes: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(id, d, f0, f1, ...): tokens of every note and occurrences of every phrase, from one scan, written once."""
+    lines = notes.select("id", token_line(COLUMNS).alias("line"))
+    length = F.regexp_count(F.col("line"), F.lit(r"[^ \x01]+")).cast("double").alias("d")
+    counts = [phrase_count(F.col("line"), p).cast("double").alias(f"f{i}") for i, p in enumerate(phrases)]
+    return written(lines.select("id", length, *counts))
+
+
+def bm25_many(notes: DataFrame, queries: dict[int, list[list[str]]], limit: int | None = None) -> DataFrame:
+    """(query_no, id, rank) of the notes with at least one phrase of a query; rank is negative, the best first.
+
+    With a ``limit`` the best notes of each query, ties by id.
+    """
+    order: dict[tuple[str, ...], int] = {}
+    for phrases in queries.values():
+        for p in phrases:
+            order.setdefault(tuple(p), len(order))
+    rows = counted(notes, [list(p) for p in order])
+    per_phrase = [F.sum(F.when(F.col(f"f{i}") > 0, 1.0).otherwise(0.0)).alias(f"n{i}") for i in order.values()]
+    stats = rows.agg(F.count("*").cast("double").alias("n"), F.sum("d").alias("total"), *per_phrase)
+
+    def term(i: int) -> Column:
+        df, f = F.col(f"n{i}"), F.col(f"f{i}")
         idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-        f = F.col(f"f{i}")
-        rank = rank - idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("d") / (F.col("total") / F.col("n"))))
-    hit = functools.reduce(lambda x, y: x | y, [F.col(f"f{i}") > 0 for i in range(len(phrases))], F.lit(False))
-    return counted.where(hit).crossJoin(F.broadcast(stats)).select("id", "created_at", F.round(rank, 9).alias("rank"))  # stats: one row
+        return idf * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("d") / (F.col("total") / F.col("n"))))
+
+    entries = []
+    for q, phrases in queries.items():
+        at = [order[tuple(p)] for p in phrases]
+        hit = functools.reduce(lambda x, y: x | y, [F.col(f"f{i}") > 0 for i in at], F.lit(False))
+        rank = functools.reduce(lambda x, y: x - term(y), at, F.lit(0.0))
+        entries.append(F.when(hit, F.struct(F.lit(q).alias("query_no"), F.round(rank, 9).alias("rank"))))
+    scored = rows.crossJoin(F.broadcast(stats))  # stats: one row
+    scored = scored.select("id", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.query_no", "id", "e.rank")
+    if limit is None:
+        return scored
+    return scored.withColumn("rk", F.row_number().over(Window.partitionBy("query_no").orderBy("rank", "id"))).where(F.col("rk") <= limit)
+
+
+def bm25(notes: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """(id, rank) for one query."""
+    return bm25_many(notes, {0: phrases}).select("id", "rank")
 
 
 def snippet(summary: Column, words: list[str], size: int = 40) -> Column:
@@ -115,10 +140,16 @@ def snippet(summary: Column, words: list[str], size: int = 40) -> Column:
 
     An approximation: the window starts at the first hit or at the beginning.
     """
-    parts = F.regexp_extract_all(F.coalesce(summary, F.lit("")), F.lit(r"[\p{L}\p{N}\p{Co}]+[^\p{L}\p{N}\p{Co}]*"), F.lit(0))
-    folded = F.transform(parts, lambda p: F.regexp_extract(fold_accents(p), r"[\p{L}\p{N}\p{Co}]+", 0))
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.coalesce(F.get(folded, i - 1).isin(*words), F.lit(False)))
-    first = F.greatest(F.coalesce(F.get(hits, 0), F.lit(1)) - 5, F.lit(1))
-    marked = F.zip_with(parts, folded, lambda p, w: F.when(w.isin(*words), F.regexp_replace(p, r"^([\p{L}\p{N}\p{Co}]+)", r"**$1**")).otherwise(p))
-    text = F.trim(F.array_join(F.slice(marked, first, size), ""))
-    return F.concat(F.when(first > 1, "...").otherwise(""), text, F.when(F.size(parts) >= first + size, "...").otherwise(""))
+    word = r"[\p{L}\p{N}\p{Co}]+"
+    pieces = F.regexp_extract_all(F.coalesce(summary, F.lit("")), F.lit(word + r"[^\p{L}\p{N}\p{Co}]*"), F.lit(0))
+
+    def window(parts: Column) -> Column:
+        hit = F.transform(parts, lambda p: F.regexp_extract(fold_accents(p), word, 0).isin(*words))
+        first = F.greatest(F.coalesce(F.nullif(F.array_position(hit, True), F.lit(0).cast("long")), F.lit(1).cast("long")) - 5, F.lit(1)).cast("int")
+        shown = F.transform(
+            F.slice(parts, first, size),
+            lambda p: F.when(F.regexp_extract(fold_accents(p), word, 0).isin(*words), F.regexp_replace(p, f"^({word})", "**$1**")).otherwise(p),
+        )
+        return F.concat(F.when(first > 1, "...").otherwise(""), F.trim(F.array_join(shown, "")), F.when(F.size(parts) >= first + size, "...").otherwise(""))
+
+    return let(pieces, window)

@@ -7,24 +7,17 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import ASCII_LOWER, ASCII_UPPER, ascii_lower
-
-_FOLD = str.maketrans(ASCII_UPPER, ASCII_LOWER)
-
-
-def fold(s: str) -> str:
-    return s.translate(_FOLD)
-
 
 def has(c: Column, keyword: str, literal: bool = False) -> Column:
     """Whether ``c`` is LIKE %keyword%. Null gives null; ``literal`` takes % and _ as themselves."""
-    kw = fold(keyword)
-    if kw == "":
+    if keyword == "":
         return c.isNotNull()
-    if literal or not re.search("[%_]", kw):
-        return ascii_lower(c).contains(kw)
-    quoted = "".join({"%": ".*", "_": "."}.get(ch, r"\Q" + ch + r"\E" if ch != "\\" else r"\\") for ch in kw)
-    return ascii_lower(c).rlike(f"(?s){quoted}")
+    plain = literal or not re.search("[%_]", keyword)
+    if plain and not re.search("[A-Za-z]", keyword):
+        return c.contains(keyword)  # reaches the Parquet scan
+    wild = {} if plain else {"%": ".*", "_": "."}
+    # a case-insensitive Java expression without the Unicode flag folds ASCII letters only
+    return c.rlike("(?is)" + "".join(wild.get(ch) or (r"\\" if ch == "\\" else rf"\Q{ch}\E" if not ch.isalnum() else ch) for ch in keyword))
 
 
 def split_keywords(query: str) -> list[str]:

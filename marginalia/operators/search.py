@@ -30,7 +30,7 @@ def search_many(notes: DataFrame, queries: list[str], limit: int = 10) -> DataFr
     """(query_no, place, id, strategy, snippet) of each query; ``queries``: at most ``MAX_QUERIES``."""
     if limit < 0 or len(queries) > MAX_QUERIES:
         raise ValueError("the limit must not be negative, nor the queries too many")
-    found, scored = [], []
+    found, scored = [], {}
     for q, query in enumerate(queries):
         words = split_keywords(query)
         for k, word in enumerate(words or [query.strip()]):
@@ -38,14 +38,13 @@ def search_many(notes: DataFrame, queries: list[str], limit: int = 10) -> DataFr
                 found.append(F.when(_any_column(word, columns), F.struct(F.lit(q).alias("query_no"), F.lit(strategy).alias("strategy"), F.lit(k).alias("kw"))))
         phrases = fts.parse_match(words)
         if phrases:
-            scored.append((q, fts.bm25(notes, phrases)))
+            scored[q] = phrases
     hits = notes.select("id", "created_at", F.explode(F.array_compact(F.array(*found))).alias("e")).select("id", "created_at", "e.*")
     by_date = Window.partitionBy("query_no", "strategy", "kw").orderBy(*newest())
     ranked = hits.withColumn("rk", F.row_number().over(by_date)).where(F.col("rk") <= limit).select("query_no", "strategy", "kw", "rk", "id")
-    for q, scores in scored:
-        top = scores.orderBy("rank", "id").limit(limit)
-        one = top.withColumn("rk", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", "id")))  # at most ``limit`` rows
-        ranked = ranked.unionByName(one.select(F.lit(q).alias("query_no"), F.lit(2).alias("strategy"), F.lit(0).alias("kw"), "rk", "id"))
+    if scored:
+        top = fts.bm25_many(notes, scored, limit)
+        ranked = ranked.unionByName(top.select("query_no", F.lit(2).alias("strategy"), F.lit(0).alias("kw"), "rk", "id"))
     first = ranked.groupBy("query_no", "id").agg(F.min(F.struct("strategy", "kw", "rk")).alias("at"))
     place = F.row_number().over(Window.partitionBy("query_no").orderBy("at"))  # at most 2 x keywords + 1 times ``limit`` rows
     return first.withColumn("place", place).where(F.col("place") <= limit).select("query_no", F.col("place").cast("long").alias("place"), "id", F.col("at.strategy").alias("strategy"))

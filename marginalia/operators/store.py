@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.like import has
+from marginalia.operators.shared import written
 from marginalia.schema import LIST_COLUMNS, NOTE_COLUMNS
 
 
@@ -81,7 +82,7 @@ def numbered(df: DataFrame, order: list[str], start: Column | int, out: str) ->
     parts before it.
     """
     parts = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
-    parts = parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    parts = written(parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
