@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.shared import written
+
 STRIPE = "item string, segment int, neighbours array<string>, counts array<long>"
 _ARROW = pa.schema([("item", pa.string()), ("segment", pa.int32()), ("neighbours", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 #: Entries of the stripes that a task holds before it sends them on.
@@ -113,7 +115,7 @@ def cooccurrence(records: DataFrame, items: str, n_records: int, min_count: int
     pairs = stripes(records, items, segments).select("item", F.explode(F.arrays_zip("neighbours", "counts")).alias("e"))
     pairs = pairs.select("item", F.col("e.neighbours").alias("other"), F.col("e.counts").alias("n"))
     # the stripes are needed twice, for the pairs and for the items' own counts: written once, to the shared folder
-    pairs = pairs.where((F.col("n") >= min_count)).checkpoint()
+    pairs = written(pairs.where(F.col("n") >= min_count))
     single = pairs.where("item = other")
     n_a = single.select(F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     n_b = single.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"))

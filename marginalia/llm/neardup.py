@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import codes as C
 from marginalia.operators.bounded import bounded_side
+from marginalia.operators.shared import written
 
 PIECE = 5
 BANDS, ROWS = 64, 5
@@ -276,9 +277,8 @@ def candidates(df: DataFrame, key: str, text: str, radius: int = RADIUS, tree_si
     """Distinct (a, b), a < b: pairs of classes that are close in some shard's tree."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
     shards = texts.mapInArrow(_bands, "shard long, class long, sketch long, sketch2 long")
-    found = (
-        shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _search(b, radius, tree_size), _OUT)
-    ).checkpoint()  # candidates are few against the shards, and blocks are read twice
+    found = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _search(b, radius, tree_size), _OUT)
+    found = written(found)  # candidates are few against the shards, and blocks are read twice
     blocks = found.where("shard IS NOT NULL").select("shard", "block", "classes", "sketches")
     left = blocks.select("shard", F.col("block").alias("i"), F.col("classes").alias("ca"), F.col("sketches").alias("sa"))
     right = blocks.select("shard", F.col("block").alias("j"), F.col("classes").alias("cb"), F.col("sketches").alias("sb"))
@@ -294,7 +294,7 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, classe
 
     ``classes``: (class, rep, n) with the representative's id.
     """
-    close = candidates(df, key, text, radius, tree_size).checkpoint()
+    close = written(candidates(df, key, text, radius, tree_size))
     needed = close.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select(F.col("rep").alias("id"), "class")
     side, _ = bounded_side(needed, MAX_BROADCAST_IDS)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(side, "id").select("class", "t")
@@ -310,8 +310,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     and its size; links: (rep_a, rep_b, similarity) between the representatives of different
     classes, rep_a < rep_b.
     """
-    of = members(df, key, text).checkpoint()
-    classes = of.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n")).checkpoint()
+    of = written(members(df, key, text))
+    classes = written(of.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     links = similar_classes(df, key, text, threshold, classes, radius, tree_size)
     a, b = classes.select(F.col("class").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("class").alias("b"), F.col("rep").alias("rb"))
     links = links.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b"), "similarity")
@@ -345,13 +345,14 @@ def groups(membership: DataFrame, links: DataFrame, max_rounds: int = 60) -> Dat
     to the shared folder, and only the number of changed labels comes to the driver.
     """
     edges = links.select("rep_a", "rep_b")
-    both = edges.unionByName(edges.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))).checkpoint()
-    label = both.select(F.col("rep_a").alias("rep")).distinct().withColumn("label", F.col("rep")).checkpoint()
+    both = written(edges.unionByName(edges.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))))
+    label = written(both.select(F.col("rep_a").alias("rep")).distinct().withColumn("label", F.col("rep")))
     for _ in range(max_rounds):
         offered = both.join(label.select(F.col("rep").alias("rep_b"), "label"), "rep_b").groupBy(F.col("rep_a").alias("rep")).agg(F.min("label").alias("new"))
         spread = label.join(offered, "rep", "left").select("rep", F.col("label").alias("old"), F.least("label", F.coalesce("new", "label")).alias("label"))
         jump = spread.select(F.col("rep").alias("at"), F.col("label").alias("further"))
-        spread = spread.join(jump, F.col("label") == F.col("at"), "left").select("rep", "old", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
+        jumped = spread.join(jump, F.col("label") == F.col("at"), "left")
+        spread = written(jumped.select("rep", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         label = spread.select("rep", "label")
         if not spread.where("old != label").limit(1).count():
             break

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import codes as C
+from marginalia.operators.shared import written
 
 OPEN_BINS = 256
 LANE_TEXTS = 50_000
@@ -207,18 +208,18 @@ def _by_lane(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, Iterator[
 def pack(sized: DataFrame, containers: list[tuple[str, int]], open_bins: int = OPEN_BINS, lane_texts: int = LANE_TEXTS) -> DataFrame:
     """(container_kind, container_no, key, ord, token_start, token_end, tokens_free) of all (key, tokens)."""
     capacity = {k: c for k, c in containers if k is not None and c is not None and c > 0}
-    sized = sized.where("key IS NOT NULL AND tokens > 0").checkpoint()  # tokenising is the dear part: once
+    sized = written(sized.where("key IS NOT NULL AND tokens > 0"))  # tokenising is the dear part: once
     lanes = max(1, math.ceil(sized.count() / lane_texts))
     lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     spread = sized.select(lane("key", lanes).alias("lane"), "key", "tokens").repartition(lanes, "lane")
     spread = spread.sortWithinPartitions("lane", F.xxhash64("key", F.lit(1)), "key", "tokens")
-    packed = spread.mapInArrow(lambda b, end=lanes == 1: _first(b, capacity, open_bins, end), _PACKED).checkpoint()
+    packed = written(spread.mapInArrow(lambda b, end=lanes == 1: _first(b, capacity, open_bins, end), _PACKED))
     done, level = packed.where("closed").withColumn("level", F.lit(0)), 0
     while lanes > 1:
         lanes, level = max(1, lanes // MERGE), level + 1
         left = packed.where("NOT closed").select((F.col("lane") % lanes).cast("int").alias("l"), "kind", "keys", "starts", "ends", "free", F.col("lane").alias("from"), "bin")
         left = left.repartition(lanes, "l").sortWithinPartitions("l", "kind", "from", "bin").select("l", "kind", "keys", "starts", "ends")
-        packed = left.mapInArrow(lambda b, end=lanes == 1: _again(b, capacity, open_bins, end), _PACKED).checkpoint()
+        packed = written(left.mapInArrow(lambda b, end=lanes == 1: _again(b, capacity, open_bins, end), _PACKED))
         done = done.unionByName(packed.where("closed").withColumn("level", F.lit(level)))
     # numbers without gaps: the containers of a (kind, level, lane) count from the sum of those before it
     n = done.groupBy("kind", "level", "lane").agg(F.max("bin").alias("top"), F.count("*").alias("n"))

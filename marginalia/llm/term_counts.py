@@ -21,17 +21,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import let
+from marginalia.operators.shared import new_folder
+
 SCHEMA = "term string, occurrences long, records long"
 
 
 def term_deltas(changes: DataFrame, terms: str, sign: str) -> DataFrame:
     """(term, occurrences, records) of a batch of signed records; partial sums before the shuffle."""
     clean = F.filter(F.coalesce(F.col(terms), F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))
-    ordered = F.sort_array(clean)
     # in the sorted array an entry is the record's first of its term if it differs from its left neighbour
-    flagged = F.transform(
-        ordered, lambda t, i: F.struct(t.alias("term"), F.when(i == 0, True).otherwise(F.get(ordered, i - 1) != t).alias("first"))
-    )
+    new = lambda a, t, i: F.when(i == 0, True).otherwise(F.get(a, i - 1) != t)
+    flagged = let(F.sort_array(clean), lambda a: F.transform(a, lambda t, i: F.struct(t.alias("term"), new(a, t, i).alias("first"))))
     return (
         changes.select(F.col(sign).cast("long").alias("__sign"), F.explode(flagged).alias("e"))
         .groupBy(F.col("e.term").alias("term"))
@@ -52,13 +53,7 @@ def changes_between(old: DataFrame, new: DataFrame, key: str, terms: str) -> Dat
 
 def state_root(spark: SparkSession) -> str:
     """A new folder for state in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        given = spark.sparkContext.getCheckpointDir()
-        if not given and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = given or f"file:/tmp/marginalia-{uuid.uuid4().hex}"
-    return f"{folder.rstrip('/')}/marginalia/{uuid.uuid4().hex}"
+    return new_folder(spark, "term-counts")
 
 
 class TermCounts:

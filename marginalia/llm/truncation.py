@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import codes as C
+from marginalia.operators.shared import written
 
 STOPS = "。！？!?.‽｡"
 CLOSERS = "”’」』）)】]》〉\"'*_`~ \t"
@@ -285,7 +286,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str, sample: int = SAM
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("t")).where("t IS NOT NULL")
     footers = spark.sparkContext.broadcast(footer_lines(rows))
-    ends = rows.mapInArrow(lambda b: _endings(b, footers.value), "id long, source string, state string, why string, fragment string, chars long, bytes long").checkpoint()
+    ends = written(rows.mapInArrow(lambda b: _endings(b, footers.value), "id long, source string, state string, why string, fragment string, chars long, bytes long"))
     n = max(1, ends.count())
     # about ten sentences a text: a sample of texts by the hash of the id, then a bound on the sentences
     part = min(1.0, sample / 4 / n)
@@ -298,7 +299,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str, sample: int = SAM
     loose = ends.where(F.col("state") == UNENDED)
     scored = loose.mapInArrow(lambda b: _scores(b, weights.value), ends.schema.add("whole", "double"))
     scored = scored.join(at_c, (F.col("source") == F.col("cs")) & (F.col("chars") == F.col("cz")), "left")
-    scored = scored.join(at_b, (F.col("source") == F.col("bs")) & (F.col("bytes") == F.col("bz")), "left").checkpoint()
+    scored = written(scored.join(at_b, (F.col("source") == F.col("bs")) & (F.col("bytes") == F.col("bz")), "left"))
     # prior: how often a source's unended texts break off, from the clear cases, shrunk towards even odds
     clear = scored.where("at_c IS NULL AND at_b IS NULL AND abs(whole) > 2")
     prior = clear.groupBy("source").agg(F.sum(F.when(F.col("whole") < 0, 1.0).otherwise(0.0)).alias("c"), F.count("*").alias("k"))
