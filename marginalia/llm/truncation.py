@@ -42,6 +42,7 @@ LIMIT_COUNT, LIMIT_TIMES, LIMIT_REACH, LIMIT_SHARE = 4, 8.0, 25, 0.004
 SAMPLE_SENTENCES = 40_000
 
 ENDED, OPEN, UNENDED, EMPTY = "ended", "open", "unended", "empty"
+_BREAK = re.compile(r"\r\n|\r|\n")
 _HEADING = re.compile(r"^\s{0,3}#{1,6}(?:\s|$)")
 _MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)、])\s*(?:\*\*[^*]*\*\*\s*[:：])?\s*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)、])\s+")
@@ -94,7 +95,9 @@ def _closing_list(lines: list[str]) -> int:
 
 def ending(text: str, footers: frozenset[int] = frozenset(), key=None) -> tuple[str, str, str, str]:
     """(state, reason, fragment, body) of a text; ``footers``: hashes, by ``key``, of lines known to be added."""
-    lines = re.split(r"\r\n|\r|\n", text)
+    breaks = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
+    begins, ends = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)]
+    lines = [text[a:b] for a, b in zip(begins, ends)]
     fences = [i for i, x in enumerate(lines) if x.lstrip().startswith("```")]
     if len(fences) % 2:
         return OPEN, "code fence", "", text.rstrip()
@@ -117,7 +120,7 @@ def ending(text: str, footers: frozenset[int] = frozenset(), key=None) -> tuple[
     if not end:
         return EMPTY, "", "", ""
     last = lines[end - 1].rstrip().rstrip("​﻿").rstrip()
-    body = "\n".join(lines[:end]).rstrip()
+    body = text[: ends[end - 1]].rstrip()  # with its own line ends: limits count them
     bare = _ELLIPSIS.sub("", last).rstrip()
     if bare.endswith(BROKEN):
         return OPEN, "multibyte", last, body
