@@ -63,7 +63,7 @@ class TtlDedup(StatefulProcessor):
             self.last.update((passed,))
             self.handle.registerTimer((passed + self.ttl) // 1000)
         kept = table["micros"][keep].tolist()
-        yield pd.DataFrame({"dedup_key": [key[0]] * len(kept), "micros": kept})
+        yield pd.DataFrame({"dedup_key": pd.Series([key[0]] * len(kept), dtype=object), "micros": pd.Series(kept, dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
