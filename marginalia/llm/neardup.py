@@ -187,7 +187,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int) -> I
     def close() -> None:
         nonlocal block
         if block:
-            blocks.append((shard, block, keep_c.copy(), keep_s.copy()))
+            blocks.append((shard, block + 1, keep_c.copy(), keep_s.copy()))
         elif len(keep_c) > 1:
             pairs.update(_within(keep_c, keep_s, radius))
         keep_c.clear()
@@ -282,9 +282,10 @@ def candidates(df: DataFrame, key: str, text: str, radius: int = RADIUS, tree_si
     blocks = found.where("shard IS NOT NULL").select("shard", "block", "classes", "sketches")
     left = blocks.select("shard", F.col("block").alias("i"), F.col("classes").alias("ca"), F.col("sketches").alias("sa"))
     right = blocks.select("shard", F.col("block").alias("j"), F.col("classes").alias("cb"), F.col("sketches").alias("sb"))
-    crossed = left.join(right, (left.shard == right.shard) & (left.i <= right.j)).select((F.col("i") == F.col("j")).alias("own"), "ca", "sa", "cb", "sb")
+    crossed = left.join(right, (left.shard == right.shard) & (left.i <= right.j)).select(left.shard.alias("s"), "i", "j", "ca", "sa", "cb", "sb")
     if blocks.limit(1).count():
-        crossed = crossed.repartition(F.rand(7)).mapInArrow(lambda b: _cross(b, radius), "a long, b long")
+        crossed = crossed.repartition("s", "i", "j").select((F.col("i") == F.col("j")).alias("own"), "ca", "sa", "cb", "sb")
+        crossed = crossed.mapInArrow(lambda b: _cross(b, radius), "a long, b long")
         return found.where("a IS NOT NULL").select("a", "b").unionByName(crossed).distinct()
     return found.where("a IS NOT NULL").select("a", "b").distinct()
 
