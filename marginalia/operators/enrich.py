@@ -107,6 +107,42 @@ def call_service(df: DataFrame, key: str, text: str, client: Callable[[], Client
     return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, answer string, error string")
 
 
+FAILED_REPORT = "(research failed)"
+
+
+def finished(df: DataFrame, key: str, text: str, client: Callable[[], Client]) -> DataFrame:
+    """(key, final, error): draft, research and final text, three chained calls for each row in one task.
+
+    A failed research step leaves a fixed report and goes on; a failed draft or final step
+    leaves the row without a final text.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        service = client()
+
+        def one(t: str) -> str:
+            draft = service.complete("draft", t)
+            try:
+                report = service.complete("research", draft)
+            except Exception:  # noqa: BLE001
+                report = FAILED_REPORT
+            return service.complete("final", f"## draft\n{draft}\n\n## report\n{report}\n")
+
+        for b in batches:
+            finals, errors = [], []
+            for t in b.column(1).to_pylist():
+                try:
+                    finals.append(one(t or ""))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    finals.append(None)
+                    errors.append(str(e)[:100])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(finals, pa.string()), pa.array(errors, pa.string())], names=["key", "final", "error"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, final string, error string")
+
+
 def tagged(notes: DataFrame, client: Callable[[], Client] = StubClient) -> DataFrame:
     """(id, tags): the service's tags, cleaned; where it fails, the bold terms of the summary."""
     answers = call_service(notes.select("id", "summary_markdown"), "id", "summary_markdown", client).withColumnRenamed("key", "id")

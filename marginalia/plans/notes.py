@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import ASCII_LOWER, ASCII_UPPER
-from marginalia.operators import fts, search
+from marginalia.operators import fts, render, search
 from marginalia.operators.like import has
 from marginalia.operators.store import NoteStore, code_collisions, upsert, video_code
 from marginalia.schema import LIST_COLUMNS, NOTE_COLUMNS
@@ -146,49 +146,23 @@ def codes_unique(spark, sf_dir):
     return code_collisions(_notes(spark, sf_dir).select("id", video_code(F.col("id"), 12).alias("code")), "code")
 
 
-def _rendered() -> list:
-    when = F.coalesce(F.nullif("timestamp", F.lit("")), F.substring("created_at", 1, 19), F.lit(""))
-    return [
-        F.concat(
-            F.lit("### ["), F.col("id"), F.lit("] "), F.substring(F.coalesce("title", F.lit("")), 1, 60), F.lit("\n- **视频码**: `"), F.coalesce("video_code", F.lit("None")),
-            F.lit("`\n- **作者**: "), F.coalesce("author", F.lit("")), F.lit("\n- **标签**: "), F.substring(F.coalesce("tags", F.lit("")), 1, 120),
-            F.lit("\n- **时间**: "), when, F.lit("\n- **摘要**: "), F.substring(F.coalesce("snippet", F.lit("")), 1, 200), F.lit("\n"),
-        ).alias("line")
-    ]
-
-
 def render_search(spark, sf_dir):
-    """The strict search's results as Markdown lines."""
-    hits = search.search_precise(_notes(spark, sf_dir), "编译器,线程池", 50)
-    return hits.select("id", *_rendered())
+    """The strict search's results as Markdown."""
+    return search.search_precise(_notes(spark, sf_dir), "编译器,线程池", 50).select("id", render.search_entry().alias("line"))
 
 
 def render_list(spark, sf_dir):
     """One Markdown line for each of the newest notes."""
-    when = F.substring(F.coalesce("created_at", F.lit("")), 1, 10)
-    line = F.concat(
-        F.lit("- **["), F.col("id"), F.lit("]** `"), F.coalesce("video_code", F.lit("None")), F.lit("` "), F.coalesce("title", F.lit("")), F.lit(" — _"),
-        F.coalesce("author", F.lit("")), F.lit("_ ("), when, F.lit(")"),
-        F.when(F.coalesce("tags", F.lit("")) != "", F.concat(F.lit("\n  标签: "), F.substring("tags", 1, 80))).otherwise(""),
-    )
-    return _store(spark, sf_dir).list_recent(20, 40).select("id", line.alias("line"))
+    return _store(spark, sf_dir).list_recent(20, 40).select("id", render.list_entry().alias("line"))
 
 
 def render_note(spark, sf_dir):
     """Every note as a whole Markdown document."""
-    e = lambda c: F.coalesce(c, F.lit(""))
-    need = F.when(e("user_requirement") != "", F.concat(F.lit("- **用户要求**: "), F.col("user_requirement"), F.lit("\n"))).otherwise("")
-    text = F.concat(
-        F.lit("# "), e("title"), F.lit("\n\n- **作者**: "), e("author"), F.lit("\n- **来源**: "), e("source_url"), F.lit("\n- **标签**: "), e("tags"),
-        F.lit("\n- **创建时间**: "), F.coalesce(F.nullif("timestamp", F.lit("")), "created_at", F.lit("")), F.lit("\n"), need, F.lit("\n---\n\n"), e("summary_markdown"),
-    )
-    return _notes(spark, sf_dir).select("id", text.alias("text"))
+    return _notes(spark, sf_dir).select("id", render.note_document().alias("text"))
 
 
 def render_stats(spark, sf_dir):
-    latest = F.coalesce(F.nullif("latest_entry", F.lit("")), F.lit("无"))
-    text = F.concat(F.lit("## 知识库统计\n\n- **总笔记数**: "), F.col("total_entries"), F.lit("\n- **最新记录**: "), latest, F.lit("\n"))
-    return stats(spark, sf_dir).select(text.alias("text"))
+    return stats(spark, sf_dir).select(render.stats_text().alias("text"))
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from marginalia.config import DEDUP_TTL_SECONDS
 from marginalia.functions import envelope, web
 from marginalia.operators import enrich
 from marginalia.operators.messages import accepted, dedup_key
+from marginalia.sources.media import segments
 from marginalia.sources.tables import read_table
 
 KEY = "kWxPqTz3bQ5nJ8cYf0uLrEo1sVhGmDi7aZtX9yB2wKM"  # an invented key
@@ -74,9 +75,19 @@ def concat_segments(spark, sf_dir):
     return enrich.joined_segments(m, key, F.struct("ts", "msg_id"), F.col("content"))
 
 
+def audio_segments(spark, sf_dir):
+    """Pieces in which the recording of every note would be transcribed."""
+    return segments(read_table(spark, sf_dir, "knowledge"), "id", "duration_seconds")
+
+
+def enriched(spark, sf_dir):
+    """Every document through the three chained calls of the stub service."""
+    return enrich.finished(read_table(spark, sf_dir, "documents"), "doc_id", "text", enrich.StubClient).withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (msg_dedup, msg_dedup_ttl, text_messages, messages_by_type, signature, xml_fields, envelope_roundtrip, call_decisions, tagging, concat_segments)
+    for f in (msg_dedup, msg_dedup_ttl, text_messages, messages_by_type, signature, xml_fields, envelope_roundtrip, call_decisions, tagging, concat_segments, audio_segments, enriched)
 }
 
 
@@ -87,6 +98,8 @@ def _dedup(source: str, ttl: int) -> str:
 
 
 ORACLE = {
+    "audio_segments": """WITH k AS (SELECT id, duration_seconds AS s FROM knowledge WHERE duration_seconds > 0 AND NOT isnan(duration_seconds)),
+      g AS (SELECT id, s, unnest(range(CAST(ceil(s / 600) AS BIGINT))) AS seg FROM k) SELECT id, CAST(seg AS INT) AS seg, seg * 600.0 AS seg_start, least((seg + 1) * 600.0, s) AS seg_end FROM g""",
     "msg_dedup": _dedup("SELECT DISTINCT concat_ws('_', coalesce(msg_id, ''), coalesce(create_time, '')) AS dedup_key, ts FROM messages WHERE ts IS NOT NULL", DEDUP_TTL_SECONDS),
     "msg_dedup_ttl": _dedup("SELECT DISTINCT CAST(user_id AS VARCHAR) AS dedup_key, ts FROM events", LONG_TTL),
     "text_messages": "SELECT msg_id, from_user, content, ts FROM messages WHERE msg_type = 'text'",
