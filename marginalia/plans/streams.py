@@ -99,7 +99,7 @@ def _dedup(source: str, ttl: int) -> str:
 
 ORACLE = {
     "audio_segments": """WITH k AS (SELECT id, duration_seconds AS s FROM knowledge WHERE duration_seconds > 0 AND NOT isnan(duration_seconds)),
-      g AS (SELECT id, s, unnest(range(CAST(ceil(s / 600) AS BIGINT))) AS seg FROM k) SELECT id, CAST(seg AS INT) AS seg, seg * 600.0 AS seg_start, least((seg + 1) * 600.0, s) AS seg_end FROM g""",
+      g AS (SELECT id, s, unnest(range(CAST(ceil(s / 600) AS BIGINT))) AS seg FROM k) SELECT id, CAST(seg AS INT) AS seg, CAST(seg * 600 AS DOUBLE) AS seg_start, least(CAST((seg + 1) * 600 AS DOUBLE), s) AS seg_end FROM g""",
     "msg_dedup": _dedup("SELECT DISTINCT concat_ws('_', coalesce(msg_id, ''), coalesce(create_time, '')) AS dedup_key, ts FROM messages WHERE ts IS NOT NULL", DEDUP_TTL_SECONDS),
     "msg_dedup_ttl": _dedup("SELECT DISTINCT CAST(user_id AS VARCHAR) AS dedup_key, ts FROM events", LONG_TTL),
     "text_messages": "SELECT msg_id, from_user, content, ts FROM messages WHERE msg_type = 'text'",
