@@ -109,21 +109,32 @@ def sliding_max(h: np.ndarray, w: int) -> np.ndarray:
     return np.maximum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def portions(ids: list, texts: list, limit: int = 1_000_000):
-    """(ids, texts) without nulls, in portions of about ``limit`` characters."""
-    a, b, size = [], [], 0
-    for i, t in zip(ids, texts):
-        if t is None:
-            continue
-        a.append(i)
-        b.append(t)
-        size += len(t)
-        if size >= limit:
-            yield a, b
-            a, b, size = [], [], 0
-    if a:
-        yield a, b
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 256
 
 
 def columns(batch: pa.RecordBatch) -> list[list]:
     return [c.to_pylist() for c in batch.columns]
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS):
+    """The columns of a batch as lists, ``rows`` rows at a time, so that long texts don't pile up."""
+    for start in range(0, batch.num_rows, rows):
+        yield columns(batch.slice(start, rows))
+
+
+def portions(batch: pa.RecordBatch, limit: int = 1_000_000):
+    """(ids, texts) of a batch of two columns without null texts, in portions of about ``limit`` characters."""
+    a, b, size = [], [], 0
+    for ids, texts in slices(batch):
+        for i, t in zip(ids, texts):
+            if t is None:
+                continue
+            a.append(i)
+            b.append(t)
+            size += len(t)
+            if size >= limit:
+                yield a, b
+                a, b, size = [], [], 0
+    if a:
+        yield a, b

@@ -119,7 +119,7 @@ def _covered(parts: list[tuple[int, int]]) -> int:
 def _leaks(batches: Iterator[pa.RecordBatch], indexes: list[ItemIndex], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for ids, texts in C.portions(*C.columns(batch)):
+        for ids, texts in C.portions(batch):
             code, at = C.kept(texts, (1,))
             for index in indexes:
                 for p, item, place in index.hits(code):

@@ -64,7 +64,7 @@ def _hash_text(code: np.ndarray) -> int:
 
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for ids, texts in C.portions(*C.columns(batch)):
+        for ids, texts in C.portions(batch):
             code, at = C.kept(texts, (1, 2))
             yield ids, texts, code, at
 
@@ -230,7 +230,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int) -> I
 def _cross(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs between two blocks of a shard, or within one."""
     for batch in batches:
-        for own, ca, sa, cb, sb in zip(*C.columns(batch)):
+        for own, ca, sa, cb, sb in (r for x in C.slices(batch, 1) for r in zip(*x)):
             sa, sb = ([int.from_bytes(x, "little") for x in y] for y in (sa, sb))
             if own:
                 pairs = _within(ca, sa, radius)

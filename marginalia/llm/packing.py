@@ -84,8 +84,7 @@ def count_tokens(text: str, path: str) -> int:
 
 def _sizes(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, texts = C.columns(batch)
-        sizes = [count_tokens(t, path) if t else 0 for t in texts]
+        sizes = [count_tokens(t, path) if t else 0 for _, texts in C.slices(batch) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["key", "tokens"])
 
 

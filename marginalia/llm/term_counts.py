@@ -59,7 +59,7 @@ def state_root(spark: SparkSession) -> str:
 class TermCounts:
     """Persistent counts under ``root``, in ``buckets`` partitions by the hash of the term."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _file(self):
@@ -118,7 +118,7 @@ class TermCounts:
         else:
             touched = {str(b) for b in range(self.buckets)}
         merged = delta.withColumn("bucket", self._bucket(F.col("term")))
-        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
         fs, _ = self._file()
         there = {b for b in touched if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}/bucket={b}"))}
         version = {b: v for b, v in manifest["version"].items() if b not in touched} | {b: folder for b in there}

@@ -210,7 +210,7 @@ def score(weights: np.ndarray, s: str) -> float:
 def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for (text,) in zip(batch.column(0).to_pylist()):
+        for text in (t for (x,) in C.slices(batch) for t in x):
             for line in re.split(r"[\r\n]+", text or ""):
                 if not _HEADING.match(line) and not line.startswith(("|", "`", "$", ">", "[")):
                     parts = re.split(r"[。！？!?]|\.(?=\s|$)", _ITEM.sub("", line))
@@ -223,9 +223,8 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _endings(batches: Iterator[pa.RecordBatch], footers: frozenset[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sources, texts = C.columns(batch)
         rows = []
-        for i, source, t in zip(ids, sources, texts):
+        for i, source, t in (r for s in C.slices(batch) for r in zip(*s)):
             state, why, fragment, body = ending(t, footers, _line_key)
             size = len(body.encode("utf-8", "surrogatepass"))
             broken = bool(re.search(BROKEN + r"[.…]*$", body))
@@ -243,9 +242,8 @@ def _line_key(line: str) -> int:
 def _last_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(source, key of the last line) where the line is no block of its own."""
     for batch in batches:
-        sources, texts = C.columns(batch)
         out = []
-        for s, t in zip(sources, texts):
+        for s, t in (r for x in C.slices(batch) for r in zip(*x)):
             t = t.rstrip()
             line = t[max(t.rfind("\n"), t.rfind("\r")) + 1 :]
             own = line == t
