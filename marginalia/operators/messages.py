@@ -20,6 +20,7 @@ def accepted(df: DataFrame, key: Column, ts: Column, ttl_seconds: int) -> DataFr
     folded, in buckets of time that start at a gap of at least the TTL, so that even one hot
     key's history is folded piece by piece.
     """
+    kind = df.select(ts.alias("ts")).schema["ts"].dataType
     one = df.select(key.alias("dedup_key"), F.unix_micros(ts.cast("timestamp")).alias("t")).where("t IS NOT NULL")
     one = one.groupBy("dedup_key", "t").count().select("dedup_key", "t")
     ttl = ttl_seconds * 1_000_000
@@ -30,4 +31,4 @@ def accepted(df: DataFrame, key: Column, ts: Column, ttl_seconds: int) -> DataFr
     times = F.sort_array(F.collect_list("t"))
     folded = runs.groupBy("dedup_key", "run").agg(times.alias("ts"))
     kept = F.aggregate(F.slice(F.col("ts"), F.lit(2), F.size("ts")), F.slice(F.col("ts"), 1, 1), step)
-    return folded.select("dedup_key", F.explode(kept).alias("t")).select("dedup_key", F.timestamp_micros("t").alias("ts"))
+    return folded.select("dedup_key", F.explode(kept).alias("t")).select("dedup_key", F.timestamp_micros("t").cast(kind).alias("ts"))
