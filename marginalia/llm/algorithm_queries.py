@@ -113,8 +113,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every note with its group of notes that are mostly the same text, and the number of its class's links."""
-    return groups(*_near(spark, sf_dir))
+    """Every note with its group of notes that are mostly the same text, and the number of its class's links.
+
+    A note without five letters or digits is a group of its own.
+    """
+    every = read_table(spark, sf_dir, "knowledge").select("id")
+    known = every.join(groups(*_near(spark, sf_dir)), "id", "left")
+    return known.select("id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
 
 
 QUERIES = {
