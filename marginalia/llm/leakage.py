@@ -162,7 +162,7 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     ``stretch``: the column of ``items`` with the least length of a stretch.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     schema = "doc_id long, item_id long, shared_letters long, item_letters long"
     out = None
     for block in item_blocks(items, item_key, item_text, stretch):
@@ -170,4 +170,4 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
         sent = spark.sparkContext.broadcast(indexes)
         part = texts.mapInArrow(lambda b, s=sent: _leaks(b, s.value, share), schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out.distinct() if out is not None else spark.createDataFrame([], schema)

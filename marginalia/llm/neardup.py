@@ -270,12 +270,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def members(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, class): the class of exact copies of every text with at least one piece."""
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(_members, "id long, class long")
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL").mapInArrow(_members, "id long, class long")
 
 
 def candidates(df: DataFrame, key: str, text: str, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """Distinct (a, b), a < b: pairs of classes that are close in some shard's tree."""
-    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
+    texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     shards = texts.mapInArrow(_bands, "shard long, class long, sketch long, sketch2 long")
     found = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _search(b, radius, tree_size), _OUT)
     found = written(found)  # candidates are few against the shards, and blocks are read twice

@@ -48,22 +48,23 @@ def trust(source: Column, weights: dict[str, float], default: float = 0.0) -> Co
 
 def survivors(df: DataFrame, group: Column, key: Column, rules: list[FieldRule], min_size: int = 1, group_name: str = "group") -> DataFrame:
     """(group_name, one column for each rule) of the groups with at least ``min_size`` records."""
-    base = df.select(group.alias("__g"), key.alias("__key"), *[
-        F.struct(r.value.alias("v"), (F.lit(True) if r.when is None else F.coalesce(r.when, F.lit(False))).alias("ok"), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(r.prefer)], F.lit(0).alias("z")).alias("p")).alias(f"__r{i}")
-        for i, r in enumerate(rules)
-    ]).where(F.col("__g").isNotNull())
+    # a rule that every record satisfies also tells, by its first candidates, whether the group is large enough
+    free = next((i for i, r in enumerate(rules) if r.when is None), len(rules))
+    used = rules if free < len(rules) else [*rules, FieldRule("__size", key)]
+    columns = [group.alias("__g"), key.alias("__key")]
+    for i, r in enumerate(used):
+        ok = F.lit(True) if r.when is None else F.coalesce(r.when, F.lit(False))
+        columns += [r.value.alias(f"__v{i}"), ok.alias(f"__ok{i}"), *[p.alias(f"__p{i}_{j}") for j, p in enumerate(r.prefer)]]
+    base = df.select(columns).where(F.col("__g").isNotNull())
     ranked = None
-    for i, r in enumerate(rules):
-        prefer = [F.col(f"__r{i}.p.p{j}").desc_nulls_last() for j in range(len(r.prefer))]
-        # the first min_size candidates without a condition also tell whether the group is large enough
-        keep = max(1, min_size) if i == 0 else 1
-        w = Window.partitionBy("__g").orderBy(*prefer, F.col("__key").desc_nulls_last())
-        one = base if i == 0 and r.when is None else base.where(F.col(f"__r{i}.ok"))
-        one = one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
-        one = one.select("__g", F.lit(i).alias("rule"), "rn", *[(F.col(f"__r{i}.v") if j == i else F.lit(None).cast(base.schema[f"__r{j}"].dataType["v"].dataType)).alias(f"v{j}") for j in range(len(rules))])
-        ranked = one if ranked is None else ranked.unionByName(one)
-    best = ranked.groupBy("__g").agg(
-        F.max(F.when(F.col("rule") == 0, F.col("rn"))).alias("__n"),
-        *[F.max(F.when((F.col("rule") == i) & (F.col("rn") == 1), F.col(f"v{i}"))).alias(r.name) for i, r in enumerate(rules)],
-    )
-    return best.where(F.col("__n") >= min_size).select(F.col("__g").alias(group_name), *[r.name for r in rules])
+    for i, r in enumerate(used):
+        best_first = [F.col(f"__p{i}_{j}").desc_nulls_last() for j in range(len(r.prefer))] + [F.col("__key").desc_nulls_last()]
+        place = F.row_number().over(Window.partitionBy("__g").orderBy(best_first))
+        kept = base.where(F.col(f"__ok{i}")).withColumn("__n", place).where(F.col("__n") <= (max(1, min_size) if i == free else 1))
+        values = [F.col(f"__v{j}") if j == i else F.lit(None).cast(base.schema[f"__v{j}"].dataType).alias(f"__v{j}") for j in range(len(used))]
+        kept = kept.select("__g", F.lit(i).alias("__rule"), "__n", *values)
+        ranked = kept if ranked is None else ranked.unionByName(kept)
+    first = lambda i: F.max(F.when((F.col("__rule") == i) & (F.col("__n") == 1), F.col(f"__v{i}")))
+    size = F.max(F.when(F.col("__rule") == free, F.col("__n"))).alias("__size")
+    best = ranked.groupBy("__g").agg(size, *[first(i).alias(r.name) for i, r in enumerate(rules)])
+    return best.where(F.col("__size") >= min_size).select(F.col("__g").alias(group_name), *[r.name for r in rules])

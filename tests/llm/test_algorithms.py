@@ -119,6 +119,8 @@ def test_survivors_by_hand(spark):
         noted = [m for m in members if m[3]]
         want[g] = (max(members, key=lambda m: (low(m[2]), m[0]))[0], max(noted, key=lambda m: (len(m[3]), low(m[2]), m[0]))[3] if noted else None)
     assert got == want
+    noted = {r["group"]: r["noted"] for r in survivors(df, F.col("grp"), F.col("id"), rules[1:], min_size=2).collect()}
+    assert noted == {g: v[1] for g, v in want.items()}
     assert survivors(df.limit(0), F.col("grp"), F.col("id"), rules).count() == 0
 
 
