@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.bounded import bounded_side
 from marginalia.operators.like import has
 from marginalia.operators.shared import written
 from marginalia.schema import LIST_COLUMNS, NOTE_COLUMNS
@@ -54,10 +55,12 @@ class NoteStore:
 
     def delete(self, ids: DataFrame) -> DataFrame:
         """The notes without those whose id is in ``ids``."""
-        return self.notes.join(ids.select("id"), "id", "left_anti").select(NOTE_COLUMNS)
+        known, _ = bounded_side(ids.select("id").where("id IS NOT NULL").distinct(), MAX_BROADCAST_KEYS)
+        return self.notes.join(known, "id", "left_anti").select(NOTE_COLUMNS)
 
     def delete_by_code(self, codes: DataFrame) -> DataFrame:
-        return self.notes.join(codes.select("video_code"), "video_code", "left_anti").select(NOTE_COLUMNS)
+        known, _ = bounded_side(codes.select("video_code").where("video_code IS NOT NULL").distinct(), MAX_BROADCAST_KEYS)
+        return self.notes.join(known, "video_code", "left_anti").select(NOTE_COLUMNS)
 
     def duplicates(self, incoming: DataFrame) -> DataFrame:
         """``incoming`` (title, author, ...) with the code of the newest note of the same title and author, or null."""
@@ -69,6 +72,8 @@ class NoteStore:
         )
 
 
+#: Keys that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 500_000
 #: Columns that a later row of the same code overwrites; the others keep their first values.
 OVERWRITTEN = ["title", "author", "summary_markdown", "tags", "user_requirement", "created_at", "timestamp"]
 KEPT = ["video_id", "source_url", "duration_seconds"]
@@ -102,14 +107,16 @@ def upsert(notes: DataFrame, batch: DataFrame, now: str, stamp: str) -> DataFram
     coded = rows.where("video_code IS NOT NULL").groupBy("video_code").agg(
         F.max_by(F.struct(*OVERWRITTEN), order).alias("last"), F.min_by(F.struct(*KEPT), order).alias("first"), F.min("arrival").alias("arrival")
     )
-    merged = notes.join(coded.select("video_code", "last"), "video_code", "left").select(
-        "id", "video_code", *[F.col(c) for c in KEPT], *[F.when(F.col("last").isNotNull(), F.col(f"last.{c}")).otherwise(F.col(c)).alias(c) for c in OVERWRITTEN]
-    )
-    fresh = coded.join(notes.select("video_code"), "video_code", "left_anti").select("arrival", "video_code", "first.*", "last.*")
+    # the notes whose codes the batch doesn't have stay where they are: only codes are broadcast, no text is shuffled
+    codes, _ = bounded_side(coded.select("video_code"), MAX_BROADCAST_KEYS)
+    untouched = notes.join(codes, "video_code", "left_anti")
+    touched = notes.join(codes, "video_code", "left_semi")
+    merged = touched.join(coded.select("video_code", "last"), "video_code").select("id", "video_code", *KEPT, *[F.col(f"last.{c}").alias(c) for c in OVERWRITTEN])
+    fresh = coded.join(touched.select("video_code"), "video_code", "left_anti").select("arrival", "video_code", "first.*", "last.*")
     nameless = rows.where("video_code IS NULL").select("arrival", "video_code", *KEPT, *OVERWRITTEN)
     top = notes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     new = numbered(fresh.unionByName(nameless), ["arrival", "video_code", *TIES], top, "id")
-    return merged.select(NOTE_COLUMNS).unionByName(new.select(NOTE_COLUMNS))
+    return untouched.select(NOTE_COLUMNS).unionByName(merged.select(NOTE_COLUMNS)).unionByName(new.select(NOTE_COLUMNS))
 
 
 def video_code(key: Column, length: int = 5) -> Column:
