@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers: bounded-space online best fit.
 
 Texts are sized in tokens once and hashed to lanes. A lane packs its texts, in the order of
-a hash, into at most ``OPEN_BINS`` open containers. A bitset has a one for every free space
+a hash and the largest of each ``WINDOW`` first, into at most ``OPEN_BINS`` open containers. A bitset has a one for every free space
 that some open container has; the container with the least free space that still fits is
 found by shifting the bitset. If none fits and all places are taken, the fullest container
 closes and a new one opens. A text over the capacity is cut into full containers and its
@@ -18,6 +18,7 @@ each; containers are numbered without gaps within their kind.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from marginalia.llm import codes as C
 from marginalia.operators.shared import written
 
-OPEN_BINS = 256
+OPEN_BINS = 4096
+#: Texts of a lane that are looked at together, the largest first.
+WINDOW = 2000
 LANE_TEXTS = 50_000
 MERGE = 16
 SPARE = 0.02
@@ -159,18 +162,23 @@ def _lanes(groups: Iterator[tuple[int, Iterator[tuple]]], capacity: dict[str, in
             rows.append((kind, lane, number[kind], closed, free, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
 
         bins = {k: OpenBins(c, open_bins, lambda free, parts, k=k: row(k, True, free, parts)) for k, c in capacity.items()}
-        for kind, size, parts in items:
-            for k in [kind] if kind is not None else capacity:
-                c = capacity[k]
-                if size <= c:
-                    bins[k].add(size, list(parts))
-                    continue
-                key = parts[0][0]  # only a single text can exceed the capacity
-                full = size // c * c
-                for s in range(0, full, c):
-                    row(k, True, 0, [(key, s, s + c)])
-                if size > full:
-                    bins[k].add(size - full, [(key, full, size)])
+        for window in itertools.batched(items, WINDOW):
+            for k, c in capacity.items():
+                pieces = []
+                for kind, size, parts in window:
+                    if kind is not None and kind != k:
+                        continue
+                    if size <= c:
+                        pieces.append((size, parts))
+                        continue
+                    key = parts[0][0]  # only a single text can exceed the capacity
+                    full = size // c * c
+                    for s in range(0, full, c):
+                        row(k, True, 0, [(key, s, s + c)])
+                    if size > full:
+                        pieces.append((size - full, [(key, full, size)]))
+                for size, parts in sorted(pieces, key=lambda p: -p[0]):
+                    bins[k].add(size, parts)
             if len(rows) > 2000:
                 yield _send(rows)
                 rows.clear()
@@ -198,8 +206,6 @@ def _again(batches: Iterator[pa.RecordBatch], capacity: dict[str, int], open_bin
 
 
 def _by_lane(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, Iterator[tuple]]]:
-    import itertools
-
     for lane, group in itertools.groupby(rows, key=lambda r: r[0]):
         yield lane, (r[1] for r in group)
 
