@@ -127,4 +127,14 @@ QUERIES = {
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_records": p5_records,
     "p6_found": p6_found, "p6_groups": p6_groups,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p5_found": r"""WITH p AS (SELECT id, trim(timestamp) AS t, regexp_extract(video_id, '(?:^|[^0-9])([0-9]{19})(?:[^0-9]|$)', 1) AS v, lower(regexp_replace(coalesce(user_requirement, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS u,
+        regexp_extract(timestamp, '^\s*(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})日?[T ]*(\d{1,2}):(\d{1,2}):(\d{1,2})\s*(Z|[+-]\d{2}:\d{2})?\s*$', ['y','m','d','h','i','s','z']) AS r FROM knowledge),
+      q AS (SELECT id, v, u, CASE WHEN regexp_full_match(t, '\d{10}') THEN TRY_CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '\d{13}') THEN TRY_CAST(t AS BIGINT) * 1000
+        WHEN r.y != '' AND r.y != '0000' THEN epoch_us(make_timestamp(TRY_CAST(r.y AS BIGINT), TRY_CAST(r.m AS BIGINT), TRY_CAST(r.d AS BIGINT), TRY_CAST(r.h AS BIGINT), TRY_CAST(r.i AS BIGINT), TRY_CAST(r.s AS DOUBLE)))
+          - CASE WHEN r.z = 'Z' THEN 0 WHEN r.z = '' THEN 480 ELSE TRY_CAST(r.z[1:3] AS BIGINT) * 60 + TRY_CAST(r.z[1:1] || r.z[5:6] AS BIGINT) END * 60000000 END AS micros FROM p),
+      l AS (SELECT v, id, count(*) OVER (PARTITION BY v) AS n FROM q WHERE v != '' QUALIFY row_number() OVER (PARTITION BY v ORDER BY micros DESC NULLS LAST, id DESC) = 1),
+      n AS (SELECT v, id FROM q WHERE v != '' AND u NOT IN ('none', 'null', 'nil', 'nan', 'n/a', 'na', 'undefined', 'nothing', '无', '暂无', '没有', '空', '未填', '开始', 'start', 'ok', '好') AND regexp_matches(u, '[\p{L}\p{N}]')
+        QUALIFY row_number() OVER (PARTITION BY v ORDER BY micros DESC NULLS LAST, id DESC) = 1)
+      SELECT l.v AS video_id, l.id AS latest_id, coalesce(n.id, 0) AS requirement_id FROM l LEFT JOIN n ON l.v = n.v WHERE l.n >= 2""",
+}
