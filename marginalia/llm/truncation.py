@@ -21,6 +21,7 @@ below what was added; a source is the host of the row, null becomes the source "
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from marginalia.operators.shared import written
 STOPS = "。！？!?.‽｡"
 CLOSERS = "”’」』）)】]》〉\"'*_`~ \t"
 PAIRS = {"“": "”", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "[": "]", "《": "》"}
+_OPENER = {close: opening for opening, close in PAIRS.items()}
 BROKEN = "�"
 #: A line that at least this share of all notes, or of a source's notes, end with was added.
 FOOTER_SHARE, FOOTER_SOURCE_SHARE, FOOTER_COUNT = 0.005, 0.05, 4
@@ -49,48 +51,61 @@ _ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)、])\s+")
 _ADDED = re.compile(r"^\s*(?:#[^\s#]+(?:\s+#[^\s#]+)*|\[[^\]]*\]\([^)\s]*\)|\|.*\||\$\$.+\$\$|-{3,}|={3,}|\*{3,})\s*$")
 _ELLIPSIS = re.compile(r"(?:…+|\.{3,}|。{3,})\s*$")
 _ESCAPE = re.compile(r"(?:&#?[0-9A-Za-z]{0,8}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-Fa-f]?|<[A-Za-z/!][^<>]*)$")
+_FORMULA = re.compile(r"[^\s\d]")
+_UNLIKE_ITEM = re.compile(r"[。！？!?，,；;：:�…]|\.$|\.\s")
 _INLINE = re.compile(r"\*\*|`+|\$\$?|[“”「」『』（）()【】\[\]《》]")
 
 
 def open_inline(line: str) -> list[str]:
-    """What is still open at the end of a line: the automaton's stack."""
+    """What is still open at the end of a line: the automaton's stack.
+
+    A closing bracket or quote closes only the innermost one; closing markup also closes what
+    was left open inside it; nothing but its own end closes inline code.
+    """
     stack: list[str] = []
+    held = Counter()
+
+    def push(t: str) -> None:
+        stack.append(t)
+        held[t] += 1
+
+    def close(t: str) -> None:
+        while True:
+            top = stack.pop()
+            held[top] -= 1
+            if top == t:
+                return
+
     for m in _INLINE.finditer(line):
         t = m.group()
         if stack and stack[-1][0] == "`":
             if t == stack[-1]:
-                stack.pop()
+                close(t)
         elif t in PAIRS:
-            stack.append(t)
-        elif t in PAIRS.values():
-            if stack and PAIRS.get(stack[-1]) == t:
-                stack.pop()
-        elif t[0] == "$":
-            if t in stack:
-                del stack[stack.index(t) :]
-            elif t == "$$" or re.match(r"\S", line[m.end() :] or " ") and not re.match(r"\d", line[m.end() :]):
-                stack.append(t)
-        elif t in stack:
-            del stack[stack.index(t) :]
-        else:
-            stack.append(t)
+            push(t)
+        elif t in _OPENER:
+            if stack and stack[-1] == _OPENER[t]:
+                close(stack[-1])
+        elif held[t]:
+            close(t)
+        elif t != "$" or _FORMULA.match(line, m.end()):
+            push(t)
     return stack
 
 
-def _closing_list(lines: list[str]) -> int:
-    """Lines of a closing list with its heading: two short items or more, without stops; 0 if there is none."""
+def _closing_list(lines: list[str], end: int) -> int:
+    """Lines before ``end`` of a closing list with its heading: two short items or more, without stops; 0 if there is none."""
     n = 0
-    while n < len(lines) and _ITEM.match(lines[-1 - n]):
-        item = _ITEM.sub("", lines[-1 - n]).strip()
-        if not item or len(item) > 40 or len(item.split()) > 4 or re.search(r"[。！？!?，,；;：:�…]|\.$|\.\s", item):
+    while n < end and _ITEM.match(lines[end - 1 - n]):
+        item = _ITEM.sub("", lines[end - 1 - n]).strip()
+        if not item or len(item) > 40 or len(item.split()) > 4 or _UNLIKE_ITEM.search(item):
             return 0
         n += 1
     if n < 2:
         return 0
-    rest = n
-    while rest < len(lines) and not lines[-1 - rest].strip():
-        rest += 1
-    return rest + 1 if n and rest < len(lines) and _HEADING.match(lines[-1 - rest]) else 0
+    while n < end and not lines[end - 1 - n].strip():
+        n += 1
+    return n + 1 if n < end and _HEADING.match(lines[end - 1 - n]) else 0
 
 
 def ending(text: str, footers: frozenset[int] = frozenset(), key=None) -> tuple[str, str, str, str]:
@@ -109,11 +124,11 @@ def ending(text: str, footers: frozenset[int] = frozenset(), key=None) -> tuple[
         elif key is not None and key(line) in footers:
             end, added = end - 1, "footer"
         elif fences and fences[-1] == end - 1:
-            end, added = fences[-2], "block"
-            fences = fences[:-2]
+            fences.pop()
+            end, added = fences.pop(), "block"
         elif _ADDED.match(line):
             end, added = end - 1, "block"
-        elif n := _closing_list(lines[:end]):
+        elif n := _closing_list(lines, end):
             end, added = end - n, "list"
         else:
             break

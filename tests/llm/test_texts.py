@@ -284,3 +284,9 @@ def test_p7_query_is_valid(spark, data):
     kinds = {r[0]: r[1] for r in spark.read.parquet(f"{data}/containers.parquet").collect()}
     sized = {r["key"]: r["tokens"] for r in sizes(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text", tokenizer_path()).collect() if r["tokens"]}
     valid(QUERIES["p7_packed"](spark, data).withColumnRenamed("doc_id", "key").collect(), sized, kinds)
+
+
+def test_odd_texts_take_linear_time():
+    for text in ("$" * 200_000, "(" * 100_000 + "**" * 100_000, "```\n" * 50_001, "#a\n" * 100_000, "- x\n" * 100_000, "“" * 100_000, "<" * 100_000, "`" * 100_001, "a" * 300_000):
+        ending(text)
+        ending("Done.\n" + text)
