@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import codes as C
+from marginalia.operators.bounded import bounded_side
 from marginalia.operators.shared import written
 
 STOPS = "。！？!?.‽｡"
@@ -42,6 +43,7 @@ FOOTER_SHARE, FOOTER_SOURCE_SHARE, FOOTER_COUNT = 0.005, 0.05, 4
 #: Unended texts at one length, against the mean of the lengths around it, that make a limit.
 LIMIT_COUNT, LIMIT_TIMES, LIMIT_REACH, LIMIT_SHARE = 4, 8.0, 25, 0.004
 SAMPLE_SENTENCES = 40_000
+MAX_BROADCAST_SOURCES = 20_000
 
 ENDED, OPEN, UNENDED, EMPTY = "ended", "open", "unended", "empty"
 _BREAK = re.compile(r"\r\n|\r|\n")
@@ -239,8 +241,8 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _endings(batches: Iterator[pa.RecordBatch], footers: frozenset[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for i, source, t in (r for s in C.slices(batch) for r in zip(*s)):
-            state, why, fragment, body = ending(t, footers, _line_key)
+        for i, source, t, own in (r for s in C.slices(batch) for r in zip(*s)):
+            state, why, fragment, body = ending(t, footers.union(own) if own else footers, _line_key)
             size = len(body.encode("utf-8", "surrogatepass"))
             broken = bool(re.search(BROKEN + r"[.…]*$", body))
             rows.append((i, source, state, why, fragment, len(body), size - 3 * broken))
@@ -267,16 +269,19 @@ def _last_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], names=["source", "line"])
 
 
-def footer_lines(rows: DataFrame, max_lines: int = 100_000) -> frozenset[int]:
-    """Keys of the lines that too many notes end with for them to be the notes' own."""
+def footer_lines(rows: DataFrame) -> tuple[frozenset[int], DataFrame]:
+    """Keys of the lines that too many notes end with for them to be the notes' own.
+
+    Those of all rows, at most 1 / ``FOOTER_SHARE``; and (source, lines), at most
+    1 / ``FOOTER_SOURCE_SHARE`` a source.
+    """
     lines = rows.select("source", "t").mapInArrow(_last_lines, "source string, line long")
-    counts = lines.groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= 1)
+    counts = written(lines.groupBy("source", "line").agg(F.count("*").alias("n")))
     sizes = rows.groupBy("source").agg(F.count("*").alias("of"))
+    often = counts.where(F.col("n") >= FOOTER_COUNT).join(sizes, "source").where(F.col("n") >= FOOTER_SOURCE_SHARE * F.col("of"))
     total = rows.count()
-    often = counts.join(sizes, "source").where((F.col("n") >= FOOTER_COUNT) & (F.col("n") >= FOOTER_SOURCE_SHARE * F.col("of"))).select("line")
-    overall = counts.groupBy("line").agg(F.sum("n").alias("n")).where((F.col("n") >= FOOTER_COUNT) & (F.col("n") >= FOOTER_SHARE * total)).select("line")
-    # at most 1 / share lines overall and as many a source
-    return frozenset(r[0] for r in often.union(overall).distinct().limit(max_lines).collect())
+    overall = counts.groupBy("line").agg(F.sum("n").alias("n")).where((F.col("n") >= FOOTER_COUNT) & (F.col("n") >= FOOTER_SHARE * total))
+    return frozenset(r["line"] for r in overall.collect()), often.groupBy("source").agg(F.collect_list("line").alias("lines"))
 
 
 def limits(ends: DataFrame) -> DataFrame:
@@ -301,8 +306,10 @@ def truncated(df: DataFrame, key: str, text: str, source: str, sample: int = SAM
     """(id, source, cut, why) of every row with a text."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("t")).where("t IS NOT NULL")
-    footers = spark.sparkContext.broadcast(footer_lines(rows))
-    ends = written(rows.mapInArrow(lambda b: _endings(b, footers.value), "id long, source string, state string, why string, fragment string, chars long, bytes long"))
+    overall, by_source = footer_lines(rows)
+    by_source, _ = bounded_side(by_source, MAX_BROADCAST_SOURCES)
+    lined = rows.join(by_source, "source", "left").select("id", "source", "t", "lines")
+    ends = written(lined.mapInArrow(lambda b: _endings(b, overall), "id long, source string, state string, why string, fragment string, chars long, bytes long"))
     n = max(1, ends.count())
     # about ten sentences a text: a sample of texts by the hash of the id, then a bound on the sentences
     part = min(1.0, sample / 4 / n)
