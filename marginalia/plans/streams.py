@@ -118,3 +118,9 @@ ORACLE = {
       SELECT call_id, attempt, outcome, CASE WHEN k IS NULL THEN 'return' WHEN same AND n <= 3 THEN 'retry' WHEN chain IS NOT NULL OR k = 'lost' OR c IN (401, 403) OR c BETWEEN 300 AND 399 THEN 'failover' ELSE 'raise' END AS action,
         CAST(CASE WHEN same AND n <= 3 THEN CASE chain WHEN 'rate' THEN 5 ELSE 3 END * pow(2, n - 1) ELSE 0 END AS INT) AS wait FROM n""",
 }
+
+_BLANK = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
+ORACLE["tagging"] = rf"""WITH t AS (SELECT id, regexp_extract_all(coalesce(summary_markdown, ''), '\*\*([^*\n]+)\*\*', 1)[1:8] AS t FROM knowledge),
+      a AS (SELECT k.id, CASE WHEN len(t) > 0 THEN array_to_string(list_transform(t, lambda x: '# ' || x), '、') ELSE substr(sha1(coalesce(summary_markdown, '')), 1, 8) END AS a FROM knowledge k JOIN t ON k.id = t.id)
+      SELECT id, array_to_string(list_transform(list_filter(string_split(regexp_replace(a, '[、，]', ',', 'g'), ','), lambda x: regexp_replace(x, {_BLANK}) != ''),
+        lambda x: regexp_replace(regexp_replace(regexp_replace(x, {_BLANK}), '^#+', ''), {_BLANK})), ',') AS tags FROM a"""

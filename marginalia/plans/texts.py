@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,3 +192,17 @@ ORACLE = {
           WHEN r.y != '' AND r.y != '0000' THEN epoch_us(make_timestamp(TRY_CAST(r.y AS BIGINT), TRY_CAST(r.m AS BIGINT), TRY_CAST(r.d AS BIGINT), TRY_CAST(r.h AS BIGINT), TRY_CAST(r.i AS BIGINT), TRY_CAST(r.s AS DOUBLE)))
             - CASE WHEN r.z = 'Z' THEN 0 WHEN r.z = '' THEN 480 ELSE TRY_CAST(r.z[1:3] AS BIGINT) * 60 + TRY_CAST(r.z[1:1] || r.z[5:6] AS BIGINT) END * 60000000 END AS micros FROM p""",
 }
+
+
+def _requirement_sql() -> str:
+    """The cleaners one after the other; blanks of all scripts, as RE2 knows only ASCII ones."""
+    x = _strip("CASE WHEN coalesce(url, '') = '' THEN content ELSE replace(content, url, ' ') END")
+    for rx in web.CLEANERS:
+        rx = rx.replace(r"[^\s", r"[^\s\p{Z}").replace("'", "''")
+        rx = re.sub(r"(?<!\^)\\s(?!\\p)", lambda m: r"[\s\p{Z}]", rx).replace(r"\d", r"\p{Nd}")
+        x = f"regexp_replace({x}, '{rx}', ' ', 'g')"
+    x = _strip("regexp_replace(" + x + r", '[\s\p{Z}]+', ' ', 'g')")
+    return f"WITH u AS (SELECT msg_id, ts, content, {_URL} AS url FROM (SELECT *, {_SHORT} AS s FROM messages WHERE content IS NOT NULL)) SELECT msg_id, ts, {x} AS requirement FROM u"
+
+
+ORACLE["share_requirement"] = _requirement_sql()

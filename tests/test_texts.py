@@ -87,6 +87,11 @@ def test_urls(spark):
     assert apply(spark, web.video_id, *urls) == ["123", "7037730578408563495", "", None, "plain"]
 
 
+def test_merged_requirement(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", " OK "), ("a", ""), ("a", None), ("", "开始")], "i string, e string")
+    assert [r[0] for r in df.select(web.merged_requirement(F.col("i"), F.col("e"))).collect()] == ["b", "a", "a", "a", ""]
+
+
 def test_pages(spark):
     page = '<script>window._ROUTER_DATA = {"loaderData": {"%s/page": {"videoInfoRes": {"item_list": [%s]}}}}</script>'
     item = '{"desc": "d", "author": {"nickname": "n"}, "video": {"play_addr": {"url_list": ["//h/playwm/1"]}}}'
