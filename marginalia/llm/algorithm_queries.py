@@ -128,6 +128,10 @@ QUERIES = {
     "p6_found": p6_found, "p6_groups": p6_groups,
 }
 ORACLE: dict[str, str] = {
+    "p6_found": r"""WITH s AS (SELECT id, lower(regexp_replace(summary_markdown, '[^\p{L}\p{N}]', '', 'g')) AS s FROM knowledge WHERE summary_markdown IS NOT NULL),
+      w AS (SELECT id, s, unnest(range(1, length(s) - 3)) AS p FROM s), g AS (SELECT DISTINCT id, substr(s, p, 5) AS g FROM w), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+      c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+      SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 5 >= 3 * (x.n + y.n - c)""",
     "p5_found": r"""WITH p AS (SELECT id, trim(timestamp) AS t, regexp_extract(video_id, '(?:^|[^0-9])([0-9]{19})(?:[^0-9]|$)', 1) AS v, lower(regexp_replace(coalesce(user_requirement, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS u,
         regexp_extract(timestamp, '^\s*(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})日?[T ]*(\d{1,2}):(\d{1,2}):(\d{1,2})\s*(Z|[+-]\d{2}:\d{2})?\s*$', ['y','m','d','h','i','s','z']) AS r FROM knowledge),
       q AS (SELECT id, v, u, CASE WHEN regexp_full_match(t, '\d{10}') THEN TRY_CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '\d{13}') THEN TRY_CAST(t AS BIGINT) * 1000

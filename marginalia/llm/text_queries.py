@@ -63,4 +63,11 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {"p3_found": p3_found, "p3_sources": p3_sources, "p7_packed": p7_packed, "p9_found": p9_found, "p9_subjects": p9_subjects, "p9_mix": p9_mix, "p8_found": p8_found, "p8_leaks": p8_leaks}
-ORACLE: dict[str, str] = {}
+_LEAKS = r"""WITH i AS (SELECT item_id, CASE WHEN lower(lang) LIKE 'zh%' THEN 24 ELSE 60 END AS n, lower(regexp_replace(text, '[^\p{L}]', '', 'g')) AS q FROM eval_items),
+  d AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}]', '', 'g')) AS q FROM documents WHERE text IS NOT NULL),
+  iw AS (SELECT item_id, n, length(q) AS letters, unnest(range(1, length(q) - n + 2)) AS p, q FROM i), iv AS (SELECT item_id, n, letters, p, substr(q, p, n) AS w FROM iw),
+  dw AS (SELECT doc_id, n, q, unnest(range(1, length(q) - n + 2)) AS p FROM d, (VALUES (24), (60)) AS v(n)), dv AS (SELECT DISTINCT doc_id, substr(q, p, n) AS w FROM dw),
+  h AS (SELECT DISTINCT doc_id, item_id, letters, n, p FROM iv JOIN dv USING (w)), c AS (SELECT doc_id, item_id, letters, unnest(range(p, p + n)) AS spot FROM h),
+  s AS (SELECT doc_id, item_id, letters, count(DISTINCT spot) AS n FROM c GROUP BY ALL)
+  SELECT doc_id, item_id, n AS shared_letters, letters AS item_letters FROM s WHERE n * 5 >= 2 * letters"""
+ORACLE: dict[str, str] = {"p8_leaks": _LEAKS, "p8_found": f"SELECT doc_id, item_id FROM ({_LEAKS})"}
