@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import codes as C
 from marginalia.operators.bounded import bounded_side
-from marginalia.operators.shared import written
+from marginalia.operators.shared import stored, written
 
 PIECE = 5
 BANDS, ROWS = 64, 5
@@ -339,24 +339,48 @@ def as_pairs(membership: DataFrame, links: DataFrame) -> DataFrame:
     return between.unionByName(same).unionByName(large)
 
 
+def _roots(parent: DataFrame, max_rounds: int) -> DataFrame:
+    """(rep, root) of a forest of (rep, root), root <= rep, in which every root is a rep: parents by pointer jumping."""
+    for _ in range(max_rounds):
+        up = parent.select(F.col("rep").alias("at"), F.col("root").alias("further"))
+        jumped = parent.join(up, F.col("root") == F.col("at")).select("rep", F.col("root").alias("old"), F.col("further").alias("root"))
+        jumped = stored(jumped, "parents")
+        parent = jumped.select("rep", "root")
+        if not jumped.where("old != root").limit(1).count():
+            return parent
+    raise RuntimeError(f"parents have not settled after {max_rounds} rounds")
+
+
 def groups(membership: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, group_id, links): the connected group of every text, named by its smallest id, and the links of its class.
 
-    Labels spread along the links and are shortened by pointer jumping; each round is written
-    to the shared folder, and only the number of changed labels comes to the driver.
+    Each round hooks every node to its smallest neighbour if that is smaller, follows the
+    parents to the roots by pointer jumping and keeps only the links between different roots,
+    until none is left. Nodes that stay have only hooked neighbours, and those that no
+    neighbour chose have a smaller root next to them in the next round: two rounds leave at
+    most one root for each hooked node and so halve the roots that have links. n
+    linked texts need at most 2 * log2(n) rounds; a bound that is hit raises. Each round is
+    written to the shared folder, and only whether links are left comes to the driver.
     """
     edges = links.select("rep_a", "rep_b")
-    both = written(edges.unionByName(edges.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))))
-    label = written(both.select(F.col("rep_a").alias("rep")).distinct().withColumn("label", F.col("rep")))
+    both = stored(edges.unionByName(edges.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b"))), "links")
+    label, left = None, both
     for _ in range(max_rounds):
-        offered = both.join(label.select(F.col("rep").alias("rep_b"), "label"), "rep_b").groupBy(F.col("rep_a").alias("rep")).agg(F.min("label").alias("new"))
-        spread = label.join(offered, "rep", "left").select("rep", F.col("label").alias("old"), F.least("label", F.coalesce("new", "label")).alias("label"))
-        jump = spread.select(F.col("rep").alias("at"), F.col("label").alias("further"))
-        jumped = spread.join(jump, F.col("label") == F.col("at"), "left")
-        spread = written(jumped.select("rep", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        label = spread.select("rep", "label")
-        if not spread.where("old != label").limit(1).count():
+        hooked = left.groupBy(F.col("rep_a").alias("rep")).agg(F.min("rep_b").alias("least")).select("rep", F.least("rep", "least").alias("root"))
+        root = _roots(stored(hooked, "parents"), max_rounds)
+        further = root.select(F.col("rep").alias("at"), F.col("root").alias("further"))
+        if label is None:
+            label = root
+        else:
+            label = label.join(further, F.col("root") == F.col("at"), "left").select("rep", F.coalesce("further", "root").alias("root"))
+            label = stored(label, "labels")
+        a, b = (root.select(F.col("rep").alias(f"rep_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+        between = left.join(a, "rep_a").join(b, "rep_b").where("root_a != root_b")
+        left = stored(between.select(F.col("root_a").alias("rep_a"), F.col("root_b").alias("rep_b")).distinct(), "links")
+        if not left.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"groups have not settled after {max_rounds} rounds")
     degree = both.groupBy(F.col("rep_a").alias("rep")).agg(F.count("*").alias("links"))
     known = label.join(degree, "rep")
-    return membership.join(known, "rep", "left").select("id", F.coalesce("label", "rep").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return membership.join(known, "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))

@@ -36,3 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, without its lineage; it survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet files in the shared folder, for loops.
+
+    A checkpoint keeps the size that Spark estimated for its plan; joined again each round the
+    estimates multiply, to numbers of so many digits that planning never ends. Files have their
+    real size.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -221,6 +221,25 @@ def test_groups_by_hand(spark):
     assert got == {i: root(i) for i in got} and len(set(got.values())) < len(got)
 
 
+def chains(spark):
+    """(membership, links) of two chains of notes: 0, n-1, n-2, ..., 1, and random ids."""
+    shuffled = random.Random(9).sample(range(1000, 1300), 300)
+    steps = [p for c in ([0, *range(99, 0, -1)], shuffled) for p in itertools.pairwise(c)]
+    ids = spark.range(100).union(spark.range(1000, 1300)).select("id", F.col("id").alias("class"), F.col("id").alias("rep"), F.lit(1).cast("long").alias("n"))
+    return ids, spark.createDataFrame([(min(p), max(p), 0.7) for p in steps], "rep_a long, rep_b long, similarity double")
+
+
+def test_long_chains_are_one_group(spark):
+    got = {r["id"]: (r["group_id"], r["links"]) for r in groups(*chains(spark)).collect()}
+    assert {i: g for i, (g, _) in got.items()} == {i: 0 if i < 100 else 1000 for i in [*range(100), *range(1000, 1300)]}
+    assert sum(n for _, n in got.values()) == 2 * (99 + 299)
+
+
+def test_unsettled_groups_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        groups(*chains(spark), max_rounds=1)
+
+
 def test_many_copies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "EXPANDED", 5)
     rows = [(i, "the same text over and over again") for i in range(50)] + [(100, "another text of its own, not alike"), (101, "another text of its own, not alike")]
