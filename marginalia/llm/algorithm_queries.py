@@ -12,6 +12,7 @@ from marginalia.llm.cooccurrence import cooccurrence
 from marginalia.llm.neardup import as_pairs, groups, near_duplicates
 from marginalia.llm.survivors import FieldRule, completeness, survivors
 from marginalia.llm.term_counts import TermCounts, changes_between, mark, state_root
+from marginalia.plans.notes import upsert_notes
 from marginalia.plans.packed import note_tags
 from marginalia.sources.tables import read_table, source_host
 from marginalia.operators.packed_values import split_packed
@@ -44,15 +45,16 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_after_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts after the batch of note_upserts changed the tags of the notes with its codes (last arrival wins)."""
+    """Counts after the batch of note_upserts: those of the table that ``upsert_notes`` gives.
+
+    Notes with a code of the batch change, rows with a new code and rows without a code, each
+    on its own, are added. A source whose dialect the batch changes has its other notes split anew.
+    """
     state = _counted(spark, sf_dir)
-    old = note_tags(spark, sf_dir, "video_code").where("video_code IS NOT NULL").select("video_code", _lower_tags(F.col("tag_list")).alias("terms"))
-    raw = read_table(spark, sf_dir, "note_upserts").where("video_code IS NOT NULL")
-    last = raw.groupBy("video_code").agg(F.max_by(F.struct("tags", "source_url"), F.struct("arrival", F.coalesce("tags", F.lit("")))).alias("u"))
-    last = last.select("video_code", F.col("u.tags").alias("tags"), source_host(F.col("u.source_url")).alias("host"))
-    new = split_packed(last, "tags", "host", "tag_list").select("video_code", _lower_tags(F.col("tag_list")).alias("terms"))
-    kept = old.join(new, "video_code", "left_anti").unionByName(new)
-    state.apply(changes_between(old, kept, "video_code", "terms"), "note-upserts")
+    old = note_tags(spark, sf_dir, "id").select("id", _lower_tags(F.col("tag_list")).alias("terms"))
+    after = upsert_notes(spark, sf_dir).select("id", "tags", source_host(F.col("source_url")).alias("host"))
+    new = split_packed(after, "tags", "host", "tag_list").select("id", _lower_tags(F.col("tag_list")).alias("terms"))
+    state.apply(changes_between(old, new, "id", "terms"), "note-upserts")
     return state.counts().select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("notes"))
 
 

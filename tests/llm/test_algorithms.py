@@ -13,6 +13,7 @@ from marginalia.llm.cooccurrence import cooccurrence
 from marginalia.llm.neardup import BKTree, as_pairs, groups, near_duplicates
 from marginalia.llm.survivors import FieldRule, completeness, survivors, trust
 from marginalia.llm.term_counts import TermCounts, changes_between, mark, state_root, term_deltas
+from marginalia.plans.notes import upsert_notes
 
 
 def records(seed, n=400):
@@ -70,6 +71,13 @@ def test_term_cases(spark):
     assert {r["term"]: r["mark"] for r in mark(marks, 100).collect()} == {"a": "rare", "b": None, "c": None, "d": "common"}
 
 
+def test_counts_after_upserts_are_those_of_the_upserted_notes(spark, data, tmp_path):
+    assert spark.read.parquet(f"{data}/note_upserts.parquet").where("video_code IS NULL AND tags != ''").count()
+    upsert_notes(spark, data).write.parquet(f"{tmp_path}/knowledge.parquet")
+    want = {(r["tag"], r["occurrences"], r["notes"]) for r in QUERIES["p1_counts"](spark, str(tmp_path)).collect()}
+    assert {tuple(r) for r in QUERIES["p1_after_upserts"](spark, data).collect()} == want
+
+
 # ---------------------------------------------------------------- p2
 
 
