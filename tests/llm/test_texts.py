@@ -256,6 +256,17 @@ def test_subjects_of_planted_documents(spark):
     assert subjects.subjects_of(df.limit(0), "doc_id", "text", h, sorted(WORDS)).count() == 0
 
 
+@pytest.mark.parametrize("sample", [16, 24, 3000])
+def test_mixture_of_the_fit_is_the_same_at_every_size(spark, monkeypatch, sample):
+    df = spark.createDataFrame([(i, f"word{i % 5} other{i % 7}. again word{i % 5}.") for i in range(100)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "red") for i in range(24)], "doc_id long, subject string")
+    seen = []
+    monkeypatch.setattr(subjects, "factor", lambda doc, slot, n, seeds: seen.append(seeds.any(1)))
+    subjects.fit(df, "doc_id", "text", lab, "subject", ["red"], sample)
+    labelled = min(sample, 24)
+    assert (seen[0].sum(), (~seen[0]).sum()) == (labelled, int(1.375 * labelled))
+
+
 def test_without_labels_nothing_has_a_subject(spark):
     df = spark.createDataFrame([(1, "red rose.")], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, subject string")
