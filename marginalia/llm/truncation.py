@@ -264,7 +264,7 @@ def _last_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = t.rstrip()
             line = t[max(t.rfind("\n"), t.rfind("\r")) + 1 :]
             own = line == t
-            if line and not own and len(line) <= 80 and not _ITEM.match(line) and not _ADDED.match(line) and not _HEADING.match(line) and not line.startswith("```"):
+            if line and not own and not _ITEM.match(line) and not _ADDED.match(line) and not _HEADING.match(line) and not line.startswith("```"):
                 out.append((s, _line_key(line)))
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], names=["source", "line"])
 

@@ -96,6 +96,14 @@ def test_planted_cuts(spark):
     assert truncated(df.limit(0), "id", "t", "host").count() == 0
 
 
+def test_long_lines_that_a_source_adds(spark):
+    line = "This copy was made for a private archive and may leave out pictures, tables and notes of the original page."
+    df = spark.createDataFrame([(i, "s", f"Note {i} is about a matter of its own.\n{line}") for i in range(300)], "id long, source string, t string")
+    overall, by_source = truncation.footer_lines(df)
+    assert len(line) > 80 and overall == {truncation._line_key(line)}
+    assert [tuple(r) for r in by_source.collect()] == [("s", [truncation._line_key(line)])]
+
+
 # ---------------------------------------------------------------- p7
 
 
