@@ -114,6 +114,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_pairs(*_near(spark, sf_dir))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note with letters or digits enough: its class of equal texts, named by its smallest id, and the class's size."""
+    return _near(spark, sf_dir)[0].select("id", F.col("rep").alias("class_id"), F.col("n").alias("class_size"))
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of different classes that are mostly the same text; with ``p6_classes`` every pair of notes."""
+    return _near(spark, sf_dir)[1].select(F.col("rep_a").alias("class_a"), F.col("rep_b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every note with its group of notes that are mostly the same text, and the number of its class's links.
 
@@ -127,13 +137,22 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_upserts": p1_after_upserts,
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_records": p5_records,
-    "p6_found": p6_found, "p6_groups": p6_groups,
+    "p6_found": p6_found, "p6_classes": p6_classes, "p6_links": p6_links, "p6_groups": p6_groups,
 }
-ORACLE: dict[str, str] = {
-    "p6_found": r"""WITH s AS (SELECT id, lower(regexp_replace(summary_markdown, '[^\p{L}\p{N}]', '', 'g')) AS s FROM knowledge WHERE summary_markdown IS NOT NULL),
+_NEAR_PAIRS = r"""WITH RECURSIVE s AS (SELECT id, lower(regexp_replace(summary_markdown, '[^\p{L}\p{N}]', '', 'g')) AS s FROM knowledge WHERE summary_markdown IS NOT NULL),
+      m AS (SELECT id, min(id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS class_size FROM s WHERE length(s) >= 5),
       w AS (SELECT id, s, unnest(range(1, length(s) - 3)) AS p FROM s), g AS (SELECT DISTINCT id, substr(s, p, 5) AS g FROM w), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-      c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
-      SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 5 >= 3 * (x.n + y.n - c)""",
+      c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+      e AS (SELECT id_a, id_b, c / (x.n + y.n - c) AS similarity FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 5 >= 3 * (x.n + y.n - c)),
+      l AS (SELECT e.id_a, e.id_b FROM e JOIN m a ON a.id = e.id_a JOIN m b ON b.id = e.id_b WHERE a.class_id != b.class_id AND a.class_id = a.id AND b.class_id = b.id)"""
+ORACLE: dict[str, str] = {
+    "p6_found": f"{_NEAR_PAIRS} SELECT id_a, id_b FROM e",
+    "p6_classes": f"{_NEAR_PAIRS} SELECT id, class_id, class_size FROM m",
+    "p6_links": f"{_NEAR_PAIRS} SELECT id_a AS class_a, id_b AS class_b, round(similarity, 6) AS similarity FROM e SEMI JOIN l ON e.id_a = l.id_a AND e.id_b = l.id_b",
+    "p6_groups": f"""{_NEAR_PAIRS}, b AS (SELECT id_a AS x, id_b AS y FROM e UNION ALL SELECT id_b, id_a FROM e),
+      r AS (SELECT id, id AS g FROM knowledge UNION SELECT b.y, r.g FROM r JOIN b ON b.x = r.id), o AS (SELECT id, min(g) AS group_id FROM r GROUP BY id),
+      d AS (SELECT x AS id, count(*) AS links FROM (SELECT id_a AS x FROM l UNION ALL SELECT id_b FROM l) GROUP BY x)
+      SELECT o.id, o.group_id, coalesce(d.links, 0) AS links FROM o LEFT JOIN m ON m.id = o.id LEFT JOIN d ON d.id = m.class_id""",
     "p5_found": r"""WITH p AS (SELECT id, trim(timestamp) AS t, regexp_extract(video_id, '(?:^|[^0-9])([0-9]{19})(?:[^0-9]|$)', 1) AS v, lower(regexp_replace(coalesce(user_requirement, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS u,
         regexp_extract(timestamp, '^\s*(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})日?[T ]*(\d{1,2}):(\d{1,2}):(\d{1,2})\s*(Z|[+-]\d{2}:\d{2})?\s*$', ['y','m','d','h','i','s','z']) AS r FROM knowledge),
       q AS (SELECT id, v, u, CASE WHEN regexp_full_match(t, '\d{10}') THEN TRY_CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '\d{13}') THEN TRY_CAST(t AS BIGINT) * 1000

@@ -1,26 +1,36 @@
 """Near-duplicate texts: BK-trees over Hamming distance, one tree for each shard.
 
 Every text is reduced to its letters and digits in lower case and cut into distinct
-five-character pieces. Shards are the bands of a MinHash signature: texts that agree in
-all rows of a band share a shard, and two texts of Jaccard similarity J miss each other in
-all bands with probability (1 - J**ROWS) ** BANDS. Inside a shard the texts' 128-bit
-sketches (one bit of a MinHash value each, so the expected distance is 64 * (1 - J)) form a
-BK-tree: the children of a node are keyed by their integer Hamming distance to it, and a
-search follows only edges within the radius of its own distance. Candidates are then
-compared exactly.
-
-One tree over everything, broadcast, would not do: at a similarity of 0.6 the radius is
-close to the distance of unrelated texts, so that a search follows nearly all edges. The
-shards make the trees small; the shard a text goes to is found by a shuffle, so nothing
-that grows with the data is broadcast.
-
-Exact copies are one class with the smallest id as its representative, dropped within each
-task before the shuffle, so a text that fills a third of the table costs one row a task.
-A shard over ``TREE_SIZE`` texts is cut into blocks and every pair of blocks is searched in
-a task of its own, so no shard is held in one task and none is capped.
+five-character pieces, and MinHash values are taken over the pieces. Two texts of Jaccard
+similarity J agree in one value with probability J.
+
+Shards are the bands of the signature: texts that agree in the ``ROWS`` values of a band share
+a shard. Inside a shard a text has a sketch of ``BITS`` bits, one of each of as many values of
+other bands, whose expected distance is ``BITS`` * (1 - J) / 2. The sketches form a BK-tree: the
+children of a node are keyed by their integer Hamming distance to it, and a search follows only
+edges within ``RADIUS`` of its own distance. The sketch is short and the radius small, so a search
+leaves out most of the tree (``Forest.visits`` counts), which it can't at the radius that a long
+sketch would need. A pair of similarity J is found by a band with probability
+J**ROWS * P(Binomial(BITS, (1 - J) / 2) <= RADIUS), and misses all ``BANDS`` of them at J = 0.6 with
+about 0.5 %. Candidates are first compared by signatures of four bits a value, and those that
+remain by all their pieces.
+
+One tree over everything, broadcast, would grow with the data; a shard's tree is built where the
+shard was sent, and only bounded lists of ids are broadcast.
+
+No shard is held whole. One with over ``TREE_SIZE`` texts is split by a second band: of three
+segments of the sketch two sketches within the radius of 2 agree in at least one, so every text
+goes to the three sub-shards of its segments and no pair is lost. Tasks notice hot shards
+while they hash: beyond ``HOT`` texts of one shard a task sends the others to the sub-shards at once,
+and a mark that makes the rest follow. So a shard that holds a third of all texts costs each task
+``HOT`` rows at the shard's own key.
+
+Texts of the same letters and digits are one class with the smallest id as its representative,
+dropped within each task before the shuffle, so a text that fills a third of the table costs
+one row a task.
 
 Defined cases: null texts and texts of fewer than five letters and digits are in no pair;
-an empty table gives no rows.
+an empty table gives no rows; repeated rows of one id count as one text.
 """
 
 from __future__ import annotations
@@ -37,18 +47,27 @@ from marginalia.operators.bounded import bounded_side
 from marginalia.operators.shared import stored, written
 
 PIECE = 5
-BANDS, ROWS = 64, 5
-RADIUS = 42
-#: Texts of a shard that one BK-tree takes.
+BANDS, ROWS = 68, 3
+BITS, RADIUS = 16, 2
+#: (shift, width) of the sketch's segments, one more than the radius.
+SEGMENTS = ((0, 5), (5, 5), (10, 6))
+#: Texts of a shard that are searched without a second band.
 TREE_SIZE = 2000
-#: Classes of exact copies up to this size are written out as pairs; the copies of a larger
-#: class are paired with its representative only.
+#: Texts of one shard that a task sends to the shard itself.
+HOT = 256
+#: Standard deviations by which a signature may fall short of the threshold.
+SLACK = 3.5
+#: Byte-identical copies up to this number are written out as pairs; of more, every copy is
+#: paired with the first, which alone stands for them.
 EXPANDED = 256
 MAX_BROADCAST_IDS = 50_000
 SEEN = 1_000_000
 
-_A = (C.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
-_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+HASHES = BANDS * ROWS
+_A = (C.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
+#: Values whose bits make the sketch of each band, none of the band's own.
+_OF_SKETCH = (np.arange(BANDS)[:, None] * ROWS + ROWS + 11 * np.arange(BITS)) % HASHES
+MARK, OWN, SPLIT, SIGNATURE = 0, 1, 2, 3
 
 
 def pieces_of(text: str) -> np.ndarray:
@@ -70,12 +89,14 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, _, code, at in _normal(batches):
-        got = [(i, _hash_text(code[a:b])) for i, a, b in zip(ids, at, at[1:]) if b - a >= PIECE]
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["id", "class"])
+    import xxhash
+
+    for ids, texts, code, at in _normal(batches):
+        got = [(i, _hash_text(code[a:b]), xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)) for i, t, a, b in zip(ids, texts, at, at[1:]) if b - a >= PIECE]
+        yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], names=["id", "class", "copy"])
 
 
-def _minima(h: np.ndarray) -> np.ndarray:
+def minima(h: np.ndarray) -> np.ndarray:
     """The minima of all hash functions over the pieces of one text, whatever its length."""
     step = 4096
     out = (_A[:, None] * h[None, :step]).min(axis=1)
@@ -84,8 +105,43 @@ def _minima(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shards_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shards, sketches, signatures) of rows of MinHash values: two numbers for each band, and bytes."""
+    bands = values.astype(np.uint64).reshape(len(values), BANDS, ROWS)
+    with np.errstate(over="ignore"):
+        shard = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(7), bands.shape[:2])
+        for r in range(ROWS):
+            shard = C.mix(shard * C._BASE + bands[:, :, r])
+        mixed = C.mix(values.astype(np.uint64))
+    bit = (mixed & np.uint64(1)).astype(np.int64)
+    sketch = (bit[:, _OF_SKETCH] << np.arange(BITS)).sum(axis=2)
+    nibble = ((mixed >> np.uint64(8)) & np.uint64(15)).astype(np.uint8)
+    return shard.view(np.int64), sketch, nibble[:, ::2] << 4 | nibble[:, 1::2]
+
+
+def sub_shards(shard: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The sub-shards of each text, one for each segment of its sketch."""
+    with np.errstate(over="ignore"):
+        own = np.stack([(sketch >> at) & ((1 << width) - 1) | i << BITS for i, (at, width) in enumerate(SEGMENTS)], axis=1).astype(np.uint64)
+        return C.mix(shard.view(np.uint64)[:, None] * C._BASE + own + np.uint64(1)).view(np.int64)
+
+
+_SHARDS = "key long, tag int, class long, signature binary"
+_SHARDS_ARROW = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("class", pa.int64()), ("signature", pa.binary())])
+
+
+def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], signatures: list[bytes], keys: np.ndarray) -> pa.RecordBatch:
+    """Rows of (key, tag, class) without a signature, and a row of each signature at its class."""
+    none, n = sum(len(p[0]) for p in parts), len(signatures)
+    columns = [np.concatenate([p[i] for p in parts] + [extra]) for i, extra in enumerate((keys, np.full(n, SIGNATURE << BITS), keys))]
+    signature = pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array(signatures, pa.binary())])
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), signature], schema=_SHARDS_ARROW)
+
+
+def _bands(batches: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+    marked: set[int] = set()
+    counts = np.zeros(1 << 20, np.uint32)  # texts of this task by the low bits of their shards
     for _, _, code, at in _normal(batches):
         grams = (C.kgrams(code, PIECE) >> np.uint64(32)).astype(np.uint32)
         classes, rows = [], []
@@ -99,149 +155,207 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             seen.add(k)
             classes.append(k)
-            rows.append(_minima(grams[a : b - PIECE + 1]))
+            rows.append(minima(grams[a : b - PIECE + 1]))
         if not classes:
             continue
-        minima = np.array(rows, dtype=np.uint64).reshape(len(rows), BANDS, ROWS)
-        with np.errstate(over="ignore"):
-            acc = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(7), minima.shape[:2])
-            for r in range(ROWS):
-                acc = C.mix(acc * C._BASE + minima[:, :, r])
-            halves = [((C.mix(minima[:, :64, r]) & np.uint64(1)) * _BITS).sum(axis=1, dtype=np.uint64) for r in (0, 1)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(acc.ravel().view(np.int64)),
-                pa.array(np.repeat(np.array(classes, np.int64), BANDS)),
-                *(pa.array(np.repeat(x, BANDS).view(np.int64)) for x in halves),
-            ],
-            names=["shard", "class", "sketch", "sketch2"],
-        )
-
-
-class BKTree:
-    """Children keyed by integer Hamming distance to the parent; nodes are positions in ``sketches``."""
-
-    def __init__(self) -> None:
-        self.sketches: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def within(self, q: int, radius: int) -> list[int]:
-        found, todo = [], [0] if self.sketches else []
-        while todo:
-            node = todo.pop()
-            d = (self.sketches[node] ^ q).bit_count()
-            if d <= radius:
-                found.append(node)
-            todo += [c for e, c in self.children[node].items() if d - radius <= e <= d + radius]
-        return found
-
-    def add(self, s: int) -> None:
-        new = len(self.sketches)
-        self.sketches.append(s)
-        self.children.append({})
-        node = 0
-        while new:
-            d = (self.sketches[node] ^ s).bit_count()
-            child = self.children[node].get(d)
-            if child is None:
-                self.children[node][d] = new
-                return
-            node = child
-
-
-_OUT = "a long, b long, shard long, block int, classes array<long>, sketches array<binary>"
-_OUT_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("block", pa.int32()), ("classes", pa.list_(pa.int64())), ("sketches", pa.list_(pa.binary()))])
-
-
-def _within(classes: list[int], sketches: list[int], radius: int) -> set[tuple[int, int]]:
-    """Close pairs of one shard, each searched in the tree of those before it."""
-    found, tree, there = set(), BKTree(), []
-    for c, s in zip(classes, sketches):
-        near = [there[n] for n in tree.within(s, radius)]
-        if c not in near:  # the copies of a class have the same sketch
-            found.update((min(c, o), max(c, o)) for o in near)
-            tree.add(s)
-            there.append(c)
-    return found
-
-
-def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the shards in the sort order; blocks of the shards over the tree size."""
-    keep_c, keep_s, shard, block, size = [], [], None, 0, 0
-
-    def out(pairs: set, blocks: list) -> pa.RecordBatch:
-        p = list(pairs)
-        n, m = len(p), len(blocks)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in p] + [None] * m, pa.int64()), pa.array([x[1] for x in p] + [None] * m, pa.int64()),
-                pa.array([None] * n + [x[0] for x in blocks], pa.int64()), pa.array([None] * n + [x[1] for x in blocks], pa.int32()),
-                pa.array([None] * n + [x[2] for x in blocks], pa.list_(pa.int64())), pa.array([None] * n + [[y.to_bytes(16, "little") for y in x[3]] for x in blocks], pa.list_(pa.binary())),
-            ],
-            schema=_OUT_ARROW,
-        )
-
-    pairs: set = set()
-    blocks: list = []
-
-    def close() -> None:
-        nonlocal block
-        if block:
-            blocks.append((shard, block + 1, keep_c.copy(), keep_s.copy()))
-        elif len(keep_c) > 1:
-            pairs.update(_within(keep_c, keep_s, radius))
-        keep_c.clear()
-        keep_s.clear()
-        block = 0
+        shard, sketch, signature = shards_of(np.array(rows))
+        own = np.array(classes, np.int64)
+        key, sketch, cls = shard.ravel(), sketch.ravel(), np.repeat(own, BANDS)
+        slot, place, n = np.unique(key & np.int64(len(counts) - 1), return_inverse=True, return_counts=True)
+        counts[slot] += n.astype(np.uint32)
+        over = (counts[slot] > hot)[place]
+        parts = [(key[~over], OWN << BITS | sketch[~over], cls[~over])]
+        if over.any():
+            new = np.array([k for k in np.unique(key[over]).tolist() if k not in marked], np.int64)
+            marked.update(new.tolist())
+            parts.append((new, np.full(len(new), MARK << BITS), np.zeros(len(new), np.int64)))
+            parts.append(_split(key[over], sketch[over], cls[over]))
+        yield _rows(parts, [x.tobytes() for x in signature], own)
+
+
+def _split(key: np.ndarray, sketch: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(SEGMENTS)
+    return sub_shards(key, sketch).ravel(), np.repeat(SPLIT << BITS | sketch, n), np.repeat(cls, n)
+
+
+class Forest:
+    """The BK-trees of several shards in arrays.
+
+    A node is a distinct sketch of a shard; ``parent`` and ``edge`` (the distance to the parent) make the trees.
+    """
 
-    for batch in batches:
-        key = batch.column(0).to_numpy()
+    def __init__(self, shard: np.ndarray, sketch: np.ndarray, cls: np.ndarray):
+        # in a shard by a permutation of the sketches, so that roots aren't the smallest ones
+        mixed = (sketch * 40503) & ((1 << BITS) - 1)
+        order = np.lexsort((cls, mixed, shard))
+        shard, sketch, cls = shard[order], sketch[order], cls[order]
+        again = np.zeros(len(shard), bool)  # a class of several tasks
+        again[1:] = (shard[1:] == shard[:-1]) & (cls[1:] == cls[:-1])
+        shard, sketch, self.cls = shard[~again], sketch[~again], cls[~again]
+        first = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (sketch[1:] != sketch[:-1])]) if len(shard) else np.zeros(0, np.int64)
+        self.start, self.end = first, np.r_[first[1:], len(shard)]
+        self.sketch = sketch[first]
+        tree = shard[first]
+        roots = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]) if len(tree) else first
+        self.root = np.repeat(roots, np.diff(np.r_[roots, len(tree)]))
+        self.visits = 0
+        self._grow()
+
+    def _grow(self) -> None:
+        """All trees level by level: the first of the nodes at one edge of a parent becomes its child, the others go below it."""
+        n = len(self.sketch)
+        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
+        rest = np.flatnonzero(self.root != np.arange(n))
+        at = self.root[rest]
+        while len(rest):
+            d = np.bitwise_count(self.sketch[rest] ^ self.sketch[at]).astype(np.int64)
+            key = at * 64 + d
+            order = np.argsort(key, kind="stable")
+            k = key[order]
+            head = np.r_[True, k[1:] != k[:-1]]
+            child = rest[order[head]]
+            self.parent[child], self.edge[child] = at[order[head]], d[order[head]]
+            below = child[np.cumsum(head) - 1]
+            rest, at = rest[order[~head]], below[~head]
+            order = np.argsort(rest, kind="stable")
+            rest, at = rest[order], at[order]
+        key = np.where(self.parent < 0, -1, self.parent * 64 + self.edge)
+        self.child = np.argsort(key, kind="stable")
+        self.key = key[self.child]
+
+    def within(self, radius: int, queries: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (node, earlier node or itself) of one shard within the radius, some queries at a time."""
+        for start in range(0, len(self.sketch), queries):
+            q = np.arange(start, min(len(self.sketch), start + queries))
+            x = self.root[q]
+            while len(q):
+                self.visits += len(q)
+                d = np.bitwise_count(self.sketch[q] ^ self.sketch[x]).astype(np.int64)
+                near = (d <= radius) & (x <= q)
+                yield q[near], x[near]
+                low = np.searchsorted(self.key, x * 64 + np.maximum(d - radius, 0), "left")
+                n = np.searchsorted(self.key, x * 64 + d + radius, "right") - low
+                x = self.child[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+                q = np.repeat(q, n)
+
+    def pairs(self, radius: int, most: int = 500_000) -> Iterator[np.ndarray]:
+        """Arrays of (a, b), a < b: the classes of close nodes, and those of one node; at most about ``most`` rows each."""
+        for q, x in self.within(radius):
+            rows = (self.end[q] - self.start[q]) * (self.end[x] - self.start[x])
+            part = np.cumsum(rows) // most
+            for p in np.unique(part):
+                yield from self._product(q[part == p], x[part == p], most)
+
+    def _product(self, q: np.ndarray, x: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        left, right = self.end[q] - self.start[q], self.end[x] - self.start[x]
+        node = np.repeat(np.arange(len(q)), left)
+        member = np.arange(len(node)) - np.repeat(np.cumsum(left) - left, left) + self.start[q][node]
+        n = right[node]
+        step = max(1, most // max(1, int(n.max(initial=1))))
+        for i in range(0, len(node), step):
+            j, k = node[i : i + step], n[i : i + step]
+            a = np.repeat(member[i : i + step], k)
+            b = np.repeat(self.start[x][j], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            once = np.repeat(q[j] != x[j], k) | (b < a)
+            a, b = self.cls[a[once]], self.cls[b[once]]
+            if len(a):
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+
+_FOUND = "kind int, a long, b long, sketch int, signature binary"
+_FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.int32()), ("signature", pa.binary())])
+
+
+def _found(kind: int, a: np.ndarray, b: np.ndarray, sketch: np.ndarray | None = None, signature=None) -> pa.RecordBatch:
+    n = len(a)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b),
+            pa.nulls(n, pa.int32()) if sketch is None else pa.array(sketch.astype(np.int32)), pa.nulls(n, pa.binary()) if signature is None else signature,
+        ],
+        schema=_FOUND_ARROW,
+    )
+
+
+def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int | None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (kind ``OWN``) of the shards in the sort order.
+
+    Rows of shards that are marked or hold more than ``tree_size`` texts leave as rows of their sub-shards
+    (kind ``SPLIT``), and so do rows that came as such; signatures pass once a class.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    marks, last, size = np.zeros(0, np.int64), None, 0
+    pairs: list[np.ndarray] = []
+
+    def close(final: bool) -> Iterator[pa.RecordBatch]:
+        if pairs and (final or sum(map(len, pairs)) > 200_000):
+            got = np.unique(np.concatenate(pairs), axis=0)
+            pairs.clear()
+            yield _found(OWN, got[:, 0], got[:, 1])
+
+    def work(key: np.ndarray, sketch: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
-            continue
-        cls, low, high = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            return
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        # runs of one row in the middle of a batch are texts alone in their shard
-        several = (ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)
-        for a, b in zip(starts[several].tolist(), ends[several].tolist()):
-            if key[a] != shard:
-                close()
-                shard = int(key[a])
-            for i in range(a, b, tree_size):
-                keep_c += cls[i : min(b, i + tree_size)].tolist()
-                j = min(b, i + tree_size)
-                keep_s += [x | y << 64 for x, y in zip(low[i:j].view(np.uint64).tolist(), high[i:j].view(np.uint64).tolist())]
-                if len(keep_c) >= tree_size:
-                    block += 1
-                    blocks.append((shard, block, keep_c.copy(), keep_s.copy()))
-                    keep_c.clear()
-                    keep_s.clear()
-            if len(blocks) > 8:
-                yield out(pairs, blocks)
-                pairs, blocks = set(), []
-        if len(pairs) > 50_000:
-            yield out(pairs, blocks)
-            pairs, blocks = set(), []
-    if block or keep_c:
-        close()
-    yield out(pairs, blocks)
-
-
-def _cross(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs between two blocks of a shard, or within one."""
+        n = np.diff(np.r_[starts, len(key)])
+        large = np.isin(key[starts], marks)
+        if tree_size is not None:
+            large |= n > tree_size
+        large, several = np.repeat(large, n), np.repeat(n > 1, n)
+        if large.any():
+            k, tag, c = _split(key[large], sketch[large], cls[large])
+            yield _found(SPLIT, k, c, tag & ((1 << BITS) - 1))
+        own = several & ~large
+        if own.any():
+            for got in Forest(key[own], sketch[own], cls[own]).pairs(radius):
+                pairs.append(got)
+                yield from close(False)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, tag, cls = (batch.column(i).to_numpy() for i in range(3))
+        kind, sketch = tag >> BITS, (tag & ((1 << BITS) - 1)).astype(np.int64)
+        passing = kind == SPLIT
+        if passing.any() and tree_size is not None:
+            yield _found(SPLIT, key[passing], cls[passing], sketch[passing])
+        signed = np.flatnonzero(kind == SIGNATURE)
+        if len(signed):
+            new = np.r_[key[signed[0]] != last, key[signed[1:]] != key[signed[:-1]]]
+            signed = signed[new]
+            if len(signed):
+                yield _found(SIGNATURE, cls[signed], cls[signed], signature=batch.column(3).take(pa.array(signed)))
+        marks = np.concatenate([marks, key[kind == MARK]])
+        own = kind == OWN if tree_size is not None else passing
+        held.append((key[own], sketch[own], cls[own]))
+        size += int(own.sum())
+        last = key[-1]
+        if key[0] == last and (tree_size is None or size <= tree_size):
+            continue  # all of one shard so far
+        k, s, c = (np.concatenate([h[i] for h in held]) for i in range(3))
+        stays = k == last
+        if tree_size is not None and stays.sum() > tree_size:
+            marks = np.append(marks, last)  # the rest of a large shard follows row by row
+            stays[:] = False
+        yield from work(k[~stays], s[~stays], c[~stays])
+        held, size = [(k[stays], s[stays], c[stays])], int(stays.sum())
+        marks = marks[marks == last]
+    if held:
+        yield from work(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+    yield from close(True)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures don't rule out the threshold."""
+    agree = threshold + (1 - threshold) / 16
+    least = agree - SLACK * (agree * (1 - agree) / HASHES) ** 0.5
     for batch in batches:
-        for own, ca, sa, cb, sb in (r for x in C.slices(batch, 1) for r in zip(*x)):
-            sa, sb = ([int.from_bytes(x, "little") for x in y] for y in (sa, sb))
-            if own:
-                pairs = _within(ca, sa, radius)
-            else:
-                tree, pairs = BKTree(), set()
-                for s in sa:
-                    tree.add(s)
-                for c, s in zip(cb, sb):
-                    pairs.update((min(c, ca[n]), max(c, ca[n])) for n in tree.within(s, radius) if ca[n] != c)
-            p = list(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in p], pa.int64()), pa.array([x[1] for x in p], pa.int64())], names=["a", "b"])
+        for start in range(0, batch.num_rows, 10_000):
+            part = batch.slice(start, 10_000)
+            x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 3))
+            differ = x ^ y
+            same = ((differ & 15 == 0).sum(axis=1, dtype=np.int64) + (differ >> 4 == 0).sum(axis=1, dtype=np.int64)) / HASHES
+            yield part.select([0, 1]).filter(pa.array(same >= least))
 
 
 def _piece_sets(texts: list[str]) -> list[np.ndarray]:
@@ -269,25 +383,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def members(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, class): the class of exact copies of every text with at least one piece."""
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL").mapInArrow(_members, "id long, class long")
+    """(id, class, copy) of every text with at least one piece: hashes of its letters and digits, and of the text as it is."""
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
+    return rows.mapInArrow(_members, "id long, class long, copy long")
 
 
-def candidates(df: DataFrame, key: str, text: str, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Distinct (a, b), a < b: pairs of classes that are close in some shard's tree."""
+def candidates(df: DataFrame, key: str, text: str, threshold: float, radius: int = RADIUS, tree_size: int = TREE_SIZE, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b), a < b: pairs of classes that are close in some shard's tree and by their signatures."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    shards = texts.mapInArrow(_bands, "shard long, class long, sketch long, sketch2 long")
-    found = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _search(b, radius, tree_size), _OUT)
-    found = written(found)  # candidates are few against the shards, and blocks are read twice
-    blocks = found.where("shard IS NOT NULL").select("shard", "block", "classes", "sketches")
-    left = blocks.select("shard", F.col("block").alias("i"), F.col("classes").alias("ca"), F.col("sketches").alias("sa"))
-    right = blocks.select("shard", F.col("block").alias("j"), F.col("classes").alias("cb"), F.col("sketches").alias("sb"))
-    crossed = left.join(right, (left.shard == right.shard) & (left.i <= right.j)).select(left.shard.alias("s"), "i", "j", "ca", "sa", "cb", "sb")
-    if blocks.limit(1).count():
-        crossed = crossed.repartition("s", "i", "j").select((F.col("i") == F.col("j")).alias("own"), "ca", "sa", "cb", "sb")
-        crossed = crossed.mapInArrow(lambda b: _cross(b, radius), "a long, b long")
-        return found.where("a IS NOT NULL").select("a", "b").unionByName(crossed).distinct()
-    return found.where("a IS NOT NULL").select("a", "b").distinct()
+    shards = texts.mapInArrow(lambda b: _bands(b, hot), _SHARDS)
+    found = shards.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(lambda b: _search(b, radius, tree_size), _FOUND)
+    found = written(found)  # pairs are few against the shards; signatures are read twice
+    pairs = found.where(F.col("kind") == OWN).select("a", "b")
+    split = found.where(F.col("kind") == SPLIT).select(F.col("a").alias("key"), (F.col("sketch") + F.lit(SPLIT << BITS)).cast("int").alias("tag"), F.col("b").alias("class"), F.lit(None).cast("binary").alias("signature"))
+    if split.limit(1).count():
+        again = split.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(lambda b: _search(b, radius, None), _FOUND)
+        pairs = pairs.unionByName(again.select("a", "b"))
+    signed = found.where(F.col("kind") == SIGNATURE)
+    x, y = (signed.select(F.col("a").alias(k), F.col("signature").alias(f"s{k}")) for k in "ab")
+    return pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(lambda b: _alike(b, threshold), "a long, b long")
 
 
 def similar_classes(df: DataFrame, key: str, text: str, threshold: float, classes: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
@@ -295,7 +409,7 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, classe
 
     ``classes``: (class, rep, n) with the representative's id.
     """
-    close = written(candidates(df, key, text, radius, tree_size))
+    close = written(candidates(df, key, text, threshold, radius, tree_size))
     needed = close.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select(F.col("rep").alias("id"), "class")
     side, _ = bounded_side(needed, MAX_BROADCAST_IDS)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(side, "id").select("class", "t")
@@ -307,36 +421,43 @@ def similar_classes(df: DataFrame, key: str, text: str, threshold: float, classe
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> tuple[DataFrame, DataFrame]:
     """(membership, links).
 
-    membership: (id, class, rep, n), the class of exact copies of each text, its smallest id
-    and its size; links: (rep_a, rep_b, similarity) between the representatives of different
-    classes, rep_a < rep_b.
+    membership: (id, class, copy, rep, n), the class of each text, the hash of the text as it is,
+    the smallest id of the class and its size; links: (rep_a, rep_b, similarity) between the
+    representatives of different classes, rep_a < rep_b. Together they tell every pair.
     """
-    of = written(members(df, key, text))
+    of = written(members(df, key, text).distinct())
     classes = written(of.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     links = similar_classes(df, key, text, threshold, classes, radius, tree_size)
     a, b = classes.select(F.col("class").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("class").alias("b"), F.col("rep").alias("rb"))
     links = links.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b"), "similarity")
     several, _ = bounded_side(classes.where("n > 1"), MAX_BROADCAST_IDS)
     membership = of.join(several.withColumnRenamed("class", "c"), F.col("class") == F.col("c"), "left").select(
-        "id", "class", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1).cast("long")).alias("n")
+        "id", "class", "copy", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1).cast("long")).alias("n")
     )
     return membership, links
 
 
-def as_pairs(membership: DataFrame, links: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: links between all notes of linked classes, and between copies.
+def as_pairs(membership: DataFrame, links: DataFrame, expanded: int = EXPANDED) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all notes of one class, and all notes of linked classes.
 
-    Classes of up to ``EXPANDED`` copies are written out; of a larger one every copy is
-    paired with the representative, which alone stands for it in links.
+    Only where more than ``expanded`` notes have byte for byte the same text, the first of them
+    stands for all in these pairs and each other one is paired with it.
     """
-    copies = membership.where((F.col("n") > 1) & (F.col("n") <= EXPANDED)).select("rep", "id")
-    large = membership.where((F.col("n") > EXPANDED) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
-    same = copies.alias("x").join(copies.alias("y"), "rep").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    grown = links.join(copies.select(F.col("rep").alias("rep_a"), F.col("id").alias("ia")), "rep_a", "left")
-    grown = grown.join(copies.select(F.col("rep").alias("rep_b"), F.col("id").alias("ib")), "rep_b", "left")
+    # a class of n notes has no text more than n times, so only large ones are looked at
+    large = membership.where(F.col("n") > expanded)
+    copied = large.groupBy("class", "copy").agg(F.min("id").alias("first"), F.count("*").alias("m")).where(F.col("m") > expanded)
+    copied = copied.select(F.col("class").alias("c"), F.col("copy").alias("p"), "first")
+    held = large.join(copied, (F.col("class") == F.col("c")) & (F.col("copy") == F.col("p")), "left").select("id", "rep", "first")
+    held = held.unionByName(membership.where((F.col("n") > 1) & (F.col("n") <= expanded)).select("id", "rep", F.lit(None).cast("long").alias("first")))
+    held = written(held)
+    several = held.where("first IS NULL OR first = id").select("rep", "id")
+    same = several.alias("x").join(several.alias("y"), "rep").where(F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    to_first = held.where("first != id").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    grown = links.join(several.select(F.col("rep").alias("rep_a"), F.col("id").alias("ia")), "rep_a", "left")
+    grown = grown.join(several.select(F.col("rep").alias("rep_b"), F.col("id").alias("ib")), "rep_b", "left")
     a, b = F.coalesce("ia", "rep_a"), F.coalesce("ib", "rep_b")
     between = grown.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b"))
-    return between.unionByName(same).unionByName(large)
+    return between.unionByName(same).unionByName(to_first)
 
 
 def _roots(parent: DataFrame, max_rounds: int) -> DataFrame:

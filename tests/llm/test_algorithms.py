@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from marginalia.functions.times import epoch_micros
 from marginalia.llm import neardup
 from marginalia.llm.algorithm_queries import QUERIES
 from marginalia.llm.cooccurrence import cooccurrence
-from marginalia.llm.neardup import BKTree, as_pairs, groups, near_duplicates
+from marginalia.llm.neardup import Forest, as_pairs, candidates, groups, near_duplicates
 from marginalia.llm.survivors import FieldRule, completeness, survivors, trust
 from marginalia.llm.term_counts import TermCounts, changes_between, mark, state_root, term_deltas
 from marginalia.plans.notes import upsert_notes
@@ -165,15 +166,42 @@ def test_p5_found_by_hand(spark, data):
 # ---------------------------------------------------------------- p6
 
 
-def test_bk_tree_finds_all():
-    rng = random.Random(6)
-    codes = [rng.getrandbits(16) for _ in range(400)]
-    tree = BKTree()
-    for c in codes:
-        tree.add(c)
-    for q in codes[:60]:
-        for radius in (0, 2, 5):
-            assert sorted(tree.within(q, radius)) == [i for i, c in enumerate(codes) if (c ^ q).bit_count() <= radius]
+def test_trees_find_all_close_sketches():
+    rng = np.random.default_rng(6)
+    shard, sketch, cls = np.sort(rng.integers(0, 5, 600)), rng.integers(0, 1 << 16, 600), np.arange(600)
+    cls[10], sketch[10], shard[10] = cls[9], sketch[9], shard[9]  # one class from two tasks
+    sketch[20:40] = sketch[20]
+    for radius in (0, 2, 4):
+        got = [tuple(r) for a in Forest(shard, sketch, cls).pairs(radius, most=50) for r in a.tolist()]
+        rows = sorted(set(zip(shard.tolist(), cls.tolist(), sketch.tolist())))
+        want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and (a[2] ^ b[2]).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert not list(Forest(shard[:0], sketch[:0], cls[:0]).pairs(2))
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.35, 0.5])
+def test_a_search_leaves_out_most_of_a_tree(shared):
+    """Shards of 20,000 texts: random ones, and such that agree in a share of their pieces."""
+    rng = np.random.default_rng(3)
+    values = np.where(rng.random((20_000, neardup.HASHES)) < shared**0.5, np.arange(neardup.HASHES), rng.integers(1000, 1 << 32, (20_000, neardup.HASHES)))
+    _, sketch, _ = neardup.shards_of(values.astype(np.uint32))
+    for band in (0, 40):
+        forest = Forest(np.zeros(20_000, np.int64), sketch[:, band], np.arange(20_000))
+        for _ in forest.within(neardup.RADIUS):
+            pass
+        assert forest.visits / len(forest.sketch) ** 2 < 0.2
+
+
+def boilerplate(n, rng):
+    block = " ".join(f"b{rng.randrange(10**6)}" for _ in range(40))
+    return [(i, block + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(37))) for i in range(n)]
+
+
+def test_boilerplate_gives_few_candidates(spark):
+    """Texts that share a block, at a similarity of about 0.35 each: signatures leave no more of them than there are texts."""
+    for n in (400, 1600):
+        df = spark.createDataFrame(boilerplate(n, random.Random(n)), "id long, t string")
+        assert candidates(df, "id", "t", 0.6).count() <= n
 
 
 def edited(rng, words, n):
@@ -210,6 +238,12 @@ def test_near_duplicates_by_hand(spark, tree_size):
     assert len(got & want) >= 0.98 * len(want) and got <= want and len(want) > 40
 
 
+def test_hot_shards_lose_no_candidate(spark):
+    df = spark.createDataFrame(near_rows(9), "id long, text string").repartition(2)
+    few, split = (sorted(tuple(r) for r in candidates(df, "id", "text", 0.6, hot=hot, tree_size=size).collect()) for hot, size in ((256, 2000), (1, 3)))
+    assert few == split and few
+
+
 def test_groups_by_hand(spark):
     rows = near_rows(8)
     df = spark.createDataFrame(rows, "id long, text string")
@@ -248,14 +282,28 @@ def test_unsettled_groups_are_an_error(spark):
         groups(*chains(spark), max_rounds=1)
 
 
-def test_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "EXPANDED", 5)
-    rows = [(i, "the same text over and over again") for i in range(50)] + [(100, "another text of its own, not alike"), (101, "another text of its own, not alike")]
-    got = sorted(tuple(r) for r in as_pairs(*near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.6)).collect())
-    assert got == sorted([(0, i) for i in range(1, 50)] + [(100, 101)])
+def test_many_copies(spark):
+    rows = [(i, "the same text over and over again") for i in range(50)] + [(60, "The same text over and over again!")]
+    rows += [(70, "the same text over and over again now"), (100, "another text of its own, not alike"), (101, "another text of its own, not alike")]
+    near = near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.6)
+    short = sorted(tuple(r) for r in as_pairs(*near, expanded=5).collect())
+    # the 50 byte-identical copies are contracted; other texts of the class and of linked classes keep their pairs
+    assert short == sorted([(0, i) for i in range(1, 50)] + [(0, 60), (0, 70), (60, 70), (100, 101)])
+    assert {tuple(r) for r in as_pairs(*near).collect()} == brute(rows, 0.6)
     assert as_pairs(*near_duplicates(spark.createDataFrame([], "id long, t string"), "id", "t", 0.6)).count() == 0
 
 
+def test_classes_and_links_tell_every_pair(spark):
+    rows = [(i, "word after word of one text that many notes hold") for i in range(300)] + [(300 + i, f"word after word of one text that many notes hold {'abc'[i]}") for i in range(3)]
+    membership, links = near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", 0.6)
+    of = defaultdict(list)
+    for r in membership.collect():
+        of[r["rep"]].append(r["id"])
+    told = {p for ids in of.values() for p in itertools.combinations(sorted(ids), 2)}
+    told |= {(min(a, b), max(a, b)) for r in links.collect() for a in of[r["rep_a"]] for b in of[r["rep_b"]]}
+    assert told == brute(rows, 0.6) and len(told) == 303 * 302 // 2
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs(spark, data, name):
     assert QUERIES[name](spark, data).columns
