@@ -3,7 +3,7 @@
 Structure first. The lines of a text are read by an automaton with a stack: code fences and
 formula blocks span lines, quotes, brackets and inline markup belong to one line. What may
 have been added after the end is taken off (closing blocks, links, tables, tag lines, closing
-lists, and lines that many notes of a source end with), and the last line of the body is
+lists, and lines that many notes of a source end with, of any number and length), and the last line of the body is
 classified: ended by a stop; left open (an unclosed fence, quote, bracket or markup, a broken
 multibyte sequence, escape or entity, a heading or list mark with nothing behind it); or ended
 by nothing.
@@ -43,7 +43,12 @@ FOOTER_SHARE, FOOTER_SOURCE_SHARE, FOOTER_COUNT = 0.005, 0.05, 4
 #: Unended texts at one length, against the mean of the lengths around it, that make a limit.
 LIMIT_COUNT, LIMIT_TIMES, LIMIT_REACH, LIMIT_SHARE = 4, 8.0, 25, 0.004
 SAMPLE_SENTENCES = 40_000
+#: Sources with added lines that are broadcast to the compact table of last lines.
 MAX_BROADCAST_SOURCES = 20_000
+#: (source, line) keys of eight bytes that are broadcast to the texts: 32 MB.
+MAX_BROADCAST_FOOTERS = 4_000_000
+#: Parts of a source beyond that bound.
+SALTS = 64
 
 ENDED, OPEN, UNENDED, EMPTY = "ended", "open", "unended", "empty"
 _BREAK = re.compile(r"\r\n|\r|\n")
@@ -110,8 +115,8 @@ def _closing_list(lines: list[str], end: int) -> int:
     return n + 1 if n < end and _HEADING.match(lines[end - 1 - n]) else 0
 
 
-def ending(text: str, footers: frozenset[int] = frozenset(), key=None) -> tuple[str, str, str, str]:
-    """(state, reason, fragment, body) of a text; ``footers``: hashes, by ``key``, of lines known to be added."""
+def ending(text: str, footer=None) -> tuple[str, str, str, str]:
+    """(state, reason, fragment, body) of a text; ``footer`` tells whether a line is known to be added."""
     breaks = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
     begins, ends = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)]
     lines = [text[a:b] for a, b in zip(begins, ends)]
@@ -123,7 +128,7 @@ def ending(text: str, footers: frozenset[int] = frozenset(), key=None) -> tuple[
         line = lines[end - 1]
         if not line.strip():
             end -= 1
-        elif key is not None and key(line) in footers:
+        elif footer is not None and footer(line):
             end, added = end - 1, "footer"
         elif fences and fences[-1] == end - 1:
             fences.pop()
@@ -224,25 +229,47 @@ def score(weights: np.ndarray, s: str) -> float:
     return float(weights[_features(s)].sum() + weights[SLOTS])
 
 
-def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for text in (t for (x,) in C.slices(batch) for t in x):
-            for line in re.split(r"[\r\n]+", text or ""):
-                if not _HEADING.match(line) and not line.startswith(("|", "`", "$", ">", "[")):
-                    parts = re.split(r"[。！？!?]|\.(?=\s|$)", _ITEM.sub("", line))
-                    out += [p.strip() for p in parts[:-1] if 6 <= len(p.strip()) <= 400]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["s"])
+def whole_sentences(text: str) -> list[str]:
+    """The sentences of 6 to 400 characters that end with a stop, without it."""
+    out = []
+    for line in re.split(r"[\r\n]+", text):
+        if not _HEADING.match(line) and not line.startswith(("|", "`", "$", ">", "[")):
+            parts = re.split(r"[。！？!?]|\.(?=\s|$)", _ITEM.sub("", line))
+            out += [p.strip() for p in parts[:-1] if 6 <= len(p.strip()) <= 400]
+    return out
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def _endings(batches: Iterator[pa.RecordBatch], footers: frozenset[int]) -> Iterator[pa.RecordBatch]:
+class Footers:
+    """Keys of added lines: of all sources, and sorted keys of (source, line); ``in`` asks for one source's line."""
+
+    def __init__(self, everywhere: frozenset[int], pairs: np.ndarray):
+        self.everywhere, self.pairs = everywhere, pairs
+
+    def of(self, source: str, own: list[int] | None):
+        """Whether a line of a text of ``source`` was added; ``own``: the source's lines where they came with the text."""
+        more = frozenset(own or ())
+
+        def added(line: str) -> bool:
+            k = _line_key(line)
+            if k in self.everywhere or k in more:
+                return True
+            if not len(self.pairs):
+                return False
+            p = _pair_key(source, k)
+            at = np.searchsorted(self.pairs, p)
+            return bool(at < len(self.pairs) and self.pairs[at] == p)
+
+        return added
+
+
+def _endings(batches: Iterator[pa.RecordBatch], footers: Footers) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for i, source, t, own in (r for s in C.slices(batch) for r in zip(*s)):
-            state, why, fragment, body = ending(t, footers.union(own) if own else footers, _line_key)
+            state, why, fragment, body = ending(t, footers.of(source, own))
             size = len(body.encode("utf-8", "surrogatepass"))
             broken = bool(re.search(BROKEN + r"[.…]*$", body))
             rows.append((i, source, state, why, fragment, len(body), size - 3 * broken))
@@ -256,32 +283,74 @@ def _line_key(line: str) -> int:
     return xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _last_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, key of the last line) where the line is no block of its own."""
+def _pair_key(source: str, line: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass") + line.to_bytes(8, "little", signed=True)) - (1 << 63)
+
+
+def tail_lines(text: str) -> list[int]:
+    """Keys of the lines of a text from its end up to the first list item, heading or fence, without the blocks that count as added anyway and without its first line."""
+    lines = [x for x in _BREAK.split(text) if x.strip()]
+    out = []
+    for line in lines[:0:-1]:
+        if _ADDED.match(line):
+            continue
+        if _ITEM.match(line) or _HEADING.match(line) or line.lstrip().startswith("```"):
+            break
+        out.append(_line_key(line))
+    return out
+
+
+_TAILS = "source string, tail array<long>, sentences array<string>"
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text the keys of its last lines, and of the sampled ones the sentences."""
     for batch in batches:
-        out = []
-        for s, t in (r for x in C.slices(batch) for r in zip(*x)):
-            t = t.rstrip()
-            line = t[max(t.rfind("\n"), t.rfind("\r")) + 1 :]
-            own = line == t
-            if line and not own and not _ITEM.match(line) and not _ADDED.match(line) and not _HEADING.match(line) and not line.startswith("```"):
-                out.append((s, _line_key(line)))
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64())], names=["source", "line"])
+        sources, tails, sentences = [], [], []
+        for source, t, sampled in (r for s in C.slices(batch) for r in zip(*s)):
+            sources.append(source)
+            tails.append(tail_lines(t))
+            sentences.append(whole_sentences(t) if sampled else None)
+        yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(tails, pa.list_(pa.int64())), pa.array(sentences, pa.list_(pa.string()))], names=["source", "tail", "sentences"])
 
 
-def footer_lines(rows: DataFrame) -> tuple[frozenset[int], DataFrame]:
+def footer_lines(tails: DataFrame) -> tuple[frozenset[int], DataFrame]:
     """Keys of the lines that too many notes end with for them to be the notes' own.
 
-    Those of all rows, at most 1 / ``FOOTER_SHARE``; and (source, lines), at most
-    1 / ``FOOTER_SOURCE_SHARE`` a source.
+    Those of all rows, and (source, lines) of single sources. A footer may have any number of
+    lines: what is found is taken off, and the lines before it are counted in the next round,
+    until a round finds none. A round knows at most 1 / ``FOOTER_SHARE`` lines of all rows and
+    1 / ``FOOTER_SOURCE_SHARE`` of a source.
     """
-    lines = rows.select("source", "t").mapInArrow(_last_lines, "source string, line long")
-    counts = written(lines.groupBy("source", "line").agg(F.count("*").alias("n")))
-    sizes = rows.groupBy("source").agg(F.count("*").alias("of"))
-    often = counts.where(F.col("n") >= FOOTER_COUNT).join(sizes, "source").where(F.col("n") >= FOOTER_SOURCE_SHARE * F.col("of"))
-    total = rows.count()
-    overall = counts.groupBy("line").agg(F.sum("n").alias("n")).where((F.col("n") >= FOOTER_COUNT) & (F.col("n") >= FOOTER_SHARE * total))
-    return frozenset(r["line"] for r in overall.collect()), often.groupBy("source").agg(F.collect_list("line").alias("lines"))
+    spark = tails.sparkSession
+    sizes = written(tails.groupBy("source").agg(F.count("*").alias("of")))
+    total = sizes.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
+    everywhere: frozenset[int] = frozenset()
+    by_source = spark.createDataFrame([], "source string, lines array<long>")
+    while True:
+        side, _ = bounded_side(by_source, MAX_BROADCAST_SOURCES)
+        known = F.array_union(F.coalesce("lines", F.array().cast("array<long>")), F.lit(sorted(everywhere)).cast("array<long>"))
+        rest = F.array_except("tail", known)  # keeps the order; a footer's lines are taken off wherever they stand
+        last = tails.where(F.size("tail") > 0).join(side, "source", "left").select("source", F.get(rest, 0).alias("line")).where("line IS NOT NULL")
+        counts = written(last.groupBy("source", "line").agg(F.count("*").alias("n")))
+        often = counts.where(F.col("n") >= FOOTER_COUNT).join(sizes, "source").where(F.col("n") >= FOOTER_SOURCE_SHARE * F.col("of")).select("source", "line")
+        overall = counts.groupBy("line").agg(F.sum("n").alias("n")).where((F.col("n") >= FOOTER_COUNT) & (F.col("n") >= FOOTER_SHARE * total))
+        new = frozenset(r["line"] for r in overall.collect())
+        more = often.where(~F.col("line").isin(*new)) if new else often
+        grown = by_source.select("source", F.explode("lines").alias("line")).unionByName(more)
+        grown = written(grown.groupBy("source").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+        found = bool(new) or more.limit(1).count() > 0
+        everywhere, by_source = everywhere | new, grown
+        if not found:
+            return everywhere, by_source
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_pair_key(s, k) for s, lines in zip(*C.columns(batch)) for k in lines]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["k"])
 
 
 def limits(ends: DataFrame) -> DataFrame:
@@ -306,15 +375,21 @@ def truncated(df: DataFrame, key: str, text: str, source: str, sample: int = SAM
     """(id, source, cut, why) of every row with a text."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("t")).where("t IS NOT NULL")
-    overall, by_source = footer_lines(rows)
-    by_source, _ = bounded_side(by_source, MAX_BROADCAST_SOURCES)
-    lined = rows.join(by_source, "source", "left").select("id", "source", "t", "lines")
-    ends = written(lined.mapInArrow(lambda b: _endings(b, overall), "id long, source string, state string, why string, fragment string, chars long, bytes long"))
-    n = max(1, ends.count())
     # about ten sentences a text: a sample of texts by the hash of the id, then a bound on the sentences
-    part = min(1.0, sample / 4 / n)
-    some = rows.where(F.abs(F.xxhash64("id") % 1_000_000) < int(part * 1_000_000) + 1).select("t").mapInArrow(_sentences, "s string")
-    got = [r[0] for r in some.select("s").distinct().orderBy(F.xxhash64("s")).limit(sample).collect()]
+    part = min(1.0, sample / 4 / max(1, df.count()))
+    sampled = F.coalesce(F.abs(F.xxhash64("id") % 1_000_000) < int(part * 1_000_000) + 1, F.lit(False))
+    tails = written(rows.select("source", "t", sampled.alias("sampled")).mapInArrow(_tails, _TAILS))
+    everywhere, by_source = footer_lines(tails.select("source", "tail"))
+    pairs = by_source.mapInArrow(_pair_keys, "k long").limit(MAX_BROADCAST_FOOTERS + 1).toArrow()["k"].to_numpy()
+    lined = rows.withColumn("lines", F.lit(None).cast("array<long>"))
+    if len(pairs) > MAX_BROADCAST_FOOTERS:  # then each text gets its source's lines, over salted sources
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        lined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(by_source.withColumn("salt", salts), ["source", "salt"], "left").select("id", "source", "t", "lines")
+        pairs = pairs[:0]
+    footers = spark.sparkContext.broadcast(Footers(everywhere, np.sort(pairs)))
+    ends = written(lined.mapInArrow(lambda b: _endings(b, footers.value), "id long, source string, state string, why string, fragment string, chars long, bytes long"))
+    some = tails.where("sentences IS NOT NULL").select(F.explode("sentences").alias("s"))
+    got = [r[0] for r in some.distinct().orderBy(F.xxhash64("s")).limit(sample).collect()]
     weights = spark.sparkContext.broadcast(fit_sentence_ends(got))
     at = limits(ends)
     at_c = at.where("metric = 'chars'").select(F.col("source").alias("cs"), F.col("size").alias("cz")).withColumn("at_c", F.lit(True))
