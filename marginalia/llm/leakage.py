@@ -2,18 +2,20 @@
 
 Both sides are reduced to their letters in lower case. Of every window of ``w`` successive
 k-gram hashes the least one is a fingerprint, so two texts that share a stretch of at least
-w + k - 1 letters share a fingerprint inside it. Fingerprints of the documents are joined
-with those of the items and every hit is extended to both sides to the longest common
-stretch. Stretches of at least w + k - 1 letters count, and an item has leaked if they
-cover enough of its letters.
+w + k - 1 letters share a fingerprint inside it. A document and an item that share one are a
+candidate. A hit is then extended to all stretches of at least w + k - 1 letters that both
+hold: a letter of the item lies in such a stretch if and only if some run of w + k - 1 letters
+over it is among the document's runs of that length. An item has leaked if those letters are
+enough of it. The work for a candidate is the length of its two texts, however often a
+fingerprint repeats in them.
 
-The items are the stated query set. They are broadcast in blocks of at most
-``BLOCK_LETTERS`` letters, each block against all documents, so the broadcast is bounded
-whatever the number of items, and the documents are never shuffled.
+The items are the stated query set. Up to ``BLOCK_LETTERS`` characters of them are indexed
+and broadcast, and the documents are never shuffled. Beyond, the fingerprints of both sides are
+joined by a shuffle, in one scan of the documents, and the texts of candidates after them.
 
 Defined cases: null texts have no letters; items shorter than their stretch length can't
-leak; items with equal texts leak together; a document is given once for each item,
-however often the passage occurs in it.
+leak, nor can items without one; items with equal texts leak together; a document is given once
+for each item, however often the passage occurs in it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import codes as C
+from marginalia.operators.shared import written
 
 BLOCK_LETTERS = 4_000_000
 #: Letters of a document that are hashed at a time; slices overlap, so no stretch is lost.
@@ -47,127 +50,131 @@ def fingerprints(code: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarr
 
 
 class ItemIndex:
-    """Fingerprints of a block of items that share the stretch length ``stretch``."""
+    """Fingerprints and runs of a block of items that share the stretch length ``stretch``."""
 
     def __init__(self, ids: list[int], texts: list[str], stretch: int):
         self.stretch, self.k = stretch, (stretch + 1) // 2
         self.w = stretch - self.k + 1
         self.ids = ids
-        self.code, self.at = C.kept(texts, (1,))
-        hashes, owner, place = [], [], []
-        for i, (a, b) in enumerate(zip(self.at, self.at[1:])):
-            h, p = fingerprints(self.code[a:b], self.k, self.w)
-            hashes.append(h)
-            owner.append(np.full(len(h), i))
-            place.append(p)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        code, at = C.kept(texts, (1,))
+        self.letters = np.diff(at)
+        runs = C.kgrams(code, stretch)
+        self.runs = [runs[a : max(a, b - stretch + 1)] for a, b in zip(at.tolist(), at[1:].tolist())]
+        hashes = [np.unique(fingerprints(code[a:b], self.k, self.w)[0]) for a, b in zip(at, at[1:])]
+        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in hashes])
         order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.owner = np.concatenate(owner)[order] if hashes else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if hashes else np.zeros(0, np.int64)
-
-    def hits(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, item, position in the item) of the fingerprints that are shared."""
-        if not len(self.hash):
-            return
+        self.hash, self.owner = h[order], owner[order]
+
+    def candidates(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct (document, item) that share a fingerprint, by document; ``at``: offsets of the documents."""
+        found = [np.zeros((0, 2), np.int64)]
         step = max(SLICE, 4 * self.stretch)
-        for start in range(0, len(code), step):
+        for start in range(0, len(code) if len(self.hash) else 0, step):
             h, p = fingerprints(code[start : start + step + self.stretch], self.k, self.w)
             left = np.searchsorted(self.hash, h, "left")
             near = self.hash[np.minimum(left, len(self.hash) - 1)] == h
-            h, p, left = h[near], p[near], left[near]
-            if len(h):
-                n = np.searchsorted(self.hash, h, "right") - left
-                at = np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                yield np.repeat(p, n) + start, self.owner[at], self.place[at]
-
-
-def _equal(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading values are equal."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
-
-
-def _stretches(index: ItemIndex, code: np.ndarray, start: int, end: int, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Of each item the stretches, as parts of the item, that document ``code[start:end]`` shares with it."""
-    found: dict[int, list[tuple[int, int]]] = {}
-    order = np.lexsort((place, at - place, item))
-    last, reach = None, 0
-    for i in order.tolist():
-        d, it, p = int(at[i]), int(item[i]), int(place[i])
-        if last == (it, d - p) and p + index.k <= reach:
-            continue
-        a, b = int(index.at[it]), int(index.at[it + 1])
-        back = min(d - start, p)
-        left = _equal(code[d - back : d][::-1], index.code[a + p - back : a + p][::-1])
-        right = _equal(code[d:min(end, d + b - a - p)], index.code[a + p : b])
-        last, reach = (it, d - p), p + right
-        if left + right >= index.stretch:
-            found.setdefault(it, []).append((p - left, p + right))
-    return found
-
-
-def _covered(parts: list[tuple[int, int]]) -> int:
-    total, reach = 0, 0
-    for a, b in sorted(parts):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
+            h, p, left = h[near], p[near] + start, left[near]
+            doc = np.searchsorted(at, p, "right") - 1
+            inside = p + self.k <= at[doc + 1]
+            if inside.any():
+                pairs, first = np.unique(np.stack([doc[inside], left[inside]], axis=1), axis=0, return_index=True)  # a fingerprint once a document
+                n = np.searchsorted(self.hash, h[inside][first], "right") - pairs[:, 1]
+                item = self.owner[np.repeat(pairs[:, 1] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+                found.append(np.unique(np.stack([np.repeat(pairs[:, 0], n), item], axis=1), axis=0))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def shared(self, code: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """How many letters of each of the items lie in stretches that the document ``code`` has."""
+        runs = [self.runs[i] for i in items.tolist()]
+        size = np.array([len(r) for r in runs])
+        every = np.concatenate(runs)
+        hit = np.zeros(len(every), bool)
+        for start in range(0, len(code), SLICE):
+            own = np.unique(C.kgrams(code[start : start + SLICE + self.stretch - 1], self.stretch))
+            if len(own):
+                hit |= own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+        # every item has stretch - 1 letters more than runs; a letter counts if a run over it is a hit
+        ends = np.cumsum(size + self.stretch - 1)
+        place = np.arange(len(every)) + np.repeat(np.arange(len(size)) * (self.stretch - 1), size)
+        depth = np.zeros(ends[-1] + 1, np.int64)
+        np.add.at(depth, place[hit], 1)
+        np.add.at(depth, place[hit] + self.stretch, -1)
+        covered = np.r_[0, np.cumsum(np.cumsum(depth)[:-1] > 0)]
+        return covered[ends] - covered[np.r_[0, ends[:-1]]]
+
+
+_LEAKS = "doc_id long, item_id long, shared_letters long, item_letters long"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "shared_letters", "item_letters"])
 
 
 def _leaks(batches: Iterator[pa.RecordBatch], indexes: list[ItemIndex], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
         for ids, texts in C.portions(batch):
             code, at = C.kept(texts, (1,))
+            rows: list[tuple] = []
             for index in indexes:
-                for p, item, place in index.hits(code):
-                    doc = np.searchsorted(at, p, "right") - 1
-                    inside = p + index.k <= at[doc + 1]
-                    p, item, place, doc = p[inside], item[inside], place[inside], doc[inside]
-                    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-                    for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-                        d = int(doc[a])
-                        for it, parts in _stretches(index, code, int(at[d]), int(at[d + 1]), p[a:b], item[a:b], place[a:b]).items():
-                            out.append((ids[d], index.ids[it], parts, int(index.at[it + 1] - index.at[it])))
-        # a document longer than a slice is seen in several parts
-        merged: dict[tuple, list] = {}
-        length: dict[tuple, int] = {}
-        for d, it, parts, n in out:
-            merged.setdefault((d, it), []).extend(parts)
-            length[d, it] = n
-        rows = [(d, it, c, length[d, it]) for (d, it), parts in merged.items() if (c := _covered(parts)) * share[1] >= share[0] * length[d, it]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "shared_letters", "item_letters"]
-        )
-
-
-def item_blocks(items: DataFrame, key: str, text: str, stretch: str) -> Iterator[list[tuple]]:
-    """The items in blocks of at most ``BLOCK_LETTERS`` characters (a longer item is a block of its own)."""
-    block, size = [], 0
-    for row in items.select(key, text, stretch).where(F.col(text).isNotNull()).orderBy(key).toLocalIterator():
-        if block and size + len(row[1]) > BLOCK_LETTERS:
-            yield block
-            block, size = [], 0
-        block.append(tuple(row))
-        size += len(row[1])
-    if block:
-        yield block
-
-
-def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, stretch: str, share: tuple[int, int] = (2, 5)) -> DataFrame:
+                pairs = index.candidates(code, at)
+                cuts = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else []
+                for a, b in zip(cuts, [*cuts[1:], len(pairs)]):
+                    d, items = int(pairs[a, 0]), pairs[a:b, 1]
+                    for i, n in zip(items.tolist(), index.shared(code[at[d] : at[d + 1]], items).tolist()):
+                        if n * share[1] >= share[0] * index.letters[i]:
+                            rows.append((ids[d], index.ids[i], n, int(index.letters[i])))
+            yield _rows(rows)
+
+
+def _prints(batches: Iterator[pa.RecordBatch], stretches: list[int]) -> Iterator[pa.RecordBatch]:
+    """(id, stretch, hash): the distinct fingerprints of every text for each stretch length, or for its own (a third column)."""
+    for batch in batches:
+        for row in C.slices(batch):
+            for j, (i, t) in enumerate(zip(row[0], row[1])):
+                code, _ = C.kept([t], (1,))
+                for n in [row[2][j]] if len(row) > 2 else stretches:
+                    k = (n + 1) // 2
+                    step = max(SLICE, 4 * n)
+                    parts = [fingerprints(code[x : x + step + n], k, n - k + 1)[0] for x in range(0, len(code), step)]
+                    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i)), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64))], names=["id", "stretch", "hash"])
+
+
+def _extended(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Leaks among candidates (doc_id, item_id, stretch, text, item text)."""
+    for batch in batches:
+        rows = []
+        for d, i, n, text, passage in (r for x in C.slices(batch, 16) for r in zip(*x)):
+            index = ItemIndex([i], [passage], n)
+            got = int(index.shared(C.kept([text], (1,))[0], np.zeros(1, np.int64))[0])
+            if got * share[1] >= share[0] * index.letters[0]:
+                rows.append((d, i, got, int(index.letters[0])))
+        yield _rows(rows)
+
+
+def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, stretch: str, share: tuple[int, int] = (2, 5), block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """(doc_id, item_id, shared_letters, item_letters) of the items whose shared stretches cover ``share`` of their letters.
 
     ``stretch``: the column of ``items`` with the least length of a stretch.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    schema = "doc_id long, item_id long, shared_letters long, item_letters long"
-    out = None
-    for block in item_blocks(items, item_key, item_text, stretch):
+    known = items.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("p"), F.col(stretch).cast("int").alias("n"))
+    # an item needs as many letters as a stretch has; so many characters at least can be told here
+    known = known.where((F.col("item").isNotNull()) & (F.col("n") > 0) & (F.length("p") >= F.col("n")))
+    if (known.agg(F.sum(F.length("p"))).first()[0] or 0) <= block_letters:
+        block = known.orderBy("item", "p").collect()  # at most ``block_letters`` characters
         indexes = [ItemIndex([r[0] for r in block if r[2] == n], [r[1] for r in block if r[2] == n], n) for n in sorted({r[2] for r in block})]
         sent = spark.sparkContext.broadcast(indexes)
-        part = texts.mapInArrow(lambda b, s=sent: _leaks(b, s.value, share), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct() if out is not None else spark.createDataFrame([], schema)
+        found = texts.mapInArrow(lambda b: _leaks(b, sent.value, share), _LEAKS)
+    else:
+        lengths = sorted(r[0] for r in known.select("n").distinct().collect())  # lengths of stretches: a parameter a language, few
+        schema = "id long, stretch int, hash long"
+        ours = texts.mapInArrow(lambda b: _prints(b, lengths), schema)
+        theirs = known.select("item", "p", "n").mapInArrow(lambda b: _prints(b, []), schema).withColumnRenamed("id", "item_id")
+        pairs = written(ours.join(theirs, ["stretch", "hash"]).select("id", "item_id", "stretch").distinct())
+        pairs = pairs.join(known.select(F.col("item").alias("item_id"), "p", F.col("n").alias("stretch")), ["item_id", "stretch"])
+        pairs = pairs.join(texts, "id").select(F.col("id").alias("doc_id"), "item_id", "stretch", "t", "p")
+        found = pairs.mapInArrow(lambda b: _extended(b, share), _LEAKS)
+    return found.groupBy("doc_id", "item_id").agg(F.max("shared_letters").alias("shared_letters"), F.max("item_letters").alias("item_letters"))

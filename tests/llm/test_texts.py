@@ -96,12 +96,19 @@ def test_planted_cuts(spark):
     assert truncated(df.limit(0), "id", "t", "host").count() == 0
 
 
-def test_long_lines_that_a_source_adds(spark):
-    line = "This copy was made for a private archive and may leave out pictures, tables and notes of the original page."
-    df = spark.createDataFrame([(i, "s", f"Note {i} is about a matter of its own.\n{line}") for i in range(300)], "id long, source string, t string")
-    overall, by_source = truncation.footer_lines(df)
-    assert len(line) > 80 and overall == {truncation._line_key(line)}
-    assert [tuple(r) for r in by_source.collect()] == [("s", [truncation._line_key(line)])]
+LONG = "This copy was made for a private archive and may leave out pictures, tables and notes of the original page."
+FOOTERS = {"short": "-- kept by the site", "long": LONG, "two": "Kept by the site.\n\nAll rights stay with the author of the note.", "five": "\n".join(f"Line {i} of what the site adds." for i in range(5)) + "\n#one #two"}
+
+
+@pytest.mark.parametrize("footer", sorted(FOOTERS))
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_footers_of_any_form(spark, monkeypatch, footer, broadcast):
+    monkeypatch.setattr(truncation, "MAX_BROADCAST_FOOTERS", 10**6 if broadcast else 0)
+    rows, cut = planted(13)
+    rows = [(i, source, t.replace("-- kept by the site", FOOTERS[footer])) for i, source, t in rows]
+    df = spark.createDataFrame(rows, "id long, host string, t string")
+    got = {r["id"] for r in truncated(df, "id", "t", "host").where("cut").collect()}
+    assert len(got & cut) >= 0.95 * len(cut) and len(got - cut) <= 0.05 * len(got), (len(cut), len(got & cut), len(got - cut))
 
 
 # ---------------------------------------------------------------- p7
@@ -191,9 +198,21 @@ def share_by_hand(item, doc, n):
     return len(covered), len(q)
 
 
-def test_leaks_by_hand(spark, monkeypatch):
+def test_repeated_syllables_cost_their_length():
+    """One fingerprint at every second place of both texts: the product of the places is never formed."""
+    import time
+
+    index = leakage.ItemIndex([1, 2], ["ba" * 1200, "na" * 100 + "ba" * 100], 60)
+    code, at = C.kept(["ba" * 10_000, "xyz" * 100], (1,))
+    began = time.perf_counter()
+    pairs = index.candidates(code, at)
+    assert pairs.tolist() == [[0, 0], [0, 1]] and index.shared(code[at[0] : at[1]], pairs[:, 1]).tolist() == [2400, 201]
+    assert time.perf_counter() - began < 0.1
+
+
+@pytest.mark.parametrize("block_letters", [1_000_000, 1500])
+def test_leaks_by_hand(spark, monkeypatch, block_letters):
     monkeypatch.setattr(leakage, "SLICE", 500)
-    monkeypatch.setattr(leakage, "BLOCK_LETTERS", 1500)
     rng = random.Random(10)
     words = [f"{chr(97 + i % 26)}{'abcdefgh'[i % 8]}o{chr(97 + i * 7 % 26)}" for i in range(200)]
     items = [(i, " ".join(rng.choices(words, k=40)), 20) for i in range(25)] + [(90, None, 20), (91, "short", 20), (92, "", 20)]
@@ -209,7 +228,7 @@ def test_leaks_by_hand(spark, monkeypatch):
     docs += [(900, None, 1), (901, "", 1), (901, "", 1)]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     it = spark.createDataFrame(items, "item_id long, text string, stretch int")
-    got = {(r["doc_id"], r["item_id"]): (r["shared_letters"], r["item_letters"]) for r in leaked(df, "doc_id", "text", it, "item_id", "text", "stretch").collect()}
+    got = {(r["doc_id"], r["item_id"]): (r["shared_letters"], r["item_letters"]) for r in leaked(df, "doc_id", "text", it, "item_id", "text", "stretch", block_letters=block_letters).collect()}
     want = {}
     for d, text, _ in docs:
         for i, item, n in items:
