@@ -67,6 +67,7 @@ HASHES = BANDS * ROWS
 _A = (C.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
 #: Values whose bits make the sketch of each band, none of the band's own.
 _OF_SKETCH = (np.arange(BANDS)[:, None] * ROWS + ROWS + 11 * np.arange(BITS)) % HASHES
+#: Kinds of rows; as the top two bits of a signed number they sort as SPLIT, SIGNATURE, MARK, OWN.
 MARK, OWN, SPLIT, SIGNATURE = 0, 1, 2, 3
 
 
@@ -126,16 +127,30 @@ def sub_shards(shard: np.ndarray, sketch: np.ndarray) -> np.ndarray:
         return C.mix(shard.view(np.uint64)[:, None] * C._BASE + own + np.uint64(1)).view(np.int64)
 
 
-_SHARDS = "key long, tag int, class long, signature binary"
-_SHARDS_ARROW = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("class", pa.int64()), ("signature", pa.binary())])
+_SHARDS = "key long, class long, signature binary"
+_SHARDS_ARROW = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("signature", pa.binary())])
+_SHARD_BITS = 62 - BITS
 
 
-def _rows(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], signatures: list[bytes], keys: np.ndarray) -> pa.RecordBatch:
-    """Rows of (key, tag, class) without a signature, and a row of each signature at its class."""
-    none, n = sum(len(p[0]) for p in parts), len(signatures)
-    columns = [np.concatenate([p[i] for p in parts] + [extra]) for i, extra in enumerate((keys, np.full(n, SIGNATURE << BITS), keys))]
+def encoded(kind: int, shard: np.ndarray, sketch: np.ndarray | int) -> np.ndarray:
+    """Kind, shard and sketch in one number: rows sort by kind and shard, and one number sorts fastest."""
+    low = (shard.view(np.uint64) & np.uint64((1 << _SHARD_BITS) - 1)) << np.uint64(BITS) | np.asarray(sketch).astype(np.uint64)
+    return (low | np.uint64(kind << 62)).view(np.int64)
+
+
+def decoded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, shard, sketch) of encoded keys."""
+    shard = key >> BITS & ((1 << _SHARD_BITS) - 1)
+    return key >> 62 & 3, shard, key & ((1 << BITS) - 1)
+
+
+def _rows(parts: list[tuple[np.ndarray, np.ndarray]], signatures: list[bytes], classes: np.ndarray) -> pa.RecordBatch:
+    """Rows of (key, class) without a signature, and a row with the signature of each class."""
+    none = sum(len(p[0]) for p in parts)
+    key = np.concatenate([*(p[0] for p in parts), encoded(SIGNATURE, classes, 0)])
+    cls = np.concatenate([*(p[1] for p in parts), classes])
     signature = pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array(signatures, pa.binary())])
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), signature], schema=_SHARDS_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), signature], schema=_SHARDS_ARROW)
 
 
 def _bands(batches: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.RecordBatch]:
@@ -164,18 +179,18 @@ def _bands(batches: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.Rec
         slot, place, n = np.unique(key & np.int64(len(counts) - 1), return_inverse=True, return_counts=True)
         counts[slot] += n.astype(np.uint32)
         over = (counts[slot] > hot)[place]
-        parts = [(key[~over], OWN << BITS | sketch[~over], cls[~over])]
+        parts = [(encoded(OWN, key[~over], sketch[~over]), cls[~over])]
         if over.any():
             new = np.array([k for k in np.unique(key[over]).tolist() if k not in marked], np.int64)
             marked.update(new.tolist())
-            parts.append((new, np.full(len(new), MARK << BITS), np.zeros(len(new), np.int64)))
-            parts.append(_split(key[over], sketch[over], cls[over]))
+            parts += [(encoded(MARK, new, 0), np.zeros(len(new), np.int64)), _split(key[over], sketch[over], cls[over])]
         yield _rows(parts, [x.tobytes() for x in signature], own)
 
 
-def _split(key: np.ndarray, sketch: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(shard: np.ndarray, sketch: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, class) in the sub-shards; of a shard only the bits that keys hold count."""
     n = len(SEGMENTS)
-    return sub_shards(key, sketch).ravel(), np.repeat(SPLIT << BITS | sketch, n), np.repeat(cls, n)
+    return encoded(SPLIT, sub_shards(shard & ((1 << _SHARD_BITS) - 1), sketch).ravel(), np.repeat(sketch, n)), np.repeat(cls, n)
 
 
 class Forest:
@@ -262,29 +277,26 @@ class Forest:
                 yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-_FOUND = "kind int, a long, b long, sketch int, signature binary"
-_FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.int32()), ("signature", pa.binary())])
+_FOUND = "kind int, a long, b long, signature binary"
+_FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("signature", pa.binary())])
 
 
-def _found(kind: int, a: np.ndarray, b: np.ndarray, sketch: np.ndarray | None = None, signature=None) -> pa.RecordBatch:
+def _found(kind: int, a: np.ndarray, b: np.ndarray, signature=None) -> pa.RecordBatch:
     n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b),
-            pa.nulls(n, pa.int32()) if sketch is None else pa.array(sketch.astype(np.int32)), pa.nulls(n, pa.binary()) if signature is None else signature,
-        ],
-        schema=_FOUND_ARROW,
-    )
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(n, pa.binary()) if signature is None else signature]
+    return pa.RecordBatch.from_arrays(columns, schema=_FOUND_ARROW)
 
 
 def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int | None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (kind ``OWN``) of the shards in the sort order.
+    """Candidate pairs (kind ``OWN``: classes) of the shards in the sort order.
 
-    Rows of shards that are marked or hold more than ``tree_size`` texts leave as rows of their sub-shards
-    (kind ``SPLIT``), and so do rows that came as such; signatures pass once a class.
+    Rows of shards that are marked or hold more than ``tree_size`` texts leave as rows of their
+    sub-shards (kind ``SPLIT``: key, class), and so do rows that came as such; signatures pass once a class.
+    Without a ``tree_size`` the rows are those of sub-shards, which are searched whatever their size.
     """
+    wanted = SPLIT if tree_size is None else OWN
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    marks, last, size = np.zeros(0, np.int64), None, 0
+    marks, size, signed = np.zeros(0, np.int64), 0, None
     pairs: list[np.ndarray] = []
 
     def close(final: bool) -> Iterator[pa.RecordBatch]:
@@ -293,44 +305,43 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int | Non
             pairs.clear()
             yield _found(OWN, got[:, 0], got[:, 1])
 
-    def work(key: np.ndarray, sketch: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
+    def work(shard: np.ndarray, sketch: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(shard):
             return
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        n = np.diff(np.r_[starts, len(key)])
-        large = np.isin(key[starts], marks)
+        starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        n = np.diff(np.r_[starts, len(shard)])
+        large = np.isin(shard[starts], marks)
         if tree_size is not None:
             large |= n > tree_size
         large, several = np.repeat(large, n), np.repeat(n > 1, n)
         if large.any():
-            k, tag, c = _split(key[large], sketch[large], cls[large])
-            yield _found(SPLIT, k, c, tag & ((1 << BITS) - 1))
+            yield _found(SPLIT, *_split(shard[large], sketch[large], cls[large]))
         own = several & ~large
         if own.any():
-            for got in Forest(key[own], sketch[own], cls[own]).pairs(radius):
+            for got in Forest(shard[own], sketch[own], cls[own]).pairs(radius):
                 pairs.append(got)
                 yield from close(False)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, tag, cls = (batch.column(i).to_numpy() for i in range(3))
-        kind, sketch = tag >> BITS, (tag & ((1 << BITS) - 1)).astype(np.int64)
+        key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        kind, shard, sketch = decoded(key)
         passing = kind == SPLIT
-        if passing.any() and tree_size is not None:
-            yield _found(SPLIT, key[passing], cls[passing], sketch[passing])
-        signed = np.flatnonzero(kind == SIGNATURE)
-        if len(signed):
-            new = np.r_[key[signed[0]] != last, key[signed[1:]] != key[signed[:-1]]]
-            signed = signed[new]
-            if len(signed):
-                yield _found(SIGNATURE, cls[signed], cls[signed], signature=batch.column(3).take(pa.array(signed)))
-        marks = np.concatenate([marks, key[kind == MARK]])
-        own = kind == OWN if tree_size is not None else passing
-        held.append((key[own], sketch[own], cls[own]))
-        size += int(own.sum())
-        last = key[-1]
-        if key[0] == last and (tree_size is None or size <= tree_size):
+        if wanted == OWN and passing.any():
+            yield _found(SPLIT, key[passing], cls[passing])
+        at = np.flatnonzero(kind == SIGNATURE)
+        if len(at):
+            new = np.r_[cls[at[0]] != signed, cls[at[1:]] != cls[at[:-1]]]
+            signed = cls[at[-1]]
+            if new.any():
+                yield _found(SIGNATURE, cls[at[new]], cls[at[new]], batch.column(2).take(pa.array(at[new])))
+        marks = np.concatenate([marks, shard[kind == MARK]])  # they sort before the rows of shards
+        rows = kind == wanted
+        if not rows.any():
+            continue
+        held.append((shard[rows], sketch[rows], cls[rows]))
+        size += len(held[-1][0])
+        last = held[-1][0][-1]
+        if held[0][0][0] == last and (tree_size is None or size <= tree_size):
             continue  # all of one shard so far
         k, s, c = (np.concatenate([h[i] for h in held]) for i in range(3))
         stays = k == last
@@ -338,8 +349,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int, tree_size: int | Non
             marks = np.append(marks, last)  # the rest of a large shard follows row by row
             stays[:] = False
         yield from work(k[~stays], s[~stays], c[~stays])
-        held, size = [(k[stays], s[stays], c[stays])], int(stays.sum())
-        marks = marks[marks == last]
+        held, size = [(k[stays], s[stays], c[stays])] if stays.any() else [], int(stays.sum())
     if held:
         yield from work(*(np.concatenate([h[i] for h in held]) for i in range(3)))
     yield from close(True)
@@ -392,12 +402,13 @@ def candidates(df: DataFrame, key: str, text: str, threshold: float, radius: int
     """Distinct (a, b), a < b: pairs of classes that are close in some shard's tree and by their signatures."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     shards = texts.mapInArrow(lambda b: _bands(b, hot), _SHARDS)
-    found = shards.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(lambda b: _search(b, radius, tree_size), _FOUND)
+    place = F.shiftrightunsigned("key", BITS).bitwiseAND(F.lit((1 << _SHARD_BITS) - 1))
+    found = shards.repartition(place).sortWithinPartitions("key").mapInArrow(lambda b: _search(b, radius, tree_size), _FOUND)
     found = written(found)  # pairs are few against the shards; signatures are read twice
     pairs = found.where(F.col("kind") == OWN).select("a", "b")
-    split = found.where(F.col("kind") == SPLIT).select(F.col("a").alias("key"), (F.col("sketch") + F.lit(SPLIT << BITS)).cast("int").alias("tag"), F.col("b").alias("class"), F.lit(None).cast("binary").alias("signature"))
+    split = found.where(F.col("kind") == SPLIT).select(F.col("a").alias("key"), F.col("b").alias("class"), F.lit(None).cast("binary").alias("signature"))
     if split.limit(1).count():
-        again = split.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(lambda b: _search(b, radius, None), _FOUND)
+        again = split.repartition(place).sortWithinPartitions("key").mapInArrow(lambda b: _search(b, radius, None), _FOUND)
         pairs = pairs.unionByName(again.select("a", "b"))
     signed = found.where(F.col("kind") == SIGNATURE)
     x, y = (signed.select(F.col("a").alias(k), F.col("signature").alias(f"s{k}")) for k in "ab")
