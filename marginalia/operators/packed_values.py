@@ -20,6 +20,8 @@ same name.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +54,11 @@ def _is_json(c: Column) -> Column:
     return c.rlike(r"(?s)^\s*\[.*\]\s*$")
 
 
-def delimiter_scores(df: DataFrame, value: str, source: str) -> DataFrame:
-    """(source, delimiter, support, score) of every candidate seen in a source."""
+def delimiter_stats(df: DataFrame, value: str, source: str) -> DataFrame:
+    """(source, delimiter, support, k1, k2, r1): sums over the values that hold a candidate.
+
+    Sums of rows that come and go can be added and taken off (``merged_stats``).
+    """
     masked = F.regexp_replace(F.col(value), _MASK, "Q")
     base = df.select(F.coalesce(F.col(source), F.lit("")).alias("source"), masked.alias("m")).where(
         F.col("m").isNotNull() & ~_is_json(F.col("m"))
@@ -67,7 +72,7 @@ def delimiter_scores(df: DataFrame, value: str, source: str) -> DataFrame:
             F.size(F.filter(pieces, lambda p: p.rlike(_REGULAR) & p.rlike(r"[\p{L}\p{N}]|^\s*Q"))).cast("double").alias("r"),
         )
         found.append(F.when(F.col("m").rlike(rx), entry))
-    seen = (
+    return (
         base.select("source", F.explode(F.array_compact(F.array(*found))).alias("e"))
         .select("source", "e.*")
         .where("k >= 2")
@@ -75,6 +80,17 @@ def delimiter_scores(df: DataFrame, value: str, source: str) -> DataFrame:
         .agg(F.count("*").alias("support"), F.sum("k").alias("k1"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.sum("r").alias("r1"))
     )
 
+
+def merged_stats(*signed: tuple[DataFrame, int]) -> DataFrame:
+    """Statistics added up with a sign each."""
+    columns = ["support", "k1", "k2", "r1"]
+    parts = [s.select("source", "delimiter", *[(F.col(c) * F.lit(sign)).alias(c) for c in columns]) for s, sign in signed]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("source", "delimiter").agg(*[F.sum(c).alias(c) for c in columns]).where("support > 0")
+
+
+def delimiter_scores(seen: DataFrame) -> DataFrame:
+    """(source, delimiter, support, score) of the statistics of every candidate seen in a source."""
+
     def score(n: Column, k1: Column, k2: Column, r1: Column) -> Column:
         mean = k1 / n
         cv = F.sqrt(F.greatest(k2 / n - mean * mean, F.lit(0.0))) / mean
@@ -101,10 +117,10 @@ def _pattern(active: Column) -> Column:
     return F.concat(F.lit("(?U)(?:^|"), sep, F.lit(r")[ \t]*+((?:[#\-*•]\s?)?(?:"), *quoted, F.lit("(?:(?!"), sep, F.lit(r")[\s\S])*+))"))
 
 
-def dialects(df: DataFrame, value: str, source: str, min_score: float = 0.3) -> DataFrame:
-    """(source, pattern): one row for each source that packs values at all."""
+def dialects(seen: DataFrame, min_score: float = 0.3) -> DataFrame:
+    """(source, delimiters, pattern) of the statistics: one row for each source that packs values at all."""
     return (
-        delimiter_scores(df, value, source)
+        delimiter_scores(seen)
         .where(F.col("score") >= min_score)
         .groupBy("source")
         .agg(F.sort_array(F.collect_set("delimiter")).alias("delimiters"))  # ten at most
@@ -140,9 +156,13 @@ def split_values(value: Column, pattern: Column) -> Column:
     return F.coalesce(F.filter(parsed, lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def split_packed(df: DataFrame, value: str, source: str, out: str = "values") -> DataFrame:
-    """``df`` with the array column ``out``: the values packed in ``value``, in written order."""
-    known, _ = bounded_side(dialects(df, value, source), MAX_BROADCAST_SOURCES)
+def split_packed(df: DataFrame, value: str, source: str, out: str = "values", known: DataFrame | None = None) -> DataFrame:
+    """``df`` with the array column ``out``: the values packed in ``value``, in written order.
+
+    ``known``: the dialects to split by; without them those of the rows themselves.
+    """
+    if known is None:
+        known, _ = bounded_side(dialects(delimiter_stats(df, value, source)), MAX_BROADCAST_SOURCES)
     known = known.select(F.col("source").alias("__source"), F.col("pattern").alias("__pattern"))
     none = _pattern(F.array().cast("array<string>"))
     return (

@@ -94,14 +94,18 @@ def numbered(df: DataFrame, order: list[str], start: Column | int, out: str) ->
     return parts.join(before, "__part").withColumn(out, (F.lit(start) + F.col("__before") + within).cast("long")).drop("__part", "__at", "__before")
 
 
-def upsert(notes: DataFrame, batch: DataFrame, now: str, stamp: str) -> DataFrame:
-    """``notes`` after a batch of (columns of a note without id, arrival).
+@dataclass(frozen=True)
+class Upserted:
+    """What a batch does to the notes: those it leaves, those it meets before and after, and the new ones, which have no id yet."""
 
-    Rows of a code arrive in the order of ``arrival``: the first inserts or meets the stored
-    note, every later one overwrites seven columns. A null code never meets another; the
-    empty code does. An empty ``created_at`` becomes ``now``, ``timestamp`` is always ``stamp``.
-    New ids follow the largest one in order of first arrival.
-    """
+    untouched: DataFrame
+    before: DataFrame
+    after: DataFrame
+    fresh: DataFrame
+
+
+def upsert_parts(notes: DataFrame, batch: DataFrame, now: str, stamp: str) -> Upserted:
+    """The parts of ``upsert``; only notes whose code the batch has are touched, found by the batch's codes."""
     rows = batch.withColumn("created_at", F.coalesce(F.nullif("created_at", F.lit("")), F.lit(now))).withColumn("timestamp", F.lit(stamp))
     order = F.struct("arrival", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TIES])
     coded = rows.where("video_code IS NOT NULL").groupBy("video_code").agg(
@@ -114,9 +118,21 @@ def upsert(notes: DataFrame, batch: DataFrame, now: str, stamp: str) -> DataFram
     merged = touched.join(coded.select("video_code", "last"), "video_code").select("id", "video_code", *KEPT, *[F.col(f"last.{c}").alias(c) for c in OVERWRITTEN])
     fresh = coded.join(touched.select("video_code"), "video_code", "left_anti").select("arrival", "video_code", "first.*", "last.*")
     nameless = rows.where("video_code IS NULL").select("arrival", "video_code", *KEPT, *OVERWRITTEN)
+    return Upserted(untouched, touched, merged, fresh.unionByName(nameless))
+
+
+def upsert(notes: DataFrame, batch: DataFrame, now: str, stamp: str) -> DataFrame:
+    """``notes`` after a batch of (columns of a note without id, arrival).
+
+    Rows of a code arrive in the order of ``arrival``: the first inserts or meets the stored
+    note, every later one overwrites seven columns. A null code never meets another; the
+    empty code does. An empty ``created_at`` becomes ``now``, ``timestamp`` is always ``stamp``.
+    New ids follow the largest one in order of first arrival.
+    """
+    parts = upsert_parts(notes, batch, now, stamp)
     top = notes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    new = numbered(fresh.unionByName(nameless), ["arrival", "video_code", *TIES], top, "id")
-    return untouched.select(NOTE_COLUMNS).unionByName(merged.select(NOTE_COLUMNS)).unionByName(new.select(NOTE_COLUMNS))
+    new = numbered(parts.fresh, ["arrival", "video_code", *TIES], top, "id")
+    return parts.untouched.select(NOTE_COLUMNS).unionByName(parts.after.select(NOTE_COLUMNS)).unionByName(new.select(NOTE_COLUMNS))
 
 
 def video_code(key: Column, length: int = 5) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.operators.packed_values import delimiter_scores, explode_packed, split_packed
+from marginalia.operators.packed_values import delimiter_scores, delimiter_stats, explode_packed, split_packed
 from marginalia.sources.tables import read_table, source_host
 
 
@@ -23,7 +23,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delimiters of each source with their support and score."""
     notes = read_table(spark, sf_dir, "knowledge").select("tags", source_host(F.col("source_url")).alias("host"))
-    return delimiter_scores(notes, "tags", "host").select(F.col("source").alias("host"), "delimiter", "support", F.round("score", 6).alias("score"))
+    return delimiter_scores(delimiter_stats(notes, "tags", "host")).select(F.col("source").alias("host"), "delimiter", "support", F.round("score", 6).alias("score"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_dialects": p4_dialects}

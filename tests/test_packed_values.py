@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators.packed_values import delimiter_scores, explode_packed, split_packed
+from marginalia.operators.packed_values import delimiter_scores, delimiter_stats, explode_packed, merged_stats, split_packed
 
 VALUES = ["red", "deep blue", "编译器", "C#", "F#", "C++", "TCP/IP", "A/B测试", "24/7 support", "v2.0-beta", "snake_case", "R&D", "100%真人", "Beginner's corner", "e.g. list"]
 TRICKY = ["Harbour, old town", "茶，咖啡", "输入、输出", "左/右 / 中间", "red|black tree", "Rivers; canals, locks", 'say "no"', 'size 5" nails']
@@ -73,4 +73,12 @@ def test_edge_cases(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, host string, tags string")
     assert split_packed(df, "tags", "host", "v").count() == 0
-    assert delimiter_scores(df, "tags", "host").count() == 0
+    assert delimiter_scores(delimiter_stats(df, "tags", "host")).count() == 0
+
+
+def test_statistics_add_up(spark):
+    df = spark.createDataFrame([(i, "h" if i % 2 else "g", f"a{i}, b; c{i}", i < 30) for i in range(60)], "id long, host string, tags string, old boolean")
+    every, old, rest = (delimiter_stats(x, "tags", "host") for x in (df, df.where("old"), df.where("NOT old")))
+    rows = lambda x: {tuple(r) for r in x.collect()}
+    assert rows(merged_stats((every, 1), (old, -1))) == rows(rest) and rows(merged_stats((old, 1), (rest, 1))) == rows(every)
+    assert rows(merged_stats((old, 1), (old, -1))) == set()
