@@ -11,12 +11,14 @@ from marginalia.functions.times import epoch_micros
 from marginalia.llm.cooccurrence import cooccurrence
 from marginalia.llm.neardup import as_pairs, groups, near_duplicates
 from marginalia.llm.survivors import FieldRule, completeness, survivors
-from marginalia.llm.term_counts import TermCounts, changes_between, mark, state_root
-from marginalia.plans.notes import upsert_notes
+from marginalia.llm.term_counts import TermCounts, mark, state_root
+from marginalia.operators.bounded import bounded_side
+from marginalia.operators.packed_values import MAX_BROADCAST_SOURCES, delimiter_stats, dialects, merged_stats, split_packed
+from marginalia.operators.shared import written
+from marginalia.operators.store import upsert_parts
+from marginalia.plans.notes import NOW, STAMP
 from marginalia.plans.packed import note_tags
 from marginalia.sources.tables import read_table, source_host
-from marginalia.operators.packed_values import split_packed
-
 
 #: Similarity from which two notes count as the same text with edits, fixed by the problem.
 NEAR = 0.6
@@ -26,36 +28,94 @@ def _lower_tags(tags):
     return F.transform(tags, lambda t: F.lower(t))
 
 
-def _counted(spark: SparkSession, sf_dir: str) -> TermCounts:
-    """Persistent counts after one batch that adds every note."""
-    added = note_tags(spark, sf_dir).select(_lower_tags(F.col("tag_list")).alias("terms"), F.lit(1).alias("sign"))
-    return TermCounts(spark, state_root(spark)).apply(added, "all-notes")
+#: Batches in which the notes come to the counts, by the order of their ids.
+BATCHES = 4
+
+
+class _Counted:
+    """Persistent counts of the notes' tags after ``BATCHES`` batches of added notes, and what later batches need.
+
+    ``stats``: the statistics of the delimiters, which add up like the counts; ``known``: the dialects from them.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.notes = read_table(spark, sf_dir, "knowledge")
+        self.stats = written(delimiter_stats(self.hosted(self.notes), "tags", "host"))
+        self.known = dialects(self.stats)
+        self.state = TermCounts(spark, state_root(spark))
+        side = self.side(self.known)
+        low, high, self.n = self.notes.agg(F.min("id"), F.max("id"), F.count("*")).first()
+        low, high = low or 0, high or 0
+        edges = [low + (high + 1 - low) * i // BATCHES for i in range(BATCHES + 1)]
+        at = F.coalesce("id", F.lit(low))
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            self.state.apply(self.signed(self.notes.where((at >= a) & (at < b)), side, 1), i)
+
+    @staticmethod
+    def side(known: DataFrame) -> DataFrame:
+        return bounded_side(known, MAX_BROADCAST_SOURCES)[0]
+
+    @staticmethod
+    def hosted(notes: DataFrame) -> DataFrame:
+        return notes.select("tags", source_host(F.col("source_url")).alias("host"))
+
+    def signed(self, notes: DataFrame, side: DataFrame, sign: int) -> DataFrame:
+        """(terms, sign) of notes, split by the given dialects."""
+        split = split_packed(self.hosted(notes), "tags", "host", "tag_list", side)
+        return split.select(_lower_tags(F.col("tag_list")).alias("terms"), F.lit(sign).alias("sign"))
+
+    def change(self, batch: int, before: DataFrame, after: DataFrame, untouched: DataFrame) -> DataFrame:
+        """The counts after notes went (``before``) and came (``after``): only these rows are read.
+
+        The statistics of the delimiters change with them. Where that gives a source another
+        dialect, its ``untouched`` notes are split anew, else they aren't read.
+        """
+        stats = written(merged_stats((self.stats, 1), (delimiter_stats(self.hosted(after), "tags", "host"), 1), (delimiter_stats(self.hosted(before), "tags", "host"), -1)))
+        now = dialects(stats)
+        o, n = (k.select("source", F.col("pattern").alias(p)) for k, p in ((self.known, "was"), (now, "is")))
+        other = written(o.join(n, "source", "full_outer").where(~F.col("was").eqNullSafe(F.col("is"))).select("source"))
+        old, new = self.side(self.known), self.side(now)
+        changes = self.signed(before, old, -1).unionByName(self.signed(after, new, 1))
+        if other.limit(1).count():
+            moved = untouched.join(self.side(other), source_host(F.col("source_url")) == F.col("source"), "left_semi")
+            changes = changes.unionByName(self.signed(moved, old, -1)).unionByName(self.signed(moved, new, 1))
+        self.state.apply(changes, batch)
+        self.stats, self.known = stats, now
+        return self.counts()
+
+    def counts(self) -> DataFrame:
+        return self.state.counts().select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("notes"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = _counted(spark, sf_dir)
-    n = read_table(spark, sf_dir, "knowledge").count()
-    return mark(state.counts(), n).where("mark IS NOT NULL").select(F.col("term").alias("tag"), "mark")
+    counted = _Counted(spark, sf_dir)
+    return mark(counted.state.counts(), counted.n).where("mark IS NOT NULL").select(F.col("term").alias("tag"), "mark")
 
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tag with its occurrences, its notes and its mark."""
-    n = read_table(spark, sf_dir, "knowledge").count()
-    return mark(_counted(spark, sf_dir).counts(), n).select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("notes"), F.coalesce("mark", F.lit("")).alias("mark"))
+    counted = _Counted(spark, sf_dir)
+    marked = mark(counted.state.counts(), counted.n)
+    return marked.select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("notes"), F.coalesce("mark", F.lit("")).alias("mark"))
 
 
 def p1_after_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts after the batch of note_upserts: those of the table that ``upsert_notes`` gives.
+    """Counts after the batch of note_upserts, as a batch of deltas: those of the table that ``upsert_notes`` gives.
 
-    Notes with a code of the batch change, rows with a new code and rows without a code, each
-    on its own, are added. A source whose dialect the batch changes has its other notes split anew.
+    Notes with a code of the batch change; rows with a new code, and each row without a code, are added.
     """
-    state = _counted(spark, sf_dir)
-    old = note_tags(spark, sf_dir, "id").select("id", _lower_tags(F.col("tag_list")).alias("terms"))
-    after = upsert_notes(spark, sf_dir).select("id", "tags", source_host(F.col("source_url")).alias("host"))
-    new = split_packed(after, "tags", "host", "tag_list").select("id", _lower_tags(F.col("tag_list")).alias("terms"))
-    state.apply(changes_between(old, new, "id", "terms"), "note-upserts")
-    return state.counts().select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("notes"))
+    counted = _Counted(spark, sf_dir)
+    parts = upsert_parts(counted.notes, read_table(spark, sf_dir, "note_upserts"), NOW, STAMP)
+    columns = ["tags", "source_url"]
+    return counted.change(BATCHES, parts.before.select(columns), parts.after.select(columns).unionByName(parts.fresh.select(columns)), parts.untouched.select(columns))
+
+
+def p1_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after the notes whose code is in note_upserts are deleted: those of the table that ``delete_by_code`` gives."""
+    counted = _Counted(spark, sf_dir)
+    parts = upsert_parts(counted.notes, read_table(spark, sf_dir, "note_upserts"), NOW, STAMP)
+    columns = ["tags", "source_url"]
+    return counted.change(BATCHES, parts.before.select(columns), parts.before.select(columns).limit(0), parts.untouched.select(columns))
 
 
 def _pairs(spark: SparkSession, sf_dir: str, min_count: int) -> DataFrame:
@@ -135,7 +195,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_upserts": p1_after_upserts,
+    "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_upserts": p1_after_upserts, "p1_after_deletes": p1_after_deletes,
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p5_found": p5_found, "p5_records": p5_records,
     "p6_found": p6_found, "p6_classes": p6_classes, "p6_links": p6_links, "p6_groups": p6_groups,
 }

@@ -5,8 +5,9 @@ one, and both (old and new terms) for a changed one. A batch of changes is aggre
 (term, occurrences, records) and merged into persistent counts that are partitioned by
 the hash of the term. Only the partitions that a batch touches are read and written
 again; a manifest names the current version of each. Every version is written to a new
-folder and the manifest last, so a job that dies half-way leaves the old state valid, and
-a batch whose id is already in the manifest is not applied twice.
+folder and then a new manifest is put in place by a rename, so a job that dies half-way leaves the
+old state valid, and of two writers that started from one state the slower one fails. Batches are
+numbered, and one that was applied is not applied again.
 
 Defined cases: null arrays and null or empty terms count nothing; a term repeated in a
 record counts each time as an occurrence and once as a record; terms whose counts return
@@ -15,14 +16,13 @@ to zero leave the state; an empty batch changes nothing but is remembered.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import let
-from marginalia.operators.shared import new_folder
+from marginalia.operators.shared import Manifests, delete_folder, exists, new_folder
 
 SCHEMA = "term string, occurrences long, records long"
 
@@ -41,7 +41,10 @@ def term_deltas(changes: DataFrame, terms: str, sign: str) -> DataFrame:
 
 
 def changes_between(old: DataFrame, new: DataFrame, key: str, terms: str) -> DataFrame:
-    """(terms, sign) turning ``old`` into ``new``: added, changed and deleted records only."""
+    """(terms, sign) turning ``old`` into ``new``: added, changed and deleted records only.
+
+    ``old`` and ``new`` are the records of the batch's keys before and after it, not the whole collection.
+    """
     o = old.select(F.col(key).alias("__k"), F.col(terms).alias("__old"), F.lit(True).alias("__in_old"))
     n = new.select(F.col(key).alias("__k"), F.col(terms).alias("__new"), F.lit(True).alias("__in_new"))
     both = o.join(n, "__k", "full_outer").where(~F.col("__old").eqNullSafe(F.col("__new")))
@@ -61,29 +64,7 @@ class TermCounts:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def _file(self):
-        jvm, at = self.spark.sparkContext._jvm, f"{self.root}/manifest.json"
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _manifest(self) -> dict:
-        fs, path = self._file()
-        if not fs.exists(path):
-            return {"batches": [], "version": {}}
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> None:
-        fs, path = self._file()
-        stream = fs.create(path, True)
-        try:
-            stream.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            stream.close()
+        self.manifests = Manifests(spark, self.root)
 
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
@@ -94,37 +75,45 @@ class TermCounts:
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(*folders)
 
+    def version(self) -> dict[str, str]:
+        """The folder of each bucket that holds a term."""
+        return self.manifests.current()[1].get("version", {})
+
     def counts(self) -> DataFrame:
         """(term, occurrences, records) of the current state."""
-        return self._read(self._manifest()["version"])
+        return self._read(self.version())
 
-    def apply(self, changes: DataFrame, batch_id: str, terms: str = "terms", sign: str = "sign") -> "TermCounts":
-        manifest = self._manifest()
-        if batch_id in manifest["batches"]:
+    def apply(self, changes: DataFrame, batch: int, terms: str = "terms", sign: str = "sign") -> "TermCounts":
+        """Merges the signed records of ``batch``; batches have growing numbers, and one up to the last that was applied changes nothing."""
+        number, manifest = self.manifests.current()
+        version = manifest.get("version", {})
+        if batch <= manifest.get("batch", -1):
             return self
-        folder = f"v{len(manifest['batches']):06d}-{uuid.uuid4().hex[:8]}"
+        folder, parts = f"v{number + 1:06d}-{uuid.uuid4().hex[:8]}", f"{self.root}/delta-{uuid.uuid4().hex}"
         delta = term_deltas(changes, terms, sign).where("occurrences != 0 OR records != 0")
-        if manifest["version"]:
-            delta.withColumn("bucket", self._bucket(F.col("term"))).write.parquet(f"{self.root}/{folder}-delta")
-            delta = self.spark.read.parquet(f"{self.root}/{folder}-delta")
-            touched = {str(r[0]) for r in delta.select("bucket").distinct().collect()}  # at most one row a bucket
-            old = self._read({b: v for b, v in manifest["version"].items() if b in touched})
-            delta = (
-                old.unionByName(delta.drop("bucket"))
-                .groupBy("term")
-                .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-                .where("occurrences != 0 OR records != 0")
-            )
-        else:
-            touched = {str(b) for b in range(self.buckets)}
-        merged = delta.withColumn("bucket", self._bucket(F.col("term")))
-        merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        fs, _ = self._file()
-        there = {b for b in touched if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}/bucket={b}"))}
-        version = {b: v for b, v in manifest["version"].items() if b not in touched} | {b: folder for b in there}
-        self._publish({"batches": [*manifest["batches"], batch_id], "version": version})
+        delta.withColumn("bucket", self._bucket(F.col("term"))).write.parquet(parts)
+        delta = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(parts)
+        touched = {str(r[0]) for r in delta.select("bucket").distinct().collect()}  # at most one row a bucket
+        merged = (
+            self._read({b: v for b, v in version.items() if b in touched})
+            .unionByName(delta.drop("bucket"))
+            .groupBy("term")
+            .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+            .where("occurrences != 0 OR records != 0")
+        )
+        merged.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        there = {b: folder for b in touched if exists(self.spark, f"{self.root}/{folder}/bucket={b}")}
+        self.manifests.publish(number + 1, {"batch": batch, "version": {b: v for b, v in version.items() if b not in touched} | there})
+        delete_folder(self.spark, parts)
         return self
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes the folders that none of the last ``keep`` manifests names."""
+        numbers = self.manifests.numbers()
+        named = lambda some: {v for n in some for v in self.manifests.read(n)["version"].values()}
+        for folder in named(numbers[:-keep]) - named(numbers[-keep:]):
+            delete_folder(self.spark, f"{self.root}/{folder}")
+
 
 def mark(counts: DataFrame, n_records: int, rare_below: int = 3, common_above: float = 0.1) -> DataFrame:
     """``counts`` with ``mark``: rare, common, or null for useful terms."""

@@ -8,13 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.times import epoch_micros
-from marginalia.llm import neardup
+from marginalia.llm import algorithm_queries, neardup
 from marginalia.llm.algorithm_queries import QUERIES
 from marginalia.llm.cooccurrence import cooccurrence
 from marginalia.llm.neardup import Forest, as_pairs, candidates, groups, near_duplicates
 from marginalia.llm.survivors import FieldRule, completeness, survivors, trust
 from marginalia.llm.term_counts import TermCounts, changes_between, mark, state_root, term_deltas
-from marginalia.plans.notes import upsert_notes
+from marginalia.plans import notes
 
 
 def records(seed, n=400):
@@ -44,23 +44,37 @@ def state_of(state):
 
 def test_deltas_equal_a_recount(spark):
     old = records(1)
-    state = TermCounts(spark, state_root(spark), buckets=8).apply(frame(spark, old).withColumn("sign", F.lit(1)), "b0")
+    state = TermCounts(spark, state_root(spark), buckets=8).apply(frame(spark, old).withColumn("sign", F.lit(1)), 0)
     assert state_of(state) == counted(old)
     new = {k: v for k, v in old.items() if k % 3} | {k: ["t1", "new", "new"] for k in range(10)} | {1000: ["only"]}
-    state.apply(changes_between(frame(spark, old), frame(spark, new), "id", "terms"), "b1")
-    assert state_of(state) == counted(new)
-    state.apply(changes_between(frame(spark, old), frame(spark, new), "id", "terms"), "b1")  # replayed
-    assert state_of(state) == counted(new)
-    state.apply(changes_between(frame(spark, new), frame(spark, {}), "id", "terms"), "b2")
+    changed = [k for k in {**old, **new} if old.get(k) != new.get(k)]
+    batch = changes_between(*(frame(spark, {k: x[k] for k in changed if k in x}) for x in (old, new)), "id", "terms")  # the batch's keys alone
+    for _ in range(2):  # the second time it is a replay
+        state.apply(batch, 1)
+        assert state_of(state) == counted(new)
+    state.apply(changes_between(frame(spark, new), frame(spark, {}), "id", "terms"), 2)
     assert state_of(state) == {}
+    state.vacuum(1)
+    assert state_of(state) == {}
+
+
+def test_a_writer_from_an_old_state_fails(spark):
+    state = TermCounts(spark, state_root(spark), buckets=4).apply(frame(spark, records(2)).withColumn("sign", F.lit(1)), 0)
+    number, content = state.manifests.current()
+    state.manifests.publish(number + 1, content | {"batch": 7})
+    with pytest.raises(Exception, match="(?i)exist"):
+        state.manifests.publish(number + 1, content | {"batch": 8})
+    assert state.manifests.current() == (number + 1, content | {"batch": 7})
 
 
 def test_untouched_buckets_stay(spark):
-    state = TermCounts(spark, state_root(spark), buckets=16).apply(frame(spark, records(2)).withColumn("sign", F.lit(1)), "b0")
-    before = state._manifest()["version"]
-    state.apply(spark.createDataFrame([(["t1"], 1)], "terms array<string>, sign int"), "b1")
-    after = state._manifest()["version"]
+    state = TermCounts(spark, state_root(spark), buckets=16).apply(frame(spark, records(2)).withColumn("sign", F.lit(1)), 0)
+    before = state.version()
+    state.apply(spark.createDataFrame([(["t1"], 1)], "terms array<string>, sign int"), 1)
+    after = state.version()
     assert sum(before[b] != after[b] for b in before) == 1
+    state.vacuum()
+    assert state.counts().count() == 30
 
 
 def test_term_cases(spark):
@@ -72,11 +86,26 @@ def test_term_cases(spark):
     assert {r["term"]: r["mark"] for r in mark(marks, 100).collect()} == {"a": "rare", "b": None, "c": None, "d": "common"}
 
 
-def test_counts_after_upserts_are_those_of_the_upserted_notes(spark, data, tmp_path):
+@pytest.mark.parametrize("name, table", [("p1_after_upserts", "upsert_notes"), ("p1_after_deletes", "delete_by_code")])
+def test_counts_after_a_batch_are_those_of_the_notes_after_it(spark, data, tmp_path, name, table):
     assert spark.read.parquet(f"{data}/note_upserts.parquet").where("video_code IS NULL AND tags != ''").count()
-    upsert_notes(spark, data).write.parquet(f"{tmp_path}/knowledge.parquet")
+    notes.QUERIES[table](spark, data).write.parquet(f"{tmp_path}/knowledge.parquet")
     want = {(r["tag"], r["occurrences"], r["notes"]) for r in QUERIES["p1_counts"](spark, str(tmp_path)).collect()}
-    assert {tuple(r) for r in QUERIES["p1_after_upserts"](spark, data).collect()} == want
+    assert {tuple(r) for r in QUERIES[name](spark, data).collect()} == want
+
+
+def test_a_batch_that_changes_a_dialect(spark, tmp_path):
+    """Bars pack values only once a batch brought enough of them; the notes from before are then split anew."""
+    columns = "id long, tags string, source_url string, video_code string"
+    old = [(i, f"one{i}|", "https://a.example/x", f"c{i}") for i in range(30)] + [(99, "x1|y1", "https://a.example/x", "c99"), (100, None, None, "d")]
+    new = [(200 + i, f"p{i}|q{i}|r{i}", "https://a.example/x", None) for i in range(200)]
+    full = lambda rows: spark.createDataFrame(rows, columns)
+    state = {}
+    for name, rows in (("before", old), ("after", old[1:] + new)):
+        full(rows).write.parquet(f"{tmp_path}/{name}/knowledge.parquet")
+        state[name] = algorithm_queries._Counted(spark, f"{tmp_path}/{name}")
+    got = state["before"].change(algorithm_queries.BATCHES, full(old[:1]), full(new), full(old[1:]))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in state["after"].counts().collect()}
 
 
 # ---------------------------------------------------------------- p2
