@@ -114,7 +114,8 @@ def _pattern(active: Column) -> Column:
     sep = F.concat(F.lit("(?:"), klass, slash, F.lit(")"))
     end = F.concat(F.lit(r"(?=\s*(?:"), sep, F.lit("|$))"))
     quoted = [F.concat(F.lit(f"{o}[^{c}]*+{c}"), end, F.lit("|")) for o, c in QUOTES.items()]
-    return F.concat(F.lit("(?U)(?:^|"), sep, F.lit(r")[ \t]*+((?:[#\-*•]\s?)?(?:"), *quoted, F.lit("(?:(?!"), sep, F.lit(r")[\s\S])*+))"))
+    # a delimiter at the very beginning opens its piece; an empty match there would make the search skip it
+    return F.concat(F.lit("(?U)(?:^(?!"), sep, F.lit(")|"), sep, F.lit(r")[ \t]*+((?:[#\-*•]\s?)?(?:"), *quoted, F.lit("(?:(?!"), sep, F.lit(r")[\s\S])*+))"))
 
 
 def dialects(seen: DataFrame, min_score: float = 0.3) -> DataFrame:

@@ -35,7 +35,7 @@ def packed(rng):
         tags = [rng.choice(VALUES + TRICKY) for _ in range(n)]
         return sep.join(map(_csv, tags)), tags
     if style == "messy":
-        return "　" + ",,".join(tags) + ", ,，", tags
+        return rng.choice(["　", ",", "，", " ,", ",,", ", ,"]) + ",,".join(tags) + ", ,，", tags
     return sep.join(tags), tags
 
 
