@@ -56,10 +56,13 @@ class ItemIndex:
         self.stretch, self.k = stretch, (stretch + 1) // 2
         self.w = stretch - self.k + 1
         self.ids = ids
-        code, at = C.kept(texts, (1,))
-        self.letters = np.diff(at)
+        code, self.at = C.kept(texts, (1,))
+        at, self.letters = self.at, np.diff(self.at)
         runs = C.kgrams(code, stretch)
-        self.runs = [runs[a : max(a, b - stretch + 1)] for a, b in zip(at.tolist(), at[1:].tolist())]
+        place = np.arange(len(runs))
+        place = place[place + stretch <= at[np.searchsorted(at, place, "right")]] if len(runs) else place  # inside one item
+        order = np.argsort(runs[place], kind="stable")
+        self.run, self.place = runs[place][order], place[order]
         hashes = [np.unique(fingerprints(code[a:b], self.k, self.w)[0]) for a, b in zip(at, at[1:])]
         h = np.concatenate([np.zeros(0, np.uint64), *hashes])
         owner = np.repeat(np.arange(len(texts)), [len(x) for x in hashes])
@@ -68,7 +71,7 @@ class ItemIndex:
 
     def candidates(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (document, item) that share a fingerprint, by document; ``at``: offsets of the documents."""
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros(0, np.int64)]
         step = max(SLICE, 4 * self.stretch)
         for start in range(0, len(code) if len(self.hash) else 0, step):
             h, p = fingerprints(code[start : start + step + self.stretch], self.k, self.w)
@@ -78,30 +81,34 @@ class ItemIndex:
             doc = np.searchsorted(at, p, "right") - 1
             inside = p + self.k <= at[doc + 1]
             if inside.any():
-                pairs, first = np.unique(np.stack([doc[inside], left[inside]], axis=1), axis=0, return_index=True)  # a fingerprint once a document
-                n = np.searchsorted(self.hash, h[inside][first], "right") - pairs[:, 1]
-                item = self.owner[np.repeat(pairs[:, 1] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                found.append(np.unique(np.stack([np.repeat(pairs[:, 0], n), item], axis=1), axis=0))
-        return np.unique(np.concatenate(found), axis=0)
-
-    def shared(self, code: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """How many letters of each of the items lie in stretches that the document ``code`` has."""
-        runs = [self.runs[i] for i in items.tolist()]
-        size = np.array([len(r) for r in runs])
-        every = np.concatenate(runs)
-        hit = np.zeros(len(every), bool)
+                width = len(self.hash) + 1
+                pairs, first = np.unique(doc[inside] * width + left[inside], return_index=True)  # a fingerprint once a document
+                doc, left = pairs // width, pairs % width
+                n = np.searchsorted(self.hash, h[inside][first], "right") - left
+                item = self.owner[_expanded(left, n)]
+                found.append(np.unique(np.repeat(doc, n) * len(self.ids) + item))
+        pairs = np.unique(np.concatenate(found))
+        return np.stack([pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))], axis=1)
+
+    def shared(self, code: np.ndarray) -> np.ndarray:
+        """How many letters of each item lie in stretches that the document ``code`` has."""
+        found = [np.zeros(0, np.int64)]
         for start in range(0, len(code), SLICE):
-            own = np.unique(C.kgrams(code[start : start + SLICE + self.stretch - 1], self.stretch))
-            if len(own):
-                hit |= own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-        # every item has stretch - 1 letters more than runs; a letter counts if a run over it is a hit
-        ends = np.cumsum(size + self.stretch - 1)
-        place = np.arange(len(every)) + np.repeat(np.arange(len(size)) * (self.stretch - 1), size)
-        depth = np.zeros(ends[-1] + 1, np.int64)
-        np.add.at(depth, place[hit], 1)
-        np.add.at(depth, place[hit] + self.stretch, -1)
-        covered = np.r_[0, np.cumsum(np.cumsum(depth)[:-1] > 0)]
-        return covered[ends] - covered[np.r_[0, ends[:-1]]]
+            own = np.sort(C.kgrams(code[start : start + SLICE + self.stretch - 1], self.stretch))
+            own = own[np.diff(own, prepend=own[:1] + np.uint64(1)) != 0]
+            left = np.searchsorted(self.run, own, "left")
+            hit = self.run[np.minimum(left, len(self.run) - 1)] == own if len(self.run) else np.zeros(len(own), bool)
+            left = left[hit]
+            found.append(self.place[_expanded(left, np.searchsorted(self.run, own[hit], "right") - left)])
+        place = np.unique(np.concatenate(found))
+        # a run ends inside its item, so the next item's runs never shorten it
+        added = np.minimum(self.stretch, np.diff(place, append=1 << 62))
+        return np.bincount(np.searchsorted(self.at, place, "right") - 1, added, len(self.ids)).astype(np.int64)
+
+
+def _expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of ``n`` from each ``start``."""
+    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
 
 
 _LEAKS = "doc_id long, item_id long, shared_letters long, item_letters long"
@@ -121,7 +128,7 @@ def _leaks(batches: Iterator[pa.RecordBatch], indexes: list[ItemIndex], share: t
                 cuts = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]]) if len(pairs) else []
                 for a, b in zip(cuts, [*cuts[1:], len(pairs)]):
                     d, items = int(pairs[a, 0]), pairs[a:b, 1]
-                    for i, n in zip(items.tolist(), index.shared(code[at[d] : at[d + 1]], items).tolist()):
+                    for i, n in zip(items.tolist(), index.shared(code[at[d] : at[d + 1]])[items].tolist()):
                         if n * share[1] >= share[0] * index.letters[i]:
                             rows.append((ids[d], index.ids[i], n, int(index.letters[i])))
             yield _rows(rows)
@@ -147,7 +154,7 @@ def _extended(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iter
         rows = []
         for d, i, n, text, passage in (r for x in C.slices(batch, 16) for r in zip(*x)):
             index = ItemIndex([i], [passage], n)
-            got = int(index.shared(C.kept([text], (1,))[0], np.zeros(1, np.int64))[0])
+            got = int(index.shared(C.kept([text], (1,))[0])[0])
             if got * share[1] >= share[0] * index.letters[0]:
                 rows.append((d, i, got, int(index.letters[0])))
         yield _rows(rows)
