@@ -1,11 +1,14 @@
 """Filling fixed-capacity containers: bounded-space online best fit.
 
-Texts are sized in tokens once and hashed to lanes. A lane packs its texts, in the order of
-a hash and the largest of each ``WINDOW`` first, into at most ``OPEN_BINS`` open containers. A bitset has a one for every free space
-that some open container has; the container with the least free space that still fits is
-found by shifting the bitset. If none fits and all places are taken, the fullest container
-closes and a new one opens. A text over the capacity is cut into full containers and its
-last piece is packed like any other.
+Texts are sized in tokens once and hashed to lanes. A lane packs its texts one after the other,
+in the order of a hash, into at most ``OPEN_BINS`` open containers. A bitset has a one for
+every free space that some open container has; the container with the least free space that
+still fits is found by shifting the bitset. If none fits and all places are taken, the fullest
+container closes and a new one opens. A text over the capacity is cut into full containers and
+its last piece is packed like any other.
+
+With a ``window`` of one text that is the plain online order. A longer window is a bounded look
+ahead: its texts are placed by falling size, which leaves less space unused.
 
 Containers that are still open when a lane ends and have more than ``SPARE`` of their
 capacity free go to a second round with ``MERGE`` times fewer lanes, and so on until one lane
@@ -18,6 +21,7 @@ each; containers are numbered without gaps within their kind.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import codes as C
 from marginalia.operators.shared import written
 
-OPEN_BINS = 4096
+OPEN_BINS = 1024
 #: Texts of a lane that are looked at together, the largest first.
 WINDOW = 2000
 LANE_TEXTS = 50_000
@@ -151,7 +155,7 @@ def _send(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_PACKED_ARROW)], schema=_PACKED_ARROW)
 
 
-def _lanes(groups: Iterator[tuple[int, Iterator[tuple]]], capacity: dict[str, int], open_bins: int, last: bool) -> Iterator[pa.RecordBatch]:
+def _lanes(groups: Iterator[tuple[int, Iterator[tuple]]], capacity: dict[str, int], open_bins: int, window: int, last: bool) -> Iterator[pa.RecordBatch]:
     """Packs the items (kind or None for all, size, parts) of each lane."""
     rows: list[tuple] = []
     for lane, items in groups:
@@ -162,10 +166,10 @@ def _lanes(groups: Iterator[tuple[int, Iterator[tuple]]], capacity: dict[str, in
             rows.append((kind, lane, number[kind], closed, free, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts]))
 
         bins = {k: OpenBins(c, open_bins, lambda free, parts, k=k: row(k, True, free, parts)) for k, c in capacity.items()}
-        for window in itertools.batched(items, WINDOW):
+        for ahead in itertools.batched(items, window):
             for k, c in capacity.items():
                 pieces = []
-                for kind, size, parts in window:
+                for kind, size, parts in ahead:
                     if kind is not None and kind != k:
                         continue
                     if size <= c:
@@ -189,11 +193,11 @@ def _lanes(groups: Iterator[tuple[int, Iterator[tuple]]], capacity: dict[str, in
         yield _send(rows)
 
 
-def _first(batches: Iterator[pa.RecordBatch], capacity: dict[str, int], open_bins: int, last: bool) -> Iterator[pa.RecordBatch]:
-    yield from _lanes(_by_lane((lane, (None, n, [(key, 0, n)])) for b in batches for lane, key, n in zip(*C.columns(b))), capacity, open_bins, last)
+def _first(batches: Iterator[pa.RecordBatch], capacity: dict[str, int], open_bins: int, window: int, last: bool) -> Iterator[pa.RecordBatch]:
+    yield from _lanes(_by_lane((lane, (None, n, [(key, 0, n)])) for b in batches for lane, key, n in zip(*C.columns(b))), capacity, open_bins, window, last)
 
 
-def _again(batches: Iterator[pa.RecordBatch], capacity: dict[str, int], open_bins: int, last: bool) -> Iterator[pa.RecordBatch]:
+def _again(batches: Iterator[pa.RecordBatch], capacity: dict[str, int], open_bins: int, window: int, last: bool) -> Iterator[pa.RecordBatch]:
     """Empties the bins that were left open into their items and packs them, largest bins first as they come."""
 
     def items() -> Iterator[tuple[int, tuple]]:
@@ -202,7 +206,7 @@ def _again(batches: Iterator[pa.RecordBatch], capacity: dict[str, int], open_bin
                 for p in zip(keys, starts, ends):
                     yield lane, (kind, p[2] - p[1], [p])
 
-    yield from _lanes(_by_lane(items()), capacity, open_bins, last)
+    yield from _lanes(_by_lane(items()), capacity, open_bins, window, last)
 
 
 def _by_lane(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, Iterator[tuple]]]:
@@ -210,21 +214,21 @@ def _by_lane(rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, Iterator[
         yield lane, (r[1] for r in group)
 
 
-def pack(sized: DataFrame, containers: list[tuple[str, int]], open_bins: int = OPEN_BINS, lane_texts: int = LANE_TEXTS) -> DataFrame:
+def pack(sized: DataFrame, containers: list[tuple[str, int]], open_bins: int = OPEN_BINS, lane_texts: int = LANE_TEXTS, window: int = WINDOW) -> DataFrame:
     """(container_kind, container_no, key, ord, token_start, token_end, tokens_free) of all (key, tokens)."""
     capacity = {k: c for k, c in containers if k is not None and c is not None and c > 0}
-    sized = written(sized.where("key IS NOT NULL AND tokens > 0"))  # tokenising is the dear part: once
+    sized = written(sized.where("key IS NOT NULL AND tokens > 0"))
     lanes = max(1, math.ceil(sized.count() / lane_texts))
     lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     spread = sized.select(lane("key", lanes).alias("lane"), "key", "tokens").repartition(lanes, "lane")
     spread = spread.sortWithinPartitions("lane", F.xxhash64("key", F.lit(1)), "key", "tokens")
-    packed = written(spread.mapInArrow(lambda b, end=lanes == 1: _first(b, capacity, open_bins, end), _PACKED))
+    packed = written(spread.mapInArrow(lambda b, end=lanes == 1: _first(b, capacity, open_bins, window, end), _PACKED))
     done, level = packed.where("closed").withColumn("level", F.lit(0)), 0
     while lanes > 1:
         lanes, level = max(1, lanes // MERGE), level + 1
         left = packed.where("NOT closed").select((F.col("lane") % lanes).cast("int").alias("l"), "kind", "keys", "starts", "ends", "free", F.col("lane").alias("from"), "bin")
         left = left.repartition(lanes, "l").sortWithinPartitions("l", "kind", "from", "bin").select("l", "kind", "keys", "starts", "ends")
-        packed = written(left.mapInArrow(lambda b, end=lanes == 1: _again(b, capacity, open_bins, end), _PACKED))
+        packed = written(left.mapInArrow(lambda b, end=lanes == 1: _again(b, capacity, open_bins, window, end), _PACKED))
         done = done.unionByName(packed.where("closed").withColumn("level", F.lit(level)))
     # numbers without gaps: the containers of a (kind, level, lane) count from the sum of those before it
     n = done.groupBy("kind", "level", "lane").agg(F.max("bin").alias("top"), F.count("*").alias("n"))
@@ -238,3 +242,24 @@ def pack(sized: DataFrame, containers: list[tuple[str, int]], open_bins: int = O
         "container_kind", "container_no", F.col("p.keys").alias("key"), (F.col("i") + 1).cast("long").alias("ord"),
         F.col("p.starts").alias("token_start"), F.col("p.ends").alias("token_end"), "tokens_free",
     )
+
+
+def violations(packed: DataFrame, sized: DataFrame, containers: list[tuple[str, int]]) -> DataFrame:
+    """(rule, broken): how often a filling breaks each rule, all of them counted over all rows."""
+    capacity = F.create_map(*[F.lit(x) for kv in containers for x in kv])
+    length = F.col("token_end") - F.col("token_start")
+    bins = packed.groupBy("container_kind", "container_no").agg(F.sum(length).alias("held"), F.max("tokens_free").alias("free"), F.count("*").alias("n"), F.max("ord").alias("last"))
+    bins = bins.withColumn("c", F.try_element_at(capacity, F.col("container_kind")))
+    kinds = bins.groupBy("container_kind").agg(F.count("*").alias("n"), F.max("container_no").alias("last"))
+    texts = packed.groupBy("container_kind", "key").agg(F.sum(length).alias("held"), F.max("token_end").alias("end"), F.count("*").alias("parts"))
+    texts = texts.withColumn("c", F.try_element_at(capacity, F.col("container_kind"))).join(sized.where("tokens > 0").select("key", "tokens"), "key", "full")
+    count = lambda name, df, broken: df.agg(F.count_if(broken).alias("broken")).select(F.lit(name).alias("rule"), "broken")
+    rules = [
+        count("overfull", bins, F.col("held") > F.col("c")),
+        count("free space wrong", bins, F.col("held") + F.col("free") != F.col("c")),
+        count("orders with gaps", bins, F.col("n") != F.col("last")),
+        count("numbers with gaps", kinds, F.col("n") != F.col("last")),
+        count("text not whole", texts, F.coalesce((F.col("held") != F.col("tokens")) | (F.col("end") != F.col("tokens")), F.lit(True))),
+        count("split without need", texts, (F.col("parts") > 1) & (F.col("tokens") <= F.col("c"))),
+    ]
+    return functools.reduce(DataFrame.unionByName, rules)
