@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame
 from marginalia.operators import render, search
 from marginalia.operators.store import NoteStore, newest
 
+# The messages of the read API, here and below.
 _MORE = "\n> 使用 `get_note` (ID) 或 `get_note_by_code` (视频码) 获取完整内容。"
 
 
 @dataclass(frozen=True)
 class NotesApi:
+    """The tools over notes; ``location`` names where they are stored. Limits and offsets must not be negative."""
+
     notes: DataFrame
+    location: str = ""
 
     @property
     def store(self) -> NoteStore:
-        return NoteStore(self.notes)
+        return NoteStore(self.notes, self.location)
 
     def search_notes(self, query: str, limit: int = 100) -> str:
         rows = search.search(self.notes, query, limit).select("place", render.search_entry().alias("x")).orderBy("place").collect()

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import ustrip
 
-_HOST = r"https?://[A-Za-z0-9.\-]+"
-#: Shapes of share URLs, by priority: short link, video page, share page; group 1 is the URL.
-SHORT = rf"({_HOST}/[A-Za-z0-9_\-]+/?)(?:[\s,，。]|$)"
-VIDEO = rf"({_HOST}/video/[0-9]+)"
-SHARE = rf"({_HOST}/share/video/[0-9]+)"
+ANY_HOST = r"[A-Za-z0-9.\-]+"
+
+
+def share_shapes(hosts: Sequence[str] = ()) -> tuple[str, str, str]:
+    """Expressions of share URLs at the given hosts (or any host), by priority: short link, video page, share page.
+
+    A link ends before the first character that can't belong to it.
+    """
+    host = "https?://(?:" + ("|".join(re.escape(h) for h in hosts) or ANY_HOST) + ")"
+    return rf"{host}/(?!(?:share/)?video/[0-9])[A-Za-z0-9_\-]+/?", rf"{host}/video/[0-9]+", rf"{host}/share/video/[0-9]+"
 
 # What is taken out of a share text, in this order.
 CLEANERS = (
@@ -24,11 +32,14 @@ def _found(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def extract_url(text: Column) -> Column:
-    """The share URL of a text, by priority of shape; a short link ends with a slash. Null if there is none."""
-    short = _found(F.regexp_extract(text, SHORT, 1))
+def extract_url(text: Column, hosts: Sequence[str] = ()) -> Column:
+    """The share URL of a text, by priority of shape; a short link ends with a slash. Null if there is none.
+
+    With ``hosts`` only links to those count, so that an ordinary page in the text is passed over.
+    """
+    short, video, share = (_found(F.regexp_extract(text, shape, 0)) for shape in share_shapes(hosts))
     short = F.when(short.endswith("/"), short).otherwise(F.concat(short, F.lit("/")))
-    return F.coalesce(short, _found(F.regexp_extract(text, VIDEO, 1)), _found(F.regexp_extract(text, SHARE, 1)))
+    return F.coalesce(short, video, share)
 
 
 def requirement(text: Column, url: Column) -> Column:

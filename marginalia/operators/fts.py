@@ -34,9 +34,16 @@ def accent_table() -> tuple[str, str]:
     return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
+# Ranges of the combining marks that vanish inside a token; all others separate tokens.
+MARK_RANGES = ((0x300, 0x304), (0x306, 0x30C), (0x30F, 0x30F), (0x311, 0x311), (0x31B, 0x31B), (0x323, 0x328), (0x32D, 0x32E), (0x330, 0x331))
+MARKS = "".join(chr(c) for a, b in MARK_RANGES for c in range(a, b + 1))
+
+
 def fold_accents(c: Column) -> Column:
     low = F.lower(c)
-    return F.when(low.rlike("[\u00c0-\u036f\u1e00-\u1eff]"), F.translate(low, *accent_table())).otherwise(low)
+    src, dst = accent_table()
+    # what has no counterpart is dropped
+    return F.when(low.rlike("[\u00c0-\u036f\u1e00-\u1eff]"), F.translate(low, src + MARKS, dst)).otherwise(low)
 
 
 def tokens(c: Column) -> Column:
@@ -46,7 +53,7 @@ def tokens(c: Column) -> Column:
 
 def py_tokens(s: str) -> list[str]:
     src, dst = accent_table()
-    s = s.lower().translate(str.maketrans(src, dst))
+    s = s.lower().translate(str.maketrans(src, dst, MARKS))
     return re.findall(r"[^\W_]+", s)
 
 

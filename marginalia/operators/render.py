@@ -48,4 +48,4 @@ def note_document(code: bool = False) -> Column:
 
 def stats_text() -> Column:
     latest = F.coalesce(F.nullif("latest_entry", F.lit("")), F.lit("无"))
-    return F.concat(F.lit("## 知识库统计\n\n- **总笔记数**: "), F.col("total_entries"), F.lit("\n- **最新记录**: "), latest, F.lit("\n"))
+    return F.concat(F.lit("## 知识库统计\n\n- **总笔记数**: "), F.col("total_entries"), F.lit("\n- **最新记录**: "), latest, F.lit("\n- **数据库路径**: "), F.col("store"), F.lit("\n"))

@@ -18,7 +18,7 @@ from marginalia.operators import fts
 from marginalia.operators.like import has, split_keywords
 from marginalia.operators.store import newest
 
-RESULT = ["id", "video_id", "title", "author", "source_url", "tags", "user_requirement", "created_at", "duration_seconds", "video_code", "timestamp"]
+RESULT = ["id", "video_id", "title", "author", "tags", "source_url", "created_at", "duration_seconds", "video_code", "timestamp"]
 MAX_QUERIES = 1000
 
 

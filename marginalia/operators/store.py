@@ -29,7 +29,10 @@ def _limit(n: int) -> int:
 
 @dataclass(frozen=True)
 class NoteStore:
+    """Notes and the name of the place where they are stored."""
+
     notes: DataFrame
+    location: str = ""
 
     def get_by_id(self, note_id: int) -> DataFrame:
         return self.notes.where(F.col("id") == note_id).limit(1)
@@ -51,7 +54,8 @@ class NoteStore:
         return self.notes.where(has(F.col("tags"), tag)).select(LIST_COLUMNS).orderBy(*newest()).limit(_limit(limit))
 
     def stats(self) -> DataFrame:
-        return self.notes.agg(F.count("*").alias("total_entries"), F.max("created_at").alias("latest_entry"))
+        """(total_entries, latest_entry, store): one row, also of no notes."""
+        return self.notes.agg(F.count("*").alias("total_entries"), F.max("created_at").alias("latest_entry"), F.lit(self.location).alias("store"))
 
     def delete(self, ids: DataFrame) -> DataFrame:
         """The notes without those whose id is in ``ids``."""
@@ -137,7 +141,7 @@ def upsert(notes: DataFrame, batch: DataFrame, now: str, stamp: str) -> DataFram
 
 def video_code(key: Column, length: int = 5) -> Column:
     """A code of ``length`` characters of [0-9a-z] from a key: the same key gives the same code."""
-    h = F.pmod(F.xxhash64(key), F.lit(36**length))
+    h = F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 12), 16, 10).cast("long"), F.lit(36**length))
     return F.lower(F.lpad(F.conv(h.cast("string"), 10, 36), length, "0"))
 
 

@@ -9,7 +9,7 @@ from marginalia.functions.text import ASCII_LOWER, ASCII_UPPER
 from marginalia.operators import fts, render, search
 from marginalia.operators.like import has
 from marginalia.operators.store import NoteStore, code_collisions, upsert, video_code
-from marginalia.schema import LIST_COLUMNS, NOTE_COLUMNS
+from marginalia.schema import NOTE_COLUMNS
 from marginalia.sources.tables import read_table
 
 TAG, WORDS, TITLE_AUTHOR = "AI编程", "compiler 线程池 beekeeping", ("关于烘烤的3个提醒", "青禾夜读")
@@ -21,7 +21,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, sf_dir: str) -> NoteStore:
-    return NoteStore(_notes(spark, sf_dir))
+    return NoteStore(_notes(spark, sf_dir), "knowledge")
 
 
 def list_recent(spark, sf_dir):
@@ -81,7 +81,7 @@ def stats(spark, sf_dir):
 
 
 def stats_empty(spark, sf_dir):
-    return NoteStore(_notes(spark, sf_dir).where("id < 0")).stats()
+    return NoteStore(_notes(spark, sf_dir).where("id < 0"), "knowledge").stats()
 
 
 def search_tags(spark, sf_dir):
@@ -142,8 +142,9 @@ def delete_by_code(spark, sf_dir):
 
 
 def codes_unique(spark, sf_dir):
-    """Generated codes and their collisions over all notes."""
-    return code_collisions(_notes(spark, sf_dir).select("id", video_code(F.col("id"), 12).alias("code")), "code")
+    """The code generated for every note, and how many others have it too."""
+    codes = _notes(spark, sf_dir).select("id", video_code(F.col("id")).alias("code"))
+    return codes.join(code_collisions(codes, "code"), "code", "left").select("id", "code", (F.coalesce("n", F.lit(1)) - 1).alias("others"))
 
 
 def render_search(spark, sf_dir):
@@ -174,9 +175,12 @@ QUERIES = {
     )
 }
 
-_LIST, _ALL = ", ".join(LIST_COLUMNS), ", ".join(NOTE_COLUMNS)
+# the SQL names columns and constants by itself, so that it can disagree with the code
+_LIST = "id, video_id, title, author, tags, source_url, created_at, duration_seconds, video_code"
+_ALL = "id, video_id, title, author, source_url, summary_markdown, tags, user_requirement, created_at, duration_seconds, video_code, timestamp"
 _NEWEST = "ORDER BY created_at DESC NULLS LAST, id DESC"
-_RESULT = ", ".join(search.RESULT)
+_RESULT = "id, video_id, title, author, tags, source_url, created_at, duration_seconds, video_code, timestamp"
+_SEARCHED = ["title", "author", "summary_markdown", "tags"]
 
 
 def _fold(c: str) -> str:
@@ -195,8 +199,8 @@ def _tokens(c: str) -> str:
     return f"regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 
 
-_POSTINGS = " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest({_tokens(c)}) AS token FROM knowledge" for c in fts.COLUMNS)
-_LENGTH = " + ".join(f"len({_tokens(c)})" for c in fts.COLUMNS)
+_POSTINGS = " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest({_tokens(c)}) AS token FROM knowledge" for c in _SEARCHED)
+_LENGTH = " + ".join(f"len({_tokens(c)})" for c in _SEARCHED)
 
 
 def _bm25(words: list[str]) -> str:
@@ -238,7 +242,7 @@ def _search(queries: list[str], limit: int) -> str:
 
 def _phrase(p: list[str]) -> str:
     rx = "[^\\p{L}\\p{N}\\p{Co}]+".join(p)
-    return "(" + " OR ".join(f"regexp_matches(strip_accents(lower(coalesce({c}, ''))), '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}]){rx}($|[^\\p{{L}}\\p{{N}}\\p{{Co}}])')" for c in fts.COLUMNS) + ")"
+    return "(" + " OR ".join(f"regexp_matches(strip_accents(lower(coalesce({c}, ''))), '(^|[^\\p{{L}}\\p{{N}}\\p{{Co}}]){rx}($|[^\\p{{L}}\\p{{N}}\\p{{Co}}])')" for c in _SEARCHED) + ")"
 
 
 _TIES = "arrival, coalesce(created_at, ''), coalesce(title, ''), coalesce(author, ''), coalesce(summary_markdown, ''), coalesce(tags, ''), coalesce(user_requirement, ''), coalesce(video_id, ''), coalesce(source_url, '')"
@@ -271,8 +275,8 @@ ORACLE = {
     "dup_latest": """WITH l AS (SELECT * FROM knowledge WHERE title IS NOT NULL AND author IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY title, author ORDER BY coalesce(created_at, '') DESC, id DESC) = 1)
         SELECT u.arrival, u.title, u.author, l.id AS duplicate_id, l.video_code AS duplicate_code FROM note_upserts u LEFT JOIN l ON u.title = l.title AND u.author = l.author""",
-    "stats": "SELECT count(*) AS total_entries, max(created_at) AS latest_entry FROM knowledge",
-    "stats_empty": "SELECT count(*) AS total_entries, max(created_at) AS latest_entry FROM knowledge WHERE id < 0",
+    "stats": "SELECT count(*) AS total_entries, max(created_at) AS latest_entry, 'knowledge' AS store FROM knowledge",
+    "stats_empty": "SELECT count(*) AS total_entries, max(created_at) AS latest_entry, 'knowledge' AS store FROM knowledge WHERE id < 0",
     "search_tags": f"SELECT id, tags FROM knowledge WHERE {_has('tags', TAG)}",
     "search_like": f"SELECT id, title, substr(summary_markdown, 1, 200) AS snippet FROM knowledge WHERE {_any('Event Loop', 'title', 'summary_markdown', 'tags')}",
     "search_precise": f"""SELECT {_RESULT}, substr(coalesce(summary_markdown, ''), 1, 200) AS snippet FROM knowledge
@@ -293,5 +297,8 @@ ORACLE = {
         CASE WHEN coalesce(tags, '') != '' THEN chr(10) || '  标签: ' || substr(tags, 1, 80) ELSE '' END) AS line FROM (SELECT * FROM knowledge {_NEWEST} LIMIT 20 OFFSET 40)""",
     "render_note": f"""SELECT id, concat('# ', title, chr(10), chr(10), '- **作者**: ', author, chr(10), '- **来源**: ', source_url, chr(10), '- **标签**: ', tags, chr(10), '- **创建时间**: ', {_WHEN}, chr(10),
         CASE WHEN coalesce(user_requirement, '') != '' THEN '- **用户要求**: ' || user_requirement || chr(10) ELSE '' END, chr(10), '---', chr(10), chr(10), summary_markdown) AS text FROM knowledge""",
-    "render_stats": """SELECT concat('## 知识库统计', chr(10), chr(10), '- **总笔记数**: ', count(*), chr(10), '- **最新记录**: ', coalesce(nullif(max(created_at), ''), '无'), chr(10)) AS text FROM knowledge""",
+    "render_stats": """SELECT concat('## 知识库统计', chr(10), chr(10), '- **总笔记数**: ', count(*), chr(10), '- **最新记录**: ', coalesce(nullif(max(created_at), ''), '无'), chr(10), '- **数据库路径**: knowledge', chr(10)) AS text FROM knowledge""",
+    "codes_unique": """WITH h AS (SELECT id, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 12) AS BIGINT) % 60466176 AS h FROM knowledge),
+        c AS (SELECT id, array_to_string(list_transform([1679616, 46656, 1296, 36, 1], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(h // p % 36 AS INT) + 1, 1)), '') AS code FROM h)
+        SELECT id, code, count(*) OVER (PARTITION BY code) - 1 AS others FROM c""",
 }

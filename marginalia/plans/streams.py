@@ -69,10 +69,10 @@ def tagging(spark, sf_dir):
 
 
 def concat_segments(spark, sf_dir):
-    """The messages of every user and type joined in order of time."""
-    m = read_table(spark, sf_dir, "messages").where("msg_type IS NOT NULL AND msg_id IS NOT NULL")
-    key = F.concat_ws("|", "from_user", "msg_type")
-    return enrich.joined_segments(m, key, F.struct("ts", "msg_id"), F.col("content"))
+    """The messages of every user and type joined in order of time; null parts of the key or the order are empty and come first."""
+    m = read_table(spark, sf_dir, "messages")
+    key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("from_user", "msg_type")])
+    return enrich.joined_segments(m, key, F.struct("ts", F.coalesce("msg_id", F.lit("")), "content"), F.col("content"))
 
 
 def audio_segments(spark, sf_dir):
@@ -100,23 +100,23 @@ def _dedup(source: str, ttl: int) -> str:
 ORACLE = {
     "audio_segments": """WITH k AS (SELECT id, duration_seconds AS s FROM knowledge WHERE duration_seconds > 0 AND NOT isnan(duration_seconds)),
       g AS (SELECT id, s, unnest(range(CAST(ceil(s / 600) AS BIGINT))) AS seg FROM k) SELECT id, CAST(seg AS INT) AS seg, CAST(seg * 600 AS DOUBLE) AS seg_start, least(CAST((seg + 1) * 600 AS DOUBLE), s) AS seg_end FROM g""",
-    "msg_dedup": _dedup("SELECT DISTINCT concat_ws('_', coalesce(msg_id, ''), coalesce(create_time, '')) AS dedup_key, ts FROM messages WHERE ts IS NOT NULL", DEDUP_TTL_SECONDS),
-    "msg_dedup_ttl": _dedup("SELECT DISTINCT CAST(user_id AS VARCHAR) AS dedup_key, ts FROM events", LONG_TTL),
+    "msg_dedup": _dedup("SELECT DISTINCT concat_ws('_', coalesce(msg_id, ''), coalesce(create_time, '')) AS dedup_key, ts FROM messages WHERE ts IS NOT NULL", 300),
+    "msg_dedup_ttl": _dedup("SELECT DISTINCT CAST(user_id AS VARCHAR) AS dedup_key, ts FROM events", 86400),
     "text_messages": "SELECT msg_id, from_user, content, ts FROM messages WHERE msg_type = 'text'",
     "messages_by_type": "SELECT msg_type, count(*) AS n, count(DISTINCT from_user) AS users FROM messages GROUP BY msg_type",
     "signature": "SELECT msg_id, ts, sha1(array_to_string(list_sort(['token', coalesce(create_time, ''), coalesce(msg_id, ''), coalesce(content, '')]), '')) AS signature FROM messages",
     "xml_fields": "SELECT ts, coalesce(msg_type, '') AS msg_type, coalesce(from_user, '') AS from_user, coalesce(msg_id, '') AS msg_id, coalesce(create_time, '') AS create_time, coalesce(content, '') AS content FROM messages",
     "envelope_roundtrip": "SELECT msg_id, ts, content, 'corp-1' AS receiver FROM messages WHERE content IS NOT NULL",
-    "concat_segments": "SELECT concat_ws('|', from_user, msg_type) AS key, string_agg(content, chr(10) || chr(10) ORDER BY ts, msg_id) AS text FROM messages WHERE msg_type IS NOT NULL AND msg_id IS NOT NULL AND content IS NOT NULL GROUP BY ALL",
-    "call_decisions": """WITH o AS (SELECT call_id, attempt, min(outcome) AS outcome FROM enrich_calls GROUP BY ALL),
-      k AS (SELECT *, TRY_CAST(outcome AS INT) AS c, CASE WHEN TRY_CAST(outcome AS INT) BETWEEN 200 AND 299 THEN NULL WHEN TRY_CAST(outcome AS INT) = 429 THEN 'rate' WHEN TRY_CAST(outcome AS INT) >= 500 THEN 'server'
-        WHEN TRY_CAST(outcome AS INT) IS NULL THEN 'lost' ELSE 'client' END AS k FROM o),
-      f AS (SELECT call_id, min_by(k, attempt) AS chain, min(attempt) AS since FROM k WHERE k IN ('rate', 'server') GROUP BY call_id),
-      j AS (SELECT k.*, f.chain FROM k LEFT JOIN f ON k.call_id = f.call_id AND k.attempt >= f.since),
-      s AS (SELECT *, coalesce(k = chain OR (chain = 'server' AND k = 'lost'), false) AS same FROM j),
-      n AS (SELECT *, sum(CAST(same AS INT)) OVER (PARTITION BY call_id ORDER BY attempt) AS n FROM s)
-      SELECT call_id, attempt, outcome, CASE WHEN k IS NULL THEN 'return' WHEN same AND n <= 3 THEN 'retry' WHEN chain IS NOT NULL OR k = 'lost' OR c IN (401, 403) OR c BETWEEN 300 AND 399 THEN 'failover' ELSE 'raise' END AS action,
-        CAST(CASE WHEN same AND n <= 3 THEN CASE chain WHEN 'rate' THEN 5 ELSE 3 END * pow(2, n - 1) ELSE 0 END AS INT) AS wait FROM n""",
+    "concat_segments": "SELECT coalesce(from_user, '') || '|' || coalesce(msg_type, '') AS key, string_agg(content, chr(10) || chr(10) ORDER BY ts NULLS FIRST, coalesce(msg_id, ''), content) AS text FROM messages WHERE content IS NOT NULL GROUP BY ALL",
+    "call_decisions": """WITH RECURSIVE o AS (SELECT call_id, attempt, min(outcome) AS outcome FROM enrich_calls GROUP BY ALL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY attempt) AS r, CASE WHEN NOT regexp_full_match(coalesce(outcome, ''), '[0-9]+') THEN 'lost' WHEN outcome LIKE '2__' THEN 'ok' WHEN outcome = '429' THEN 'rate'
+        WHEN CAST(outcome AS INT) >= 500 THEN 'server' WHEN outcome IN ('401', '403') OR outcome LIKE '3__' THEN 'refused' ELSE 'client' END AS k FROM o),
+      s AS (SELECT call_id, attempt, outcome, r, 1 AS service, k AS chain, 1 AS tries, CASE k WHEN 'ok' THEN 'return' WHEN 'rate' THEN 'retry' WHEN 'server' THEN 'retry' WHEN 'client' THEN 'raise' ELSE 'failover' END AS action FROM n WHERE r = 1
+        UNION ALL SELECT n.call_id, n.attempt, n.outcome, n.r, CASE WHEN s.action = 'failover' THEN 2 ELSE s.service END, s.chain, CASE WHEN s.action = 'failover' THEN 1 ELSE s.tries + 1 END,
+          CASE WHEN s.action IN ('return', 'raise', 'over') THEN 'over' WHEN n.k = 'ok' THEN 'return' WHEN s.action = 'failover' THEN 'retry' WHEN s.service = 2 AND s.tries = 1 THEN 'retry' WHEN s.service = 2 THEN 'raise'
+            WHEN s.chain = 'rate' AND n.k = 'lost' THEN 'raise' WHEN s.tries = 3 OR NOT (n.k = s.chain OR s.chain = 'server' AND n.k = 'lost') THEN 'failover' ELSE 'retry' END
+        FROM s JOIN n ON n.call_id IS NOT DISTINCT FROM s.call_id AND n.r = s.r + 1)
+      SELECT call_id, attempt, outcome, service, action, CASE WHEN action != 'retry' THEN 0 WHEN service = 2 THEN 2 WHEN chain = 'rate' THEN [5, 10, 20][tries] ELSE [3, 6, 12][tries] END AS wait FROM s""",
 }
 
 _BLANK = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"

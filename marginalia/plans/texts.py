@@ -100,14 +100,28 @@ def note_times(spark, sf_dir):
     return read_table(spark, sf_dir, "knowledge").select("id", epoch_micros(F.col("timestamp")).alias("micros"))
 
 
+#: Hosts whose links are shares, a parameter of the operator.
+SHARE_HOSTS = (
+    "v.clipnest.example", "play.fernhub.example", "k.quartzlane.example", "www.reelbay.example", "m.tidecast.example", "live.orchardtv.example", "s.pinefeed.example",
+    "go.mossline.example", "old.saltreel.example",
+)
+
+
 def extract_url(spark, sf_dir):
     m = read_table(spark, sf_dir, "messages").where("content IS NOT NULL")
-    return m.select("msg_id", "ts", web.extract_url(F.col("content")).alias("url"))
+    return m.select("msg_id", "ts", web.extract_url(F.col("content"), SHARE_HOSTS).alias("url"))
+
+
+def extract_url_glued(spark, sf_dir):
+    """Links with text right behind them and a page of another host before them."""
+    m = read_table(spark, sf_dir, "messages").where("content IS NOT NULL")
+    glued = F.concat(F.lit("见 https://example.org/about 和"), F.regexp_replace("content", r"(https?://\S+)\s*", "（$1）复制此链接!"))
+    return m.select("msg_id", "ts", web.extract_url(glued, SHARE_HOSTS).alias("url"))
 
 
 def share_requirement(spark, sf_dir):
     m = read_table(spark, sf_dir, "messages").where("content IS NOT NULL")
-    url = web.extract_url(F.col("content"))
+    url = web.extract_url(F.col("content"), SHARE_HOSTS)
     return m.select("msg_id", "ts", web.requirement(F.col("content"), url).alias("requirement"))
 
 
@@ -143,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cleanup_output, latex_text, formulas, colon_list, marker_spacing, blank_before_list, split_inline_list, normalize_md, formulas_rendered, deliverable, paren_depth,
-        tags_from_bold, tags_clean, context, truncations, note_times, extract_url, share_requirement, video_id_from_url, page_title, router_json, chunk_text, chunk_markdown, chunk_reassembled,
+        tags_from_bold, tags_clean, context, truncations, note_times, extract_url, extract_url_glued, share_requirement, video_id_from_url, page_title, router_json, chunk_text, chunk_markdown, chunk_reassembled,
     )
 }
 
@@ -151,7 +165,7 @@ _STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
 _LF = r"regexp_replace(summary_markdown, '\r\n?', chr(10), 'g')"
 _LINES = f"string_split({_LF}, chr(10))"
 _JSON = r"regexp_extract(html, 'window\._ROUTER_DATA\s*=\s*(.*?)</script>', 1, 's')"
-_HOST = r"https?://[A-Za-z0-9.\-]+"
+_HOST = r"https?://(?:v\.clipnest|play\.fernhub|k\.quartzlane|www\.reelbay|m\.tidecast|live\.orchardtv|s\.pinefeed|go\.mossline|old\.saltreel)\.example"
 
 
 def _strip(x: str) -> str:
@@ -160,9 +174,16 @@ def _strip(x: str) -> str:
 
 _INFO = f"""j AS (SELECT page_id, CASE WHEN json_valid(trim({_JSON}, ' ' || chr(10))) THEN CAST(trim({_JSON}, ' ' || chr(10)) AS JSON) END AS j FROM share_pages),
 i AS (SELECT page_id, coalesce(json_extract(j, '$.loaderData."video_(id)/page".videoInfoRes'), json_extract(j, '$.loaderData."note_(id)/page".videoInfoRes')) AS i FROM j)"""
-_BEFORE = "regexp_replace(regexp_replace(substr(title, 1, length(title) - {}), '[^(（\\[【)）\\]】]', '', 'g'), '[(（\\[【][)）\\]】]', '', 'g')"
-_URL = rf"""coalesce(CASE WHEN s != '' THEN CASE WHEN s LIKE '%/' THEN s ELSE s || '/' END END, nullif(regexp_extract(content, '({_HOST}/video/[0-9]+)', 1), ''), nullif(regexp_extract(content, '({_HOST}/share/video/[0-9]+)', 1), ''))"""
-_SHORT = rf"regexp_extract(content, '({_HOST}/[A-Za-z0-9_\-]+/?)(?:[\s,，。]|$)', 1)"
+_FORMS = rf"""regexp_extract(regexp_replace(content, '{_HOST}/(?:share/)?video/[0-9]+', ' ', 'g'), '{_HOST}/[A-Za-z0-9_\-]+/?') AS s,
+    regexp_extract(content, '{_HOST}/video/[0-9]+') AS v, regexp_extract(content, '{_HOST}/share/video/[0-9]+') AS w"""
+_URL = "CASE WHEN s != '' THEN rtrim(s, '/') || '/' WHEN v != '' THEN v WHEN w != '' THEN w END"
+
+
+def _depth(text: str) -> str:
+    """Brackets opened and not closed, never under 0."""
+    step = "CASE WHEN x IN ('(', '（', '[', '【') THEN 1 WHEN x IN (')', '）', ']', '】') THEN -1 ELSE 0 END"
+    return f"CAST(list_reduce(list_prepend(0, list_transform(string_split({text}, ''), lambda x: {step})), lambda a, b: greatest(a + b, 0)) AS INT)"
+
 
 ORACLE = {
     "cleanup_output": r"""WITH a AS (SELECT doc_id, ltrim(regexp_replace(regexp_replace(chr(10) || chr(10) || '<search>x' || chr(10) || 'y</search> ' || chr(10) || '<query>q</query>' || chr(10) || text,
@@ -174,13 +195,14 @@ ORACLE = {
     "blank_before_list": rf"""WITH l AS (SELECT id, {_LINES} AS l FROM knowledge), s AS (SELECT id, l, list_transform(l, lambda x: {_strip('x')}) AS s FROM l)
         SELECT id, array_to_string(flatten(list_transform(l, lambda x, i: CASE WHEN s[i] != '' AND i < len(l) AND (regexp_matches(s[i + 1], '^[*\-+]\s+') OR regexp_matches(s[i + 1], '^\d+\.\s+'))
           AND (regexp_matches(s[i], '[：:]$') OR NOT (regexp_matches(s[i], '^[#>\-*+]') OR regexp_matches(s[i], '^\d+\.'))) THEN [x, ''] ELSE [x] END)), chr(10)) AS out FROM s""",
-    "paren_depth": f"SELECT id, CAST(length(title) - length(replace(replace(title, '（', ''), '(', '')) - (length(title) - length(replace(replace(title, '）', ''), ')', ''))) AS INT) AS depth, CAST(CASE WHEN right(title, 1) IN ('）', ')') THEN 1 ELSE 0 END + length(title) - length(replace(replace(title, '（', ''), '(', '')) - (length(title) - length(replace(replace(title, '）', ''), ')', ''))) AS INT) AS inner_depth FROM knowledge WHERE title IS NOT NULL",
+    "paren_depth": f"SELECT id, {_depth('title')} AS depth, {_depth('substr(title, 1, length(title) - 1)')} AS inner_depth FROM knowledge WHERE title IS NOT NULL",
     "tags_from_bold": rf"""WITH t AS (SELECT id, list_filter(list_transform(regexp_extract_all(summary_markdown, '\*\*([^*]+)\*\*', 1), lambda x: {_strip('x')}), lambda x: length(x) >= 2) AS t FROM knowledge)
         SELECT id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:15], ',') AS out FROM t""",
     "tags_clean": rf"""SELECT id, array_to_string(list_transform(list_filter(string_split(regexp_replace(tags, '[、，]', ',', 'g'), ','), lambda x: {_strip('x')} != ''), lambda x: {_strip("regexp_replace(" + _strip('x') + ", '^#+', '')")}), ',') AS out FROM knowledge""",
     "context": """SELECT id, concat_ws(chr(10), '笔记：', CASE WHEN title != '' THEN '标题：' || title END, CASE WHEN author != '' THEN '作者：' || author END, CASE WHEN user_requirement != '' THEN chr(10) || '要求：' || user_requirement END) AS out FROM knowledge""",
     "truncations": "SELECT id, substr(coalesce(title, ''), 1, 60) AS title, substr(coalesce(tags, ''), 1, 120) AS tags, substr(coalesce(summary_markdown, ''), 1, 200) AS snippet, coalesce(nullif(timestamp, ''), substr(created_at, 1, 19)) AS shown_time FROM knowledge",
-    "extract_url": f"SELECT msg_id, ts, {_URL} AS url FROM (SELECT *, {_SHORT} AS s FROM messages WHERE content IS NOT NULL)",
+    "extract_url": f"SELECT msg_id, ts, {_URL} AS url FROM (SELECT *, {_FORMS} FROM messages WHERE content IS NOT NULL)",
+    "extract_url_glued": f"SELECT msg_id, ts, {_URL} AS url FROM (SELECT *, {_FORMS} FROM messages WHERE content IS NOT NULL)",
     "video_id_from_url": r"""WITH p AS (SELECT page_id, string_split(url, '?')[1] AS p FROM share_pages) SELECT page_id, CASE WHEN regexp_matches(string_split(p, '/')[-1], '^\d+$') OR regexp_extract(p, '(\d{19})', 1) = ''
         THEN string_split(p, '/')[-1] ELSE regexp_extract(p, '(\d{19})', 1) END AS video_id FROM p""",
     "page_title": "SELECT page_id, nullif(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '') AS title FROM share_pages",
@@ -202,7 +224,7 @@ def _requirement_sql() -> str:
         rx = re.sub(r"(?<!\^)\\s(?!\\p)", lambda m: r"[\s\p{Z}]", rx).replace(r"\d", r"\p{Nd}")
         x = f"regexp_replace({x}, '{rx}', ' ', 'g')"
     x = _strip("regexp_replace(" + x + r", '[\s\p{Z}]+', ' ', 'g')")
-    return f"WITH u AS (SELECT msg_id, ts, content, {_URL} AS url FROM (SELECT *, {_SHORT} AS s FROM messages WHERE content IS NOT NULL)) SELECT msg_id, ts, {x} AS requirement FROM u"
+    return f"WITH u AS (SELECT msg_id, ts, content, {_URL} AS url FROM (SELECT *, {_FORMS} FROM messages WHERE content IS NOT NULL)) SELECT msg_id, ts, {x} AS requirement FROM u"
 
 
 ORACLE["share_requirement"] = _requirement_sql()

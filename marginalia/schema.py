@@ -19,5 +19,5 @@ MESSAGE = _struct("msg_id:string create_time:string msg_type:string from_user:st
 PAGE = _struct("page_id:long url:string html:string")
 CALL = _struct("call_id:string attempt:int outcome:string")
 NOTE_COLUMNS = [f.name for f in NOTE]
-#: Result columns of the list operators (no summary, no video id, no timestamp).
-LIST_COLUMNS = ["id", "video_code", "title", "author", "tags", "source_url", "created_at", "duration_seconds", "user_requirement"]
+#: Result columns of the list operators (no summary, requirement or timestamp).
+LIST_COLUMNS = ["id", "video_id", "title", "author", "tags", "source_url", "created_at", "duration_seconds", "video_code"]

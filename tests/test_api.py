@@ -35,8 +35,8 @@ def test_lists(api):
     assert lines[0] == "## 最近笔记 (第 1-2 条)" and lines[2].startswith("- **[2]** `None`") and lines[4] == "  标签: t1,t2"
     assert api.list_notes(1, 1).startswith("## 最近笔记 (第 2-2 条)") and api.list_notes(5, 9) == "知识库暂无笔记。"
     assert api.list_by_tag("t2").endswith("- **[1]** Title one — _ann_ (2024-01-01)") and api.list_by_tag("no").startswith("未找到")
-    assert "- **总笔记数**: 2\n- **最新记录**: 2024-01-02T00:00:00+00:00\n" in api.knowledge_stats()
-    assert "- **总笔记数**: 0\n- **最新记录**: 无\n" in NotesApi(api.notes.where("id < 0")).knowledge_stats()
+    assert "- **总笔记数**: 2\n- **最新记录**: 2024-01-02T00:00:00+00:00\n- **数据库路径**: \n" in api.knowledge_stats()
+    assert "- **总笔记数**: 0\n- **最新记录**: 无\n- **数据库路径**: a/b\n" in NotesApi(api.notes.where("id < 0"), "a/b").knowledge_stats()
 
 
 def test_media(spark, tmp_path):

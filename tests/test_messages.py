@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marginalia.config import Settings, token_valid
 from marginalia.functions import envelope, web
 from marginalia.operators import enrich
-from marginalia.operators.messages import accepted, dedup_key
+from marginalia.operators.messages import _entries, _kept, _summaries, accepted, dedup_key
 from marginalia.operators.shared import shared_folder, written
 from marginalia.schema import NOTE, UPSERT
 from marginalia.streaming.messages import Snapshots, decoded, dedup_exact, dedup_within_watermark, read_messages
@@ -38,6 +38,22 @@ def test_accepted(spark):
     assert accepted(df.limit(0), F.col("k"), F.col("ts"), 300).count() == 0
 
 
+def test_a_hot_key_in_many_partitions():
+    """One key over most partitions of a table in order of key and time, in partitions of any size."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for step in (1, 40, 400):
+        rows = sorted({(rng.choice("abbbbbbc"), rng.randrange(0, 3000, step) if rng.random() < 0.9 else rng.randrange(5000)) for _ in range(400)})
+        cuts = sorted(rng.sample(range(len(rows) + 1), 12))
+        parts = [rows[a:z] for a, z in zip([0, *cuts], [*cuts, len(rows)])]
+        frames = [[pa.RecordBatch.from_pylist([{"dedup_key": k, "t": t, "part": i} for k, t in p[j : j + 7]]) for j in range(0, len(p), 7)] for i, p in enumerate(parts)]
+        summaries = [r for f in frames for b in _summaries(iter(f), 300) for r in b.to_pylist()]
+        entry = _entries(summaries, 300)
+        got = [(r["dedup_key"], r["t"]) for f in frames for b in _kept(iter(f), 300, entry) for r in b.to_pylist()]
+        assert got == [(k, t) for k in "abc" for t in fold([x for y, x in rows if y == k], 300)]
+
+
 def test_stream_dedup_is_exact(spark, tmp_path):
     events = sorted(_events(8), key=lambda e: e[1])
     for i in range(0, len(events), 40):  # several micro-batches in order of time
@@ -109,10 +125,41 @@ def test_decisions(spark):
     rows = [(c, a + 1, o) for c, outcomes in calls for a, o in enumerate(outcomes)]
     got = {}
     for r in enrich.decisions(spark.createDataFrame(rows + rows[:40], "call_id string, attempt int, outcome string")).orderBy("attempt").collect():
-        got.setdefault(r["call_id"], []).append((r["action"], r["wait"]))
+        got.setdefault(r["call_id"], []).append((r["service"], r["action"], r["wait"]))
     assert got == {c: enrich.decide(o) for c, o in calls}
-    assert enrich.decide(["429"] * 4) == [("retry", 5), ("retry", 10), ("retry", 20), ("failover", 0)]
-    assert enrich.decide(["413"]) == [("raise", 0)] and enrich.decide(["401"]) == [("failover", 0)] == enrich.decide([None])
+    assert enrich.decide(["429"] * 5) == [(1, "retry", 5), (1, "retry", 10), (1, "retry", 20), (1, "failover", 0), (2, "retry", 2)]
+    assert enrich.decide(["413", "200"]) == [(1, "raise", 0), (1, "over", 0)] and enrich.decide(["401"]) == [(1, "failover", 0)] == enrich.decide([None])
+    assert enrich.decide(["429", "timeout"]) == [(1, "retry", 5), (1, "raise", 0)] and enrich.decide(["502", "timeout", "400"])[1:] == [(1, "retry", 6), (1, "failover", 0)]
+    assert enrich.decide([None, "400", "timeout", "502", "200"]) == [(1, "failover", 0), (2, "retry", 2), (2, "retry", 2), (2, "raise", 0), (2, "over", 0)]
+
+
+class Scripted:
+    def __init__(self, *answers):
+        self.answers = list(answers)
+
+    def complete(self, system, user):
+        a = self.answers.pop(0)
+        if isinstance(a, int):
+            raise enrich.StatusError(a)
+        if a is None:
+            raise TimeoutError
+        return a
+
+
+def test_failover_client():
+    def call(first, second):
+        waits = []
+        try:
+            return enrich.ResilientClient(Scripted(*first), Scripted(*second), waits.append).complete("", ""), waits
+        except Exception as e:  # noqa: BLE001
+            return type(e), waits
+
+    assert call(["fine"], []) == ("fine", [])
+    assert call([429, 429, "late"], []) == ("late", [5, 10])
+    assert call([502, None, 500, 503], [None, "other"]) == ("other", [3, 6, 12, 0, 2])
+    assert call([429, None], ["other"]) == (TimeoutError, [5])
+    assert call([401], [500, 500, 500]) == (enrich.StatusError, [0, 2, 2])
+    assert call([400], ["other"]) == (enrich.StatusError, [])
 
 
 class Failing:

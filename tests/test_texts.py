@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,11 +78,26 @@ def test_formulas_rendered():
     assert md.render_formulas("> $$x$$ $y$") == "> <code>x</code> <code>y</code>"
     assert md.render_formulas("```math\nz\n```") == "\n\n<pre><code>z</code></pre>\n\n"
     assert md.render_formulas("$x$", lambda c: "AA") == '<img src="data:image/png;base64,AA" alt="formula" class="inline-formula"/>'
+    assert md.render_formulas("> $$x$$", lambda c: "AA") == '> <img src="data:image/png;base64,AA" alt="formula" class="block-formula" style="display:block;margin:0 auto;"/>'
+
+
+def test_formula_expressions_agree_with_the_scan(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab*>#\n$$$$ `\\") for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["```math\nx\n```", "> $$ a $$ $b$", " > $ $ $$ $$ $$a$$"]
+    assert apply(spark, md.process_formulas, *texts) == [md.render_formulas(t) for t in texts]
+
+
+def test_formulas_inside_formulas_come_back():
+    assert md.normalize("$a $$b$$ c$ - d") == "$a $$b$$ c$ - d" and "\U000f0000" in md.normalize("x \U000f0000 $y$")
 
 
 def test_urls(spark):
     texts = ["see https://v.site.example/AbC1 now", "https://v.site.example/AbC1/", "https://a.example/share/video/12 https://a.example/video/34", "none", None, ""]
     assert apply(spark, web.extract_url, *texts) == ["https://v.site.example/AbC1/", "https://v.site.example/AbC1/", "https://a.example/video/34", None, None, None]
+    texts = ["https://v.site.example/abc复制此链接", "https://v.site.example/abc!", "(https://v.site.example/abc)", "see https://other.example/about and https://v.site.example/video/123，ok"]
+    only = lambda c: web.extract_url(c, ["v.site.example"])
+    assert apply(spark, only, *texts) == ["https://v.site.example/abc/"] * 3 + ["https://v.site.example/video/123"]
+    assert apply(spark, only, "https://vxsite.example/abc", "https://v.site.example/share/video/9 https://v.site.example/zz") == [None, "https://v.site.example/zz/"]
     df = spark.createDataFrame([("2.91 #sbT title https://h.example/video/1 keep this", "https://h.example/video/1"), ("3 点 @who do", None), ("", "")], "t string, u string")
     assert [r[0] for r in df.select(web.requirement(F.col("t"), F.col("u"))).collect()] == ["title keep this", "点 do", ""]
     urls = ["https://a/share/video/123?x=1", "https://a/b/7037730578408563495_x", "https://a/b/", None, "plain"]
