@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from marginalia.operators import render, search
+from marginalia.operators.postings import PostingsIndex
 from marginalia.operators.store import NoteStore, newest
 
 # The messages of the read API, here and below.
@@ -15,17 +16,18 @@ _MORE = "\n> 使用 `get_note` (ID) 或 `get_note_by_code` (视频码) 获取完
 
 @dataclass(frozen=True)
 class NotesApi:
-    """The tools over notes; ``location`` names where they are stored. Limits and offsets must not be negative."""
+    """The tools over notes; ``location`` names where they are stored, ``index`` is their full-text index, if there is one. Limits and offsets must not be negative."""
 
     notes: DataFrame
     location: str = ""
+    index: PostingsIndex | None = None
 
     @property
     def store(self) -> NoteStore:
         return NoteStore(self.notes, self.location)
 
     def search_notes(self, query: str, limit: int = 100) -> str:
-        rows = search.search(self.notes, query, limit).select("place", render.search_entry().alias("x")).orderBy("place").collect()
+        rows = search.search(self.notes, query, limit, self.index).select("place", render.search_entry().alias("x")).orderBy("place").collect()
         return "\n".join([f'## 搜索结果: "{query}" ({len(rows)} 条)\n', *(r["x"] for r in rows), _MORE]) if rows else f'未找到与 "{query}" 相关的笔记。'
 
     def search_notes_precise(self, query: str, limit: int = 20) -> str:

@@ -117,6 +117,11 @@ def bm25_many(notes: DataFrame, queries: dict[int, list[list[str]]], limit: int
     rows = counted(notes, [list(p) for p in order])
     per_phrase = [F.sum(F.when(F.col(f"f{i}") > 0, 1.0).otherwise(0.0)).alias(f"n{i}") for i in order.values()]
     stats = rows.agg(F.count("*").cast("double").alias("n"), F.sum("d").alias("total"), *per_phrase)
+    return ranked(rows, stats, queries, order, limit)
+
+
+def ranked(rows: DataFrame, stats: DataFrame, queries: dict[int, list[list[str]]], order: dict[tuple[str, ...], int], limit: int | None) -> DataFrame:
+    """(query_no, id, rank) from (id, d, f0, f1, ...) and one row (n, total, n0, n1, ...); ``order`` numbers the phrases."""
 
     def term(i: int) -> Column:
         df, f = F.col(f"n{i}"), F.col(f"f{i}")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import fts
 from marginalia.operators.like import has, split_keywords
+from marginalia.operators.postings import PostingsIndex
 from marginalia.operators.store import newest
 
 RESULT = ["id", "video_id", "title", "author", "tags", "source_url", "created_at", "duration_seconds", "video_code", "timestamp"]
@@ -26,8 +27,11 @@ def _any_column(keyword: str, columns: list[str]) -> Column:
     return functools.reduce(lambda a, b: a | b, [F.coalesce(has(F.col(c), keyword), F.lit(False)) for c in columns])
 
 
-def search_many(notes: DataFrame, queries: list[str], limit: int = 10) -> DataFrame:
-    """(query_no, place, id, strategy, snippet) of each query; ``queries``: at most ``MAX_QUERIES``."""
+def search_many(notes: DataFrame, queries: list[str], limit: int = 10, index: PostingsIndex | None = None) -> DataFrame:
+    """(query_no, place, id, strategy) of each query; ``queries``: at most ``MAX_QUERIES``.
+
+    With an ``index`` of the notes the full-text strategy reads postings instead of texts.
+    """
     if limit < 0 or len(queries) > MAX_QUERIES:
         raise ValueError("the limit must not be negative, nor the queries too many")
     found, scored = [], {}
@@ -43,16 +47,16 @@ def search_many(notes: DataFrame, queries: list[str], limit: int = 10) -> DataFr
     by_date = Window.partitionBy("query_no", "strategy", "kw").orderBy(*newest())
     ranked = hits.withColumn("rk", F.row_number().over(by_date)).where(F.col("rk") <= limit).select("query_no", "strategy", "kw", "rk", "id")
     if scored:
-        top = fts.bm25_many(notes, scored, limit)
+        top = index.bm25_many(scored, limit) if index else fts.bm25_many(notes, scored, limit)
         ranked = ranked.unionByName(top.select("query_no", F.lit(2).alias("strategy"), F.lit(0).alias("kw"), "rk", "id"))
     first = ranked.groupBy("query_no", "id").agg(F.min(F.struct("strategy", "kw", "rk")).alias("at"))
     place = F.row_number().over(Window.partitionBy("query_no").orderBy("at"))  # at most 2 x keywords + 1 times ``limit`` rows
     return first.withColumn("place", place).where(F.col("place") <= limit).select("query_no", F.col("place").cast("long").alias("place"), "id", F.col("at.strategy").alias("strategy"))
 
 
-def search(notes: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search(notes: DataFrame, query: str, limit: int = 10, index: PostingsIndex | None = None) -> DataFrame:
     """Result columns and snippet in order of ``place``."""
-    hits = search_many(notes, [query], limit).select("place", "id", "strategy")  # at most ``limit`` rows
+    hits = search_many(notes, [query], limit, index).select("place", "id", "strategy")  # at most ``limit`` rows
     words = sorted({w for p in fts.parse_match(split_keywords(query)) or [] for w in p})
     short = F.substring(F.coalesce("summary_markdown", F.lit("")), 1, 200)
     text = F.when(F.col("strategy") == 2, fts.snippet(F.col("summary_markdown"), words)).otherwise(short) if words else short

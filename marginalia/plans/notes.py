@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import ASCII_LOWER, ASCII_UPPER
 from marginalia.operators import fts, render, search
 from marginalia.operators.like import has
-from marginalia.operators.store import NoteStore, code_collisions, upsert, video_code
+from marginalia.operators.postings import PostingsIndex, index_of
+from marginalia.operators.shared import new_folder
+from marginalia.operators.store import TIES, NoteStore, code_collisions, numbered, upsert, upsert_parts, video_code
 from marginalia.schema import NOTE_COLUMNS
 from marginalia.sources.tables import read_table
 
@@ -97,6 +99,26 @@ def search_precise(spark, sf_dir):
     return search.search_precise(_notes(spark, sf_dir), "编译器,线程池", 50)
 
 
+def _index(spark, sf_dir) -> PostingsIndex:
+    return index_of(_notes(spark, sf_dir), new_folder(spark, "postings"))
+
+
+def fts_index(spark, sf_dir):
+    """Tokens of the index of all notes, with their notes and places."""
+    rows = _index(spark, sf_dir).postings()
+    return rows.groupBy("token").agg(F.countDistinct("id").alias("notes"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+def fts_index_after_upserts(spark, sf_dir):
+    """The same after the batch of note_upserts came as a delta: postings of its notes only."""
+    notes = _notes(spark, sf_dir)
+    parts = upsert_parts(notes, read_table(spark, sf_dir, "note_upserts"), NOW, STAMP)
+    top = notes.agg(F.max("id")).first()[0] or 0
+    fresh = numbered(parts.fresh, ["arrival", "video_code", *TIES], top, "id")
+    index = PostingsIndex(spark, new_folder(spark, "postings")).apply(notes).apply(parts.after.select(NOTE_COLUMNS).unionByName(fresh.select(NOTE_COLUMNS)))
+    return index.postings().groupBy("token").agg(F.countDistinct("id").alias("notes"), F.sum(F.size("positions")).alias("occurrences"))
+
+
 def fts_tokens(spark, sf_dir):
     """Postings of titles and tags, counted by note."""
     return fts.postings(_notes(spark, sf_dir)).groupBy("id", "col").agg(F.count("*").alias("n_tokens"), F.countDistinct("token").alias("n_distinct"))
@@ -112,20 +134,20 @@ def fts_doclen(spark, sf_dir):
 
 
 def fts_bm25_topk(spark, sf_dir):
-    scores = fts.bm25(_notes(spark, sf_dir), fts.parse_match(["compiler", "线程池", "beekeeping"]))
+    scores = _index(spark, sf_dir).bm25_many({0: fts.parse_match(["compiler", "线程池", "beekeeping"])})
     return scores.select("id", F.round("rank", 6).alias("rank")).orderBy("rank", "id").limit(50)
 
 
 def search_composite(spark, sf_dir):
-    return search.search_many(_notes(spark, sf_dir), [WORDS], 40).select("place", "id", "strategy")
+    return search.search_many(_notes(spark, sf_dir), [WORDS], 40, _index(spark, sf_dir)).select("place", "id", "strategy")
 
 
 def search_batched(spark, sf_dir):
-    return search.search_many(_notes(spark, sf_dir), ["AI编程，智能体", "C++ foo", "", "beekeeping", "a_b"], 15)
+    return search.search_many(_notes(spark, sf_dir), ["AI编程，智能体", "C++ foo", "", "beekeeping", "a_b"], 15, _index(spark, sf_dir))
 
 
 def search_notes(spark, sf_dir):
-    return search.search(_notes(spark, sf_dir), WORDS, 40)
+    return search.search(_notes(spark, sf_dir), WORDS, 40, _index(spark, sf_dir))
 
 
 def upsert_notes(spark, sf_dir):
@@ -170,7 +192,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_recent, list_recent_offset, list_by_tag, list_by_tag_wildcard, get_by_id, get_by_code, get_latest_by_video_id, dup_lookup, dup_flag_semi, dup_latest, stats,
-        stats_empty, search_tags, search_like, search_precise, fts_tokens, fts_df, fts_doclen, fts_bm25_topk, search_composite, search_batched, search_notes, upsert_notes,
+        stats_empty, search_tags, search_like, search_precise, fts_index, fts_index_after_upserts, fts_tokens, fts_df, fts_doclen, fts_bm25_topk, search_composite, search_batched, search_notes, upsert_notes,
         delete_by_id, delete_by_code, codes_unique, render_search, render_list, render_note, render_stats,
     )
 }
@@ -282,6 +304,8 @@ ORACLE = {
     "search_precise": f"""SELECT {_RESULT}, substr(coalesce(summary_markdown, ''), 1, 200) AS snippet FROM knowledge
         WHERE {_any('编译器', 'tags', 'title', 'summary_markdown')} AND {_any('线程池', 'tags', 'title', 'summary_markdown')} {_NEWEST} LIMIT 50""",
     "fts_tokens": f"WITH p AS ({_POSTINGS}) SELECT id, col, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM p GROUP BY id, col",
+    "fts_index": f"WITH p AS ({_POSTINGS}) SELECT token, count(DISTINCT id) AS notes, count(*) AS occurrences FROM p GROUP BY token",
+    "fts_index_after_upserts": f"WITH after AS ({_UPSERT}), p AS ({_POSTINGS.replace('FROM knowledge', 'FROM after')}) SELECT token, count(DISTINCT id) AS notes, count(*) AS occurrences FROM p GROUP BY token",
     "fts_df": f"WITH p AS ({_POSTINGS}) SELECT token, count(DISTINCT id) AS notes, count(*) AS occurrences FROM p GROUP BY token",
     "fts_doclen": f"SELECT id, {_LENGTH} AS n_tokens FROM knowledge",
     "fts_bm25_topk": f"WITH {_bm25(['compiler', '线程池', 'beekeeping'])} SELECT id, round(rank, 6) AS rank FROM bm ORDER BY round(rank, 6), id LIMIT 50",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,9 +13,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marginalia.config import DEDUP_TTL_SECONDS
 from marginalia.functions import web
-from marginalia.operators.fts import postings
 from marginalia.operators.messages import dedup_key
-from marginalia.operators.store import upsert
+from marginalia.operators.postings import PostingsIndex
+from marginalia.operators.shared import Manifests, exists, written
+from marginalia.operators.store import TIES, numbered, upsert_parts
 from marginalia.schema import MESSAGE, NOTE, NOTE_COLUMNS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -85,52 +85,57 @@ def dedup_exact(stream: DataFrame, key: str, ts: str, ttl: int = DEDUP_TTL_SECON
 
 
 class Snapshots:
-    """Versions of the note table and its postings under ``root``; a pointer names the current one.
+    """The note table and its full-text index under ``root``, changed by batches.
 
-    A version is written whole before the pointer moves, so a reader or a run that breaks off
-    sees either the old or the new one. A batch id that was applied is not applied again.
+    Notes lie in ``buckets`` partitions by the hash of the id. A batch writes the partitions of its
+    notes again, under new names, and one segment of the index; a manifest names what is current. It
+    is put in place last and by a rename, so a reader or a run that breaks off sees either the old
+    or the new state. A batch number that was applied is not applied again.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.manifests = Manifests(spark, f"{self.root}/table")
 
     def current(self) -> dict:
-        fs, path = self._path("current.json")
-        if not fs.exists(path):
-            return {"version": None, "batch": -1}
-        stream = fs.open(path)
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return {"notes": {}, "batch": -1, "index": None} | self.manifests.current()[1]
+
+    def _read(self, folders: dict[str, str]) -> DataFrame:
+        paths = [f"{self.root}/{v}/bucket={b}" for b, v in sorted(folders.items())]
+        return self.spark.read.schema(NOTE).parquet(*paths) if paths else self.spark.createDataFrame([], NOTE)
 
     def notes(self) -> DataFrame:
-        v = self.current()["version"]
-        return self.spark.read.schema(NOTE).parquet(f"{self.root}/{v}/notes") if v else self.spark.createDataFrame([], NOTE)
-
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.current()['version']}/postings")
-
-    def write(self, notes: DataFrame, batch: int) -> None:
-        version = f"v-{batch:012d}-{uuid.uuid4().hex[:8]}"
-        notes.select(NOTE_COLUMNS).write.parquet(f"{self.root}/{version}/notes")
-        postings(self.spark.read.parquet(f"{self.root}/{version}/notes")).write.parquet(f"{self.root}/{version}/postings")
-        fs, path = self._path("current.json")
-        out = fs.create(path, True)
-        try:
-            out.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
-        finally:
-            out.close()
+        return self._read(self.current()["notes"])
+
+    def index(self) -> PostingsIndex:
+        """The index as the current state of the notes has it."""
+        return PostingsIndex(self.spark, f"{self.root}/index", self.current()["index"] or 0)
+
+    def write(self, gone: DataFrame, came: DataFrame, batch: int) -> None:
+        """Takes the ids ``gone`` away and adds the notes ``came``, which no other note of the table has the ids of."""
+        number, _ = self.manifests.current()
+        state = self.current()
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        came, gone = written(came.select(NOTE_COLUMNS)), written(gone.select("id").distinct())
+        touched = {str(r[0]) for r in came.select("id").unionByName(gone).select(bucket.alias("b")).distinct().collect()}  # at most one row a bucket
+        kept = self._read({b: v for b, v in state["notes"].items() if b in touched}).join(gone, "id", "left_anti").select(NOTE_COLUMNS)
+        folder = f"notes-{batch:012d}-{uuid.uuid4().hex[:8]}"
+        kept.unionByName(came).withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        there = {b: folder for b in touched if exists(self.spark, f"{self.root}/{folder}/bucket={b}")}
+        index = self.index().apply(came, gone)
+        notes = {b: v for b, v in state["notes"].items() if b not in touched} | there
+        self.manifests.publish(number + 1, {"notes": notes, "batch": batch, "index": index.number})
 
     def upsert_batch(self, now: Callable[[], tuple[str, str]]) -> Callable[[DataFrame, int], None]:
-        """For ``foreachBatch``: upserts each batch and rebuilds the postings."""
+        """For ``foreachBatch``: upserts each batch and keeps the index up."""
 
         def run(batch: DataFrame, batch_id: int) -> None:
-            if batch_id > self.current()["batch"]:
-                self.write(upsert(self.notes(), batch, *now()), batch_id)
+            if batch_id <= self.current()["batch"]:
+                return
+            notes = self.notes()
+            parts = upsert_parts(notes, batch, *now())
+            top = notes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+            fresh = numbered(parts.fresh, ["arrival", "video_code", *TIES], top, "id")
+            self.write(parts.before.select("id"), parts.after.select(NOTE_COLUMNS).unionByName(fresh.select(NOTE_COLUMNS)), batch_id)
 
         return run

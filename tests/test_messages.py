@@ -91,7 +91,12 @@ def test_upsert_sink_is_idempotent(spark, tmp_path):
     apply(spark.createDataFrame([_note("a", "three", 3), _note(None, "four", 4)], UPSERT), 1)
     apply(spark.createDataFrame([_note("a", "again", 5)], UPSERT), 1)  # the same batch, replayed
     assert sorted((r["id"], r["title"]) for r in store.notes().collect()) == [(1, "three"), (2, "two"), (3, "four")]
-    assert {r["token"] for r in store.postings().where("col = 'title'").collect()} == {"three", "two", "four"}
+    assert {r["token"] for r in store.index().postings().where("col = 0").collect()} == {"three", "two", "four"}
+    before = store.current()["notes"]
+    apply(spark.createDataFrame([_note("b", "five", 6)], UPSERT), 2)
+    after = store.current()["notes"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(after) == len(before)  # the other notes stay where they are
+    assert {r["token"] for r in store.index().postings(["five", "two", "three"]).collect()} == {"five", "three"}
     assert store.notes().schema.names == NOTE.names
 
 

@@ -4,15 +4,19 @@ import sqlite3
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from marginalia.operators import fts, search
 from marginalia.operators.like import has, split_keywords
+from marginalia.operators.postings import PostingsIndex
+from marginalia.operators.shared import new_folder
 from marginalia.schema import NOTE, NOTE_COLUMNS
 
 ROWS = [
-    (1, "Agents 101", "AI编程,智能体", "量化交易策略 overview"), (2, "Café notes", "Food", "a résumé of café snake_case"), (3, "ÉCOLE", "fr", "École"),
+    (9, "Cafe\u0301s", "e\u0301", "deco\u0302me\u0323d x\u0332y नमस्ते สวัสดี"), (1, "Agents 101", "AI编程,智能体", "量化交易策略 overview"), (2, "Café notes", "Food", "a résumé of café snake_case"), (3, "ÉCOLE", "fr", "École"),
     (4, "Wildcards", "a_b,100%", "axb C++ GPT-4.5"), (5, "Tie A", "t", "foo bar"), (6, "Tie B", "t", "foo bar"), (7, "Only title: zebra", "z", "word " * 60), (8, "Backslash", "x\\y", "a\\b"),
 ]
-QUERIES = ["", ",", "AI", "AI，智能体", "foo　bar", "a_b", "C++ foo", "NOT", "量化", "cafe", "École", "zebra", "x\\y", "snake_case", "overview foo word"]
+QUERIES = ["", ",", "AI", "AI，智能体", "foo　bar", "a_b", "C++ foo", "NOT", "量化", "cafe", "École", "zebra", "x\\y", "snake_case", "overview foo word", "cafés", "decomed", "xy", "नमस्ते", "สวัสดี"]
 
 
 @pytest.fixture(scope="module")
@@ -48,10 +52,19 @@ def expected(c, query, limit):
     return list(dict.fromkeys(out))[:limit]
 
 
+@pytest.fixture(scope="module")
+def index(spark, notes):
+    """The index after batches that added, replaced and removed notes."""
+    old = notes.withColumn("title", F.concat("title", F.lit(" outdated"))).unionByName(notes.withColumn("id", F.col("id") + 1000))
+    i = PostingsIndex(spark, new_folder(spark, "postings")).apply(old.where("id % 2 = 0")).apply(old.where("id % 2 = 1"))
+    return i.apply(notes.where("id < 5"), old.where("id > 1000").select("id")).apply(notes.where("id >= 5"))
+
+
 @pytest.mark.parametrize("limit", [0, 1, 3, 100])
-def test_search_like_sqlite(notes, lite, limit):
+@pytest.mark.parametrize("indexed", [False, True])
+def test_search_like_sqlite(notes, lite, index, limit, indexed):
     got = {}
-    for r in search.search_many(notes, QUERIES, limit).orderBy("query_no", "place").collect():
+    for r in search.search_many(notes, QUERIES, limit, index if indexed else None).orderBy("query_no", "place").collect():
         got.setdefault(r["query_no"], []).append(r["id"])
     for q, query in enumerate(QUERIES):
         assert got.get(q, []) == expected(lite, query, limit), query
@@ -64,6 +77,25 @@ def test_bm25_values(notes, lite):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
 
 
+def test_index_keeps_up(spark, notes, lite, index):
+    for words in (["foo"], ["cafe", "word"], ["zebra", "foo", "bar"], ["outdated"]):
+        got = {r["id"]: r["rank"] for r in index.bm25_many({0: fts.parse_match(words)}).collect()}
+        want = dict(lite.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", (" OR ".join(words),)).fetchall())
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
+    segments = len(index._state()["segments"])
+    rows = sorted(map(tuple, index.postings().collect()))
+    index.compact()
+    assert segments == 4 and len(index._state()["segments"]) == 1 and sorted(map(tuple, index.postings().collect())) == rows
+    assert index.lengths().count() == 9 and index.postings(["nowhere"]).count() == 0
+    empty = PostingsIndex(spark, new_folder(spark, "postings"))
+    assert empty.bm25_many({0: [["a"]]}).count() == 0 and empty.apply(notes.limit(0)).postings().count() == 0
+
+
+def test_search_reads_no_text(spark, notes, index):
+    plan = index.bm25_many({0: [["foo"], ["a", "b"]]})._jdf.queryExecution().toString()
+    assert "summary_markdown" not in plan
+
+
 def test_like_like_sqlite(spark, notes, lite):
     from pyspark.sql import functions as F
 
