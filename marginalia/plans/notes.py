@@ -271,7 +271,7 @@ _TIES = "arrival, coalesce(created_at, ''), coalesce(title, ''), coalesce(author
 _LAST = ", ".join(f"{t} DESC" for t in _TIES.replace(", ''", "|").split(", ")).replace("|", ", ''")
 _OVER = ["title", "author", "summary_markdown", "tags", "user_requirement", "created_at", "timestamp"]
 _KEEP = ["video_id", "source_url", "duration_seconds"]
-_UPSERT = f"""WITH u AS (SELECT * REPLACE (coalesce(nullif(created_at, ''), '{NOW}') AS created_at, '{STAMP}' AS timestamp) FROM note_upserts),
+UPSERT_SQL = f"""WITH u AS (SELECT * REPLACE (coalesce(nullif(created_at, ''), '{NOW}') AS created_at, '{STAMP}' AS timestamp) FROM note_upserts),
 l AS (SELECT * FROM u WHERE video_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video_code ORDER BY {_LAST}) = 1),
 f AS (SELECT * FROM u WHERE video_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY video_code ORDER BY {_TIES}) = 1),
 old AS (SELECT k.id, {', '.join(f'k.{c}' for c in ['video_code', *_KEEP])}, {', '.join(f'CASE WHEN l.video_code IS NULL THEN k.{c} ELSE l.{c} END AS {c}' for c in _OVER)} FROM knowledge k LEFT JOIN l ON k.video_code = l.video_code),
@@ -305,13 +305,13 @@ ORACLE = {
         WHERE {_any('编译器', 'tags', 'title', 'summary_markdown')} AND {_any('线程池', 'tags', 'title', 'summary_markdown')} {_NEWEST} LIMIT 50""",
     "fts_tokens": f"WITH p AS ({_POSTINGS}) SELECT id, col, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM p GROUP BY id, col",
     "fts_index": f"WITH p AS ({_POSTINGS}) SELECT token, count(DISTINCT id) AS notes, count(*) AS occurrences FROM p GROUP BY token",
-    "fts_index_after_upserts": f"WITH after AS ({_UPSERT}), p AS ({_POSTINGS.replace('FROM knowledge', 'FROM after')}) SELECT token, count(DISTINCT id) AS notes, count(*) AS occurrences FROM p GROUP BY token",
+    "fts_index_after_upserts": f"WITH after AS ({UPSERT_SQL}), p AS ({_POSTINGS.replace('FROM knowledge', 'FROM after')}) SELECT token, count(DISTINCT id) AS notes, count(*) AS occurrences FROM p GROUP BY token",
     "fts_df": f"WITH p AS ({_POSTINGS}) SELECT token, count(DISTINCT id) AS notes, count(*) AS occurrences FROM p GROUP BY token",
     "fts_doclen": f"SELECT id, {_LENGTH} AS n_tokens FROM knowledge",
     "fts_bm25_topk": f"WITH {_bm25(['compiler', '线程池', 'beekeeping'])} SELECT id, round(rank, 6) AS rank FROM bm ORDER BY round(rank, 6), id LIMIT 50",
     "search_composite": f"SELECT place, id, strategy FROM ({_search([WORDS], 40)})",
     "search_batched": _search(["AI编程，智能体", "C++ foo", "", "beekeeping", "a_b"], 15),
-    "upsert_notes": _UPSERT,
+    "upsert_notes": UPSERT_SQL,
     "delete_by_id": "SELECT * FROM knowledge WHERE video_code IS NOT NULL",
     "delete_by_code": "SELECT * FROM knowledge k WHERE NOT EXISTS (SELECT 1 FROM note_upserts u WHERE u.video_code = k.video_code)",
     "render_search": f"""SELECT id, concat('### [', id, '] ', substr(coalesce(title, ''), 1, 60), chr(10), '- **视频码**: `', coalesce(video_code, 'None'), '`', chr(10), '- **作者**: ', author, chr(10),
