@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields
 DEDUP_TTL_SECONDS = 300
 WAIT_SECONDS = 120
 QUEUE_CAPACITY = 3
+START_PAUSE_SECONDS = 2
 TEXT_PART_BYTES = 2000
 MARKDOWN_PART_BYTES = 1800
 DIRECT_AUDIO_BYTES = 15 * 1024 * 1024

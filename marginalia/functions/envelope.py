@@ -10,9 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import let
+
 BLOCK = 32
-# Results of the checks.
-OK, BAD_SIGNATURE, BAD_RECEIVER, BAD_KEY = 0, -40001, -40005, -40004
+# The results of the checks.
+OK = 0
+CODES = {
+    "signature": -40001, "xml": -40002, "sha": -40003, "key": -40004, "receiver": -40005, "encrypt": -40006, "decrypt": -40007, "buffer": -40008,
+    "encode base64": -40009, "decode base64": -40010, "write xml": -40011,
+}
 
 
 def signature(*parts: Column) -> Column:
@@ -56,4 +62,25 @@ def opened(envelope: Column, key: Column) -> Column:
 
 def verdict(signed: Column, given: Column, receiver: Column, expected: Column) -> Column:
     """The result code of an incoming message."""
-    return F.when(~given.eqNullSafe(signed), BAD_SIGNATURE).when(~receiver.eqNullSafe(expected), BAD_RECEIVER).otherwise(OK)
+    return F.when(~given.eqNullSafe(signed), CODES["signature"]).when(~receiver.eqNullSafe(expected), CODES["receiver"]).otherwise(OK)
+
+
+def received(given: Column, parts: list[Column], envelope: Column, encoding_key: Column, expected: Column) -> Column:
+    """(code, text) of an incoming envelope: the first check that fails, or its text.
+
+    In order: the signature over ``parts`` and the envelope, the key, base 64, decryption, the buffer
+    inside, the receiver. The text is null unless the code is 0.
+    """
+    key, data = key_bytes(encoding_key), F.try_to_binary(envelope, F.lit("base64"))
+    size = F.octet_length(data)
+    unreadable = (
+        F.when(~given.eqNullSafe(signature(*[F.coalesce(p, F.lit("")) for p in (*parts, envelope)])), CODES["signature"])
+        .when(key.isNull(), CODES["key"]).when(data.isNull(), CODES["decode base64"]).when((size == 0) | (size % 16 != 0), CODES["decrypt"])
+    )
+
+    def inside(x: Column) -> Column:
+        o = x["o"]
+        wrong = F.coalesce(x["code"], F.when(o.isNull(), CODES["buffer"]).when(~o["receiver"].eqNullSafe(x["to"]), CODES["receiver"]))
+        return F.struct(F.coalesce(wrong, F.lit(OK)).alias("code"), F.when(wrong.isNull(), o["text"]).alias("text"))
+
+    return let(F.struct(unreadable.alias("code"), opened(envelope, key).alias("o"), expected.alias("to")), inside)

@@ -35,3 +35,8 @@ def epoch_micros(c: Column, default_offset_minutes: int = 480) -> Column:
     digits = F.length(raw)
     epoch = raw.try_cast("long") * F.when(digits <= 10, F.lit(1_000_000)).when(digits == 13, F.lit(1_000)).otherwise(F.lit(1)).cast("long")
     return F.coalesce(dated, epoch)
+
+
+def local_stamp(ts: Column, offset_minutes: int = 480) -> Column:
+    """A time as text to the second, ``offset_minutes`` east of UTC; the offset is fixed, no zone's rules apply."""
+    return F.date_format(ts.cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(offset_minutes)), "yyyy-MM-dd HH:mm:ss")

@@ -36,11 +36,6 @@ def text_parts(text: str, limit: int = TEXT_PART_BYTES) -> list[str]:
     return parts
 
 
-def numbered_parts(parts: list[str]) -> list[str]:
-    """From the second part on with its number, as sent."""
-    return [p if i == 0 else f"[{i + 1}/{len(parts)}]\n{p}" for i, p in enumerate(parts)]
-
-
 def markdown_parts(text: str, limit: int = MARKDOWN_PART_BYTES) -> list[str]:
     """Whole lines packed up to ``limit`` bytes; a longer line is a part of its own. Every line ends with a newline."""
     parts: list[str] = []
@@ -65,6 +60,12 @@ def _explode(batches: Iterator[pa.RecordBatch], f: Callable[[str], list[str]]) -
         )
 
 
+def as_sent(parts: DataFrame) -> DataFrame:
+    """``chunked`` texts with their number before every part but the first."""
+    number = F.concat(F.lit("["), F.col("part_no"), F.lit("/"), F.col("n_parts"), F.lit("]\n"))
+    return parts.withColumn("part", F.when(F.col("part_no") > 1, F.concat(number, "part")).otherwise(F.col("part")))
+
+
 def chunked(df: DataFrame, key: str, text: str, markdown: bool = False) -> DataFrame:
     """(key, part_no, n_parts, part) of every text; null texts have no parts."""
     kind = df.schema[key].dataType.simpleString()

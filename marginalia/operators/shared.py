@@ -113,6 +113,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     estimates multiply, to numbers of so many digits that planning never ends. Files have their
     real size.
     """
-    folder = new_folder(df.sparkSession, name)
+    folder = f"{new_folder(df.sparkSession, name)}/rows"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -10,6 +10,7 @@ from marginalia.operators import enrich
 from marginalia.operators.messages import accepted, dedup_key
 from marginalia.sources.media import segments
 from marginalia.sources.tables import read_table
+from marginalia.streaming import queues
 
 KEY = "kWxPqTz3bQ5nJ8cYf0uLrEo1sVhGmDi7aZtX9yB2wKM"  # an invented key
 LONG_TTL = 86_400
@@ -85,9 +86,45 @@ def enriched(spark, sf_dir):
     return enrich.finished(read_table(spark, sf_dir, "documents"), "doc_id", "text", enrich.StubClient).withColumnRenamed("key", "doc_id")
 
 
+def _task_events(spark, sf_dir):
+    """Messages as events of the task queue: links add, start words start, cancel words drop."""
+    m = read_table(spark, sf_dir, "messages")
+    word = F.lower(F.trim("content"))
+    url = web.extract_url(F.col("content"))
+    event = F.when(url.isNotNull(), "add").when(word.isin("开始", "start"), "start").when(word.isin("取消", "cancel"), "drop")
+    return m, (F.col("from_user"), F.col("ts"), event, url)
+
+
+def queue_outcomes(spark, sf_dir):
+    """What becomes of the tasks of every user."""
+    m, event = _task_events(spark, sf_dir)
+    return queues.replayed(m, *event)
+
+
+def queue_pending(spark, sf_dir):
+    """Users that have a task in front at the time of the last message, by its phase."""
+    m, event = _task_events(spark, sf_dir)
+    last = m.agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0] or 0
+    return queues.pending(m, *event, last).groupBy("phase").agg(F.count("*").alias("users"), F.sum("waiting").alias("waiting"))
+
+
+def received_codes(spark, sf_dir):
+    """Every message sealed, some of the envelopes damaged, and received."""
+    m = read_table(spark, sf_dir, "messages").where("content IS NOT NULL")
+    md5 = F.md5(F.coalesce("msg_id", F.lit("")))
+    m = m.withColumn("n", F.pmod(F.conv(F.substring(md5, 1, 6), 16, 10).cast("int"), F.lit(7)))
+    n = F.col("n")
+    m = m.withColumn("sealed", envelope.seal(F.col("content"), F.when(n == 1, "corp-2").otherwise("corp-1"), envelope.key_bytes(F.lit(KEY)), F.unhex(md5)))
+    m = m.withColumn("sent", F.when(n == 2, F.lit("no base64!")).when(n == 3, F.substring("sealed", 1, 12)).otherwise(F.col("sealed")))
+    parts = [F.lit("token"), F.col("create_time"), F.col("msg_id")]
+    m = m.withColumn("signed", F.when(n == 4, F.lit("wrong")).otherwise(envelope.signature(*[F.coalesce(p, F.lit("")) for p in (*parts, F.col("sent"))])))
+    got = envelope.received(F.col("signed"), parts, F.col("sent"), F.when(n == 5, F.lit("short")).otherwise(F.lit(KEY)), F.lit("corp-1"))
+    return m.withColumn("got", got).select("msg_id", "ts", "n", "got.code", "got.text")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (msg_dedup, msg_dedup_ttl, text_messages, messages_by_type, signature, xml_fields, envelope_roundtrip, call_decisions, tagging, concat_segments, audio_segments, enriched)
+    for f in (msg_dedup, msg_dedup_ttl, text_messages, messages_by_type, signature, xml_fields, envelope_roundtrip, call_decisions, tagging, concat_segments, audio_segments, enriched, queue_outcomes, queue_pending, received_codes)
 }
 
 
@@ -107,6 +144,11 @@ ORACLE = {
     "signature": "SELECT msg_id, ts, sha1(array_to_string(list_sort(['token', coalesce(create_time, ''), coalesce(msg_id, ''), coalesce(content, '')]), '')) AS signature FROM messages",
     "xml_fields": "SELECT ts, coalesce(msg_type, '') AS msg_type, coalesce(from_user, '') AS from_user, coalesce(msg_id, '') AS msg_id, coalesce(create_time, '') AS create_time, coalesce(content, '') AS content FROM messages",
     "envelope_roundtrip": "SELECT msg_id, ts, content, 'corp-1' AS receiver FROM messages WHERE content IS NOT NULL",
+    "received_codes": """SELECT msg_id, ts, n, CASE n WHEN 1 THEN -40005 WHEN 2 THEN -40010 WHEN 3 THEN -40007 WHEN 4 THEN -40001 WHEN 5 THEN -40004 ELSE 0 END AS code, CASE WHEN n IN (0, 6) THEN content END AS text
+      FROM (SELECT *, CAST('0x' || substr(md5(coalesce(msg_id, '')), 1, 6) AS INT) % 7 AS n FROM messages WHERE content IS NOT NULL)""",
+    "enriched": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, regexp_extract_all(t, '\*\*([^*\n]+)\*\*', 1)[1:8] AS b, t FROM d),
+      e AS (SELECT doc_id, CASE WHEN len(b) > 0 THEN array_to_string(list_transform(b, lambda x: '# ' || x), '、') ELSE substr(sha1(t), 1, 8) END AS draft FROM a)
+      SELECT doc_id, substr(sha1('## draft' || chr(10) || draft || chr(10) || chr(10) || '## report' || chr(10) || substr(sha1(draft), 1, 8) || chr(10)), 1, 8) AS final, NULL AS error FROM e""",
     "concat_segments": "SELECT coalesce(from_user, '') || '|' || coalesce(msg_type, '') AS key, string_agg(content, chr(10) || chr(10) ORDER BY ts NULLS FIRST, coalesce(msg_id, ''), content) AS text FROM messages WHERE content IS NOT NULL GROUP BY ALL",
     "call_decisions": """WITH RECURSIVE o AS (SELECT call_id, attempt, min(outcome) AS outcome FROM enrich_calls GROUP BY ALL),
       n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY attempt) AS r, CASE WHEN NOT regexp_full_match(coalesce(outcome, ''), '[0-9]+') THEN 'lost' WHEN outcome LIKE '2__' THEN 'ok' WHEN outcome = '429' THEN 'rate'

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as md
 from marginalia.functions import web
-from marginalia.functions.times import epoch_micros
-from marginalia.operators.chunks import chunked
+from marginalia.functions.times import epoch_micros, local_stamp
+from marginalia.operators.chunks import as_sent, chunked
 from marginalia.sources.tables import read_table
 
 
@@ -143,6 +143,11 @@ def chunk_text(spark, sf_dir):
     return chunked(read_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
+def chunk_sent(spark, sf_dir):
+    """The parts as they are sent, numbered from the second on."""
+    return as_sent(chunked(read_table(spark, sf_dir, "documents"), "doc_id", "text")).select(F.col("key").alias("doc_id"), "part_no", "part")
+
+
 def chunk_markdown(spark, sf_dir):
     return chunked(read_table(spark, sf_dir, "knowledge"), "id", "summary_markdown", markdown=True).withColumnRenamed("key", "id")
 
@@ -153,11 +158,16 @@ def chunk_reassembled(spark, sf_dir):
     return parts.select("doc_id", F.array_join("p.part", "").alias("text"))
 
 
+def stamps(spark, sf_dir):
+    """The local time of every message."""
+    return read_table(spark, sf_dir, "messages").select("msg_id", "ts", local_stamp(F.col("ts")).alias("stamp"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cleanup_output, latex_text, formulas, colon_list, marker_spacing, blank_before_list, split_inline_list, normalize_md, formulas_rendered, deliverable, paren_depth,
-        tags_from_bold, tags_clean, context, truncations, note_times, extract_url, extract_url_glued, share_requirement, video_id_from_url, page_title, router_json, chunk_text, chunk_markdown, chunk_reassembled,
+        tags_from_bold, tags_clean, context, truncations, note_times, extract_url, extract_url_glued, share_requirement, video_id_from_url, page_title, router_json, chunk_text, chunk_sent, chunk_markdown, chunk_reassembled, stamps,
     )
 }
 
@@ -185,6 +195,14 @@ def _depth(text: str) -> str:
     return f"CAST(list_reduce(list_prepend(0, list_transform(string_split({text}, ''), lambda x: {step})), lambda a, b: greatest(a + b, 0)) AS INT)"
 
 
+_FIT = "len(list_filter(range(1, length({0}) + 1), lambda i: octet_length(encode(substr({0}, 1, i))) <= 2000))"
+_LINE = "length(regexp_extract({0}, '^.*\n', 0, 's'))"
+_PARTS = f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS i, '' AS part, text AS rest FROM documents WHERE text != ''
+      UNION ALL SELECT doc_id, i + 1, substr(rest, 1, cut), substr(rest, cut + 1) FROM (
+        SELECT doc_id, i, rest, CASE WHEN fit >= length(rest) THEN length(rest) WHEN strpos(head, chr(10)) > 0 AND {_LINE.format('head')} - 1 > fit // 2 THEN {_LINE.format('head')} ELSE fit END AS cut FROM (
+          SELECT doc_id, i, rest, fit, substr(rest, 1, fit) AS head FROM (SELECT doc_id, i, rest, CASE WHEN octet_length(encode(rest)) <= 2000 THEN length(rest) ELSE {_FIT.format('substr(rest, 1, 2000)')} END AS fit FROM c WHERE rest != '')))),
+      p AS (SELECT doc_id, i, part FROM c WHERE i > 0)"""
+
 ORACLE = {
     "cleanup_output": r"""WITH a AS (SELECT doc_id, ltrim(regexp_replace(regexp_replace(chr(10) || chr(10) || '<search>x' || chr(10) || 'y</search> ' || chr(10) || '<query>q</query>' || chr(10) || text,
         '<search>.*?</search>\s*', '', 'gs'), '<query>.*?</query>\s*', '', 'gs'), chr(10)) AS s FROM documents)
@@ -209,6 +227,15 @@ ORACLE = {
     "router_json": f"""WITH {_INFO}, u AS (SELECT *, replace(json_extract_string(i, '$.item_list[0].video.play_addr.url_list[0]'), 'playwm', 'play') AS u FROM i)
         SELECT page_id, json_extract_string(i, '$.item_list[0].desc') AS title, json_extract_string(i, '$.item_list[0].author.nickname') AS author, CASE WHEN u LIKE '//%' THEN 'https:' || u ELSE u END AS video_url FROM u""",
     "chunk_reassembled": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text != ''",
+    "stamps": "SELECT msg_id, ts, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS stamp FROM messages",
+    # the sender's rule, one part after the other: cut where 2,000 bytes are full, or behind the last line end of the second half
+    "chunk_sent": f"{_PARTS} SELECT doc_id, CAST(i AS INT) AS part_no, CASE WHEN i > 1 THEN '[' || i || '/' || max(i) OVER (PARTITION BY doc_id) || ']' || chr(10) ELSE '' END || part AS part FROM p",
+    "chunk_text": f"{_PARTS} SELECT doc_id, CAST(i AS INT) AS part_no, CAST(max(i) OVER (PARTITION BY doc_id) AS INT) AS n_parts, part FROM p",
+    "chunk_markdown": r"""WITH RECURSIVE k AS (SELECT id, string_split(summary_markdown, chr(10)) AS l FROM knowledge WHERE summary_markdown IS NOT NULL),
+      n AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) || chr(10) AS line FROM k), b AS (SELECT *, octet_length(encode(line)) AS size FROM n),
+      r AS (SELECT id, i, line, size, 1 AS part_no FROM b WHERE i = 1
+        UNION ALL SELECT b.id, b.i, b.line, CASE WHEN r.size + b.size > 1800 THEN b.size ELSE r.size + b.size END, CASE WHEN r.size + b.size > 1800 THEN r.part_no + 1 ELSE r.part_no END FROM r JOIN b ON b.id = r.id AND b.i = r.i + 1)
+      SELECT id, part_no, CAST(max(part_no) OVER (PARTITION BY id) AS INT) AS n_parts, string_agg(line, '' ORDER BY i) AS part FROM r GROUP BY id, part_no""",
     "note_times": r"""WITH p AS (SELECT id, timestamp AS t, regexp_extract(timestamp, '^\s*(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})日?[T ]*(\d{1,2}):(\d{1,2}):(\d{1,2})\s*(Z|[+-]\d{2}:\d{2})?\s*$', ['y','m','d','h','i','s','z']) AS r FROM knowledge)
         SELECT id, CASE WHEN regexp_full_match(t, '\d{10}') THEN TRY_CAST(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '\d{13}') THEN TRY_CAST(t AS BIGINT) * 1000
           WHEN r.y != '' AND r.y != '0000' THEN epoch_us(make_timestamp(TRY_CAST(r.y AS BIGINT), TRY_CAST(r.m AS BIGINT), TRY_CAST(r.d AS BIGINT), TRY_CAST(r.h AS BIGINT), TRY_CAST(r.i AS BIGINT), TRY_CAST(r.s AS DOUBLE)))

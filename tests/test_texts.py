@@ -9,7 +9,7 @@ from marginalia.functions import markdown as md
 from marginalia.functions import web
 from marginalia.functions.requirements import says_something
 from marginalia.functions.times import epoch_micros
-from marginalia.operators.chunks import chunked, markdown_parts, numbered_parts, text_parts
+from marginalia.operators.chunks import as_sent, chunked, markdown_parts, text_parts
 
 
 def apply(spark, f, *values):
@@ -146,7 +146,8 @@ def test_parts_cases(spark):
     assert text_parts("x" * 2000) == ["x" * 2000] and text_parts("") == [] and markdown_parts("") == ["\n"]
     late, early = "a" * 1500 + "\n" + "b" * 1000, "a" * 500 + "\n" + "b" * 2000
     assert text_parts(late)[0] == "a" * 1500 + "\n" and len(text_parts(early)[0]) == 2000
-    assert numbered_parts(["a", "b"]) == ["a", "[2/2]\nb"]
+    sent = as_sent(spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 2, "b")], "key int, part_no int, n_parts int, part string"))
+    assert [r["part"] for r in sent.orderBy("part_no").collect()] == ["a", "[2/2]\nb"]
     df = spark.createDataFrame([(1, "x" * 4001), (2, None), (3, "")], "id long, t string")
     assert [(r["key"], r["part_no"], r["n_parts"]) for r in chunked(df, "id", "t").collect()] == [(1, 1, 3), (1, 2, 3), (1, 3, 3)]
     assert chunked(df.limit(0), "id", "t").count() == 0
