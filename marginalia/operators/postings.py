@@ -27,7 +27,7 @@ from marginalia.operators.shared import Manifests, exists, written
 BUCKETS = 64
 MAX_SEGMENTS = 8
 MAX_BROADCAST_IDS = 500_000
-POSTINGS = "token string, id long, col int, d int, positions array<int>"
+POSTINGS = "token string, id long, col int, d int, pos int"
 
 
 def bucket_of(token: Column | str) -> Column:
@@ -35,13 +35,12 @@ def bucket_of(token: Column | str) -> Column:
 
 
 def note_postings(notes: DataFrame) -> DataFrame:
-    """(token, id, col, d, positions): one row for each token of each column; ``d`` counts the note's tokens."""
+    """(token, id, col, d, pos): one row for each place of a token in a column; ``d`` counts the note's tokens."""
     each = [fts.tokens(F.col(c)) for c in fts.COLUMNS]
     size = functools.reduce(lambda a, b: a + b, [F.size(x) for x in each])
     columns = F.array(*[F.struct(F.lit(i).alias("col"), x.alias("tokens")) for i, x in enumerate(each)])
     one = notes.where("id IS NOT NULL").select("id", size.alias("d"), F.explode(columns).alias("c"))
-    flat = one.select("id", "d", "c.col", F.posexplode("c.tokens").alias("pos", "token"))
-    return flat.groupBy("token", "id", "col", "d").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return one.select("id", "d", "c.col", F.posexplode("c.tokens").alias("pos", "token")).select("token", "id", "col", "d", "pos")
 
 
 class PostingsIndex:
@@ -102,7 +101,7 @@ class PostingsIndex:
         segment = f"s-{uuid.uuid4().hex[:12]}"
         lengths.select("id", "d").write.parquet(f"{self.root}/{segment}/lengths")
         gone.select(F.col("id").alias("gone")).write.parquet(f"{self.root}/{segment}/gone")
-        parts = postings.withColumn("bucket", bucket_of("token")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
+        parts = postings.withColumn("bucket", bucket_of("token")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id")
         parts.write.partitionBy("bucket").parquet(f"{self.root}/{segment}/postings")
         return segment
 
@@ -138,18 +137,20 @@ class PostingsIndex:
                 order.setdefault(tuple(p), len(order))
         tokens = sorted({t for p in order for t in p})
         at = {t: i for i, t in enumerate(tokens)}
+        # places are needed only of tokens in phrases of several
+        placed = {t for p in order if len(p) > 1 for t in p}
+        n_of = [F.count_if(F.col("token") == t).alias(f"n{i}") for t, i in at.items()]
         one = self.postings(tokens).groupBy("id", "col").agg(
-            F.max("d").cast("double").alias("d"), *[F.max(F.when(F.col("token") == t, F.col("positions"))).alias(f"p{i}") for t, i in at.items()]
+            F.max("d").cast("double").alias("d"), *n_of, *[F.collect_list(F.when(F.col("token") == t, F.col("pos"))).alias(f"p{i}") for t, i in at.items() if t in placed]
         )
 
         def occurrences(phrase: tuple[str, ...]) -> Column:
-            first, rest = F.col(f"p{at[phrase[0]]}"), phrase[1:]
-            if not rest:
-                return F.coalesce(F.size(first), F.lit(0))
-            follows = lambda x: functools.reduce(lambda a, b: a & b, [F.array_contains(F.col(f"p{at[t]}"), x + i + 1) for i, t in enumerate(rest)])
-            return F.greatest(F.coalesce(F.size(F.filter(first, lambda x: F.coalesce(follows(x), F.lit(False)))), F.lit(0)), F.lit(0))
+            if len(phrase) == 1:
+                return F.col(f"n{at[phrase[0]]}")
+            follows = lambda x: functools.reduce(lambda a, b: a & b, [F.array_contains(F.col(f"p{at[t]}"), x + i + 1) for i, t in enumerate(phrase[1:])])
+            return F.size(F.filter(F.col(f"p{at[phrase[0]]}"), follows))
 
-        counts = one.select("id", "d", *[F.greatest(occurrences(p), F.lit(0)).cast("double").alias(f"f{i}") for p, i in order.items()])
+        counts = one.select("id", "d", *[occurrences(p).cast("double").alias(f"f{i}") for p, i in order.items()])
         rows = written(counts.groupBy("id").agg(F.max("d").alias("d"), *[F.sum(f"f{i}").alias(f"f{i}") for i in order.values()]))
         state = self._state()
         stats = rows.agg(*[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in order.values()])

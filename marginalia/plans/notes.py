@@ -106,7 +106,7 @@ def _index(spark, sf_dir) -> PostingsIndex:
 def fts_index(spark, sf_dir):
     """Tokens of the index of all notes, with their notes and places."""
     rows = _index(spark, sf_dir).postings()
-    return rows.groupBy("token").agg(F.countDistinct("id").alias("notes"), F.sum(F.size("positions")).alias("occurrences"))
+    return rows.groupBy("token").agg(F.countDistinct("id").alias("notes"), F.count("*").alias("occurrences"))
 
 
 def fts_index_after_upserts(spark, sf_dir):
@@ -116,7 +116,7 @@ def fts_index_after_upserts(spark, sf_dir):
     top = notes.agg(F.max("id")).first()[0] or 0
     fresh = numbered(parts.fresh, ["arrival", "video_code", *TIES], top, "id")
     index = PostingsIndex(spark, new_folder(spark, "postings")).apply(notes).apply(parts.after.select(NOTE_COLUMNS).unionByName(fresh.select(NOTE_COLUMNS)))
-    return index.postings().groupBy("token").agg(F.countDistinct("id").alias("notes"), F.sum(F.size("positions")).alias("occurrences"))
+    return index.postings().groupBy("token").agg(F.countDistinct("id").alias("notes"), F.count("*").alias("occurrences"))
 
 
 def fts_tokens(spark, sf_dir):
