@@ -10,6 +10,15 @@ def _e(c: str) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+# What stands for an empty or missing title or author, and for a missing code or time.
+NO_TITLE, NO_AUTHOR, NO_CODE, NO_TIME = "未知标题", "未知作者", "N/A", "未知时间"
+
+
+def or_else(c: str, text: str) -> Column:
+    """The column, or a text where it is null or empty."""
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(text))
+
+
 def shown_time(c: str = "created_at", length: int = 19) -> Column:
     """The stored local time, else the first characters of the creation time."""
     return F.coalesce(F.nullif("timestamp", F.lit("")), F.substring(c, 1, length), F.lit(""))

@@ -184,6 +184,23 @@ def render_note(spark, sf_dir):
     return _notes(spark, sf_dir).select("id", render.note_document().alias("text"))
 
 
+def render_note_by_code(spark, sf_dir):
+    """Every note as the document that a request by its code gives."""
+    return _notes(spark, sf_dir).where("video_code IS NOT NULL").select("video_code", render.note_document(code=True).alias("text"))
+
+
+def render_by_tag(spark, sf_dir):
+    """One Markdown line for each of the newest notes with a tag."""
+    return _store(spark, sf_dir).list_by_tag(TAG, 10).select("id", render.list_entry(code=False).alias("line"))
+
+
+def fallbacks(spark, sf_dir):
+    """Title, author, code and time of every note, with what is shown where they are missing; an empty code or time stays."""
+    shown = [render.or_else(c, t).alias(c) for c, t in (("title", render.NO_TITLE), ("author", render.NO_AUTHOR))]
+    shown += [F.coalesce(c, F.lit(t)).alias(c) for c, t in (("video_code", render.NO_CODE), ("timestamp", render.NO_TIME))]
+    return _notes(spark, sf_dir).select("id", *shown)
+
+
 def render_stats(spark, sf_dir):
     return stats(spark, sf_dir).select(render.stats_text().alias("text"))
 
@@ -193,7 +210,7 @@ QUERIES = {
     for f in (
         list_recent, list_recent_offset, list_by_tag, list_by_tag_wildcard, get_by_id, get_by_code, get_latest_by_video_id, dup_lookup, dup_flag_semi, dup_latest, stats,
         stats_empty, search_tags, search_like, search_precise, fts_index, fts_index_after_upserts, fts_tokens, fts_df, fts_doclen, fts_bm25_topk, search_composite, search_batched, search_notes, upsert_notes,
-        delete_by_id, delete_by_code, codes_unique, render_search, render_list, render_note, render_stats,
+        delete_by_id, delete_by_code, codes_unique, render_search, render_list, render_note, render_note_by_code, render_by_tag, fallbacks, render_stats,
     )
 }
 
@@ -321,6 +338,11 @@ ORACLE = {
         CASE WHEN coalesce(tags, '') != '' THEN chr(10) || '  标签: ' || substr(tags, 1, 80) ELSE '' END) AS line FROM (SELECT * FROM knowledge {_NEWEST} LIMIT 20 OFFSET 40)""",
     "render_note": f"""SELECT id, concat('# ', title, chr(10), chr(10), '- **作者**: ', author, chr(10), '- **来源**: ', source_url, chr(10), '- **标签**: ', tags, chr(10), '- **创建时间**: ', {_WHEN}, chr(10),
         CASE WHEN coalesce(user_requirement, '') != '' THEN '- **用户要求**: ' || user_requirement || chr(10) ELSE '' END, chr(10), '---', chr(10), chr(10), summary_markdown) AS text FROM knowledge""",
+    "render_note_by_code": f"""SELECT video_code, concat('# ', title, chr(10), chr(10), '- **视频码**: `', video_code, '`', chr(10), '- **作者**: ', author, chr(10), '- **来源**: ', source_url, chr(10), '- **标签**: ', tags, chr(10),
+        '- **创建时间**: ', {_WHEN}, chr(10), CASE WHEN coalesce(user_requirement, '') != '' THEN '- **用户要求**: ' || user_requirement || chr(10) ELSE '' END, chr(10), '---', chr(10), chr(10), summary_markdown) AS text
+        FROM knowledge WHERE video_code IS NOT NULL""",
+    "render_by_tag": f"""SELECT id, concat('- **[', id, ']** ', title, ' — _', author, '_ (', substr(coalesce(created_at, ''), 1, 10), ')') AS line FROM knowledge WHERE {_has('tags', TAG)} {_NEWEST} LIMIT 10""",
+    "fallbacks": "SELECT id, coalesce(nullif(title, ''), '未知标题') AS title, coalesce(nullif(author, ''), '未知作者') AS author, coalesce(video_code, 'N/A') AS video_code, coalesce(timestamp, '未知时间') AS timestamp FROM knowledge",
     "render_stats": """SELECT concat('## 知识库统计', chr(10), chr(10), '- **总笔记数**: ', count(*), chr(10), '- **最新记录**: ', coalesce(nullif(max(created_at), ''), '无'), chr(10), '- **数据库路径**: knowledge', chr(10)) AS text FROM knowledge""",
     "codes_unique": """WITH h AS (SELECT id, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 12) AS BIGINT) % 60466176 AS h FROM knowledge),
         c AS (SELECT id, array_to_string(list_transform([1679616, 46656, 1296, 36, 1], lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(h // p % 36 AS INT) + 1, 1)), '') AS code FROM h)

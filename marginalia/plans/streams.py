@@ -8,7 +8,7 @@ from marginalia.config import DEDUP_TTL_SECONDS
 from marginalia.functions import envelope, web
 from marginalia.operators import enrich
 from marginalia.operators.messages import accepted, dedup_key
-from marginalia.sources.media import segments
+from marginalia.sources.media import route, segments
 from marginalia.sources.tables import read_table
 from marginalia.streaming import queues
 
@@ -81,6 +81,13 @@ def audio_segments(spark, sf_dir):
     return segments(read_table(spark, sf_dir, "knowledge"), "id", "duration_seconds")
 
 
+def media_routes(spark, sf_dir):
+    """How the recording of every note, at 16,000 bytes a second, would be transcribed, also after the direct way failed."""
+    length = (F.col("duration_seconds") * 16_000).cast("long")
+    k = read_table(spark, sf_dir, "knowledge").where("duration_seconds > 0 AND NOT isnan(duration_seconds)")
+    return k.select("id", route(length).alias("first"), route(length, F.lit(True)).alias("second"))
+
+
 def enriched(spark, sf_dir):
     """Every document through the three chained calls of the stub service."""
     return enrich.finished(read_table(spark, sf_dir, "documents"), "doc_id", "text", enrich.StubClient).withColumnRenamed("key", "doc_id")
@@ -124,7 +131,7 @@ def received_codes(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (msg_dedup, msg_dedup_ttl, text_messages, messages_by_type, signature, xml_fields, envelope_roundtrip, call_decisions, tagging, concat_segments, audio_segments, enriched, queue_outcomes, queue_pending, received_codes)
+    for f in (msg_dedup, msg_dedup_ttl, text_messages, messages_by_type, signature, xml_fields, envelope_roundtrip, call_decisions, tagging, concat_segments, audio_segments, enriched, media_routes, queue_outcomes, queue_pending, received_codes)
 }
 
 
@@ -144,6 +151,8 @@ ORACLE = {
     "signature": "SELECT msg_id, ts, sha1(array_to_string(list_sort(['token', coalesce(create_time, ''), coalesce(msg_id, ''), coalesce(content, '')]), '')) AS signature FROM messages",
     "xml_fields": "SELECT ts, coalesce(msg_type, '') AS msg_type, coalesce(from_user, '') AS from_user, coalesce(msg_id, '') AS msg_id, coalesce(create_time, '') AS create_time, coalesce(content, '') AS content FROM messages",
     "envelope_roundtrip": "SELECT msg_id, ts, content, 'corp-1' AS receiver FROM messages WHERE content IS NOT NULL",
+    "media_routes": """SELECT id, CASE WHEN b <= 15728640 THEN 'direct' ELSE 'segments' END AS first, CASE WHEN b <= 26214400 THEN 'speech' ELSE 'segments' END AS second
+      FROM (SELECT id, CAST(trunc(duration_seconds * 16000) AS BIGINT) AS b FROM knowledge WHERE duration_seconds > 0 AND NOT isnan(duration_seconds))""",
     "received_codes": """SELECT msg_id, ts, n, CASE n WHEN 1 THEN -40005 WHEN 2 THEN -40010 WHEN 3 THEN -40007 WHEN 4 THEN -40001 WHEN 5 THEN -40004 ELSE 0 END AS code, CASE WHEN n IN (0, 6) THEN content END AS text
       FROM (SELECT *, CAST('0x' || substr(md5(coalesce(msg_id, '')), 1, 6) AS INT) % 7 AS n FROM messages WHERE content IS NOT NULL)""",
     "enriched": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, regexp_extract_all(t, '\*\*([^*\n]+)\*\*', 1)[1:8] AS b, t FROM d),

@@ -11,6 +11,7 @@ from marginalia.functions import markdown as md
 from marginalia.functions import web
 from marginalia.functions.times import epoch_micros, local_stamp
 from marginalia.operators.chunks import as_sent, chunked
+from marginalia.operators.like import keywords_column
 from marginalia.sources.tables import read_table
 
 
@@ -158,6 +159,18 @@ def chunk_reassembled(spark, sf_dir):
     return parts.select("doc_id", F.array_join("p.part", "").alias("text"))
 
 
+def keywords(spark, sf_dir):
+    """Every message read as a search: its keywords."""
+    m = read_table(spark, sf_dir, "messages").where("content IS NOT NULL")
+    return m.select("msg_id", "ts", F.array_join(keywords_column(F.col("content")), "|").alias("keywords"))
+
+
+def merged_requirements(spark, sf_dir):
+    """The requirement of every note, replaced by what its title says as a later message would."""
+    k = read_table(spark, sf_dir, "knowledge")
+    return k.select("id", web.merged_requirement(F.col("user_requirement"), F.when(F.col("id") % 3 == 0, F.lit(" OK ")).when(F.col("id") % 3 == 1, F.col("title"))).alias("requirement"))
+
+
 def stamps(spark, sf_dir):
     """The local time of every message."""
     return read_table(spark, sf_dir, "messages").select("msg_id", "ts", local_stamp(F.col("ts")).alias("stamp"))
@@ -167,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cleanup_output, latex_text, formulas, colon_list, marker_spacing, blank_before_list, split_inline_list, normalize_md, formulas_rendered, deliverable, paren_depth,
-        tags_from_bold, tags_clean, context, truncations, note_times, extract_url, extract_url_glued, share_requirement, video_id_from_url, page_title, router_json, chunk_text, chunk_sent, chunk_markdown, chunk_reassembled, stamps,
+        tags_from_bold, tags_clean, context, truncations, note_times, extract_url, extract_url_glued, share_requirement, video_id_from_url, page_title, router_json, chunk_text, chunk_sent, chunk_markdown, chunk_reassembled, stamps, keywords, merged_requirements,
     )
 }
 
@@ -227,6 +240,13 @@ ORACLE = {
     "router_json": f"""WITH {_INFO}, u AS (SELECT *, replace(json_extract_string(i, '$.item_list[0].video.play_addr.url_list[0]'), 'playwm', 'play') AS u FROM i)
         SELECT page_id, json_extract_string(i, '$.item_list[0].desc') AS title, json_extract_string(i, '$.item_list[0].author.nickname') AS author, CASE WHEN u LIKE '//%' THEN 'https:' || u ELSE u END AS video_url FROM u""",
     "chunk_reassembled": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text != ''",
+    "keywords": r"SELECT msg_id, ts, array_to_string(list_filter(regexp_split_to_array(content, '[,，\s\p{Z}\x1c-\x1f\x{85}]+'), lambda k: k != ''), '|') AS keywords FROM messages WHERE content IS NOT NULL",
+    "merged_requirements": "SELECT id, CASE WHEN id % 3 = 1 AND coalesce(title, '') != '' AND lower(trim(title)) NOT IN ('开始', 'start', 'ok', '好') THEN title ELSE user_requirement END AS requirement FROM knowledge",
+    # without looks around: double dollars go first, so that single ones are left
+    "formulas": rf"""WITH f AS (SELECT id, list_concat(regexp_extract_all(summary_markdown, '\$\$(.+?)\$\$', 1, 's'), regexp_extract_all(regexp_replace(summary_markdown, '\$\$.+?\$\$', '', 'gs'), '\$([^$\n]+?)\$', 1)) AS f FROM knowledge)
+      SELECT id, array_to_string(list_transform(f, lambda x: {_strip('x')}), '|') AS out FROM f""",
+    "formulas_rendered": r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(summary_markdown, '\$\$\s*(.+?)\s*\$\$', chr(10) || chr(10) || '<pre><code>\1</code></pre>' || chr(10) || chr(10), 'gs'),
+        '```math\s*\n\s*(.+?)\s*\n```', chr(10) || chr(10) || '<pre><code>\1</code></pre>' || chr(10) || chr(10), 'gs'), '\$\s*([^$\n]+?)\s*\$', '<code>\1</code>', 'g') AS out FROM knowledge""",
     "stamps": "SELECT msg_id, ts, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS stamp FROM messages",
     # the sender's rule, one part after the other: cut where 2,000 bytes are full, or behind the last line end of the second half
     "chunk_sent": f"{_PARTS} SELECT doc_id, CAST(i AS INT) AS part_no, CASE WHEN i > 1 THEN '[' || i || '/' || max(i) OVER (PARTITION BY doc_id) || ']' || chr(10) ELSE '' END || part AS part FROM p",

@@ -18,6 +18,7 @@ UPSERT = T.StructType([f for f in NOTE if f.name != "id"] + [T.StructField("arri
 MESSAGE = _struct("msg_id:string create_time:string msg_type:string from_user:string content:string ts:timestamp")
 PAGE = _struct("page_id:long url:string html:string")
 CALL = _struct("call_id:string attempt:int outcome:string")
+TABLES = {"knowledge": NOTE, "note_upserts": UPSERT, "messages": MESSAGE, "share_pages": PAGE, "enrich_calls": CALL}
 NOTE_COLUMNS = [f.name for f in NOTE]
 #: Result columns of the list operators (no summary, requirement or timestamp).
 LIST_COLUMNS = ["id", "video_id", "title", "author", "tags", "source_url", "created_at", "duration_seconds", "video_code"]

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.schema import TABLES
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` under ``sf_dir`` (a file or a directory of part files)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The table ``name`` under ``sf_dir`` (a file or a directory of part files); those of the domain by their schema."""
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def source_host(url: Column) -> Column:
