@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,21 +149,70 @@ def bm25(notes: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return bm25_many(notes, {0: phrases}).select("id", "rank")
 
 
-def snippet(summary: Column, words: list[str], size: int = 40) -> Column:
-    """About ``size`` tokens of the summary around the first of ``words``, which are put in **.
+def spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The tokens of a text and where they stand in it."""
+    import regex
 
-    An approximation: the window starts at the first hit or at the beginning.
+    src, dst = accent_table()
+    fold = str.maketrans(src, dst, MARKS)
+    at = [m.span() for m in regex.finditer(rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{MARKS}]*", text)]
+    return [text[a:b].lower().translate(fold) for a, b in at], at
+
+
+def snippet_text(text: str, phrases: list[list[str]], size: int = 40) -> str:
+    """The ``size`` tokens of a text that show its phrases best, which are put in **.
+
+    A window is worth 1,000 for each phrase in it and 1 for each further occurrence, and 100 more (120 at
+    the beginning of the text) if it begins a sentence. Windows are tried around every
+    occurrence and at the beginning of its sentence; of equal ones the first wins.
     """
-    word = r"[\p{L}\p{N}\p{Co}]+"
-    pieces = F.regexp_extract_all(F.coalesce(summary, F.lit("")), F.lit(word + r"[^\p{L}\p{N}\p{Co}]*"), F.lit(0))
-
-    def window(parts: Column) -> Column:
-        hit = F.transform(parts, lambda p: F.regexp_extract(fold_accents(p), word, 0).isin(*words))
-        first = F.greatest(F.coalesce(F.nullif(F.array_position(hit, True), F.lit(0).cast("long")), F.lit(1).cast("long")) - 5, F.lit(1)).cast("int")
-        shown = F.transform(
-            F.slice(parts, first, size),
-            lambda p: F.when(F.regexp_extract(fold_accents(p), word, 0).isin(*words), F.regexp_replace(p, f"^({word})", "**$1**")).otherwise(p),
-        )
-        return F.concat(F.when(first > 1, "...").otherwise(""), F.trim(F.array_join(shown, "")), F.when(F.size(parts) >= first + size, "...").otherwise(""))
-
-    return let(pieces, window)
+    tokens, at = spans(text)
+    n = len(tokens)
+    hits = sorted((i, k) for k, p in enumerate(phrases) for i in range(n - len(p) + 1) if tokens[i : i + len(p)] == p)
+    opens = [i for i, (a, _) in enumerate(at) if i == 0 or (gap := text[:a].rstrip(" \t\n\r")) != text[:a] and gap.endswith((".", ":"))] if n > size and hits else []
+
+    def worth(start: int) -> tuple[int, int]:
+        """(score, start of the window with its occurrences in the middle)."""
+        inside = [(i, k) for i, k in hits if start <= i < start + size]
+        first, last = inside[0][0], inside[-1][0] + len(phrases[inside[-1][1]])
+        kinds = len({k for _, k in inside})
+        return 999 * kinds + len(inside), max(0, min(first - int((size - (last - first)) / 2), n - size))
+
+    best, start = 0, 0
+    for i, _ in hits:
+        score, middle = worth(i)
+        if score > best:
+            best, start = score, middle
+        before = max((o for o in opens if o <= i), default=i)
+        if before < i:
+            score = worth(before)[0] + (100 if before else 120)
+            if score > best:
+                best, start = score, before
+    end = min(start + size, n) - 1
+    out, place = ["..." if start else ""], at[start][0] if start else 0
+    shown: list[list[int]] = []  # overlapping occurrences are one
+    for i, k in hits:
+        if shown and i <= shown[-1][1]:
+            shown[-1][1] = max(shown[-1][1], i + len(phrases[k]) - 1)
+        else:
+            shown.append([i, i + len(phrases[k]) - 1])
+    for a, b in shown:
+        if start <= a <= end:
+            out += [text[place : at[a][0]], "**", text[at[a][0] : at[min(b, end)][1]], "**"]
+            place = at[min(b, end)][1]
+    out.append(text[place:] if end >= n - 1 else text[place : at[end][1]] + "...")
+    return "".join(out)
+
+
+def with_snippets(rows: DataFrame, text: str, phrases: list[list[str]], when: str, otherwise: str, size: int = 40) -> DataFrame:
+    """``rows`` with the column ``snippet`` in place of ``text``: where ``when`` holds from the whole text, else the column ``otherwise``."""
+    kept = [f for f in rows.schema if f.name not in (text, when, otherwise)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", snippet string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shown = zip(*(b.column(c).to_pylist() for c in (when, text, otherwise)))
+            found = [snippet_text(t or "", phrases, size) if w else o for w, t, o in shown]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(found, pa.string())], names=[*(f.name for f in kept), "snippet"])
+
+    return rows.mapInArrow(run, schema)

@@ -57,10 +57,10 @@ def search_many(notes: DataFrame, queries: list[str], limit: int = 10, index: Po
 def search(notes: DataFrame, query: str, limit: int = 10, index: PostingsIndex | None = None) -> DataFrame:
     """Result columns and snippet in order of ``place``."""
     hits = search_many(notes, [query], limit, index).select("place", "id", "strategy")  # at most ``limit`` rows
-    words = sorted({w for p in fts.parse_match(split_keywords(query)) or [] for w in p})
-    short = F.substring(F.coalesce("summary_markdown", F.lit("")), 1, 200)
-    text = F.when(F.col("strategy") == 2, fts.snippet(F.col("summary_markdown"), words)).otherwise(short) if words else short
-    return notes.join(F.broadcast(hits), "id").select("place", "strategy", *RESULT, text.alias("snippet")).orderBy("place")
+    phrases = fts.parse_match(split_keywords(query)) or []
+    short = F.substring(F.coalesce("summary_markdown", F.lit("")), 1, 200).alias("short")
+    found = notes.join(F.broadcast(hits), "id").select("place", "strategy", *RESULT, "summary_markdown", (F.col("strategy") == 2).alias("full"), short)
+    return fts.with_snippets(found, "summary_markdown", phrases, "full", "short").orderBy("place")
 
 
 def search_precise(notes: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -146,6 +146,11 @@ def search_batched(spark, sf_dir):
     return search.search_many(_notes(spark, sf_dir), ["AI编程，智能体", "C++ foo", "", "beekeeping", "a_b"], 15, _index(spark, sf_dir))
 
 
+def search_columns(spark, sf_dir):
+    """``search_notes`` without its snippets."""
+    return search_notes(spark, sf_dir).drop("snippet")
+
+
 def search_notes(spark, sf_dir):
     return search.search(_notes(spark, sf_dir), WORDS, 40, _index(spark, sf_dir))
 
@@ -209,7 +214,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_recent, list_recent_offset, list_by_tag, list_by_tag_wildcard, get_by_id, get_by_code, get_latest_by_video_id, dup_lookup, dup_flag_semi, dup_latest, stats,
-        stats_empty, search_tags, search_like, search_precise, fts_index, fts_index_after_upserts, fts_tokens, fts_df, fts_doclen, fts_bm25_topk, search_composite, search_batched, search_notes, upsert_notes,
+        stats_empty, search_tags, search_like, search_precise, fts_index, fts_index_after_upserts, fts_tokens, fts_df, fts_doclen, fts_bm25_topk, search_composite, search_batched, search_columns, search_notes, upsert_notes,
         delete_by_id, delete_by_code, codes_unique, render_search, render_list, render_note, render_note_by_code, render_by_tag, fallbacks, render_stats,
     )
 }
@@ -327,6 +332,7 @@ ORACLE = {
     "fts_doclen": f"SELECT id, {_LENGTH} AS n_tokens FROM knowledge",
     "fts_bm25_topk": f"WITH {_bm25(['compiler', '线程池', 'beekeeping'])} SELECT id, round(rank, 6) AS rank FROM bm ORDER BY round(rank, 6), id LIMIT 50",
     "search_composite": f"SELECT place, id, strategy FROM ({_search([WORDS], 40)})",
+    "search_columns": f"SELECT place, strategy, {_RESULT} FROM (SELECT place, id, strategy FROM ({_search([WORDS], 40)})) JOIN knowledge USING (id)",
     "search_batched": _search(["AI编程，智能体", "C++ foo", "", "beekeeping", "a_b"], 15),
     "upsert_notes": UPSERT_SQL,
     "delete_by_id": "SELECT * FROM knowledge WHERE video_code IS NOT NULL",

@@ -1,5 +1,6 @@
 """Search against stock SQLite with its own full-text index."""
 
+import random
 import sqlite3
 
 import pytest
@@ -111,9 +112,24 @@ def test_precise(notes):
         search.search_precise(notes, "a", -1)
 
 
-def test_snippets(notes):
-    found = {r["id"]: r["snippet"] for r in search.search(notes, "cafe zebra").collect()}
-    assert "**café**" in found[2] and found[7].count("word") == 40
+def test_snippets(notes, lite):
+    for query in ("cafe zebra", "word résumé", "decomed nothing"):
+        want = dict(lite.execute("SELECT rowid, snippet(f, 2, '**', '**', '...', 40) FROM f WHERE f MATCH ?", (" OR ".join(query.split()),)))
+        got = {r["id"]: r["snippet"] for r in search.search(notes, query).where("strategy = 2").collect()}
+        assert got == {i: want[i] for i in got} and got
+
+
+def test_snippets_like_sqlite():
+    rng = random.Random(5)
+    words = ["foo", "bar", "baz", "qux", "cafe", "Café", "cafe\u0301", "one", "two", "three", "four", "五 六", "seven"]
+    texts = ["".join(rng.choice(words[: rng.choice([3, 13, 13])]) + rng.choice([" ", " ", " ", ". ", ": ", ", ", ".\n", "-"]) for _ in range(rng.choice([0, 5, 30, 41, 60, 200]))) for _ in range(500)]
+    c = sqlite3.connect(":memory:")
+    c.execute("CREATE VIRTUAL TABLE f USING fts5(t, a, s, g, tokenize='unicode61')")
+    c.executemany("INSERT INTO f(rowid, t, a, s, g) VALUES (?, ?, '', ?, '')", [(i, "foo" if i % 7 == 0 else "", t) for i, t in enumerate(texts)])
+    for query in ("foo", "foo OR bar", "cafe OR foo OR baz", '"foo bar" OR qux', '"one two" OR "two three"'):
+        phrases = [p.strip('"').split() for p in query.split(" OR ")]
+        for i, want in c.execute("SELECT rowid, snippet(f, 2, '**', '**', '...', 40) FROM f WHERE f MATCH ?", (query,)).fetchall():
+            assert fts.snippet_text(texts[i], phrases) == want, (query, texts[i])
 
 
 def test_nulls(spark):
