@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.bounded import bounded_side
 from marginalia.operators.shared import written
 
 STRIPE = "item string, segment int, neighbours array<string>, counts array<long>"
@@ -29,6 +30,8 @@ HELD_ENTRIES = 1_000_000
 #: Segments of a stripe; a segment of an item with a million neighbours holds about 4,000.
 SEGMENTS = 256
 SEND_ROWS = 4096
+#: Items whose own counts are broadcast to the pairs; more are joined by a shuffle.
+MAX_BROADCAST_ITEMS = 100_000
 
 
 def _batches(rows: Iterator[tuple[str, int, dict]]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +119,7 @@ def cooccurrence(records: DataFrame, items: str, n_records: int, min_count: int
     pairs = pairs.select("item", F.col("e.neighbours").alias("other"), F.col("e.counts").alias("n"))
     # the stripes are needed twice, for the pairs and for the items' own counts: written once, to the shared folder
     pairs = written(pairs.where(F.col("n") >= min_count))
-    single = pairs.where("item = other")
+    single, _ = bounded_side(pairs.where("item = other").select("item", "n"), MAX_BROADCAST_ITEMS)
     n_a = single.select(F.col("item").alias("item_a"), F.col("n").alias("n_a"))
     n_b = single.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"))
     found = pairs.where("item != other").select(F.col("item").alias("item_a"), F.col("other").alias("item_b"), F.col("n").alias("n_ab"))
