@@ -157,7 +157,7 @@ ORACLE = {
       FROM (SELECT *, CAST('0x' || substr(md5(coalesce(msg_id, '')), 1, 6) AS INT) % 7 AS n FROM messages WHERE content IS NOT NULL)""",
     "enriched": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, regexp_extract_all(t, '\*\*([^*\n]+)\*\*', 1)[1:8] AS b, t FROM d),
       e AS (SELECT doc_id, CASE WHEN len(b) > 0 THEN array_to_string(list_transform(b, lambda x: '# ' || x), '、') ELSE substr(sha1(t), 1, 8) END AS draft FROM a)
-      SELECT doc_id, substr(sha1('## draft' || chr(10) || draft || chr(10) || chr(10) || '## report' || chr(10) || substr(sha1(draft), 1, 8) || chr(10)), 1, 8) AS final, NULL AS error FROM e""",
+      SELECT doc_id, substr(sha1('## draft' || chr(10) || draft || chr(10) || chr(10) || '## report' || chr(10) || substr(sha1(draft), 1, 8) || chr(10)), 1, 8) AS final, CAST(NULL AS VARCHAR) AS error FROM e""",
     "concat_segments": "SELECT coalesce(from_user, '') || '|' || coalesce(msg_type, '') AS key, string_agg(content, chr(10) || chr(10) ORDER BY ts NULLS FIRST, coalesce(msg_id, ''), content) AS text FROM messages WHERE content IS NOT NULL GROUP BY ALL",
     "call_decisions": """WITH RECURSIVE o AS (SELECT call_id, attempt, min(outcome) AS outcome FROM enrich_calls GROUP BY ALL),
       n AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY attempt) AS r, CASE WHEN NOT regexp_full_match(coalesce(outcome, ''), '[0-9]+') THEN 'lost' WHEN outcome LIKE '2__' THEN 'ok' WHEN outcome = '429' THEN 'rate'
