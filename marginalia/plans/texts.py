@@ -208,6 +208,45 @@ def _depth(text: str) -> str:
     return f"CAST(list_reduce(list_prepend(0, list_transform(string_split({text}, ''), lambda x: {step})), lambda a, b: greatest(a + b, 0)) AS INT)"
 
 
+# one step for each place where blanks stand before a list mark: cut there, or go on behind it; places count from 0
+_ENDS = r"""[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{ff01}-\x{ff60}\x{3000}-\x{303f}a-zA-Z)\]>»）】》''"\x{201d}\x{300d}.!?？。！%‰]"""
+_MARK = r"(?:[*\-+][ \t]+|[0-9]{1,3}\.[ \t]+)"
+
+
+def _split(lines: str) -> str:
+    """CTEs up to ``p`` (id, n, k, piece, stays): the pieces of every line of the CTEs ``lines`` up to ``n`` (id, n, line, stays)."""
+    return rf"""WITH RECURSIVE {lines},
+      c AS (SELECT id, n, line, stays, 0 AS k, 0::BIGINT AS begin, length(regexp_extract(line, '^{_MARK}')) AS spot, NULL::VARCHAR AS piece, stays OR starts_with(line, '#') AS over FROM n
+        UNION ALL SELECT id, n, line, stays, k + 1, CASE WHEN cut THEN gap_end ELSE begin END, CASE WHEN cut THEN gap_end + length(regexp_extract(substr(line, gap_end + 1), '^{_MARK}')) ELSE gap_end + 1 END,
+          CASE WHEN cut THEN substr(line, begin + 1, gap - begin) END, gap IS NULL FROM (
+            SELECT *, coalesce(gap > begin AND regexp_full_match(substr(line, gap, 1), '{_ENDS}') AND {_depth('substr(line, begin + 1, gap - begin)')} = 0, false) AS cut FROM (
+              SELECT *, CASE WHEN g.b != '' THEN spot + length(g.a) END AS gap, CASE WHEN g.b != '' THEN spot + length(g.a) + length(g.b) END AS gap_end FROM (
+                SELECT *, regexp_extract(substr(line, spot + 1), '^(.*?)([ \t]+)(?:[*\-+][ \t]|[0-9]{{1,3}}\.[ \t])', ['a', 'b']) AS g FROM c WHERE NOT over)))),
+      p AS (SELECT id, n, k, piece, stays FROM c WHERE piece IS NOT NULL UNION ALL SELECT id, n, max(k) + 1, substr(any_value(line), max(begin) + 1), any_value(stays) FROM c GROUP BY id, n)"""
+
+
+_JOINED = "s AS (SELECT id, n, string_agg(piece, chr(10) || chr(10) ORDER BY k) AS line FROM p GROUP BY id, n), o AS (SELECT id, string_agg(line, chr(10) ORDER BY n) AS out FROM s GROUP BY id)"
+_SPLIT_ALL = f"""{_split("l AS (SELECT id, string_split(summary_markdown, chr(10)) AS l FROM knowledge WHERE summary_markdown IS NOT NULL), n AS (SELECT id, generate_subscripts(l, 1) AS n, unnest(l) AS line, false AS stays FROM l)")}, {_JOINED}
+      SELECT k.id, o.out FROM knowledge k LEFT JOIN o ON o.id = k.id"""
+# formulas are one character each while lines are looked at
+_FORM = r"\$\$.+?\$\$|\$[^$\n]+?\$|```math\s*\n.+?\n```"
+_PREPARED = rf"""f AS (SELECT id, regexp_extract_all({_LF}, '{_FORM}', 0, 's') AS f, regexp_replace({_LF}, '{_FORM}', chr(57344), 'gs') AS s FROM knowledge WHERE summary_markdown IS NOT NULL),
+      a AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT id, string_split(s, chr(10)) AS l FROM f)),
+      b AS (SELECT *, starts_with({_strip('line')}, '```') AS fence, {_strip('line')} AS bare FROM a), w AS (SELECT *, sum(CAST(fence AS INT)) OVER (PARTITION BY id ORDER BY i) AS fences FROM b),
+      v AS (SELECT id, i, line, fence OR fences % 2 = 1 OR bare = '' OR regexp_matches(bare, '^(#|>|---|===)') AS stays FROM w),
+      u AS (SELECT id, i, stays, string_split(CASE WHEN stays THEN line ELSE regexp_replace(line, '^(.*[：:])\s*([*\-+]|\d{{1,3}}\.)([ \t]+.+)$', '\1' || chr(10) || chr(10) || '\2\3') END, chr(10)) AS l FROM v),
+      n AS (SELECT id, i * 100000 + generate_subscripts(l, 1) AS n, unnest(l) AS line, stays FROM u)"""
+_NORMAL = rf"""{_split(_PREPARED)}, q AS (SELECT id, n, k, CASE WHEN stays OR starts_with(piece, '**') THEN piece ELSE regexp_replace(piece, '^([*\-+])([^\s])', '\1 \2') END AS piece FROM p), {_JOINED.replace('FROM p ', 'FROM q ')},
+      r AS (SELECT o.id, array_to_string(list_transform(string_split(out, chr(57344)), lambda x, i: x || coalesce(f[i], '')), '') AS t FROM o JOIN f ON f.id = o.id),
+      z AS (SELECT id, string_split(t, chr(10)) AS l, list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}) AS h FROM r),
+      y AS (SELECT id, array_to_string(flatten(list_transform(l, lambda x, i: CASE WHEN h[i] != '' AND i < len(l) AND (regexp_matches(h[i + 1], '^[*\-+]\s+') OR regexp_matches(h[i + 1], '^\d+\.\s+'))
+          AND (regexp_matches(h[i], '[：:]$') OR NOT (regexp_matches(h[i], '^[#>\-*+]') OR regexp_matches(h[i], '^\d+\.'))) THEN [x, ''] ELSE [x] END)), chr(10)) AS out FROM z)
+      SELECT k.id, y.out FROM knowledge k LEFT JOIN y ON y.id = k.id"""
+_RENDERED = r"""regexp_replace(regexp_replace(regexp_replace(summary_markdown, '\$\$\s*(.+?)\s*\$\$', chr(10) || chr(10) || '<pre><code>\1</code></pre>' || chr(10) || chr(10), 'gs'),
+        '```math\s*\n\s*(.+?)\s*\n```', chr(10) || chr(10) || '<pre><code>\1</code></pre>' || chr(10) || chr(10), 'gs'), '\$\s*([^$\n]+?)\s*\$', '<code>\1</code>', 'g')"""
+_CLEANED = rf"""x AS (SELECT id, ltrim(regexp_replace(regexp_replace(summary_markdown, '<search>.*?</search>\s*', '', 'gs'), '<query>.*?</query>\s*', '', 'gs'), chr(10)) AS s FROM knowledge),
+      cleaned AS (SELECT id, coalesce(nullif(regexp_extract(s, '(?:^|\n)(#\s+[^\n]+.*)$', 1, 's'), ''), s) AS summary_markdown FROM x), rendered AS (SELECT id, {_RENDERED} AS summary_markdown FROM cleaned)"""
+_DELIVERABLE = _NORMAL.replace("FROM knowledge", "FROM rendered").replace("WITH RECURSIVE ", f"WITH RECURSIVE {_CLEANED}, ", 1)
 _FIT = "len(list_filter(range(1, length({0}) + 1), lambda i: octet_length(encode(substr({0}, 1, i))) <= 2000))"
 _LINE = "length(regexp_extract({0}, '^.*\n', 0, 's'))"
 _PARTS = f"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS i, '' AS part, text AS rest FROM documents WHERE text != ''
@@ -245,8 +284,10 @@ ORACLE = {
     # without looks around: double dollars go first, so that single ones are left
     "formulas": rf"""WITH f AS (SELECT id, list_concat(regexp_extract_all(summary_markdown, '\$\$(.+?)\$\$', 1, 's'), regexp_extract_all(regexp_replace(summary_markdown, '\$\$.+?\$\$', '', 'gs'), '\$([^$\n]+?)\$', 1)) AS f FROM knowledge)
       SELECT id, array_to_string(list_transform(f, lambda x: {_strip('x')}), '|') AS out FROM f""",
-    "formulas_rendered": r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(summary_markdown, '\$\$\s*(.+?)\s*\$\$', chr(10) || chr(10) || '<pre><code>\1</code></pre>' || chr(10) || chr(10), 'gs'),
-        '```math\s*\n\s*(.+?)\s*\n```', chr(10) || chr(10) || '<pre><code>\1</code></pre>' || chr(10) || chr(10), 'gs'), '\$\s*([^$\n]+?)\s*\$', '<code>\1</code>', 'g') AS out FROM knowledge""",
+    "formulas_rendered": f"SELECT id, {_RENDERED} AS out FROM knowledge",
+    "deliverable": _DELIVERABLE,
+    "split_inline_list": _SPLIT_ALL,
+    "normalize_md": _NORMAL,
     "stamps": "SELECT msg_id, ts, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS stamp FROM messages",
     # the sender's rule, one part after the other: cut where 2,000 bytes are full, or behind the last line end of the second half
     "chunk_sent": f"{_PARTS} SELECT doc_id, CAST(i AS INT) AS part_no, CASE WHEN i > 1 THEN '[' || i || '/' || max(i) OVER (PARTITION BY doc_id) || ']' || chr(10) ELSE '' END || part AS part FROM p",
