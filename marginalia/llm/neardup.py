@@ -60,7 +60,8 @@ SLACK = 3.5
 #: Byte-identical copies up to this number are written out as pairs; of more, every copy is
 #: paired with the first, which alone stands for them.
 EXPANDED = 256
-MAX_BROADCAST_IDS = 50_000
+#: Representatives whose texts are found by a broadcast; beyond it the table is shuffled once by its ids.
+MAX_BROADCAST_IDS = 500_000
 SEEN = 1_000_000
 
 HASHES = BANDS * ROWS
