@@ -141,7 +141,27 @@ def _dedup(source: str, ttl: int) -> str:
     SELECT dedup_key, ts FROM a"""
 
 
+_ANY = r"https?://[A-Za-z0-9.\-]+"
+_TASKS = rf"""WITH RECURSIVE m AS (SELECT coalesce(from_user, '') AS key, epoch_us(ts) AS t, lower(trim(content, ' ')) AS word, regexp_extract(regexp_replace(content, '{_ANY}/(?:share/)?video/[0-9]+', ' ', 'g'), '{_ANY}/[A-Za-z0-9_\-]+/?') AS s,
+        regexp_extract(content, '{_ANY}/video/[0-9]+') AS v, regexp_extract(content, '{_ANY}/share/video/[0-9]+') AS w FROM messages WHERE ts IS NOT NULL),
+      x AS (SELECT key, t, word, CASE WHEN s != '' THEN rtrim(s, '/') || '/' WHEN v != '' THEN v WHEN w != '' THEN w END AS item FROM m),
+      e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event, item NULLS FIRST) AS r FROM (
+        SELECT key, t, item, CASE WHEN item IS NOT NULL THEN 'add' WHEN word IN ('开始', 'start') THEN 'start' WHEN word IN ('取消', 'cancel') THEN 'drop' END AS event FROM x) WHERE event IS NOT NULL),
+      z AS (SELECT key, 0::BIGINT AS r, NULL::VARCHAR AS front, false AS running, NULL::BIGINT AS due, 0 AS n, []::STRUCT(t BIGINT, o VARCHAR, x VARCHAR)[] AS told FROM (SELECT DISTINCT key FROM e)
+        UNION ALL SELECT key, r, CASE WHEN arms THEN item WHEN drops THEN NULL ELSE front END, CASE WHEN arms OR drops THEN false ELSE runs OR starts END, CASE WHEN arms THEN t + 120000000 WHEN drops OR runs OR starts THEN NULL ELSE due END,
+          n + CAST(event = 'add' AND NOT arms AND n < 3 AS INT), list_filter([
+            CASE WHEN fires THEN {{'t': due, 'o': 'started', 'x': front}} END, CASE WHEN arms AND front IS NOT NULL THEN {{'t': t, 'o': 'dropped', 'x': front}} END,
+            CASE WHEN arms THEN {{'t': t, 'o': 'armed', 'x': item}} WHEN event = 'add' THEN {{'t': t, 'o': CASE WHEN n < 3 THEN 'queued' ELSE 'refused' END, 'x': item}} END,
+            CASE WHEN starts THEN {{'t': t, 'o': 'started', 'x': front}} WHEN drops THEN {{'t': t, 'o': 'dropped', 'x': front}} END], lambda y: y IS NOT NULL) FROM (
+          SELECT *, event = 'add' AND (front IS NULL OR NOT runs) AS arms, event = 'start' AND front IS NOT NULL AND NOT runs AS starts, event = 'drop' AND front IS NOT NULL AND NOT runs AS drops FROM (
+            SELECT *, running OR fires AS runs FROM (SELECT z.key, e.r, e.t, e.event, e.item, z.front, z.running, z.due, z.n, z.front IS NOT NULL AND NOT z.running AND e.t >= z.due AS fires FROM z JOIN e ON e.key = z.key AND e.r = z.r + 1)))),
+      last AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY key ORDER BY r DESC) = 1)"""
+
 ORACLE = {
+    # the messages hold no event that ends a task, so what waits never starts
+    "queue_outcomes": f"""{_TASKS}, o AS (SELECT key, unnest(told) AS one, n FROM z UNION ALL SELECT key, {{'t': due, 'o': 'started', 'x': front}}, n FROM last WHERE front IS NOT NULL AND NOT running)
+      SELECT key, one.t AS micros, one.o AS outcome, one.x AS item, n AS waiting FROM o""",
+    "queue_pending": f"""{_TASKS} SELECT CASE WHEN running OR due <= (SELECT epoch_us(max(ts)) FROM messages) THEN 'running' ELSE 'armed' END AS phase, count(*) AS users, CAST(sum(n) AS BIGINT) AS waiting FROM last WHERE front IS NOT NULL GROUP BY ALL""",
     "audio_segments": """WITH k AS (SELECT id, duration_seconds AS s FROM knowledge WHERE duration_seconds > 0 AND NOT isnan(duration_seconds)),
       g AS (SELECT id, s, unnest(range(CAST(ceil(s / 600) AS BIGINT))) AS seg FROM k) SELECT id, CAST(seg AS INT) AS seg, CAST(seg * 600 AS DOUBLE) AS seg_start, least(CAST((seg + 1) * 600 AS DOUBLE), s) AS seg_end FROM g""",
     "msg_dedup": _dedup("SELECT DISTINCT concat_ws('_', coalesce(msg_id, ''), coalesce(create_time, '')) AS dedup_key, ts FROM messages WHERE ts IS NOT NULL", 300),
