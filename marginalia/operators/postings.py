@@ -36,10 +36,10 @@ def bucket_of(token: Column | str) -> Column:
 
 def note_postings(notes: DataFrame) -> DataFrame:
     """(token, id, col, d, pos): one row for each place of a token in a column; ``d`` counts the note's tokens."""
-    each = [fts.tokens(F.col(c)) for c in fts.COLUMNS]
-    size = functools.reduce(lambda a, b: a + b, [F.size(x) for x in each])
-    columns = F.array(*[F.struct(F.lit(i).alias("col"), x.alias("tokens")) for i, x in enumerate(each)])
-    one = notes.where("id IS NOT NULL").select("id", size.alias("d"), F.explode(columns).alias("c"))
+    columns = F.array(*[F.struct(F.lit(i).alias("col"), fts.tokens(F.col(c)).alias("tokens")) for i, c in enumerate(fts.COLUMNS)])
+    # the tokens are used twice, so the projection that makes them stays one of its own
+    one = notes.where("id IS NOT NULL").select("id", columns.alias("cs"))
+    one = one.select("id", F.aggregate("cs", F.lit(0), lambda n, x: n + F.size(x["tokens"])).alias("d"), F.explode("cs").alias("c"))
     return one.select("id", "d", "c.col", F.posexplode("c.tokens").alias("pos", "token")).select("token", "id", "col", "d", "pos")
 
 
