@@ -5,10 +5,11 @@ term), both non-negative, under the Kullback-Leibler divergence. The first compo
 anchored: each starts from the terms of the documents that carry its subject's hand label,
 and W starts with most of its weight on a document's labels; further components start from
 the terms of all documents and take up what belongs to no subject. Alternating
-multiplicative updates of W and H then correct wrong labels. H is a classifier: it is
-fitted on at most ``SAMPLE`` labelled documents and ``OTHERS`` times as many without a label
-(those with the smallest hashes of their ids), the same mixture for any size of input, as the
-background components need documents without a subject. It is broadcast, as ``SLOTS`` x components numbers whatever the corpus.
+multiplicative updates of W and H then correct wrong labels. All documents, all labels and all
+terms held by at least ``LEAST_DOCS`` documents are fitted: blocks of documents lie in the shared
+folder with their rows of W; each round is one pass over them, in which every task updates its
+rows of W and adds up its share of H. H is broadcast, as at most ``SLOTS`` x components numbers
+whatever the corpus. (``fit`` can be asked for a sample; no query does.)
 
 Every document is then folded in over its whole text: W is updated with H fixed, and the
 weights tell for each term which component it speaks for. A sentence is about the subject
@@ -19,12 +20,14 @@ Terms are words of alphabetic scripts and pairs of neighbouring characters of Ch
 script, hashed to ``SLOTS`` slots.
 
 Defined cases: null, empty and wordless texts have no subject; unknown, null and repeated
-labels are dropped, letter case is ignored; without any label nothing has a subject.
+labels are dropped, letter case is ignored; without any label nothing has a subject. Rows that
+share an id are documents of their own, each with the id's labels.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,25 +36,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import codes as C
-from marginalia.operators.shared import written
+from marginalia.operators.bounded import bounded_side
+from marginalia.operators.shared import delete_folder, new_folder, written
 
 SLOTS = 1 << 17
-#: Labelled documents of the fit at most, and documents without a label for each of them.
-SAMPLE = 3000
+#: Of a sampled fit: documents without a label for each labelled one.
 OTHERS = 1.375
 BACKGROUND = 12
 ROUNDS = 16
 FOLD_ROUNDS = 6
 #: Updates of each sentence's own row of W, which starts from its document's.
 SENTENCE_ROUNDS = 2
-#: Least number of a sample's documents that hold a term of the model.
+#: Least number of documents that hold a term of the model.
 LEAST_DOCS = 3
 #: Terms as which a longer document weighs in the fit.
 DOC_TERMS = 400
-#: Counts (of a term in a document) of the fit at most.
+#: Of a sampled fit: counts (of a term in a document) at most.
 MAX_COUNTS = 20_000_000
-#: Counts of whole documents that are updated together, which bounds the memory of the fit.
+#: Of ``factor``: counts of whole documents that are updated together, which bounds its memory.
 BLOCK_COUNTS = 50_000
+#: Documents and counts from which a block of the fit is full; it is computed as a dense matrix of its documents and their terms.
+DENSE_DOCS, DENSE_COUNTS = 64, 12_000
+#: Counts from among whose documents those of a block are chosen.
+PORTION = 1_000_000
+#: Labelled documents up to which the labels are broadcast.
+LABELLED = 1_000_000
 #: Weight of subject terms from which a sentence is about the subject.
 SENTENCE_WEIGHT = 0.9
 
@@ -112,32 +121,50 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _first_w(seeds: np.ndarray, background: int) -> np.ndarray:
+    """W at the start: most of a document's weight is on its labels."""
+    start = np.where(seeds.any(1, keepdims=True), 0.02 + seeds, 0.1)
+    w = np.concatenate([start, np.full((len(seeds), background), 1.0)], axis=1).astype(np.float32)
+    return w / w.sum(1, keepdims=True)
+
+
+def _next_w(new: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+    w = new + 0.02 * new.sum(1, keepdims=True) * labelled + 1e-6
+    return w / w.sum(1, keepdims=True)
+
+
+def _first_h(total: np.ndarray, own: np.ndarray, background: int) -> np.ndarray:
+    """H at the start, from each term's weight in all documents and in those of each subject.
+
+    Anchors are terms that a subject's documents use more than all documents do.
+    """
+    rng = np.random.default_rng(20240229)
+    terms_, subjects = own.shape
+    h = np.empty((terms_, subjects + background), np.float32)
+    for j in range(subjects):
+        rate, base = own[:, j] / max(own[:, j].sum(), 1e-9), total / total.sum()
+        h[:, j] = rate * np.maximum(rate / base - 1, 0) + 1e-9
+    for j in range(background):
+        h[:, subjects + j] = total / total.sum() * rng.uniform(0.9, 1.1, terms_)
+    return h / h.sum(0, keepdims=True)
+
+
 def factor(doc: np.ndarray, slot: np.ndarray, n: np.ndarray, seeds: np.ndarray, background: int = BACKGROUND, rounds: int = ROUNDS) -> np.ndarray:
-    """H (slot by component) of the counts; ``seeds``: document by subject, 1 where labelled.
+    """H (slot by component) of counts in memory; ``seeds``: document by subject, 1 where labelled.
 
     Alternating multiplicative updates for the Kullback-Leibler divergence.
     """
-    rng = np.random.default_rng(20240229)
     docs, subjects = seeds.shape
     k = subjects + background
     n = n.astype(np.float32)
-    start = np.where(seeds.any(1, keepdims=True), 0.02 + seeds, 0.1)
-    w = np.concatenate([start, np.full((docs, background), 1.0)], axis=1).astype(np.float32)
-    w /= w.sum(1, keepdims=True)
+    w = _first_w(seeds, background)
     used = np.flatnonzero(np.bincount(slot, minlength=SLOTS))
     at = np.zeros(SLOTS, np.int32)
     at[used] = np.arange(len(used))
     at = at[slot]
     total = np.bincount(at, n, len(used)) + 1e-9
-    h = np.empty((len(used), k), np.float32)
     sure = seeds / np.maximum(seeds.sum(1, keepdims=True), 1)
-    for j in range(subjects):  # anchors: terms that a subject's documents use more than all documents do
-        own = np.bincount(at, n * sure[doc, j], len(used))
-        rate, base = own / max(own.sum(), 1e-9), total / total.sum()
-        h[:, j] = rate * np.maximum(rate / base - 1, 0) + 1e-9
-    for j in range(background):
-        h[:, subjects + j] = total / total.sum() * rng.uniform(0.9, 1.1, len(used))
-    h /= h.sum(0, keepdims=True)
+    h = _first_h(total, np.stack([np.bincount(at, n * sure[doc, j], len(used)) for j in range(subjects)], axis=1), background)
     blocks = []
     first = np.flatnonzero(np.diff(np.concatenate([[-1], doc])))
     wanted = np.searchsorted(first, np.arange(0, len(doc), BLOCK_COUNTS))  # whole documents only
@@ -156,8 +183,7 @@ def factor(doc: np.ndarray, slot: np.ndarray, n: np.ndarray, seeds: np.ndarray,
             part *= (n[x:y] / (part.sum(1) + 1e-12))[:, None]
             new_w[d[starts]] = np.add.reduceat(part, starts, axis=0)
             new_h[t[order[cuts]]] += np.add.reduceat(part[order], cuts, axis=0)
-        w = new_w + 0.02 * new_w.sum(1, keepdims=True) * labelled + 1e-6
-        w /= w.sum(1, keepdims=True)
+        w = _next_w(new_w, labelled)
         h = new_h + 1e-7
         h /= h.sum(0, keepdims=True)
     out = np.zeros((SLOTS, k), np.float32)
@@ -165,13 +191,208 @@ def factor(doc: np.ndarray, slot: np.ndarray, n: np.ndarray, seeds: np.ndarray,
     return out
 
 
-def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, subjects: list[str], sample: int = SAMPLE) -> np.ndarray:
-    """H from at most ``sample`` labelled documents and ``OTHERS`` times as many without a label."""
-    known = labels.select(F.col(key).cast("long").alias("doc"), F.lower(F.trim(F.col(label))).alias("s")).where(F.col("s").isin(*[s.lower() for s in subjects]) & F.col("doc").isNotNull())
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots, by size, and their counts of every document with terms; at last, how many documents hold each slot, and all documents."""
+    held = np.zeros(SLOTS + 1)
+
+    def column(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
+
+    for batch in batches:
+        for ids, texts in C.portions(batch):
+            code, at = C.joined(texts)
+            slot, place = terms(code)
+            key, n = np.unique((np.searchsorted(at, place, "right") - 1) * SLOTS + slot, return_counts=True)
+            row, first = np.unique(key // SLOTS, return_index=True)
+            slot, edges = key % SLOTS, np.append(first, len(key))
+            held[:SLOTS] += np.bincount(slot, minlength=SLOTS)
+            held[SLOTS] += len(row)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[row]), column(slot, edges), column(n, edges), pa.nulls(len(row), pa.binary())], names=["doc", "slots", "n", "sums"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([held.tobytes()], pa.binary())], names=["doc", "slots", "n", "sums"])
+
+
+_BLOCKS = "block binary, size long, w binary, sums binary"
+
+
+def _rows(blocks: pa.Array, sizes: pa.Array, w: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([blocks, sizes, pa.array(w, pa.binary()), pa.nulls(len(w), pa.binary())], names=["block", "size", "w", "sums"])
+
+
+def _sums_row(sums: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "size", "w", "sums"])
+
+
+def _ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(integers of all rows, offsets) of a column of their bytes."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    return np.frombuffer(column.buffers()[2], np.int32)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _alike(row: np.ndarray, t: np.ndarray, rows: int, terms_: int) -> np.ndarray:
+    """An order of documents in which neighbours share terms: along the main axis of co-occurrence, by two power iterations."""
+    size, held = np.maximum(np.bincount(row, minlength=rows), 1), np.bincount(t, minlength=terms_) + 1e-9
+    axis = np.random.default_rng(20240229).standard_normal(rows)
+    for _ in range(2):
+        axis -= (axis * size).sum() / size.sum()
+        axis = np.bincount(row, (np.bincount(t, axis[row], terms_) / held)[t], rows) / size
+    return np.argsort(axis, kind="stable")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], at: np.ndarray, subjects: int, background: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents with their first rows of W; at last each term's weight in all documents and in those of each subject.
+
+    A block is its terms, its counts with their places in the matrix of documents and terms (as
+    differences, which are small numbers), and the weight and labels of each document. Few terms
+    make a dense matrix, so documents that share terms come together.
+    """
+    sums = np.zeros((at.max() + 1, 1 + subjects))
+
+    def block(t: np.ndarray, n: np.ndarray, doc: np.ndarray, scale: np.ndarray, seeds: np.ndarray) -> tuple[bytes, int, bytes]:
+        used, local = np.unique(t, return_inverse=True)
+        place = doc * len(used) + local
+        order = np.argsort(place)
+        place, n = place[order], n[order]
+        x = np.zeros(len(seeds) * len(used), np.float32)
+        x[place] = n
+        x = x.reshape(len(seeds), -1) * scale[:, None]
+        sums[used, 0] += x.sum(0)
+        sums[used, 1:] += x.T @ (seeds / np.maximum(seeds.sum(1, keepdims=True), 1).astype(np.float32))
+        steps = np.diff(place, prepend=0)
+        raw = pickle.dumps((used, steps.astype(np.min_scalar_type(steps.max())), n.astype(np.min_scalar_type(n.max())), scale, seeds), 5)
+        return pa.compress(raw, "zstd", asbytes=True), len(raw), _first_w(seeds, background).tobytes()
+
+    for batch in batches:
+        (slots, offsets), (counts, _), labels = _ints(batch.column(1)), _ints(batch.column(2)), batch.column(3).to_pylist()
+        cuts = np.unique(np.append(np.searchsorted(offsets, np.arange(0, offsets[-1], PORTION)), len(labels)))
+        for a, b in zip(cuts, cuts[1:]):
+            t, n = at[slots[offsets[a] : offsets[b]]], counts[offsets[a] : offsets[b]]
+            row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
+            scale = np.minimum(1, DOC_TERMS / np.maximum(np.bincount(row, n, b - a), 1)).astype(np.float32)  # a long document weighs as ``DOC_TERMS`` terms
+            seeds = np.zeros((b - a, subjects), np.uint8)
+            for i, own in enumerate(labels[a:b]):
+                seeds[i, own or []] = 1
+            t, n, row = t[t >= 0], n[t >= 0], row[t >= 0]
+            order = _alike(row, t, b - a, len(sums))
+            place = np.empty(b - a, np.int64)
+            place[order] = np.arange(b - a)
+            row = place[row]
+            by = np.argsort(row.astype(np.min_scalar_type(b - a)), kind="stable")
+            t, n, row = t[by], n[by], row[by]
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=b - a)))
+            made, x = [], 0
+            while x < b - a:
+                y = min(x + DENSE_DOCS, max(x + 1, int(np.searchsorted(ends, ends[x] + DENSE_COUNTS))), b - a)
+                if ends[y] > ends[x]:
+                    made.append(block(t[ends[x] : ends[y]], n[ends[x] : ends[y]], row[ends[x] : ends[y]] - x, scale[order[x:y]], seeds[order[x:y]]))
+                x = y
+            if made:
+                packed, sizes, w = zip(*made)
+                yield _rows(pa.array(packed, pa.binary()), pa.array(sizes, pa.int64()), list(w))
+    yield _sums_row(sums)
+
+
+def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks with their rows of W updated; at last what H is multiplied by."""
+    sums = np.zeros(h.shape)
+
+    def update(packed: pa.Buffer, size: int, w: pa.Buffer) -> bytes:
+        used, steps, n, scale, seeds = pickle.loads(pa.decompress(packed, size, "zstd", asbytes=True))
+        place = np.cumsum(steps, dtype=np.int64)
+        w = np.frombuffer(w, np.float32).reshape(len(seeds), -1)
+        own = h.take(used, axis=0)
+        rest = np.zeros(len(seeds) * len(used), np.float32)
+        rest[place] = n / ((w @ own.T).ravel()[place] + np.float32(1e-12))
+        rest = rest.reshape(len(seeds), -1)
+        weighed = w * scale[:, None]
+        sums[used] += rest.T @ weighed
+        labelled = np.zeros_like(w)
+        labelled[:, : seeds.shape[1]] = seeds
+        return _next_w(weighed * (rest @ own), labelled).tobytes()
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, C.SLICE_ROWS):
+            blocks, sizes, w = batch.slice(start, C.SLICE_ROWS).columns
+            yield _rows(blocks, sizes, [update(x.as_buffer(), size, y.as_buffer()) for x, size, y in zip(blocks, sizes.to_pylist(), w)])
+    yield _sums_row(sums.astype(np.float32))
+
+
+def _stored(df: DataFrame, compression: str) -> tuple[DataFrame, str]:
+    """``df`` as files, and their folder."""
+    folder = new_folder(df.sparkSession, "subjects")
+    df.write.option("compression", compression).option("parquet.enable.dictionary", "false").parquet(f"{folder}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows"), folder
+
+
+def _summed(df: DataFrame, kind: type) -> np.ndarray:
+    """The sum of the tasks' ``sums``, added up where they are read before they come to the driver."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(x.as_buffer(), kind).astype(np.float64) for batch in batches for x in batch.column(0)), np.zeros(1))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    parts = df.select("sums").where("sums IS NOT NULL").coalesce(4).mapInArrow(added, "sums binary").toArrow()
+    return sum((np.frombuffer(x.as_buffer(), np.float64) for x in parts["sums"]), np.zeros(1))
+
+
+def _known(labels: DataFrame, key: str, label: str, subjects: list[str]) -> DataFrame:
+    return labels.select(F.col(key).cast("long").alias("doc"), F.lower(F.trim(F.col(label))).alias("s")).where(F.col("s").isin(*[s.lower() for s in subjects]) & F.col("doc").isNotNull())
+
+
+def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, subjects: list[str], sample: int | None = None) -> np.ndarray:
+    """H from all documents and labels; if asked, from a sample of them (see ``_fit_sample``)."""
+    none = np.zeros((SLOTS, len(subjects) + BACKGROUND), np.float32)
+    known = _known(labels, key, label, subjects)
+    if not subjects or known.isEmpty():
+        return none
+    if sample is not None:
+        return _fit_sample(docs, key, text, known, subjects, sample)
+    spark = docs.sparkSession
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
+    counts, folder = _stored(texts.mapInArrow(_documents, "doc long, slots binary, n binary, sums binary"), "zstd")
+    held = _summed(counts, np.float64)
+    used = np.flatnonzero(held[:-1] >= min(LEAST_DOCS, max(1, held[-1] // 20)))
+    if not len(used):
+        delete_folder(spark, folder)
+        return none
+    common = np.argsort(-held[used], kind="stable")  # frequent terms lie together, which is faster
+    at = np.full(SLOTS, -1, np.int32)
+    at[used[common]] = np.arange(len(used))
+    number = F.array_position(F.array(*[F.lit(s.lower()) for s in subjects]), F.col("s")) - 1
+    own, _ = bounded_side(known.groupBy("doc").agg(F.sort_array(F.collect_set(number.cast("int"))).alias("own")), LABELLED)
+    rows = counts.where("doc IS NOT NULL").select("doc", "slots", "n").join(own, "doc", "left")
+    model = spark.sparkContext.broadcast(at)
+    blocks, new = _stored(_few(rows).mapInArrow(lambda b: _blocks(b, model.value, len(subjects), BACKGROUND), _BLOCKS), "uncompressed")
+    delete_folder(spark, folder)
+    model.destroy()
+    sums = _summed(blocks, np.float64).reshape(-1, 1 + len(subjects))
+    h = np.empty((len(used), len(subjects) + BACKGROUND), np.float32)
+    sums = sums[at[used]]
+    h[at[used]] = _first_h(sums[:, 0] + 1e-9, sums[:, 1:], BACKGROUND)
+    for _ in range(ROUNDS if sums[:, 1:].any() else 0):
+        model, folder = spark.sparkContext.broadcast(h), new
+        rows = blocks.where("block IS NOT NULL").select("block", "size", "w")
+        blocks, new = _stored(_few(rows).mapInArrow(lambda b: _updated(b, model.value), _BLOCKS), "uncompressed")
+        delete_folder(spark, folder)
+        h = (h * _summed(blocks, np.float32).reshape(h.shape) + 1e-7).astype(np.float32)
+        h /= h.sum(0, keepdims=True)
+        model.destroy()
+    delete_folder(spark, new)
+    if sums[:, 1:].any():
+        none[used] = h[at[used]]
+    return none
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as keep all cores busy, as each gives a sum of its own."""
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _fit_sample(docs: DataFrame, key: str, text: str, known: DataFrame, subjects: list[str], sample: int) -> np.ndarray:
+    """H from at most ``sample`` labelled documents and ``OTHERS`` times as many without a label, on the driver."""
     labelled = known.groupBy("doc").agg(F.sort_array(F.collect_set("s")).alias("s")).orderBy(F.xxhash64("doc"), "doc").limit(sample)
     rows = labelled.collect()  # at most ``sample``
-    if not rows:
-        return np.zeros((SLOTS, len(subjects) + BACKGROUND), np.float32)
     spark, ids = docs.sparkSession, [(r[0],) for r in rows]
     others = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc")).where("doc IS NOT NULL")
     others = others.join(known.select("doc").distinct(), "doc", "left_anti")

@@ -315,6 +315,28 @@ def test_mixture_of_the_fit_is_the_same_at_every_size(spark, monkeypatch, sample
     assert (seen[0].sum(), (~seen[0]).sum()) == (labelled, int(1.375 * labelled))
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_fit_takes_all_documents_and_labels(spark, monkeypatch, broadcast):
+    """The model is that of the counts of every document, however few carry labels, whichever way blocks and labels come together."""
+    if not broadcast:
+        monkeypatch.setattr(subjects, "LABELLED", 10)
+    docs, _, labels = coloured()
+    labels = [x for x in labels if x[0] < 60]
+    docs += [(700 + i, f"late{i % 3} words{i % 2} sky.") for i in range(30)] + [(800, "sea whale. " * 5_000), (801, None), (802, ""), (None, "ruby.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    h = subjects.fit(df, "doc_id", "text", spark.createDataFrame(labels, "doc_id long, subject string, annotator string"), "subject", sorted(WORDS))
+    docs = [(i, t) for i, t in docs if t and i is not None]
+    doc, slot, n = [], [], []
+    for d, (_, text) in enumerate(docs):
+        s, c = np.unique(subjects.terms(C.joined([text])[0])[0], return_counts=True)
+        doc, slot, n = doc + [d] * len(s), slot + s.tolist(), n + (c * min(1, subjects.DOC_TERMS / c.sum())).tolist()
+    doc, slot, n = np.array(doc), np.array(slot), np.array(n)
+    seeds = np.array([[any(x[0] == i and x[1] and x[1].strip().lower() == s for x in labels) for s in sorted(WORDS)] for i, _ in docs], np.float32)
+    keep = np.bincount(slot, minlength=subjects.SLOTS)[slot] >= subjects.LEAST_DOCS
+    want = subjects.factor(doc[keep], slot[keep], n[keep], seeds)
+    assert ((h > 0) == (want > 0)).all() and np.allclose(h, want, rtol=0.01, atol=1e-5), np.abs(h - want).max()
+
+
 def test_without_labels_nothing_has_a_subject(spark):
     df = spark.createDataFrame([(1, "red rose.")], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, subject string")
