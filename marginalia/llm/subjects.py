@@ -26,6 +26,8 @@ share an id are documents of their own, each with the id's labels.
 
 from __future__ import annotations
 
+import functools
+import gc
 import itertools
 import pickle
 from collections.abc import Iterator
@@ -56,50 +58,92 @@ MAX_COUNTS = 20_000_000
 #: Of ``factor``: counts of whole documents that are updated together, which bounds its memory.
 BLOCK_COUNTS = 50_000
 #: Documents and counts from which a block of the fit is full; it is computed as a dense matrix of its documents and their terms.
-DENSE_DOCS, DENSE_COUNTS = 64, 12_000
+DENSE_DOCS, DENSE_COUNTS = 96, 18_000
+#: Letters of texts that are handled together, which keeps them in the processor's cache.
+PORTION_LETTERS = 250_000
 #: Counts from among whose documents those of a block are chosen.
 PORTION = 1_000_000
+#: Updated blocks whose shares of H are added up in single precision.
+EXACT_BLOCKS = 1_024
+#: Bytes of the tasks' sums up to which they come to the driver as they are.
+SUMS_BYTES = 100_000_000
 #: Labelled documents up to which the labels are broadcast.
 LABELLED = 1_000_000
 #: Weight of subject terms from which a sentence is about the subject.
 SENTENCE_WEIGHT = 0.9
 
 _HAN = ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
-_STOPS = np.array([ord(c) for c in "。！？!?；;\n\r…"], np.uint32)
+_STOPS = "。！？!?；;\n\r…"
+#: Bits of a character in ``_table``, above its lower case.
+_LOW, _LETTER, _CHINESE, _STOP = (1 << 24) - 1, 1 << 24, 1 << 25, 1 << 26
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+@functools.cache
+def _first_powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * PORTION_LETTERS, base, np.uint64)]))
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64)]))
+    first = _first_powers(int(base))
+    if n <= len(first):
+        return first[:n]
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
 
 
-def terms(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, position) of every term of the texts' code points, by position."""
+def _marked(codes: np.ndarray) -> np.ndarray:
     kind, low = C.classify(codes)
-    letter = kind == 1
-    han = np.zeros(len(codes), bool)
+    marks = low.astype(np.uint32) | np.where(kind == 1, np.uint32(_LETTER), np.uint32(0))
     for a, b in _HAN:
-        han |= (codes >= a) & (codes <= b)
-    word = letter & ~han
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], word.view(np.int8), [0]])))
+        marks[(codes >= a) & (codes <= b)] |= np.uint32(_CHINESE)
+    return marks
+
+
+@functools.cache
+def _table() -> np.ndarray:
+    table = _marked(np.arange(C.BMP, dtype=np.uint32))
+    table[[ord(c) for c in _STOPS]] |= np.uint32(_STOP)
+    return table
+
+
+def marked(codes: np.ndarray) -> np.ndarray:
+    """The lower case of each code point, with the bits of letters, Chinese script and stops."""
+    far = codes >= C.BMP
+    if not far.any():
+        return _table()[codes]
+    marks = _table()[np.where(far, 0, codes)]
+    marks[far] = _marked(codes[far])
+    return marks
+
+
+def terms(codes: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, position) of every term of the texts' code points, by position."""
+    marks = marked(codes) if marks is None else marks
+    low = marks & np.uint32(_LOW)
+    han = (marks & np.uint32(_CHINESE)) != 0
+    word = np.zeros(len(codes) + 2, bool)
+    np.equal(marks & np.uint32(_LETTER | _CHINESE), np.uint32(_LETTER), out=word[1:-1])
+    edge = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edge[::2], edge[1::2]
     with np.errstate(over="ignore"):
         # a word's hash: the difference of running sums of code * B**i, moved back by B**-start
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(_B, len(codes)))])
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((low + np.uint64(1)) * _powers(_B, len(codes)), out=sums[1:])
         words = C.mix((sums[ends] - sums[starts]) * _powers(_BI, len(codes) + 1)[starts])
         pair = np.flatnonzero(han[:-1] & han[1:]) if len(han) > 1 else np.zeros(0, np.int64)
         pairs = C.mix(low[pair].astype(np.uint64) * _B + low[pair + 1].astype(np.uint64) + np.uint64(0x10000000))
+    if not len(pair):
+        return (words & np.uint64(SLOTS - 1)).astype(np.int64), starts
     at = np.concatenate([starts, pair])
     slot = (np.concatenate([words, pairs]) & np.uint64(SLOTS - 1)).astype(np.int64)
     order = np.argsort(at, kind="stable")
     return slot[order], at[order]
 
 
-def sentence_ends(codes: np.ndarray) -> np.ndarray:
+def sentence_ends(codes: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
     """True at the last character of a sentence: stops, line ends, and full stops before a blank."""
-    stop = np.isin(codes, _STOPS)
+    stop = ((marked(codes) if marks is None else marks) & np.uint32(_STOP)) != 0
     dot = np.flatnonzero(codes == ord("."))
     after = np.minimum(dot + 1, len(codes) - 1)
     stop[dot[np.isin(codes[after], np.array([9, 10, 13, 32, 0x3000], np.uint32)) | (dot == len(codes) - 1)]] = True
@@ -191,15 +235,23 @@ def factor(doc: np.ndarray, slot: np.ndarray, n: np.ndarray, seeds: np.ndarray,
     return out
 
 
+@functools.cache
+def _settled() -> None:
+    """Takes what a worker has loaded out of the search for unreachable objects that Spark makes after each task, which costs more than many a task."""
+    gc.collect()
+    gc.freeze()
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The slots, by size, and their counts of every document with terms; at last, how many documents hold each slot, and all documents."""
+    _settled()
     held = np.zeros(SLOTS + 1)
 
     def column(values: np.ndarray, edges: np.ndarray) -> pa.Array:
         return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
 
     for batch in batches:
-        for ids, texts in C.portions(batch):
+        for ids, texts in C.portions(batch, PORTION_LETTERS):
             code, at = C.joined(texts)
             slot, place = terms(code)
             key, n = np.unique((np.searchsorted(at, place, "right") - 1) * SLOTS + slot, return_counts=True)
@@ -247,19 +299,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: np.ndarray, subjects: int, ba
     differences, which are small numbers), and the weight and labels of each document. Few terms
     make a dense matrix, so documents that share terms come together.
     """
+    _settled()
     sums = np.zeros((at.max() + 1, 1 + subjects))
+    held, number = np.zeros(len(sums), bool), np.zeros(len(sums), np.int32)
+
+    def add(t: np.ndarray, n: np.ndarray, row: np.ndarray, scale: np.ndarray, seeds: np.ndarray) -> None:
+        sums[:, 0] += np.bincount(t, n * scale[row], len(sums))
+        weight = scale / np.maximum(seeds.sum(1), 1)
+        some = np.flatnonzero(seeds.any(1)[row])
+        t, n, row = t[some], n[some], row[some]
+        for j in np.flatnonzero(seeds.any(0)):
+            own = np.flatnonzero(seeds[row, j])
+            sums[:, 1 + j] += np.bincount(t[own], n[own] * weight[row[own]], len(sums))
 
     def block(t: np.ndarray, n: np.ndarray, doc: np.ndarray, scale: np.ndarray, seeds: np.ndarray) -> tuple[bytes, int, bytes]:
-        used, local = np.unique(t, return_inverse=True)
-        place = doc * len(used) + local
-        order = np.argsort(place)
-        place, n = place[order], n[order]
-        x = np.zeros(len(seeds) * len(used), np.float32)
-        x[place] = n
-        x = x.reshape(len(seeds), -1) * scale[:, None]
-        sums[used, 0] += x.sum(0)
-        sums[used, 1:] += x.T @ (seeds / np.maximum(seeds.sum(1, keepdims=True), 1).astype(np.float32))
-        steps = np.diff(place, prepend=0)
+        held[t] = True
+        used = np.flatnonzero(held)
+        held[used] = False
+        number[used] = np.arange(len(used))
+        steps = np.diff(doc * len(used) + number[t], prepend=0)
         raw = pickle.dumps((used, steps.astype(np.min_scalar_type(steps.max())), n.astype(np.min_scalar_type(n.max())), scale, seeds), 5)
         return pa.compress(raw, "zstd", asbytes=True), len(raw), _first_w(seeds, background).tobytes()
 
@@ -273,12 +331,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: np.ndarray, subjects: int, ba
             seeds = np.zeros((b - a, subjects), np.uint8)
             for i, own in enumerate(labels[a:b]):
                 seeds[i, own or []] = 1
-            t, n, row = t[t >= 0], n[t >= 0], row[t >= 0]
+            some = np.flatnonzero(t >= 0)
+            t, n, row = t[some], n[some], row[some]
+            add(t, n, row, scale, seeds)
             order = _alike(row, t, b - a, len(sums))
             place = np.empty(b - a, np.int64)
             place[order] = np.arange(b - a)
             row = place[row]
-            by = np.argsort(row.astype(np.min_scalar_type(b - a)), kind="stable")
+            by = np.argsort(row * len(sums) + t)
             t, n, row = t[by], n[by], row[by]
             ends = np.append(0, np.cumsum(np.bincount(row, minlength=b - a)))
             made, x = [], 0
@@ -293,9 +353,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: np.ndarray, subjects: int, ba
     yield _sums_row(sums)
 
 
-def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The blocks with their rows of W updated; at last what H is multiplied by."""
-    sums = np.zeros(h.shape)
+def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+    """The blocks with their rows of W updated, which nothing needs after the ``last`` update; at last what H is multiplied by."""
+    _settled()
+    sums, part, since = np.zeros(h.shape), np.zeros(h.shape, np.float32), 0
 
     def update(packed: pa.Buffer, size: int, w: pa.Buffer) -> bytes:
         used, steps, n, scale, seeds = pickle.loads(pa.decompress(packed, size, "zstd", asbytes=True))
@@ -303,10 +364,14 @@ def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray) -> Iterator[pa.Re
         w = np.frombuffer(w, np.float32).reshape(len(seeds), -1)
         own = h.take(used, axis=0)
         rest = np.zeros(len(seeds) * len(used), np.float32)
-        rest[place] = n / ((w @ own.T).ravel()[place] + np.float32(1e-12))
+        rest[place] = n / ((w @ own.T).ravel().take(place) + np.float32(1e-12))
         rest = rest.reshape(len(seeds), -1)
         weighed = w * scale[:, None]
-        sums[used] += rest.T @ weighed
+        share = rest.T @ weighed
+        share += part.take(used, axis=0)
+        part[used] = share
+        if last:
+            return b""
         labelled = np.zeros_like(w)
         labelled[:, : seeds.shape[1]] = seeds
         return _next_w(weighed * (rest @ own), labelled).tobytes()
@@ -314,7 +379,15 @@ def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, C.SLICE_ROWS):
             blocks, sizes, w = batch.slice(start, C.SLICE_ROWS).columns
-            yield _rows(blocks, sizes, [update(x.as_buffer(), size, y.as_buffer()) for x, size, y in zip(blocks, sizes.to_pylist(), w)])
+            new = [update(x.as_buffer(), size, y.as_buffer()) for x, size, y in zip(blocks, sizes.to_pylist(), w)]
+            since += len(new)
+            if since >= EXACT_BLOCKS:  # single precision is exact enough for some blocks only
+                sums += part
+                part[:] = 0
+                since = 0
+            if not last:
+                yield _rows(blocks, sizes, new)
+    sums += part
     yield _sums_row(sums.astype(np.float32))
 
 
@@ -325,15 +398,22 @@ def _stored(df: DataFrame, compression: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows"), folder
 
 
-def _summed(df: DataFrame, kind: type) -> np.ndarray:
-    """The sum of the tasks' ``sums``, added up where they are read before they come to the driver."""
+def _summed(df: DataFrame, kind: type, size: int, few: bool = True) -> np.ndarray:
+    """The sum of the tasks' ``sums`` of ``size`` numbers; those of many tasks or bytes are added up where they are read before they come to the driver."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = sum((np.frombuffer(x.as_buffer(), kind).astype(np.float64) for batch in batches for x in batch.column(0)), np.zeros(1))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], names=["sums"])
 
-    parts = df.select("sums").where("sums IS NOT NULL").coalesce(4).mapInArrow(added, "sums binary").toArrow()
-    return sum((np.frombuffer(x.as_buffer(), np.float64) for x in parts["sums"]), np.zeros(1))
+    parts = df.select("sums").where("sums IS NOT NULL")
+    if not few or size * np.dtype(kind).itemsize * _tasks(df) > SUMS_BYTES:
+        parts = parts.coalesce(4).mapInArrow(added, "sums binary")
+    total = np.zeros(size)
+    for x in parts.toArrow()["sums"]:
+        own = np.frombuffer(x.as_buffer(), kind)
+        if len(own) == size:  # of a task without rows: one zero
+            total += own
+    return total
 
 
 def _known(labels: DataFrame, key: str, label: str, subjects: list[str]) -> DataFrame:
@@ -350,8 +430,8 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
         return _fit_sample(docs, key, text, known, subjects, sample)
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).where("doc IS NOT NULL AND t IS NOT NULL")
-    counts, folder = _stored(texts.mapInArrow(_documents, "doc long, slots binary, n binary, sums binary"), "zstd")
-    held = _summed(counts, np.float64)
+    counts, folder = _stored(texts.mapInArrow(_documents, "doc long, slots binary, n binary, sums binary"), "snappy")
+    held = _summed(counts, np.float64, SLOTS + 1, few=False)
     used = np.flatnonzero(held[:-1] >= min(LEAST_DOCS, max(1, held[-1] // 20)))
     if not len(used):
         delete_folder(spark, folder)
@@ -366,16 +446,16 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
     blocks, new = _stored(_few(rows).mapInArrow(lambda b: _blocks(b, model.value, len(subjects), BACKGROUND), _BLOCKS), "uncompressed")
     delete_folder(spark, folder)
     model.destroy()
-    sums = _summed(blocks, np.float64).reshape(-1, 1 + len(subjects))
+    sums = _summed(blocks, np.float64, len(used) * (1 + len(subjects))).reshape(-1, 1 + len(subjects))
     h = np.empty((len(used), len(subjects) + BACKGROUND), np.float32)
     sums = sums[at[used]]
     h[at[used]] = _first_h(sums[:, 0] + 1e-9, sums[:, 1:], BACKGROUND)
-    for _ in range(ROUNDS if sums[:, 1:].any() else 0):
+    for i in range(ROUNDS if sums[:, 1:].any() else 0):
         model, folder = spark.sparkContext.broadcast(h), new
         rows = blocks.where("block IS NOT NULL").select("block", "size", "w")
-        blocks, new = _stored(_few(rows).mapInArrow(lambda b: _updated(b, model.value), _BLOCKS), "uncompressed")
+        blocks, new = _stored(_few(rows).mapInArrow(lambda b, last=i == ROUNDS - 1: _updated(b, model.value, last), _BLOCKS), "uncompressed")
         delete_folder(spark, folder)
-        h = (h * _summed(blocks, np.float32).reshape(h.shape) + 1e-7).astype(np.float32)
+        h = (h * _summed(blocks, np.float32, h.size).reshape(h.shape) + 1e-7).astype(np.float32)
         h /= h.sum(0, keepdims=True)
         model.destroy()
     delete_folder(spark, new)
@@ -384,9 +464,14 @@ def fit(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, sub
     return none
 
 
+def _tasks(rows: DataFrame) -> int:
+    """As many as keep all cores busy."""
+    return rows.sparkSession.sparkContext.defaultParallelism
+
+
 def _few(rows: DataFrame) -> DataFrame:
-    """``rows`` in as many partitions as keep all cores busy, as each gives a sum of its own."""
-    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    """``rows`` in few partitions, as each gives a sum of its own."""
+    return rows.coalesce(_tasks(rows))
 
 
 def _fit_sample(docs: DataFrame, key: str, text: str, known: DataFrame, subjects: list[str], sample: int) -> np.ndarray:
@@ -444,61 +529,70 @@ def informative(h: np.ndarray, subjects: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- folding in
 
 
+def _folded(h: np.ndarray, row: np.ndarray, first: np.ndarray, w: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of W, their terms by component) after ``rounds`` updates of ``w`` with H fixed.
+
+    ``row``: of H, of each term; ``first``: where the terms of each row of W begin. Rows of W with about as
+    many terms are updated together, filled up with the last row of H, which is zero.
+    """
+    width = np.diff(first, append=len(row))
+    order = np.argsort(width, kind="stable")
+    sizes = width[order]
+    new, terms_of = np.empty_like(w), np.empty_like(w)
+    x = 0
+    while x < len(order):
+        y = int(np.searchsorted(sizes, max(sizes[x] * 5 // 4, sizes[x] + 1), "right"))
+        some, steps = order[x:y], np.arange(sizes[y - 1])
+        at = np.minimum(first[some, None] + steps, len(row) - 1)
+        part = h[np.where(steps < sizes[x:y, None], row[at], len(h) - 1)]
+        own = w[some]
+        for _ in range(rounds):
+            rest = 1 / (np.matmul(part, own[:, :, None]) + np.float32(1e-20))
+            got = own * np.matmul(rest.transpose(0, 2, 1), part)[:, 0]
+            own = got + np.float32(0.05)
+            own /= own.sum(1, keepdims=True)
+        new[some], terms_of[some] = own, got
+        x = y
+    return new, terms_of
+
+
 def _mixtures(batches: Iterator[pa.RecordBatch], row_of: np.ndarray, h: np.ndarray, subjects: list[str], share: float) -> Iterator[pa.RecordBatch]:
-    k, s = h.shape[1] if len(h) else 0, len(subjects)
+    _settled()
+    s = len(subjects)
+    h = np.concatenate([h, np.zeros((1, h.shape[1]), np.float32)])
     for batch in batches:
-        for ids, texts in C.portions(batch):
+        for ids, texts in C.portions(batch, PORTION_LETTERS):
             code, at = C.joined(texts)
-            if not len(code) or not len(h):
+            if not len(code) or len(h) == 1:
                 continue
-            ends = sentence_ends(code)
+            marks = marked(code)
+            ends = sentence_ends(code, marks)
             ends[at[1:][at[1:] > 0] - 1] = True
-            number = np.concatenate([[0], np.cumsum(ends)[:-1]])  # of the sentence of each character
-            sentences = int(number[-1]) + 1
-            kind, _ = C.classify(code)
-            slot, place = terms(code)
+            number = np.zeros(len(code), np.int32)  # of the sentence of each character
+            np.cumsum(ends[:-1], dtype=np.int32, out=number[1:])
+            slot, place = terms(code, marks)
             # sentences: pieces with at least one letter that are no headings
-            has = np.zeros(sentences, bool)
-            has[number[kind == 1]] = True
-            opens = np.concatenate([[True], ends[:-1]])
-            begin = np.flatnonzero(opens)
-            has[number[begin[code[begin] == ord("#")]]] = False
+            begin = np.append(0, np.flatnonzero(ends[:-1]) + 1)
+            has = np.logical_or.reduceat((marks & np.uint32(_LETTER)) != 0, begin) & (code[begin] != ord("#"))
             doc_of = np.searchsorted(at, begin, "right") - 1
             row = row_of[slot]
-            known = row >= 0
-            row, place = row[known], place[known]
-            if not len(row):
-                continue
-            sent = number[place]
+            known = np.flatnonzero(row >= 0)
+            row, sent = row[known], number[place[known]]
             known = has[sent]
             row, sent = row[known], sent[known]
             if not len(row):
                 continue
             doc = doc_of[sent]
-            first = np.flatnonzero(np.diff(np.concatenate([[-1], doc])))
-            width = np.diff(np.concatenate([first, [len(doc)]]))
-            part_h = h[row]
-            w = np.full((len(first), k), 1.0 / k, np.float32)
-            for _ in range(FOLD_ROUNDS):
-                part = np.repeat(w, width, axis=0) * part_h
-                part /= part.sum(1, keepdims=True) + 1e-20
-                w = np.add.reduceat(part, first, axis=0) + 0.05
-                w /= w.sum(1, keepdims=True)
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            w, _ = _folded(h, row, first, np.full((len(first), h.shape[1]), 1 / h.shape[1], np.float32), FOLD_ROUNDS)
             # every sentence is a row of W of its own, from its document's
-            cut = np.flatnonzero(np.diff(np.concatenate([[-1], sent])))
-            size = np.diff(np.concatenate([cut, [len(sent)]]))
-            own = np.repeat(w, width, axis=0)[cut]
-            for _ in range(SENTENCE_ROUNDS):
-                part = np.repeat(own, size, axis=0) * part_h
-                part /= part.sum(1, keepdims=True) + 1e-20
-                terms_of = np.add.reduceat(part, cut, axis=0)  # the sentence's terms by component
-                own = terms_of + 0.05
-                own /= own.sum(1, keepdims=True)
+            cut = np.flatnonzero(np.diff(sent, prepend=-1))
+            _, terms_of = _folded(h, row, cut, w[np.searchsorted(first, cut, "right") - 1], SENTENCE_ROUNDS)
             weight = terms_of[:, :s]
             best = weight.argmax(1)
             sure = weight[np.arange(len(best)), best] >= SENTENCE_WEIGHT
             about = np.bincount(doc_of[sent[cut]][sure] * s + best[sure], minlength=len(ids) * s).reshape(len(ids), s)
-            count = np.bincount(doc_of[has[: len(doc_of)]], minlength=len(ids))
+            count = np.bincount(doc_of[has], minlength=len(ids))
             d, j = np.nonzero((about > 0) & (about >= share * count[:, None]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(ids, np.int64)[d]), pa.array([subjects[x] for x in j.tolist()], pa.string()), pa.array(about[d, j] / count[d])],

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -337,6 +339,71 @@ def test_fit_takes_all_documents_and_labels(spark, monkeypatch, broadcast):
     assert ((h > 0) == (want > 0)).all() and np.allclose(h, want, rtol=0.01, atol=1e-5), np.abs(h - want).max()
 
 
+def test_folding_in_is_that_of_single_terms_and_takes_less_time():
+    """W of rows of all widths, repeated terms and one very long row, against updates that go over each term by itself."""
+    rng = np.random.default_rng(5)
+    h = np.concatenate([rng.random((900, 24), np.float32) ** 8, np.zeros((1, 24), np.float32)])
+    width = np.concatenate([np.arange(1, 90), rng.integers(1, 120, 3000), [40_000]])
+    rng.shuffle(width)
+    row, first = rng.integers(0, 900, width.sum()), np.append(0, np.cumsum(width)[:-1])
+    w = rng.random((len(width), 24), np.float32)
+
+    def plain():
+        own = w
+        for _ in range(subjects.FOLD_ROUNDS):
+            part = np.repeat(own, width, axis=0) * h[row]
+            part /= part.sum(1, keepdims=True) + 1e-20
+            terms_of = np.add.reduceat(part, first, axis=0)
+            own = terms_of + 0.05
+            own /= own.sum(1, keepdims=True)
+        return own, terms_of
+
+    def timed(f):
+        start = time.process_time()
+        return f(), time.process_time() - start
+
+    runs = [(timed(plain), timed(lambda: subjects._folded(h, row, first, w, subjects.FOLD_ROUNDS))) for _ in range(3)]
+    for a, b in zip(runs[0][0][0], runs[0][1][0]):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-5)
+    assert min(b for _, (_, b) in runs) < 0.7 * min(a for (_, a), _ in runs)
+
+
+@pytest.mark.parametrize("exact", [1, 3, 10_000])
+def test_last_update_writes_sums_alone(monkeypatch, exact):
+    """Blocks are written again only where an update follows, and H is the same however many blocks are added up in single precision."""
+    monkeypatch.setattr(subjects, "EXACT_BLOCKS", exact)
+    monkeypatch.setattr(subjects, "DENSE_DOCS", 8)
+    monkeypatch.setattr(subjects, "_settled", lambda: None)
+    texts = [t for _, t in coloured(n=100)[0]]
+    docs = list(subjects._documents(iter([pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], names=["doc", "t"])])))
+    used = np.flatnonzero(np.frombuffer(docs[-1]["sums"][0].as_py())[:-1])
+    at = np.full(subjects.SLOTS, -1, np.int32)
+    at[used] = np.arange(len(used))
+    labels = pa.array([[i % 3] if i % 2 else None for i in range(100)], pa.list_(pa.int32()))
+    rows = [pa.RecordBatch.from_arrays([*d.columns[:3], labels.slice(0, d.num_rows)], names=["doc", "slots", "n", "own"]) for d in docs[:-1]]
+    *blocks, sums = subjects._blocks(iter(rows), at, 3, 2)
+    sums = np.frombuffer(sums["sums"][0].as_py()).reshape(len(used), 4)
+    counts = np.concatenate([np.frombuffer(x, np.int32) for d in docs[:-1] for x in d["n"].to_pylist()])
+    assert np.isclose(sums[:, 0].sum(), counts.sum()) and np.isclose(sums[:, 1:].sum(), sum(np.frombuffer(x, np.int32).sum() for x in docs[0]["n"].to_pylist()[1::2]))
+    h = subjects._first_h(sums[:, 0], sums[:, 1:], 2)
+    blocks = [b.select(["block", "size", "w"]) for b in blocks]
+    assert sum(b.num_rows for b in blocks) > 10
+    *again, first = subjects._updated(iter(blocks), h, False)
+    (last,) = subjects._updated(iter(blocks), h, True)
+    assert sum(b.num_rows for b in again) == sum(b.num_rows for b in blocks) and first.equals(last)
+    total = (h * np.frombuffer(last["sums"][0].as_py(), np.float32).reshape(h.shape)).sum()
+    assert np.isclose(total, counts.sum(), rtol=1e-4)  # every counted term speaks for the components once
+
+
+@pytest.mark.parametrize("most", [0, 100_000_000])
+def test_sums_are_the_same_whether_added_up_before_the_driver(spark, monkeypatch, most):
+    monkeypatch.setattr(subjects, "SUMS_BYTES", most)
+    rows = [(None,), *((np.arange(5, dtype=np.float32).tobytes(),) for _ in range(7))]
+    for parts in (1, 3, 12):
+        df = spark.createDataFrame(rows, "sums binary").repartition(parts)
+        assert subjects._summed(df, np.float32, 5).tolist() == subjects._summed(df, np.float32, 5, few=False).tolist() == [0, 7, 14, 21, 28]
+
+
 def test_without_labels_nothing_has_a_subject(spark):
     df = spark.createDataFrame([(1, "red rose.")], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, subject string")
