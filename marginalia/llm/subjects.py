@@ -57,8 +57,8 @@ DOC_TERMS = 400
 MAX_COUNTS = 20_000_000
 #: Of ``factor``: counts of whole documents that are updated together, which bounds its memory.
 BLOCK_COUNTS = 50_000
-#: Documents and counts from which a block of the fit is full; it is computed as a dense matrix of its documents and their terms.
-DENSE_DOCS, DENSE_COUNTS = 96, 18_000
+#: Documents and counts from which a block of the fit is full; it is computed as a dense matrix of its documents and the terms that several of them hold.
+DENSE_DOCS, DENSE_COUNTS = 128, 24_000
 #: Letters of texts that are handled together, which keeps them in the processor's cache.
 PORTION_LETTERS = 250_000
 #: Counts from among whose documents those of a block are chosen.
@@ -271,7 +271,8 @@ def _rows(blocks: pa.Array, sizes: pa.Array, w: list[bytes]) -> pa.RecordBatch:
 
 
 def _sums_row(sums: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([sums.tobytes()], pa.binary())]
+    own = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, sums.nbytes], np.int32)), pa.py_buffer(sums)])
+    columns = [pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), own]
     return pa.RecordBatch.from_arrays(columns, names=["block", "size", "w", "sums"])
 
 
@@ -295,9 +296,10 @@ def _alike(row: np.ndarray, t: np.ndarray, rows: int, terms_: int) -> np.ndarray
 def _blocks(batches: Iterator[pa.RecordBatch], at: np.ndarray, subjects: int, background: int) -> Iterator[pa.RecordBatch]:
     """Blocks of documents with their first rows of W; at last each term's weight in all documents and in those of each subject.
 
-    A block is its terms, its counts with their places in the matrix of documents and terms (as
-    differences, which are small numbers), and the weight and labels of each document. Few terms
-    make a dense matrix, so documents that share terms come together.
+    A block is the terms that several of its documents hold, their counts with the places in the matrix
+    of documents and terms (both as differences, which are small numbers), the terms of one document
+    alone with how many each document has and their counts, and the weight and labels of each document.
+    Few terms make a dense matrix, so documents that share terms come together.
     """
     _settled()
     sums = np.zeros((at.max() + 1, 1 + subjects))
@@ -317,8 +319,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: np.ndarray, subjects: int, ba
         used = np.flatnonzero(held)
         held[used] = False
         number[used] = np.arange(len(used))
-        steps = np.diff(doc * len(used) + number[t], prepend=0)
-        raw = pickle.dumps((used, steps.astype(np.min_scalar_type(steps.max())), n.astype(np.min_scalar_type(n.max())), scale, seeds), 5)
+        once = np.bincount(number[t]) == 1
+        number[used] = np.where(once, -1, np.cumsum(~once) - 1)
+        used, local = used[~once], number[t]
+        many = np.flatnonzero(local >= 0)
+        steps = np.diff(doc[many] * len(used) + local[many], prepend=0)
+        once = np.flatnonzero(local < 0)
+        numbers = np.diff(used, prepend=0), steps, n[many], t[once], np.bincount(doc[once], minlength=len(seeds)), n[once]
+        raw = pickle.dumps((*(x.astype(np.min_scalar_type(x.max(initial=0))) for x in numbers), scale, seeds), 5)
         return pa.compress(raw, "zstd", asbytes=True), len(raw), _first_w(seeds, background).tobytes()
 
     for batch in batches:
@@ -356,11 +364,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: np.ndarray, subjects: int, ba
 def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
     """The blocks with their rows of W updated, which nothing needs after the ``last`` update; at last what H is multiplied by."""
     _settled()
-    sums, part, since = np.zeros(h.shape), np.zeros(h.shape, np.float32), 0
+    sums, part, since = None, np.zeros(h.shape, np.float32), 0
 
     def update(packed: pa.Buffer, size: int, w: pa.Buffer) -> bytes:
-        used, steps, n, scale, seeds = pickle.loads(pa.decompress(packed, size, "zstd", asbytes=True))
-        place = np.cumsum(steps, dtype=np.int64)
+        used, steps, n, once, each, times, scale, seeds = pickle.loads(pa.decompress(packed, size, "zstd", asbytes=True))
+        used, place = np.cumsum(used, dtype=np.int64), np.cumsum(steps, dtype=np.int64)
         w = np.frombuffer(w, np.float32).reshape(len(seeds), -1)
         own = h.take(used, axis=0)
         rest = np.zeros(len(seeds) * len(used), np.float32)
@@ -370,11 +378,21 @@ def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray, last: bool) -> It
         share = rest.T @ weighed
         share += part.take(used, axis=0)
         part[used] = share
+        single = h.take(once, axis=0)
+        times = times / (np.einsum("ij,ij->i", single, np.repeat(w, each, axis=0)) + np.float32(1e-12))
+        share = np.repeat(weighed, each, axis=0)
+        share *= times[:, None]
+        share += part.take(once, axis=0)
+        part[once] = share
         if last:
             return b""
+        own = rest @ own
+        single *= times[:, None]
+        some = np.flatnonzero(each)
+        own[some] += np.add.reduceat(single, (np.cumsum(each, dtype=np.int64) - each)[some], axis=0)
         labelled = np.zeros_like(w)
         labelled[:, : seeds.shape[1]] = seeds
-        return _next_w(weighed * (rest @ own), labelled).tobytes()
+        return _next_w(weighed * own, labelled).tobytes()
 
     for batch in batches:
         for start in range(0, batch.num_rows, C.SLICE_ROWS):
@@ -382,13 +400,12 @@ def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray, last: bool) -> It
             new = [update(x.as_buffer(), size, y.as_buffer()) for x, size, y in zip(blocks, sizes.to_pylist(), w)]
             since += len(new)
             if since >= EXACT_BLOCKS:  # single precision is exact enough for some blocks only
-                sums += part
+                sums = part.astype(np.float64) if sums is None else sums + part
                 part[:] = 0
                 since = 0
             if not last:
                 yield _rows(blocks, sizes, new)
-    sums += part
-    yield _sums_row(sums.astype(np.float32))
+    yield _sums_row(part if sums is None else (sums + part).astype(np.float32))
 
 
 def _stored(df: DataFrame, compression: str) -> tuple[DataFrame, str]:
