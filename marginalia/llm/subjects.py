@@ -65,6 +65,8 @@ PORTION_LETTERS = 250_000
 PORTION = 1_000_000
 #: Updated blocks whose shares of H are added up in single precision.
 EXACT_BLOCKS = 1_024
+#: Bytes of a row group of the blocks' files.
+ROW_GROUP = 16 << 20
 #: Bytes of the tasks' sums up to which they come to the driver as they are.
 SUMS_BYTES = 100_000_000
 #: Labelled documents up to which the labels are broadcast.
@@ -411,7 +413,8 @@ def _updated(batches: Iterator[pa.RecordBatch], h: np.ndarray, last: bool) -> It
 def _stored(df: DataFrame, compression: str) -> tuple[DataFrame, str]:
     """``df`` as files, and their folder."""
     folder = new_folder(df.sparkSession, "subjects")
-    df.write.option("compression", compression).option("parquet.enable.dictionary", "false").parquet(f"{folder}/rows")
+    # a row group is held in memory where it is written and where it is read
+    df.write.options(**{"compression": compression, "parquet.enable.dictionary": "false", "parquet.block.size": ROW_GROUP}).parquet(f"{folder}/rows")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows"), folder
 
 
